@@ -87,17 +87,6 @@ def hours_remaining(as_of) -> Column:
     return (F.unix_micros(deadline) - F.unix_micros(instant(as_of))) / F.lit(3.6e9)
 
 
-def budget_used(as_of) -> Column:
-    """Share of the start→deadline budget used, in percent, clamped to [0, 120].
-
-    Null without a deadline or with a zero budget."""
-    end = F.coalesce(completed, instant(as_of))
-    used = (F.unix_micros(end) - F.unix_micros(started)).cast("double")
-    budget = (F.unix_micros(deadline) - F.unix_micros(started)).cast("double")
-    pct = F.try_divide(F.greatest(F.lit(0.0), used), budget) * F.lit(100.0)
-    return F.when(deadline.isNotNull() & (budget != 0), F.least(F.lit(120.0), pct))
-
-
 def round1(col) -> Column:
     """Half-up rounding to one decimal, like Java ``Math.round(x * 10) / 10``."""
     c = F.col(col) if isinstance(col, str) else col
@@ -108,3 +97,13 @@ def round_int(col) -> Column:
     """Java/JS ``Math.round`` to a whole number (ties toward +inf)."""
     c = F.col(col) if isinstance(col, str) else col
     return F.floor(c + F.lit(0.5)).cast("long")
+
+
+def budget_used(as_of) -> Column:
+    """Deadline budget used in percent on whole seconds:
+    ``min(120, max(0, end − start) / (deadline − start) · 100)``, end defaulting
+    to as_of; null without a deadline or with a zero budget."""
+    end = F.unix_seconds(F.coalesce(completed, instant(as_of)))
+    st, dl = F.unix_seconds(started), F.unix_seconds(deadline)
+    pct = F.try_divide(F.greatest(F.lit(0), end - st).cast("double"), (dl - st).cast("double")) * F.lit(100.0)
+    return F.when(deadline.isNotNull() & (dl != st), F.least(F.lit(120.0), pct))
