@@ -23,14 +23,18 @@ COMPLETED_ON_TIME, COMPLETED_LATE = "COMPLETED_ON_TIME", "COMPLETED_LATE"
 OVERDUE = "OVERDUE"
 PROBLEM_OUTCOMES = (OVERDUE, COMPLETED_LATE, FAILED)
 
-status = F.col("status")
-started = F.col("started_at")
-completed = F.col("completed_at")
-deadline = F.col("deadline")
+_LAZY_COLUMNS = {"status": "status", "started": "started_at", "completed": "completed_at", "deadline": "deadline"}
+
+
+def __getattr__(name: str) -> Column:
+    # Column handles need an active session, so they are built on access.
+    if name in _LAZY_COLUMNS:
+        return F.col(_LAZY_COLUMNS[name])
+    raise AttributeError(name)
 
 
 def is_active() -> Column:
-    return status == F.lit(ACTIVE)
+    return F.col("status") == F.lit(ACTIVE)
 
 
 def deadline_status(as_of) -> Column:
@@ -38,19 +42,19 @@ def deadline_status(as_of) -> Column:
     COMPLETED_LATE for COMPLETED with a completion time (equality is on time);
     null otherwise, FAILED included."""
     now = instant(as_of)
-    return (F.when(deadline.isNull(), F.lit(None).cast("string"))
-            .when(is_active(), F.when(now > deadline, F.lit(MISSED)).otherwise(F.lit(ON_TRACK)))
-            .when((status == COMPLETED) & completed.isNotNull(),
-                  F.when(completed <= deadline, F.lit(COMPLETED_ON_TIME)).otherwise(F.lit(COMPLETED_LATE))))
+    return (F.when(F.col("deadline").isNull(), F.lit(None).cast("string"))
+            .when(is_active(), F.when(now > F.col("deadline"), F.lit(MISSED)).otherwise(F.lit(ON_TRACK)))
+            .when((F.col("status") == COMPLETED) & F.col("completed_at").isNotNull(),
+                  F.when(F.col("completed_at") <= F.col("deadline"), F.lit(COMPLETED_ON_TIME)).otherwise(F.lit(COMPLETED_LATE))))
 
 
 def outcome(as_of) -> Column:
     """Tag-analytics outcome; never null."""
     now = instant(as_of)
-    return (F.when(is_active() & deadline.isNotNull() & (deadline < now), F.lit(OVERDUE))
+    return (F.when(is_active() & F.col("deadline").isNotNull() & (F.col("deadline") < now), F.lit(OVERDUE))
             .when(is_active(), F.lit(ON_TRACK))
-            .when(status == FAILED, F.lit(FAILED))
-            .when(deadline.isNotNull() & (completed > deadline), F.lit(COMPLETED_LATE))
+            .when(F.col("status") == FAILED, F.lit(FAILED))
+            .when(F.col("deadline").isNotNull() & (F.col("completed_at") > F.col("deadline")), F.lit(COMPLETED_LATE))
             .otherwise(F.lit(COMPLETED_ON_TIME)))
 
 
@@ -60,31 +64,31 @@ def is_problem(outcome_col: Column) -> Column:
 
 def duration_s(as_of) -> Column:
     """Whole-second live duration: floor(end) - floor(start), end defaulting to as_of."""
-    end = F.coalesce(completed, instant(as_of))
-    return F.when(started.isNotNull(), F.unix_seconds(end) - F.unix_seconds(started))
+    end = F.coalesce(F.col("completed_at"), instant(as_of))
+    return F.when(F.col("started_at").isNotNull(), F.unix_seconds(end) - F.unix_seconds(F.col("started_at")))
 
 
 def completed_duration() -> Column:
     """Fractional seconds start→completion, only for COMPLETED runs."""
-    return F.when((status == COMPLETED) & started.isNotNull() & completed.isNotNull(),
-                  (F.unix_micros(completed) - F.unix_micros(started)) / F.lit(1e6))
+    return F.when((F.col("status") == COMPLETED) & F.col("started_at").isNotNull() & F.col("completed_at").isNotNull(),
+                  (F.unix_micros(F.col("completed_at")) - F.unix_micros(F.col("started_at"))) / F.lit(1e6))
 
 
 def duration_ms_truncated() -> Column:
     """Milliseconds start→completion truncated, as a timer records it."""
-    return F.floor((F.unix_micros(completed) - F.unix_micros(started)) / F.lit(1000)).cast("long")
+    return F.floor((F.unix_micros(F.col("completed_at")) - F.unix_micros(F.col("started_at"))) / F.lit(1000)).cast("long")
 
 
 def is_overdue(as_of) -> Column:
-    return F.coalesce(is_active() & deadline.isNotNull() & (instant(as_of) > deadline), F.lit(False))
+    return F.coalesce(is_active() & F.col("deadline").isNotNull() & (instant(as_of) > F.col("deadline")), F.lit(False))
 
 
 def seconds_remaining(as_of) -> Column:
-    return F.unix_seconds(deadline) - F.unix_seconds(instant(as_of))
+    return F.unix_seconds(F.col("deadline")) - F.unix_seconds(instant(as_of))
 
 
 def hours_remaining(as_of) -> Column:
-    return (F.unix_micros(deadline) - F.unix_micros(instant(as_of))) / F.lit(3.6e9)
+    return (F.unix_micros(F.col("deadline")) - F.unix_micros(instant(as_of))) / F.lit(3.6e9)
 
 
 def round1(col) -> Column:
@@ -103,7 +107,7 @@ def budget_used(as_of) -> Column:
     """Deadline budget used in percent on whole seconds:
     ``min(120, max(0, end − start) / (deadline − start) · 100)``, end defaulting
     to as_of; null without a deadline or with a zero budget."""
-    end = F.unix_seconds(F.coalesce(completed, instant(as_of)))
-    st, dl = F.unix_seconds(started), F.unix_seconds(deadline)
+    end = F.unix_seconds(F.coalesce(F.col("completed_at"), instant(as_of)))
+    st, dl = F.unix_seconds(F.col("started_at")), F.unix_seconds(F.col("deadline"))
     pct = F.try_divide(F.greatest(F.lit(0), end - st).cast("double"), (dl - st).cast("double")) * F.lit(100.0)
-    return F.when(deadline.isNotNull() & (dl != st), F.least(F.lit(120.0), pct))
+    return F.when(F.col("deadline").isNotNull() & (dl != st), F.least(F.lit(120.0), pct))

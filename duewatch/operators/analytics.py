@@ -76,8 +76,9 @@ def tag_totals(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name:
     return _finish_stats(agg)
 
 
-TAG_IMPACT_ORDER = [F.col("problems").desc(), F.col("total").desc(),
-                    F.col("tag_key").asc_nulls_last(), F.col("tag_value").asc_nulls_last()]
+def tag_impact_order() -> list[Column]:
+    return [F.col("problems").desc(), F.col("total").desc(),
+            F.col("tag_key").asc_nulls_last(), F.col("tag_value").asc_nulls_last()]
 
 
 def explode_tags(runs: DataFrame, *keep: str) -> DataFrame:
@@ -108,7 +109,7 @@ def tag_rollup(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name:
 def tag_impact(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name: str | None = None,
                cap: int = MAX_TAG_ROWS, approx: bool = False) -> DataFrame:
     """Per-tag outcome breakdown, most problematic first, top ``cap``."""
-    return top_k(tag_rollup(runs, as_of, clamp_window(hours), name, approx), TAG_IMPACT_ORDER, cap)
+    return top_k(tag_rollup(runs, as_of, clamp_window(hours), name, approx), tag_impact_order(), cap)
 
 
 def summary(runs: DataFrame, as_of) -> DataFrame:
@@ -133,7 +134,8 @@ def summary(runs: DataFrame, as_of) -> DataFrame:
     )
 
 
-NAME_ROLLUP_ORDER = [F.col("total").desc(), F.col("name").asc()]
+def name_rollup_order() -> list[Column]:
+    return [F.col("total").desc(), F.col("name").asc()]
 
 
 def name_rollup_all(runs: DataFrame, as_of) -> DataFrame:
@@ -154,7 +156,7 @@ def name_rollup_all(runs: DataFrame, as_of) -> DataFrame:
 
 def name_rollups(runs: DataFrame, as_of, limit: int = 20, offset: int = 0) -> DataFrame:
     """Per-name rollup, busiest first, one page."""
-    return top_k(name_rollup_all(runs, as_of), NAME_ROLLUP_ORDER, limit, offset)
+    return top_k(name_rollup_all(runs, as_of), name_rollup_order(), limit, offset)
 
 
 def distinct_names(runs: DataFrame) -> DataFrame:
@@ -249,9 +251,9 @@ def latency_by_tag(impact: DataFrame, totals: DataFrame) -> DataFrame:
 def impacted_tags(impact: DataFrame, n: int = 8) -> DataFrame:
     """Share of the worst tag: max(4, round(problems / max_problems · 100)), top n with problems."""
     with_problems = impact.filter(F.col("problems") > 0)
-    ranked = top_k(with_problems, TAG_IMPACT_ORDER, n, pos=False)
+    ranked = top_k(with_problems, tag_impact_order(), n, pos=False)
     worst = F.max("problems").over(Window.partitionBy())
     return ranked.select(
         "tag_key", "tag_value", "problems", "total",
         F.greatest(F.lit(4), C.round_int(F.col("problems") / worst * 100)).alias("share"),
-    ).withColumn("pos", F.row_number().over(Window.orderBy(*TAG_IMPACT_ORDER)).cast("long"))
+    ).withColumn("pos", F.row_number().over(Window.orderBy(*tag_impact_order())).cast("long"))
