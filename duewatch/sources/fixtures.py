@@ -160,7 +160,7 @@ def derive_create_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when((et == "view") & (uid % 2 == 1), F.lit(" ")).otherwise(et)
     pid = F.when(et == "click", F.concat(F.lit("u"), uid.cast("string"))) \
            .otherwise(F.concat(F.lit("user-"), uid.cast("string")))
-    deadline_s = F.unix_seconds(F.col("ts").cast("timestamp")) + ((val * 60).cast("long") - 600)
+    deadline_s = F.unix_seconds(F.col("ts").cast("timestamp")) + (F.floor(val * 60).cast("long") - 600)
     tag = F.concat(F.lit('{"key":"k","value":"'), k, F.lit('"}'))
     tags = F.when(et == "error", F.concat(F.lit('[{"key":"k","value":" "},'), tag, F.lit("]"))) \
             .otherwise(F.concat(F.lit("["), tag, F.lit("]")))
