@@ -97,6 +97,13 @@ def round1(col) -> Column:
     return F.floor(c * F.lit(10.0) + F.lit(0.5)) / F.lit(10.0)
 
 
+def round1_tolerant(col) -> Column:
+    """Half-up to one decimal, treating values within 1e-8 below a tie as the
+    tie. For interpolated statistics whose last bits depend on the formula."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.floor(c * F.lit(10.0) + F.lit(0.5 + 1e-7)) / F.lit(10.0)
+
+
 def round_int(col) -> Column:
     """Java/JS ``Math.round`` to a whole number (ties toward +inf)."""
     c = F.col(col) if isinstance(col, str) else col

@@ -130,7 +130,7 @@ def request_alerts(requests: DataFrame, window: str = "5 minutes", slide: str =
         F.percentile(F.col("duration_ms"), 0.95).alias("_p95"))
     return agg.select(
         F.unix_seconds("w.start").alias("window_start"), "requests", "errors",
-        C.round1("_p95").alias("p95_ms"),
+        C.round1_tolerant("_p95").alias("p95_ms"),
         C.round1(F.col("errors") / F.col("requests") * 100).alias("error_pct"),
         (F.col("_p95") > p95_ms).alias("latency_alert"),
         (F.col("errors") / F.col("requests") > error_ratio).alias("error_alert"))

@@ -68,13 +68,23 @@ def duplicate_active(runs: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("active_runs")).filter(F.col("active_runs") > 1))
 
 
-def sustained(samples: DataFrame, key: list[str], ts: str, cond: Column, hold_seconds: int) -> DataFrame:
+def sustained(samples: DataFrame, key: list[str], ts: str, cond: Column, hold_seconds: int,
+              max_gap_seconds: int | None = None) -> DataFrame:
     """Alert episodes: maximal runs of consecutive samples (per ``key``, in
     ``ts`` order) where ``cond`` holds, reported when they span at least
-    ``hold_seconds`` (first to last sample)."""
+    ``hold_seconds`` (first to last sample). A gap of more than
+    ``max_gap_seconds`` between samples (no data) also ends an episode.
+
+    Samples are one per key per evaluation step, so a key's partition grows
+    with the covered time span, not with the data volume."""
     w = Window.partitionBy(*key).orderBy(ts)
     s = samples.withColumn("_on", F.coalesce(cond, F.lit(False)))
-    s = s.withColumn("_grp", F.sum((~F.col("_on")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    brk = ~F.col("_on")
+    if max_gap_seconds is not None:
+        gap = F.unix_seconds(F.col(ts)) - F.unix_seconds(F.lag(ts).over(w))
+        brk = brk | F.coalesce(gap > max_gap_seconds, F.lit(False))
+    s = s.withColumn("_brk", brk)
+    s = s.withColumn("_grp", F.sum(F.col("_brk").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     on = s.filter("_on")
     ep = on.groupBy(*key, "_grp").agg(F.min(ts).alias("since"), F.max(ts).alias("until"),
                                       F.count(F.lit(1)).alias("samples"))

@@ -64,6 +64,10 @@ def round1(expr: str) -> str:
     return f"(floor(({expr}) * 10.0 + 0.5) / 10.0)"
 
 
+def round1_tolerant(expr: str) -> str:
+    return f"(floor(({expr}) * 10.0 + 0.5 + 1e-7) / 10.0)"
+
+
 def round_int(expr: str) -> str:
     return f"CAST(floor(({expr}) + 0.5) AS BIGINT)"
 
