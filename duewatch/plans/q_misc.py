@@ -1 +1,30 @@
-"""Queries (see catalog)."""
+"""Catalogue: the batch twin of the streaming deadline events."""
+
+from __future__ import annotations
+
+from duewatch.operators.scans import MISSED_EVENT, WARNING_EVENT
+from duewatch.plans import oracle as O
+from duewatch.plans.catalog import Tables, register
+from duewatch.plans.q_lifecycle import CMDS_VIEW, FOLD_CHUNK
+from duewatch.streaming.deadlines import deadline_events_batch
+
+
+_SQL = f"""
+SELECT name, process_id, run_seq, ev.event AS event, ev.fire AS fire_at_ms FROM (
+  SELECT name, process_id, seq AS run_seq, end_ms,
+         unnest([{{'event': '{WARNING_EVENT}', 'fire': warn_ms}}, {{'event': '{MISSED_EVENT}', 'fire': dl_ms}}]) AS ev
+  FROM (
+    SELECT *, CASE WHEN dl_ms > st_ms THEN st_ms + CAST(floor((dl_ms - st_ms) * CAST(0.75 AS DOUBLE)) AS BIGINT) END AS warn_ms
+    FROM (
+      SELECT *, CAST(floor(ts_us / 1000.0) AS BIGINT) AS st_ms, CAST(floor(deadline_us / 1000.0) AS BIGINT) AS dl_ms,
+             lead(CAST(floor(ts_us / 1000.0) AS BIGINT)) OVER (PARTITION BY name, process_id, lvl ORDER BY seq) AS end_ms
+      FROM (SELECT *, CASE WHEN kind = 'create' THEN rows_after ELSE rows_before END AS lvl
+            FROM decisions WHERE reason IS NULL) a
+    ) b WHERE kind = 'create' AND deadline_us IS NOT NULL
+  ) c
+) d WHERE ev.fire IS NOT NULL AND (end_ms IS NULL OR end_ms > ev.fire)"""
+
+
+@register("stream_deadline_events", O.with_views(_SQL, CMDS_VIEW))
+def stream_deadline_events_q(t: Tables):
+    return deadline_events_batch(t.commands, 0.75, FOLD_CHUNK)

@@ -5,7 +5,10 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+# Python workers (streaming state processors, foreachBatch) import the package too.
+os.environ["PYTHONPATH"] = os.pathsep.join(p for p in [ROOT, os.environ.get("PYTHONPATH", "")] if p)
 
 T0 = datetime(2024, 6, 1, 12, 0, 0, tzinfo=timezone.utc)
 
