@@ -55,6 +55,8 @@ def main() -> None:
             job(Tables(spark, sf_dir, stored_runs=stored)).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - t)
         results[name] = round(statistics.median(times), 4)
+        if os.environ.get("BENCH_VERBOSE"):
+            print(name, [round(x, 3) for x in times], file=sys.stderr)
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     out = {"metric": "sum_of_median_query_seconds", "value": round(sum(results.values()), 4), "unit": "sec",
            "queries": results, "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,

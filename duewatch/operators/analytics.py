@@ -27,12 +27,18 @@ def clamp_window(hours: int | None) -> int:
 
 def scope(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name: str | None = None) -> DataFrame:
     """Runs an analytics window looks at: every ACTIVE run, plus finished runs
-    whose completion is within the last ``hours`` (bound inclusive)."""
+    whose completion is within the last ``hours`` (bound inclusive).
+
+    Written as two disjoint branches (ACTIVE / not ACTIVE) joined by UNION
+    ALL rather than one OR, so each branch's predicate reaches the scan: the
+    ACTIVE branch prunes to the ACTIVE status partition, the finished branch
+    pushes ``completed_at >= since`` into Parquet row-group statistics."""
     since = minus_hours(as_of, hours)
-    cond = C.is_active() | (C.completed.isNotNull() & (C.completed >= since))
-    if name is not None:
-        cond = cond & (F.col("name") == F.lit(name))
-    return runs.filter(cond)
+    by_name = F.lit(True) if name is None else (F.col("name") == F.lit(name))
+    active = runs.filter(C.is_active() & by_name)
+    finished = runs.filter((F.col("status") != C.ACTIVE) & C.completed.isNotNull()
+                           & (C.completed >= since) & by_name)
+    return active.unionByName(finished)
 
 
 def duration_stats(d: Column, approx: bool = False) -> list[Column]:

@@ -15,7 +15,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from duewatch.functions import columns as C
-from duewatch.functions.jsoncols import has_tag
+from duewatch.functions.jsoncols import has_tag, parse_tags_or_null
 from duewatch.functions.time import instant, minus_hours
 from duewatch.operators.ordering import top_k
 
@@ -35,8 +35,16 @@ def by_status(v: str) -> Column:
 
 
 def has_tags(pairs: dict[str, str]) -> Column:
-    """Every pair must sit in one tag element; null/non-array tags never match."""
-    return reduce(and_, [has_tag(k, v) for k, v in pairs.items()])
+    """Every pair must sit in one tag element; null/non-array tags never match.
+
+    The JSON is parsed once per row; each wanted pair is then looked up in it."""
+    if len(pairs) == 1:
+        (k, v), = pairs.items()
+        return has_tag(k, v)
+    wanted = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in pairs.items()])
+    parsed = parse_tags_or_null("tags")
+    return F.coalesce(F.forall(wanted, lambda p: F.exists(
+        parsed, lambda t: (t["key"] == p["key"]) & (t["value"] == p["value"]))), F.lit(False))
 
 
 def deadline_before(epoch_s: int) -> Column:

@@ -116,37 +116,55 @@ def error_code(reason: Column) -> Column:
 def decide(cmds: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Accept or reject each command. ``cmds``: seq, ts, name, process_id,
     kind, status, deadline (already validated). Adds ``active_before``,
-    ``rows_before``, ``rows_after``, ``accepted``, ``reason``, ``code``."""
+    ``rows_before``, ``rows_after``, ``accepted``, ``reason``, ``code``.
+
+    One shuffle on (key, seq chunk) computes everything local to a chunk;
+    only the first row of a chunk depends on earlier chunks, through the
+    previous chunk's last kind. Per-chunk summaries (one row per chunk) are
+    stitched per key — a small frame — and joined back on the same keys, so
+    the command rows are shuffled once."""
     unb = Window.unboundedPreceding
-    c = cmds.withColumn("_chunk", F.floor(F.col("seq") / F.lit(chunk)).cast("long"))
     kc = KEY + ["_chunk"]
     wc = Window.partitionBy(*kc).orderBy("seq")
-    wk = Window.partitionBy(*KEY).orderBy("_chunk")
+    run = wc.rowsBetween(unb, 0)
+    kind = F.col("kind")
 
-    # Last kind of the previous chunk carries "active" across the boundary.
-    ends = c.groupBy(*kc).agg(F.max_by("kind", "seq").alias("_last"))
-    ends = ends.withColumn("_prev_kind", F.lag("_last").over(wk)).drop("_last")
-    c = c.join(ends, kc)
-    prev_kind = F.coalesce(F.lag("kind").over(wc), F.col("_prev_kind"))
-    c = c.withColumn("_active", F.coalesce(prev_kind == CREATE, F.lit(False)))
-    c = c.withColumn("_x", F.when((F.col("kind") == CREATE) & ~F.col("_active"), 1)
-                          .when(F.col("kind") == DELETE, -1).otherwise(0))
-    c = c.withColumn("_lcum", F.sum("_x").over(wc.rowsBetween(unb, 0)))
-    c = c.withColumn("_lmin", F.min("_lcum").over(wc.rowsBetween(unb, 0)))
-
-    # Chunk offsets: sum of earlier chunks and the lowest cum reached before.
-    sums = c.groupBy(*kc).agg(F.sum("_x").alias("_tot"), F.min("_lcum").alias("_cmin"))
-    sums = sums.withColumn("_off", F.coalesce(F.sum("_tot").over(wk.rowsBetween(unb, -1)), F.lit(0)))
-    sums = sums.withColumn("_pmin", F.min(F.col("_off") + F.col("_cmin")).over(wk.rowsBetween(unb, -1)))
-    c = c.join(sums.select(*kc, "_off", "_pmin"), kc)
-
-    cum = F.col("_off") + F.col("_lcum")
-    run_min = F.least(F.col("_pmin"), F.col("_off") + F.col("_lmin"))
-    c = c.withColumn("rows_after", (cum - F.least(F.lit(0), run_min)).cast("long"))
-    carry_in = F.col("_off") - F.least(F.lit(0), F.coalesce(F.col("_pmin"), F.lit(0)))
-    c = c.withColumn("rows_before", F.coalesce(F.lag("rows_after").over(wc), carry_in).cast("long"))
-
-    kind, active, before = F.col("kind"), F.col("_active"), F.col("rows_before")
+    def step(k: Column, active: Column) -> Column:
+        return F.when((k == CREATE) & ~active, 1).when(k == DELETE, -1).otherwise(0)
+
+    c = cmds.withColumn("_chunk", F.floor(F.col("seq") / F.lit(chunk)).cast("long"))
+    c = c.withColumn("_lagk", F.lag("kind").over(wc))
+    first = F.col("_lagk").isNull()
+    # Steps of rows 2.. of a chunk are local; row 1's step waits for the carry.
+    c = c.withColumn("_xr", F.when(first, F.lit(0)).otherwise(step(kind, F.col("_lagk") == CREATE)))
+    c = c.withColumn("_r", F.sum("_xr").over(run))
+    c = c.withColumn("_rmin", F.min("_r").over(run))
+    c = c.withColumn("_r_prev", F.lag("_r").over(wc)).withColumn("_rmin_prev", F.lag("_rmin").over(wc))
+
+    s = c.groupBy(*kc).agg(F.min_by("kind", "seq").alias("_first"), F.max_by("kind", "seq").alias("_last"),
+                           F.sum("_xr").alias("_R"), F.min("_r").alias("_minr"))
+    wk = Window.partitionBy(*KEY).orderBy("_chunk")
+    s = s.withColumn("_carry", F.coalesce(F.lag("_last").over(wk) == CREATE, F.lit(False)))
+    s = s.withColumn("_x1", step(F.col("_first"), F.col("_carry")))
+    s = s.withColumn("_tot", F.col("_x1") + F.col("_R")).withColumn("_cmin", F.col("_x1") + F.col("_minr"))
+    s = s.withColumn("_off", F.coalesce(F.sum("_tot").over(wk.rowsBetween(unb, -1)), F.lit(0)))
+    s = s.withColumn("_pmin", F.min(F.col("_off") + F.col("_cmin")).over(wk.rowsBetween(unb, -1)))
+    c = c.join(s.select(*kc, "_carry", "_x1", "_off", "_pmin"), kc)
+
+    off, x1, pmin = F.col("_off"), F.col("_x1"), F.col("_pmin")
+
+    def after(r: Column, rmin: Column) -> Column:
+        cum = off + x1 + r
+        return cum - F.least(F.lit(0), F.least(pmin, off + x1 + rmin))
+
+    carry_in = off - F.least(F.lit(0), F.coalesce(pmin, F.lit(0)))
+    active = F.when(first, F.col("_carry")).otherwise(F.col("_lagk") == CREATE)
+    rows_after = after(F.col("_r"), F.col("_rmin")).cast("long")
+    rows_before = F.when(first, carry_in).otherwise(after(F.col("_r_prev"), F.col("_rmin_prev"))).cast("long")
+    c = c.select(*cmds.columns, active.alias("active_before"), rows_before.alias("rows_before"),
+                 rows_after.alias("rows_after"))
+
+    active, before = F.col("active_before"), F.col("rows_before")
     reason = (F.when((kind == CREATE) & active, F.lit("already_exists"))
               .when((kind == COMPLETE) & ~active & (before == 0), F.lit("not_found"))
               .when((kind == COMPLETE) & ~active, F.lit("already_completed"))
@@ -154,8 +172,8 @@ def decide(cmds: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     code = (F.when(reason.isNotNull(), error_code(reason))
             .when(kind == CREATE, F.lit(CODE_CREATED)).when(kind == COMPLETE, F.lit(CODE_OK))
             .otherwise(F.lit(CODE_DELETED)))
-    return c.select(*[x for x in cmds.columns], F.col("_active").alias("active_before"), "rows_before",
-                    "rows_after", reason.isNull().alias("accepted"), reason.alias("reason"), code.alias("code"))
+    return c.select(*cmds.columns, "active_before", "rows_before", "rows_after",
+                    reason.isNull().alias("accepted"), reason.alias("reason"), code.alias("code"))
 
 
 def fold(decisions: DataFrame) -> DataFrame:

@@ -133,13 +133,27 @@ def stream_deadlines(cmds: DataFrame, threshold: float = 0.75, watermark: str =
 def deadline_events_batch(cmds: DataFrame, threshold: float = 0.75, chunk: int = 1 << 20) -> DataFrame:
     """Batch twin: every accepted create fires its warning and miss unless the
     command that ends it (the next accepted complete or delete at the same
-    stored level) comes at or before the fire time."""
+    stored level) comes at or before the fire time.
+
+    "Next event at the same (key, level)" is found per seq chunk with
+    ``lead``; the last event of a chunk looks up the first event of the next
+    chunk holding that level through a per-chunk summary, so a busy key that
+    keeps reusing one level is still spread over many tasks."""
     d = decide(cmds, chunk).filter("accepted")
     level = F.when(F.col("kind") == CREATE, F.col("rows_after")).otherwise(F.col("rows_before"))
-    w = Window.partitionBy("name", "process_id", "_level").orderBy("seq")
-    ev = d.withColumn("_level", level).withColumn("_end_ms", F.lead(F.unix_millis("ts")).over(w))
+    ev = (d.withColumn("_level", level)
+           .withColumn("_chunk", F.floor(F.col("seq") / F.lit(chunk)).cast("long"))
+           .withColumn("_ms", F.unix_millis("ts")))
+    grp = ["name", "process_id", "_level"]
+    w = Window.partitionBy(*grp, "_chunk").orderBy("seq")
+    ev = ev.withColumn("_next_in_chunk", F.lead("_ms").over(w))
+    firsts = ev.groupBy(*grp, "_chunk").agg(F.min_by("_ms", "seq").alias("_first_ms"))
+    firsts = firsts.withColumn("_next_chunk_first",
+                               F.lead("_first_ms").over(Window.partitionBy(*grp).orderBy("_chunk")))
+    ev = ev.join(firsts.select(*grp, "_chunk", "_next_chunk_first"), grp + ["_chunk"])
+    ev = ev.withColumn("_end_ms", F.coalesce(F.col("_next_in_chunk"), F.col("_next_chunk_first")))
     runs = ev.filter((F.col("kind") == CREATE) & F.col("deadline").isNotNull())
-    st, dl = F.unix_millis("ts"), F.unix_millis("deadline")
+    st, dl = F.col("_ms"), F.unix_millis("deadline")
     warn = F.when(F.lit(0 < threshold < 1) & (dl > st),
                   st + F.floor((dl - st).cast("double") * F.lit(float(threshold))).cast("long"))
     fires = runs.select("name", "process_id", F.col("seq").alias("run_seq"), "_end_ms",

@@ -104,3 +104,53 @@ def test_validation_first_rule_wins(spark):
                    "deadline_in_past", "too_many_tags", "tag_value_blank", None]
     edge = [r.r for r in df.select(LC.validate_edge(df).alias("r")).collect()]
     assert edge[0] == "name_required" and edge[2] == "id_required" and edge[4] is None
+
+
+def brute_deadline_events(cmds, thr=0.75):
+    """Replay: each accepted create fires warning/miss unless the run ends first."""
+    decisions, _ = replay(cmds)
+    by_key = {}
+    for c in sorted(cmds):
+        by_key.setdefault((c[2], c[3]), []).append(c)
+    out = set()
+    for (name, pid), cs in by_key.items():
+        rows = []  # stack of [seq, start, deadline, end]
+        for seq, ts, _, _, kind, status, dl in cs:
+            if decisions[seq] is not None:
+                continue
+            if kind == "create":
+                rows.append([seq, ts, dl, None])
+            elif kind == "complete":
+                rows[-1][3] = ts
+            else:
+                r = rows.pop()
+                if r[3] is None:
+                    r[3] = ts
+                _emit(out, name, pid, r, thr)
+        for r in rows:
+            _emit(out, name, pid, r, thr)
+    return out
+
+
+def _emit(out, name, pid, r, thr):
+    seq, st, dl, end = r
+    if dl is None:
+        return
+    ms = lambda x: int((x - datetime(1970, 1, 1)).total_seconds() * 1000)
+    s_ms, d_ms = ms(st), ms(dl)
+    e_ms = None if end is None else ms(end)
+    fires = [("process.deadline_missed", d_ms)]
+    if d_ms > s_ms:
+        fires.append(("process.deadline_warning", s_ms + int((d_ms - s_ms) * thr)))
+    for ev, at in fires:
+        if e_ms is None or e_ms > at:
+            out.add((name, pid, seq, ev, at))
+
+
+@pytest.mark.parametrize("chunk", [3, 50, 1 << 20])
+def test_deadline_events_batch_matches_replay(spark, chunk):
+    from duewatch.streaming.deadlines import deadline_events_batch
+    cmds = random_commands(500, 4, seed=100 + chunk)
+    df = spark.createDataFrame(cmds, CMD_SCHEMA)
+    got = {tuple(r) for r in deadline_events_batch(df, 0.75, chunk).collect()}
+    assert got == brute_deadline_events(cmds)
