@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from duewatch.functions.time import instant
 
 CREATE, COMPLETE, DELETE = "create", "complete", "delete"
 DEFAULT_CHUNK = 1 << 20

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from duewatch.functions.time import instant, minus_hours
+from duewatch.functions.time import minus_hours
 from duewatch.operators import analytics as A
 from duewatch.operators import metrics as M
 from duewatch.operators import rules as R
