@@ -47,3 +47,18 @@ def test_upgrade_adds_missing_columns(spark):
 def test_sort_multi_columns(spark):
     cols = sort_multi("status:asc, bogus:desc, deadline:desc", "2024-01-01T00:00:00Z")
     assert len(cols) == 3  # status, deadline, id tiebreak
+
+
+def test_outbox_write_is_idempotent(spark, scratch):
+    from duewatch.operators import scans as S
+    from duewatch.sources.outbox import read_outbox, write_outbox
+    from tests.conftest import T0, make_runs
+    runs = make_runs(spark, [dict(process_id="late", status="ACTIVE", started=-3600, deadline=-60),
+                             dict(process_id="soon", status="ACTIVE", started=-900, deadline=100)])
+    events = S.deadline_events(runs, T0)
+    path = f"{scratch}/outbox"
+    write_outbox(events, path, T0)
+    write_outbox(events, path, T0)  # a replayed batch
+    out = read_outbox(spark, path)
+    assert out.count() == 2 == spark.read.parquet(path).count()
+    assert {r.event for r in out.collect()} == {S.MISSED_EVENT, S.WARNING_EVENT}
