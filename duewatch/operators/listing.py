@@ -91,6 +91,18 @@ def run_response(runs: DataFrame, as_of) -> DataFrame:
     )
 
 
+def normalize(resp: DataFrame) -> DataFrame:
+    """Fill omitted response fields with defaults: tags → [], context → {}
+    (typed), leaving every other field as is."""
+    from duewatch.functions.jsoncols import CONTEXT, TAGS
+    out = resp
+    if "tags" in resp.columns:
+        out = out.withColumn("tags", F.coalesce(F.col("tags"), F.array().cast(TAGS)))
+    if "context" in resp.columns:
+        out = out.withColumn("context", F.coalesce(F.col("context"), F.create_map().cast(CONTEXT)))
+    return out
+
+
 def page(df: DataFrame, order: list[Column], limit: int | None, offset: int | None) -> DataFrame:
     lim, off = clamp_page(limit, offset)
     return top_k(df, order, lim, off)

@@ -62,3 +62,14 @@ def test_outbox_write_is_idempotent(spark, scratch):
     out = read_outbox(spark, path)
     assert out.count() == 2 == spark.read.parquet(path).count()
     assert {r.event for r in out.collect()} == {S.MISSED_EVENT, S.WARNING_EVENT}
+
+
+def test_normalize_fills_defaults(spark):
+    from duewatch.functions.jsoncols import CONTEXT, TAGS
+    from duewatch.operators.listing import normalize
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("tags", TAGS),
+                           T.StructField("context", CONTEXT)])
+    df = spark.createDataFrame([("a", None, None), ("b", [("k", "v")], {"x": "1"})], schema)
+    rows = {r.id: (r.tags, r.context) for r in normalize(df).collect()}
+    assert rows["a"] == ([], {}) and rows["b"][1] == {"x": "1"}
