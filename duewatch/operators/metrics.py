@@ -87,36 +87,36 @@ def overdue_gauge(prev: DataFrame, cur: DataFrame, cap: int = MAX_GAUGE_SERIES)
     return out.filter(keep).drop("_series")
 
 
+# Exported metric name per counter column.
+LIFECYCLE_METRICS = {"created": "processes_created_total", "completed": "processes_completed_total",
+                     "failed": "processes_failed_total", "on_time": "processes_completed_on_time_total",
+                     "late": "processes_completed_late_total"}
+EVENT_METRICS = {"missed_events": "deadline_missed_total", "warning_events": "deadline_warning_total"}
+BACKLOG_LABELS = {"missed_backlog": "type=missed", "warning_backlog": "type=warning"}
+
+
+def _long_form(df: DataFrame, id_cols: list[str], names: dict[str, str]) -> DataFrame:
+    """One pass over an aggregate: unpivot its counter columns to (col, value)."""
+    long = df.unpivot(id_cols, list(names), "_col", "value")
+    lookup = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
+    return long.withColumn("_mapped", lookup[F.col("_col")]).withColumn("value", F.col("value").cast("double"))
+
+
 def metrics_snapshot(runs: DataFrame, events: DataFrame, as_of, threshold: float = 0.75) -> DataFrame:
     """Long-form metrics (metric, labels, value): lifecycle counters, event
-    counters and backlog gauges. ``labels`` is ``k=v`` pairs joined by ``,``."""
+    counters, the overdue gauge and backlog gauges. ``labels`` is ``k=v``
+    pairs joined by ``,``. Each source is aggregated once and unpivoted."""
     from duewatch.operators.analytics import backlog, overdue_by_name
-    lc = lifecycle_counters(runs)
-    parts = []
-    for col, metric in [("created", "processes_created_total"), ("completed", "processes_completed_total"),
-                        ("failed", "processes_failed_total"), ("on_time", "processes_completed_on_time_total"),
-                        ("late", "processes_completed_late_total")]:
-        parts.append(lc.select(F.lit(metric).alias("metric"),
-                               F.concat(F.lit("process_name="), F.col("name")).alias("labels"),
-                               F.col(col).cast("double").alias("value")))
-    ev = event_counters(events)
-    for col, metric in [("missed_events", "deadline_missed_total"), ("warning_events", "deadline_warning_total")]:
-        parts.append(ev.select(F.lit(metric).alias("metric"),
-                               F.concat(F.lit("process_name="), F.col("name")).alias("labels"),
-                               F.col(col).cast("double").alias("value")))
-    ob = overdue_by_name(runs, as_of, MAX_GAUGE_SERIES)
-    parts.append(ob.select(F.lit("processes_overdue_current").alias("metric"),
-                           F.concat(F.lit("process_name="), F.col("name")).alias("labels"),
-                           F.col("overdue").cast("double").alias("value")))
-    bl = backlog(runs, as_of, threshold)
-    parts.append(bl.select(F.lit("notification_backlog").alias("metric"), F.lit("type=missed").alias("labels"),
-                           F.col("missed_backlog").cast("double").alias("value")))
-    parts.append(bl.select(F.lit("notification_backlog").alias("metric"), F.lit("type=warning").alias("labels"),
-                           F.col("warning_backlog").cast("double").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    by_name = F.concat(F.lit("process_name="), F.col("name"))
+    lc = _long_form(lifecycle_counters(runs), ["name"], LIFECYCLE_METRICS)
+    ev = _long_form(event_counters(events), ["name"], EVENT_METRICS)
+    named = lc.unionByName(ev).select(F.col("_mapped").alias("metric"), by_name.alias("labels"), "value")
+    gauge = overdue_by_name(runs, as_of, MAX_GAUGE_SERIES).select(
+        F.lit("processes_overdue_current").alias("metric"), by_name.alias("labels"),
+        F.col("overdue").cast("double").alias("value"))
+    bl = _long_form(backlog(runs, as_of, threshold), [], BACKLOG_LABELS).select(
+        F.lit("notification_backlog").alias("metric"), F.col("_mapped").alias("labels"), "value")
+    return named.unionByName(gauge).unionByName(bl)
 
 
 def request_alerts(requests: DataFrame, window: str = "5 minutes", slide: str = "1 minute",
