@@ -4,9 +4,8 @@ A rule has an event type, a threshold (percent of the deadline budget or a
 duration in seconds), optional targets (process names, or tags that must all
 match; any target matching is enough; no targets means every run) and
 channels. Each run qualifies for at most one event type at ``as_of``, so rules
-join runs on that type — an equi-join Spark can broadcast (rules are a small
-configuration table, broadcast only under the size threshold) or shuffle —
-and the threshold and targets are then checked per pair.
+join runs on that type — broadcast after a size check, salted beyond it (see
+:func:`_join_rules`) — and the threshold and targets are then checked per pair.
 """
 
 from __future__ import annotations
@@ -50,13 +49,31 @@ def run_event_type(as_of):
             .when(F.col("status") == C.COMPLETED, F.lit(COMPLETED_EVENT)))
 
 
-def match_rules(runs: DataFrame, rules: DataFrame, as_of) -> DataFrame:
+MAX_BROADCAST_RULES = 100_000
+JOIN_SALTS = 64
+
+
+def _join_rules(runs: DataFrame, rules: DataFrame, max_broadcast: int, salts: int) -> DataFrame:
+    """Join runs to rules on event type. There are only three event types, so
+    a shuffle join on it alone would put every run of a type in one task.
+    Rules are a configuration table: after a size check (a count, cheap on a
+    small table) they are broadcast; beyond the bound, runs are salted over
+    ``salts`` buckets and each rule is replicated to every bucket."""
+    if rules.count() <= max_broadcast:
+        return runs.join(F.broadcast(rules), "event_type")
+    salted_runs = runs.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    salted_rules = rules.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    return salted_runs.join(salted_rules, ["event_type", "_salt"]).drop("_salt")
+
+
+def match_rules(runs: DataFrame, rules: DataFrame, as_of, max_broadcast: int = MAX_BROADCAST_RULES,
+                salts: int = JOIN_SALTS) -> DataFrame:
     """One row per (rule, run, channel) that fires at ``as_of``."""
     now_s = F.unix_seconds(instant(as_of))
     r = runs.select("id", "name", parse_tags("tags").alias("_tags"), run_event_type(as_of).alias("event_type"),
                     F.unix_seconds("started_at").alias("_st"), F.unix_seconds("deadline").alias("_dl"),
                     F.unix_seconds("completed_at").alias("_ca")).filter(F.col("event_type").isNotNull())
-    j = r.join(rules, "event_type")
+    j = _join_rules(r, rules, max_broadcast, salts)
     budget = (F.col("_dl") - F.col("_st")).cast("double")
     v, pct = F.col("threshold_value"), F.col("threshold_type") == "percent"
     et = F.col("event_type")

@@ -73,3 +73,21 @@ def test_normalize_fills_defaults(spark):
     df = spark.createDataFrame([("a", None, None), ("b", [("k", "v")], {"x": "1"})], schema)
     rows = {r.id: (r.tags, r.context) for r in normalize(df).collect()}
     assert rows["a"] == ([], {}) and rows["b"][1] == {"x": "1"}
+
+
+def test_rule_join_salted_path_equals_broadcast(spark):
+    from duewatch.operators import rules as R
+    from tests.conftest import T0, make_runs, tags
+    runs = make_runs(spark, [
+        dict(id=1, process_id="a", name="building", status="ACTIVE", started=-3600, deadline=-10),
+        dict(id=2, process_id="b", name="machinery", status="ACTIVE", started=-3600, deadline=600,
+             tags=tags(("region", "EUROPE"))),
+        dict(id=3, process_id="c", name="x", status="COMPLETED", started=-3600, deadline=600, completed=-5,
+             tags=tags(("priority", "1-URGENT")))])
+    rules = R.fixture_rules(spark)
+    fast = {tuple(r) for r in R.match_rules(runs, rules, T0).collect()}
+    salted = {tuple(r) for r in R.match_rules(runs, rules, T0, max_broadcast=0, salts=4).collect()}
+    assert fast == salted
+    assert ("r2", 1, "deadline_breached", "pager") in fast
+    assert ("r4", 2, "deadline_approaching", "webhook") in fast
+    assert {x[3] for x in fast if x[0] == "r3"} == {"email", "slack-ops"}
