@@ -38,7 +38,11 @@ def timeseries(runs: DataFrame, start_s: int, end_s: int, period: str | None, as
     step = period_seconds(period) if period else end_s - start_s
     n_buckets = -(-(end_s - start_s) // step)
     st_s = F.unix_seconds("started_at")
-    scoped = apply_filter(runs, flt, as_of).filter((st_s >= start_s) & (st_s < end_s))
+    # Compare the column itself (not an expression of it) so the range reaches
+    # Parquet row-group statistics as a pushed filter.
+    st = F.col("started_at")
+    scoped = apply_filter(runs, flt, as_of).filter(
+        (st >= F.timestamp_seconds(F.lit(start_s))) & (st < F.timestamp_seconds(F.lit(end_s))))
     ds = C.deadline_status(as_of)
     rows = scoped.select(((st_s - F.lit(start_s)) / F.lit(step)).cast("long").alias("bucket"),
                          F.col("status"), ds.alias("ds"), C.completed_duration().alias("dur"))
