@@ -255,11 +255,13 @@ def latency_by_tag(impact: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def impacted_tags(impact: DataFrame, n: int = 8) -> DataFrame:
-    """Share of the worst tag: max(4, round(problems / max_problems · 100)), top n with problems."""
+    """Share of the worst tag: max(4, round(problems / max_problems · 100)), top n
+    with problems; tone red when the tag has overdue runs, else amber."""
     with_problems = impact.filter(F.col("problems") > 0)
     ranked = top_k(with_problems, tag_impact_order(), n, pos=False)
     worst = F.max("problems").over(Window.partitionBy())
     return ranked.select(
         "tag_key", "tag_value", "problems", "total",
         F.greatest(F.lit(4), C.round_int(F.col("problems") / worst * 100)).alias("share"),
+        F.when(F.col("overdue") > 0, F.lit("red")).otherwise(F.lit("amber")).alias("tone"),
     ).withColumn("pos", F.row_number().over(Window.orderBy(*tag_impact_order())).cast("long"))

@@ -230,6 +230,7 @@ def tag_catalogue_q(t: Tables):
 @register("impacted_tags", O.with_views(
     "SELECT tag_key, tag_value, problems, total, "
     "greatest(4, " + O.round_int("problems / max(problems) OVER () * 100") + ") AS share, "
+    "CASE WHEN overdue > 0 THEN 'red' ELSE 'amber' END AS tone, "
     f"CAST(row_number() OVER (ORDER BY {O.TAG_ORDER}) AS BIGINT) AS pos "
     f"FROM (SELECT * FROM rollup WHERE problems > 0 ORDER BY {O.TAG_ORDER} LIMIT 8) r",
     O.classified_view(720), O.EXPLODED_VIEW, O.tag_rollup_view()))
