@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from duewatch.functions.time import instant
+from duewatch.functions.time import instant, instant_sql
 
 ACTIVE, COMPLETED, FAILED = "ACTIVE", "COMPLETED", "FAILED"
 STATUSES = (ACTIVE, COMPLETED, FAILED)
@@ -34,28 +34,50 @@ def __getattr__(name: str) -> Column:
 
 
 def is_active() -> Column:
-    return F.col("status") == F.lit(ACTIVE)
+    return F.expr("status = 'ACTIVE'")
+
+
+# Column builders below are written as SQL expression text: one JVM call per
+# expression instead of one per node keeps driver-side planning cheap. When
+# ``as_of`` is a Column the text form is not possible and Column code is used.
+
+def _now(as_of) -> str | None:
+    return instant_sql(as_of)
 
 
 def deadline_status(as_of) -> Column:
     """MISSED / ON_TRACK for ACTIVE (equality is ON_TRACK); COMPLETED_ON_TIME /
     COMPLETED_LATE for COMPLETED with a completion time (equality is on time);
     null otherwise, FAILED included."""
-    now = instant(as_of)
-    return (F.when(F.col("deadline").isNull(), F.lit(None).cast("string"))
-            .when(is_active(), F.when(now > F.col("deadline"), F.lit(MISSED)).otherwise(F.lit(ON_TRACK)))
-            .when((F.col("status") == COMPLETED) & F.col("completed_at").isNotNull(),
-                  F.when(F.col("completed_at") <= F.col("deadline"), F.lit(COMPLETED_ON_TIME)).otherwise(F.lit(COMPLETED_LATE))))
+    now = _now(as_of)
+    if now is None:
+        n = instant(as_of)
+        return (F.when(F.col("deadline").isNull(), F.lit(None).cast("string"))
+                .when(is_active(), F.when(n > F.col("deadline"), F.lit(MISSED)).otherwise(F.lit(ON_TRACK)))
+                .when((F.col("status") == COMPLETED) & F.col("completed_at").isNotNull(),
+                      F.when(F.col("completed_at") <= F.col("deadline"), F.lit(COMPLETED_ON_TIME))
+                       .otherwise(F.lit(COMPLETED_LATE))))
+    return F.expr(f"""CASE WHEN deadline IS NULL THEN CAST(NULL AS STRING)
+        WHEN status = 'ACTIVE' THEN CASE WHEN {now} > deadline THEN '{MISSED}' ELSE '{ON_TRACK}' END
+        WHEN status = '{COMPLETED}' AND completed_at IS NOT NULL THEN
+             CASE WHEN completed_at <= deadline THEN '{COMPLETED_ON_TIME}' ELSE '{COMPLETED_LATE}' END END""")
 
 
 def outcome(as_of) -> Column:
     """Tag-analytics outcome; never null."""
-    now = instant(as_of)
-    return (F.when(is_active() & F.col("deadline").isNotNull() & (F.col("deadline") < now), F.lit(OVERDUE))
-            .when(is_active(), F.lit(ON_TRACK))
-            .when(F.col("status") == FAILED, F.lit(FAILED))
-            .when(F.col("deadline").isNotNull() & (F.col("completed_at") > F.col("deadline")), F.lit(COMPLETED_LATE))
-            .otherwise(F.lit(COMPLETED_ON_TIME)))
+    now = _now(as_of)
+    if now is None:
+        n = instant(as_of)
+        return (F.when(is_active() & F.col("deadline").isNotNull() & (F.col("deadline") < n), F.lit(OVERDUE))
+                .when(is_active(), F.lit(ON_TRACK))
+                .when(F.col("status") == FAILED, F.lit(FAILED))
+                .when(F.col("deadline").isNotNull() & (F.col("completed_at") > F.col("deadline")), F.lit(COMPLETED_LATE))
+                .otherwise(F.lit(COMPLETED_ON_TIME)))
+    return F.expr(f"""CASE WHEN status = 'ACTIVE' AND deadline IS NOT NULL AND deadline < {now} THEN '{OVERDUE}'
+        WHEN status = 'ACTIVE' THEN '{ON_TRACK}'
+        WHEN status = '{FAILED}' THEN '{FAILED}'
+        WHEN deadline IS NOT NULL AND completed_at > deadline THEN '{COMPLETED_LATE}'
+        ELSE '{COMPLETED_ON_TIME}' END""")
 
 
 def is_problem(outcome_col: Column) -> Column:
@@ -64,23 +86,31 @@ def is_problem(outcome_col: Column) -> Column:
 
 def duration_s(as_of) -> Column:
     """Whole-second live duration: floor(end) - floor(start), end defaulting to as_of."""
-    end = F.coalesce(F.col("completed_at"), instant(as_of))
-    return F.when(F.col("started_at").isNotNull(), F.unix_seconds(end) - F.unix_seconds(F.col("started_at")))
+    now = _now(as_of)
+    if now is None:
+        end = F.coalesce(F.col("completed_at"), instant(as_of))
+        return F.when(F.col("started_at").isNotNull(), F.unix_seconds(end) - F.unix_seconds(F.col("started_at")))
+    return F.expr(f"CASE WHEN started_at IS NOT NULL THEN "
+                  f"unix_seconds(coalesce(completed_at, {now})) - unix_seconds(started_at) END")
 
 
 def completed_duration() -> Column:
     """Fractional seconds start→completion, only for COMPLETED runs."""
-    return F.when((F.col("status") == COMPLETED) & F.col("started_at").isNotNull() & F.col("completed_at").isNotNull(),
-                  (F.unix_micros(F.col("completed_at")) - F.unix_micros(F.col("started_at"))) / F.lit(1e6))
+    return F.expr(f"CASE WHEN status = '{COMPLETED}' AND started_at IS NOT NULL AND completed_at IS NOT NULL "
+                  "THEN (unix_micros(completed_at) - unix_micros(started_at)) / 1e6 END")
 
 
 def duration_ms_truncated() -> Column:
     """Milliseconds start→completion truncated, as a timer records it."""
-    return F.floor((F.unix_micros(F.col("completed_at")) - F.unix_micros(F.col("started_at"))) / F.lit(1000)).cast("long")
+    return F.expr("CAST(floor((unix_micros(completed_at) - unix_micros(started_at)) / 1000) AS BIGINT)")
 
 
 def is_overdue(as_of) -> Column:
-    return F.coalesce(is_active() & F.col("deadline").isNotNull() & (instant(as_of) > F.col("deadline")), F.lit(False))
+    now = _now(as_of)
+    if now is None:
+        return F.coalesce(is_active() & F.col("deadline").isNotNull() & (instant(as_of) > F.col("deadline")),
+                          F.lit(False))
+    return F.expr(f"coalesce(status = 'ACTIVE' AND deadline IS NOT NULL AND {now} > deadline, false)")
 
 
 def seconds_remaining(as_of) -> Column:
@@ -92,9 +122,11 @@ def hours_remaining(as_of) -> Column:
 
 
 def round1(col) -> Column:
-    """Half-up rounding to one decimal, like Java ``Math.round(x * 10) / 10``."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.floor(c * F.lit(10.0) + F.lit(0.5)) / F.lit(10.0)
+    """Half-up rounding to one decimal, like Java ``Math.round(x * 10) / 10``.
+    A string argument is a column name or SQL expression text."""
+    if isinstance(col, str):
+        return F.expr(f"floor(({col}) * 10.0D + 0.5D) / 10.0D")
+    return F.floor(col * F.lit(10.0) + F.lit(0.5)) / F.lit(10.0)
 
 
 def round1_tolerant(col) -> Column:

@@ -40,6 +40,13 @@ def instant(value) -> Column:
     return F.timestamp_micros(F.lit(to_micros(value)))
 
 
+def instant_sql(value) -> str | None:
+    """SQL text of a literal instant, or None when ``value`` is a Column."""
+    if isinstance(value, Column):
+        return None
+    return f"timestamp_micros({to_micros(value)})"
+
+
 def minus_hours(value, hours: float) -> Column:
     if isinstance(value, Column):
         return F.timestamp_micros(F.unix_micros(value) - F.lit(int(hours * MICROS_PER_HOUR)))

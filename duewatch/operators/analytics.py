@@ -48,6 +48,11 @@ def duration_stats(d: Column, approx: bool = False) -> list[Column]:
     ``approx=True`` swaps in ``percentile_approx`` for very high-cardinality
     groups, at the cost of exactness.
     """
+    if isinstance(d, str):
+        q = (f"CAST(percentile_approx({d}, array(0.5D, 0.9D, 0.99D), 10000) AS ARRAY<DOUBLE>)" if approx
+             else f"percentile({d}, array(0.5D, 0.9D, 0.99D))")
+        return [F.expr(f"count({d})").alias("dur_count"), C.round1(f"avg({d})").alias("avg_s"),
+                F.expr(q).alias("_q")]
     if approx:
         q = F.percentile_approx(d, [0.5, 0.9, 0.99], 10000).cast("array<double>")
     else:
@@ -60,11 +65,13 @@ def duration_stats(d: Column, approx: bool = False) -> list[Column]:
 
 
 def _finish_stats(df: DataFrame) -> DataFrame:
-    q = F.col("_q")
-    return (df.withColumn("p50_s", C.round1(q[0]))
-              .withColumn("p90_s", C.round1(q[1]))
-              .withColumn("p99_s", C.round1(q[2]))
-              .drop("_q"))
+    keep = [c for c in df.columns if c != "_q"]
+    return df.selectExpr(*[f"`{c}`" for c in keep],
+                         *[f"floor(_q[{i}] * 10.0D + 0.5D) / 10.0D AS {n}"
+                           for i, n in enumerate(["p50_s", "p90_s", "p99_s"])])
+
+
+_PROBLEMS = "(" + ", ".join(f"'{o}'" for o in C.PROBLEM_OUTCOMES) + ")"
 
 
 def _classified(runs: DataFrame, as_of, hours: int, name: str | None) -> DataFrame:
@@ -76,9 +83,9 @@ def tag_totals(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name:
                approx: bool = False) -> DataFrame:
     """Window totals (untagged runs included): total, problems, duration stats."""
     s = _classified(runs, as_of, hours, name)
-    agg = s.agg(F.count(F.lit(1)).alias("total"),
-                F.count_if(C.is_problem(F.col("outcome"))).alias("problems"),
-                *duration_stats(F.col("dur"), approx))
+    agg = s.agg(F.expr("count(1)").alias("total"),
+                F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems"),
+                *duration_stats("dur", approx))
     return _finish_stats(agg)
 
 
@@ -99,16 +106,12 @@ def tag_rollup(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name:
                approx: bool = False) -> DataFrame:
     """Uncapped per-(key, value) rollup."""
     s = explode_tags(_classified(runs, as_of, hours, name), "outcome", "dur")
-    o = F.col("outcome")
+    counts = [F.expr("count(1)").alias("total")] + [
+        F.expr(f"count_if(outcome = '{o}')").alias(col) for o, col in
+        [(C.OVERDUE, "overdue"), (C.ON_TRACK, "on_track"), (C.COMPLETED_LATE, "completed_late"),
+         (C.COMPLETED_ON_TIME, "completed_on_time"), (C.FAILED, "failed")]]
     agg = s.groupBy("tag_key", "tag_value").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(o == C.OVERDUE).alias("overdue"),
-        F.count_if(o == C.ON_TRACK).alias("on_track"),
-        F.count_if(o == C.COMPLETED_LATE).alias("completed_late"),
-        F.count_if(o == C.COMPLETED_ON_TIME).alias("completed_on_time"),
-        F.count_if(o == C.FAILED).alias("failed"),
-        F.count_if(C.is_problem(o)).alias("problems"),
-        *duration_stats(F.col("dur"), approx))
+        *counts, F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems"), *duration_stats("dur", approx))
     return _finish_stats(agg)
 
 
@@ -120,24 +123,27 @@ def tag_impact(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name:
 
 def summary(runs: DataFrame, as_of) -> DataFrame:
     """Headline counts in one pass; the *_24h counts use completed_at >= as_of − 24 h."""
-    now = instant(as_of)
-    day_ago = minus_hours(as_of, 24)
-    st, dl, ca = F.col("status"), C.deadline, C.completed
-    has_dl = dl.isNotNull()
-    done = st == C.COMPLETED
-    return runs.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(st == C.ACTIVE).alias("active"),
-        F.count_if(done).alias("completed"),
-        F.count_if(st == C.FAILED).alias("failed"),
-        F.count_if((st == C.ACTIVE) & has_dl & (dl < now)).alias("overdue"),
-        F.count_if((st == C.ACTIVE) & has_dl & (dl >= now)).alias("on_track"),
-        F.count_if(done & has_dl & (ca <= dl)).alias("completed_on_time"),
-        F.count_if(done & has_dl & (ca > dl)).alias("completed_late"),
-        F.count_if(done & (ca >= day_ago)).alias("completed_24h"),
-        F.count_if(done & (ca >= day_ago) & has_dl & (ca <= dl)).alias("completed_on_time_24h"),
-        F.count_if((st == C.FAILED) & (ca >= day_ago)).alias("failed_24h"),
-    )
+    from duewatch.functions.time import instant_sql, to_micros
+    if instant_sql(as_of) is None:
+        raise TypeError("summary needs a literal as_of")
+    now = instant_sql(as_of)
+    day_ago = f"timestamp_micros({to_micros(as_of) - 24 * 3_600_000_000})"
+    done = f"status = '{C.COMPLETED}'"
+    exprs = {
+        "total": "count(1)",
+        "active": "count_if(status = 'ACTIVE')",
+        "completed": f"count_if({done})",
+        "failed": f"count_if(status = '{C.FAILED}')",
+        "overdue": f"count_if(status = 'ACTIVE' AND deadline IS NOT NULL AND deadline < {now})",
+        "on_track": f"count_if(status = 'ACTIVE' AND deadline IS NOT NULL AND deadline >= {now})",
+        "completed_on_time": f"count_if({done} AND deadline IS NOT NULL AND completed_at <= deadline)",
+        "completed_late": f"count_if({done} AND deadline IS NOT NULL AND completed_at > deadline)",
+        "completed_24h": f"count_if({done} AND completed_at >= {day_ago})",
+        "completed_on_time_24h": f"count_if({done} AND completed_at >= {day_ago} AND deadline IS NOT NULL "
+                                 "AND completed_at <= deadline)",
+        "failed_24h": f"count_if(status = '{C.FAILED}' AND completed_at >= {day_ago})",
+    }
+    return runs.agg(*[F.expr(e).alias(k) for k, e in exprs.items()])
 
 
 def name_rollup_order() -> list[Column]:
@@ -145,19 +151,22 @@ def name_rollup_order() -> list[Column]:
 
 
 def name_rollup_all(runs: DataFrame, as_of) -> DataFrame:
-    now = instant(as_of)
-    st, dl, ca = F.col("status"), C.deadline, C.completed
-    done = st == C.COMPLETED
-    return runs.groupBy("name").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(st == C.ACTIVE).alias("active"),
-        F.count_if(st == C.FAILED).alias("failed"),
-        F.count_if((st == C.ACTIVE) & dl.isNotNull() & (dl < now)).alias("overdue"),
-        F.count_if(done).alias("completed"),
-        F.count_if(done & dl.isNotNull() & (ca <= dl)).alias("completed_on_time"),
-        F.count_if(done & dl.isNotNull() & (ca > dl)).alias("completed_late"),
-        F.unix_seconds(F.max("started_at")).alias("last_started_at"),
-    )
+    from duewatch.functions.time import instant_sql
+    now = instant_sql(as_of)
+    if now is None:
+        raise TypeError("name rollups need a literal as_of")
+    done = f"status = '{C.COMPLETED}'"
+    exprs = {
+        "total": "count(1)",
+        "active": "count_if(status = 'ACTIVE')",
+        "failed": f"count_if(status = '{C.FAILED}')",
+        "overdue": f"count_if(status = 'ACTIVE' AND deadline IS NOT NULL AND deadline < {now})",
+        "completed": f"count_if({done})",
+        "completed_on_time": f"count_if({done} AND deadline IS NOT NULL AND completed_at <= deadline)",
+        "completed_late": f"count_if({done} AND deadline IS NOT NULL AND completed_at > deadline)",
+        "last_started_at": "unix_seconds(max(started_at))",
+    }
+    return runs.groupBy("name").agg(*[F.expr(e).alias(k) for k, e in exprs.items()])
 
 
 def name_rollups(runs: DataFrame, as_of, limit: int = 20, offset: int = 0) -> DataFrame:

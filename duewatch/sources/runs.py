@@ -34,13 +34,10 @@ def load_runs(spark: SparkSession, path: str) -> DataFrame:
 def upgrade_runs(df: DataFrame) -> DataFrame:
     """Bring an older runs frame to the current schema (missing → typed null)
     and order the columns as in ``RUNS``."""
-    cols = []
-    for field in RUNS.fields:
-        if field.name in df.columns:
-            cols.append(F.col(field.name).cast(field.dataType).alias(field.name))
-        else:
-            cols.append(F.lit(None).cast(field.dataType).alias(field.name))
-    return df.select(*cols)
+    have = set(df.columns)
+    return df.selectExpr(*[
+        (f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" if f.name in have
+         else f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`") for f in RUNS.fields])
 
 
 def jdbc_options(url: str, table: str = "processes", *, lower_id: int | None = None,
@@ -90,5 +87,7 @@ def write_runs(runs: DataFrame, path: str, mode: str = "overwrite", files: int |
 
 
 def read_stored_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Read a table written by :func:`write_runs` with the canonical column order."""
-    return upgrade_runs(spark.read.parquet(path))
+    """Read a table written by :func:`write_runs` with the canonical schema and
+    column order. The schema is given, so no footer is read to infer it;
+    ``status`` comes from the partition directories."""
+    return upgrade_runs(spark.read.schema(RUNS).parquet(path))
