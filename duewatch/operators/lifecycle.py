@@ -19,7 +19,7 @@ level finishes it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 CREATE, COMPLETE, DELETE = "create", "complete", "delete"
@@ -122,57 +122,53 @@ def decide(cmds: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     previous chunk's last kind. Per-chunk summaries (one row per chunk) are
     stitched per key — a small frame — and joined back on the same keys, so
     the command rows are shuffled once."""
-    unb = Window.unboundedPreceding
     kc = KEY + ["_chunk"]
-    wc = Window.partitionBy(*kc).orderBy("seq")
-    run = wc.rowsBetween(unb, 0)
-    kind = F.col("kind")
+    w = "PARTITION BY name, process_id, _chunk ORDER BY seq"
+    run = w + " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    wk = "PARTITION BY name, process_id ORDER BY _chunk"
+    before_k = wk + " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
-    def step(k: Column, active: Column) -> Column:
-        return F.when((k == CREATE) & ~active, 1).when(k == DELETE, -1).otherwise(0)
+    def step(k: str, active: str) -> str:
+        return f"CASE WHEN {k} = '{CREATE}' AND NOT ({active}) THEN 1 WHEN {k} = '{DELETE}' THEN -1 ELSE 0 END"
 
-    c = cmds.withColumn("_chunk", F.floor(F.col("seq") / F.lit(chunk)).cast("long"))
-    c = c.withColumn("_lagk", F.lag("kind").over(wc))
-    first = F.col("_lagk").isNull()
+    c = cmds.selectExpr("*", f"CAST(floor(seq / {int(chunk)}) AS BIGINT) AS _chunk")
+    c = c.selectExpr("*", f"lag(kind) OVER ({w}) AS _lagk")
     # Steps of rows 2.. of a chunk are local; row 1's step waits for the carry.
-    c = c.withColumn("_xr", F.when(first, F.lit(0)).otherwise(step(kind, F.col("_lagk") == CREATE)))
-    c = c.withColumn("_r", F.sum("_xr").over(run))
-    c = c.withColumn("_rmin", F.min("_r").over(run))
-    c = c.withColumn("_r_prev", F.lag("_r").over(wc)).withColumn("_rmin_prev", F.lag("_rmin").over(wc))
-
-    s = c.groupBy(*kc).agg(F.min_by("kind", "seq").alias("_first"), F.max_by("kind", "seq").alias("_last"),
-                           F.sum("_xr").alias("_R"), F.min("_r").alias("_minr"))
-    wk = Window.partitionBy(*KEY).orderBy("_chunk")
-    s = s.withColumn("_carry", F.coalesce(F.lag("_last").over(wk) == CREATE, F.lit(False)))
-    s = s.withColumn("_x1", step(F.col("_first"), F.col("_carry")))
-    s = s.withColumn("_tot", F.col("_x1") + F.col("_R")).withColumn("_cmin", F.col("_x1") + F.col("_minr"))
-    s = s.withColumn("_off", F.coalesce(F.sum("_tot").over(wk.rowsBetween(unb, -1)), F.lit(0)))
-    s = s.withColumn("_pmin", F.min(F.col("_off") + F.col("_cmin")).over(wk.rowsBetween(unb, -1)))
-    c = c.join(s.select(*kc, "_carry", "_x1", "_off", "_pmin"), kc)
-
-    off, x1, pmin = F.col("_off"), F.col("_x1"), F.col("_pmin")
-
-    def after(r: Column, rmin: Column) -> Column:
-        cum = off + x1 + r
-        return cum - F.least(F.lit(0), F.least(pmin, off + x1 + rmin))
-
-    carry_in = off - F.least(F.lit(0), F.coalesce(pmin, F.lit(0)))
-    active = F.when(first, F.col("_carry")).otherwise(F.col("_lagk") == CREATE)
-    rows_after = after(F.col("_r"), F.col("_rmin")).cast("long")
-    rows_before = F.when(first, carry_in).otherwise(after(F.col("_r_prev"), F.col("_rmin_prev"))).cast("long")
-    c = c.select(*cmds.columns, active.alias("active_before"), rows_before.alias("rows_before"),
-                 rows_after.alias("rows_after"))
-
-    active, before = F.col("active_before"), F.col("rows_before")
-    reason = (F.when((kind == CREATE) & active, F.lit("already_exists"))
-              .when((kind == COMPLETE) & ~active & (before == 0), F.lit("not_found"))
-              .when((kind == COMPLETE) & ~active, F.lit("already_completed"))
-              .when((kind == DELETE) & (before == 0), F.lit("not_found")))
-    code = (F.when(reason.isNotNull(), error_code(reason))
-            .when(kind == CREATE, F.lit(CODE_CREATED)).when(kind == COMPLETE, F.lit(CODE_OK))
-            .otherwise(F.lit(CODE_DELETED)))
-    return c.select(*cmds.columns, "active_before", "rows_before", "rows_after",
-                    reason.isNull().alias("accepted"), reason.alias("reason"), code.alias("code"))
+    c = c.selectExpr("*", f"CASE WHEN _lagk IS NULL THEN 0 ELSE {step('kind', f"_lagk = '{CREATE}'")} END AS _xr")
+    c = c.selectExpr("*", f"sum(_xr) OVER ({run}) AS _r")
+    c = c.selectExpr("*", f"min(_r) OVER ({run}) AS _rmin")
+    c = c.selectExpr("*", f"lag(_r) OVER ({w}) AS _r_prev", f"lag(_rmin) OVER ({w}) AS _rmin_prev")
+
+    s = c.groupBy(*kc).agg(F.expr("min_by(kind, seq)").alias("_first"), F.expr("max_by(kind, seq)").alias("_last"),
+                           F.expr("sum(_xr)").alias("_R"), F.expr("min(_r)").alias("_minr"))
+    s = s.selectExpr("*", f"coalesce(lag(_last) OVER ({wk}) = '{CREATE}', false) AS _carry")
+    s = s.selectExpr("*", f"{step('_first', '_carry')} AS _x1")
+    s = s.selectExpr("*", "_x1 + _R AS _tot", "_x1 + _minr AS _cmin")
+    s = s.selectExpr(*kc, "_carry", "_x1", "_cmin", f"coalesce(sum(_tot) OVER ({before_k}), 0) AS _off")
+    s = s.selectExpr(*kc, "_carry", "_x1", "_off", f"min(_off + _cmin) OVER ({before_k}) AS _pmin")
+    c = c.join(s, kc)
+
+    def after(r: str, rmin: str) -> str:
+        return f"(_off + _x1 + {r}) - least(0, least(_pmin, _off + _x1 + {rmin}))"
+
+    cols = [f"`{x}`" for x in cmds.columns]
+    c = c.selectExpr(
+        *cols,
+        f"CASE WHEN _lagk IS NULL THEN _carry ELSE _lagk = '{CREATE}' END AS active_before",
+        f"CAST(CASE WHEN _lagk IS NULL THEN _off - least(0, coalesce(_pmin, 0)) "
+        f"ELSE {after('_r_prev', '_rmin_prev')} END AS BIGINT) AS rows_before",
+        f"CAST({after('_r', '_rmin')} AS BIGINT) AS rows_after")
+    reason = (f"CASE WHEN kind = '{CREATE}' AND active_before THEN 'already_exists' "
+              f"WHEN kind = '{COMPLETE}' AND NOT active_before AND rows_before = 0 THEN 'not_found' "
+              f"WHEN kind = '{COMPLETE}' AND NOT active_before THEN 'already_completed' "
+              f"WHEN kind = '{DELETE}' AND rows_before = 0 THEN 'not_found' END")
+    c = c.selectExpr("*", f"{reason} AS reason")
+    code = (f"CASE WHEN reason IN ('already_exists', 'already_completed') THEN {CODE_CONFLICT} "
+            f"WHEN reason = 'not_found' THEN {CODE_NOT_FOUND} WHEN reason IS NOT NULL THEN {CODE_BAD_REQUEST} "
+            f"WHEN kind = '{CREATE}' THEN {CODE_CREATED} WHEN kind = '{COMPLETE}' THEN {CODE_OK} "
+            f"ELSE {CODE_DELETED} END")
+    return c.selectExpr(*cols, "active_before", "rows_before", "rows_after", "reason IS NULL AS accepted",
+                        "reason", f"{code} AS code")
 
 
 def fold(decisions: DataFrame) -> DataFrame:

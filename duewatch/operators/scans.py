@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duewatch.functions import columns as C
 from duewatch.functions.text import process_url
-from duewatch.functions.time import instant
+from duewatch.functions.time import instant, instant_sql
 from duewatch.operators.ordering import top_k
 
 DEFAULT_BATCH = 500
@@ -26,13 +26,23 @@ WARNING_EVENT = "process.deadline_warning"
 
 def missed_due(as_of) -> Column:
     """ACTIVE, deadline strictly before as_of, not yet notified."""
-    return (C.is_active() & F.col("deadline").isNotNull() & (F.col("deadline") < instant(as_of))
-            & F.col("deadline_notified_at").isNull())
+    now = instant_sql(as_of)
+    if now is None:
+        return (C.is_active() & F.col("deadline").isNotNull() & (F.col("deadline") < instant(as_of))
+                & F.col("deadline_notified_at").isNull())
+    return F.expr(f"status = 'ACTIVE' AND deadline IS NOT NULL AND deadline < {now} "
+                  "AND deadline_notified_at IS NULL")
 
 
 def warning_due(as_of, threshold: float = DEFAULT_THRESHOLD) -> Column:
     """ACTIVE, deadline strictly after as_of and after start, not yet warned,
     and at least ``threshold`` of the start→deadline budget used."""
+    now = instant_sql(as_of)
+    if now is not None:
+        return F.expr(
+            f"status = 'ACTIVE' AND deadline IS NOT NULL AND deadline > {now} AND deadline_warned_at IS NULL "
+            f"AND deadline > started_at AND CAST(unix_micros({now}) AS DOUBLE) >= CAST(unix_micros(started_at) AS DOUBLE)"
+            f" + CAST(unix_micros(deadline) - unix_micros(started_at) AS DOUBLE) * {float(threshold)!r}D")
     now_us = F.unix_micros(instant(as_of))
     st_us, dl_us = F.unix_micros(F.col("started_at")), F.unix_micros(F.col("deadline"))
     crossed = now_us.cast("double") >= st_us.cast("double") + (dl_us - st_us).cast("double") * F.lit(float(threshold))

@@ -47,28 +47,24 @@ def timeseries(runs: DataFrame, start_s: int, end_s: int, period: str | None, as
     rows = scoped.select(((st_s - F.lit(start_s)) / F.lit(step)).cast("long").alias("bucket"),
                          F.col("status"), ds.alias("ds"), C.completed_duration().alias("dur"))
     agg = rows.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("total_processes"),
-        F.avg("dur").alias("_avg"),
-        F.count_if(F.col("status") == C.ACTIVE).alias("active"),
-        F.count_if(F.col("status") == C.COMPLETED).alias("completed"),
-        F.count_if(F.col("status") == C.FAILED).alias("failed"),
-        F.count_if(F.col("ds") == C.ON_TRACK).alias("on_track"),
-        F.count_if(F.col("ds") == C.MISSED).alias("missed"),
-        F.count_if(F.col("ds") == C.COMPLETED_ON_TIME).alias("completed_on_time"),
-        F.count_if(F.col("ds") == C.COMPLETED_LATE).alias("completed_late"))
+        F.expr("count(1)").alias("total_processes"), F.expr("avg(dur)").alias("_avg"),
+        *[F.expr(f"count_if(status = '{v}')").alias(n) for v, n in
+          [(C.ACTIVE, "active"), (C.COMPLETED, "completed"), (C.FAILED, "failed")]],
+        *[F.expr(f"count_if(ds = '{v}')").alias(n) for v, n in
+          [(C.ON_TRACK, "on_track"), (C.MISSED, "missed"), (C.COMPLETED_ON_TIME, "completed_on_time"),
+           (C.COMPLETED_LATE, "completed_late")]])
     spark = runs.sparkSession
     buckets = spark.range(n_buckets).withColumnRenamed("id", "bucket")
     j = buckets.join(agg, "bucket", "left")
     counts = ["total_processes", "active", "completed", "failed", "on_track", "missed",
               "completed_on_time", "completed_late"]
-    out = j.select(
-        (F.lit(start_s) + F.col("bucket") * F.lit(step)).alias("start"),
-        F.least(F.lit(start_s) + (F.col("bucket") + 1) * F.lit(step), F.lit(end_s)).alias("end"),
-        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts],
-        C.round1(F.col("_avg")).alias("avg_duration"),
-        C.round1(F.try_divide((F.col("missed") + F.col("completed_late")).cast("double"),
-                              F.col("total_processes").cast("double")) * F.lit(100.0)).alias("missed_deadline_percentage"))
-    return out
+    return j.selectExpr(
+        f"{start_s} + bucket * {step} AS start",
+        f"least({start_s} + (bucket + 1) * {step}, {end_s}) AS `end`",
+        *[f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in counts],
+        "floor(_avg * 10.0D + 0.5D) / 10.0D AS avg_duration",
+        "floor(try_divide(CAST(missed + completed_late AS DOUBLE), CAST(total_processes AS DOUBLE)) * 100.0D * 10.0D"
+        " + 0.5D) / 10.0D AS missed_deadline_percentage")
 
 
 def burn_rate(runs: DataFrame, as_of, hours: int, target: float) -> DataFrame:
