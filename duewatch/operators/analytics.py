@@ -80,12 +80,21 @@ def _classified(runs: DataFrame, as_of, hours: int, name: str | None) -> DataFra
 
 
 def tag_totals(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name: str | None = None,
-               approx: bool = False) -> DataFrame:
-    """Window totals (untagged runs included): total, problems, duration stats."""
+               approx: bool = False, method: str = "one_pass") -> DataFrame:
+    """Window totals (untagged runs included): total, problems, duration stats.
+
+    The percentiles here are over the whole scope, one global group; use
+    ``method="two_pass"`` for bounded memory on very large scopes."""
     s = _classified(runs, as_of, hours, name)
-    agg = s.agg(F.expr("count(1)").alias("total"),
-                F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems"),
-                *duration_stats("dur", approx))
+    counts = [F.expr("count(1)").alias("total"), F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems")]
+    if method == "two_pass" and not approx:
+        from duewatch.operators.quantiles import exact_percentiles
+        base = s.agg(*counts, F.expr("count(dur)").alias("dur_count"), C.round1("avg(dur)").alias("avg_s"))
+        # A global aggregate always yields one row (null q when no durations),
+        # so the cross join below pairs one row with one row.
+        q = exact_percentiles(s, [], "dur").agg(F.first("q", ignorenulls=True).alias("_q"))
+        return _finish_stats(base.crossJoin(q))
+    agg = s.agg(*counts, *duration_stats("dur", approx))
     return _finish_stats(agg)
 
 
@@ -103,22 +112,39 @@ def explode_tags(runs: DataFrame, *keep: str) -> DataFrame:
 
 
 def tag_rollup(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name: str | None = None,
-               approx: bool = False) -> DataFrame:
-    """Uncapped per-(key, value) rollup."""
+               approx: bool = False, method: str = "one_pass") -> DataFrame:
+    """Uncapped per-(key, value) rollup.
+
+    ``method="one_pass"`` uses Spark's exact ``percentile`` (memory per group
+    grows with its distinct durations); ``"two_pass"`` gives the same exact
+    values with bounded per-group memory (:mod:`duewatch.operators.quantiles`),
+    for tags that hold a large share of high-resolution durations."""
     s = explode_tags(_classified(runs, as_of, hours, name), "outcome", "dur")
     counts = [F.expr("count(1)").alias("total")] + [
         F.expr(f"count_if(outcome = '{o}')").alias(col) for o, col in
         [(C.OVERDUE, "overdue"), (C.ON_TRACK, "on_track"), (C.COMPLETED_LATE, "completed_late"),
          (C.COMPLETED_ON_TIME, "completed_on_time"), (C.FAILED, "failed")]]
-    agg = s.groupBy("tag_key", "tag_value").agg(
-        *counts, F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems"), *duration_stats("dur", approx))
+    counts.append(F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems"))
+    if method == "two_pass" and not approx:
+        from duewatch.operators.quantiles import exact_percentiles
+        keys = ["tag_key", "tag_value"]
+        base = s.groupBy(*keys).agg(*counts, F.expr("count(dur)").alias("dur_count"),
+                                    C.round1("avg(dur)").alias("avg_s"))
+        q = exact_percentiles(s, keys, "dur").select(
+            F.col("tag_key").alias("_qk"), F.col("tag_value").alias("_qv"), F.col("q").alias("_q"))
+        # Both sides derive from one frame, so the keys are renamed before the
+        # join; null-safe because a tag element may lack a key or a value.
+        cond = F.col("tag_key").eqNullSafe(F.col("_qk")) & F.col("tag_value").eqNullSafe(F.col("_qv"))
+        j = base.join(q, cond, "left").drop("_qk", "_qv")
+        return _finish_stats(j)
+    agg = s.groupBy("tag_key", "tag_value").agg(*counts, *duration_stats("dur", approx))
     return _finish_stats(agg)
 
 
 def tag_impact(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name: str | None = None,
-               cap: int = MAX_TAG_ROWS, approx: bool = False) -> DataFrame:
+               cap: int = MAX_TAG_ROWS, approx: bool = False, method: str = "one_pass") -> DataFrame:
     """Per-tag outcome breakdown, most problematic first, top ``cap``."""
-    return top_k(tag_rollup(runs, as_of, clamp_window(hours), name, approx), tag_impact_order(), cap)
+    return top_k(tag_rollup(runs, as_of, clamp_window(hours), name, approx, method), tag_impact_order(), cap)
 
 
 def summary(runs: DataFrame, as_of) -> DataFrame:

@@ -323,3 +323,12 @@ for _name, _start, _step in [("timeseries_1d", AS_OF_S - 30 * DAY_S, "1d"), ("ti
     f"AND deadline_us < {AS_OF}) AS missed FROM runs GROUP BY name) g"))
 def burn_rate_q(t: Tables):
     return TS.burn_rate(t.runs, t.as_of, 720, 0.9)
+
+
+# The same two queries computed with bounded-memory exact percentiles
+# (operators.quantiles); their SQL twins are the one-pass ones.
+register("tag_impact_720h_two_pass", O.tag_impact_sql(720))(
+    lambda t: A.tag_impact(t.runs, t.as_of, 720, method="two_pass"))
+register("tag_impact_totals_two_pass", O.with_views(
+    f"SELECT count(*) AS total, count(*) FILTER (WHERE {O.PROBLEM}) AS problems, {O.stats()} FROM classified",
+    O.classified_view(720)))(lambda t: A.tag_totals(t.runs, t.as_of, 720, method="two_pass"))
