@@ -44,8 +44,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: Sequence[f
         F.expr("count(1)").alias("n"),
         F.expr(f"percentile_approx(_v, {_lit_array(edges)}, {int(accuracy)})").alias("_edges"))
 
-    # With no keys, ``bands`` is one row and the join only attaches it.
-    joined = vals.join(bands, keys) if keys else vals.crossJoin(bands)
+    # With no keys, ``bands`` is exactly one row (a global aggregate): it is
+    # broadcast and the cross join only attaches it to each value.
+    joined = vals.join(bands, keys) if keys else vals.crossJoin(F.broadcast(bands))
     aggs = []
     for i in range(len(ps)):
         lo, hi = f"_edges[{2 * i}]", f"_edges[{2 * i + 1}]"
@@ -72,6 +73,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: Sequence[f
                     .groupBy(*keys).agg(F.expr(f"percentile(_v, {_lit_array(ps)})").alias("_fq")))
         merged = out.join(fallback, keys, "left")
     else:
-        fallback = vals.crossJoin(bad).agg(F.expr(f"percentile(_v, {_lit_array(ps)})").alias("_fq"))
-        merged = out.crossJoin(fallback)
+        # ``bad`` has at most one row here (the single global group).
+        fallback = vals.crossJoin(F.broadcast(bad)).agg(F.expr(f"percentile(_v, {_lit_array(ps)})").alias("_fq"))
+        merged = out.crossJoin(F.broadcast(fallback))
     return merged.selectExpr(*keys, "n", "CASE WHEN exact THEN q ELSE _fq END AS q")
