@@ -13,7 +13,7 @@ from duewatch.sources.requests import parse_complete_requests, parse_create_requ
 HOUR_US = O.HOUR_US
 # Chunk of the seq range per task in the fold; small here so the fixture
 # spans several chunks and the stitching is exercised.
-FOLD_CHUNK = 1024
+FOLD_CHUNK = 4096
 
 CREATE_REQ_VIEW = """create_req AS (
   SELECT event_id AS request_id,
