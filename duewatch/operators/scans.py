@@ -123,25 +123,33 @@ def mark(runs: DataFrame, ids: DataFrame, column: str, at) -> DataFrame:
     return out.drop("_mid", "_hit")
 
 
-def circuit_breaker(attempts: DataFrame, limit: int = MAX_CONSECUTIVE_FAILURES) -> DataFrame:
+def circuit_breaker(attempts: DataFrame, limit: int = MAX_CONSECUTIVE_FAILURES, chunk: int = 1 << 16) -> DataFrame:
     """Which delivered attempts get marked when a pass stops after ``limit``
     consecutive failures (a success resets the count).
 
-    ``attempts``: scan_id, pos, run_id, delivered. Gaps-and-islands per scan:
-    the running count of successes numbers the islands; within an island the
-    k-th failure is at row k+1 (after the success) or k (first island). The pass
-    stops at the first row whose failure streak reaches ``limit``; delivered
-    rows before it are marked. All windows partition by scan, so a scan is one
-    task's work, bounded by the batch size."""
-    w = Window.partitionBy("scan_id").orderBy("pos")
-    ok = F.col("delivered").cast("int")
-    a = attempts.withColumn("_island", F.sum(ok).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    wi = Window.partitionBy("scan_id", "_island").orderBy("pos")
-    a = a.withColumn("_streak", F.sum(1 - ok).over(wi.rowsBetween(Window.unboundedPreceding, 0)))
-    trip = F.min(F.when(F.col("_streak") >= limit, F.col("pos"))).over(Window.partitionBy("scan_id"))
-    a = a.withColumn("_stop", trip)
-    marked = a.filter(F.col("delivered") & (F.col("_stop").isNull() | (F.col("pos") < F.col("_stop"))))
-    return marked.select("scan_id", "pos", "run_id", F.col("_stop").isNotNull().alias("tripped"))
+    ``attempts``: scan_id, pos (1, 2, … within the scan), run_id, delivered.
+    The failure streak at a row is ``pos − (position of the last success at or
+    before it)``; that position is a running max, computed per (scan, pos chunk)
+    and carried across chunks by the max of the earlier chunks (a per-chunk
+    summary). The pass stops at the smallest position whose streak reaches
+    ``limit`` (a per-scan ``min``, partially aggregated), and delivered rows
+    before it are marked. No step needs a whole scan in one task."""
+    kc = ["scan_id", "_chunk"]
+    a = attempts.selectExpr("*", f"CAST(floor(pos / {int(chunk)}) AS BIGINT) AS _chunk")
+    a = a.selectExpr("*", "max(CASE WHEN delivered THEN pos END) OVER (PARTITION BY scan_id, _chunk ORDER BY pos "
+                          "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _lmax")
+    prev = (attempts.selectExpr("scan_id", f"CAST(floor(pos / {int(chunk)}) AS BIGINT) AS _chunk",
+                                "CASE WHEN delivered THEN pos END AS _ok")
+            .groupBy(*kc).agg(F.expr("max(_ok)").alias("_cmax"))
+            .selectExpr(*kc, "max(_cmax) OVER (PARTITION BY scan_id ORDER BY _chunk "
+                             "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _pmax"))
+    a = a.join(prev, kc).selectExpr(
+        "scan_id", "pos", "run_id", "delivered",
+        "CASE WHEN delivered THEN 0 ELSE pos - coalesce(greatest(_lmax, _pmax), 0) END AS _streak")
+    stops = a.groupBy("scan_id").agg(F.expr(f"min(CASE WHEN _streak >= {int(limit)} THEN pos END)").alias("_stop"))
+    marked = a.filter("delivered").join(stops, "scan_id")
+    return marked.filter("_stop IS NULL OR pos < _stop").selectExpr("scan_id", "pos", "run_id",
+                                                                     "_stop IS NOT NULL AS tripped")
 
 
 def pending_deliveries(outbox: DataFrame, acknowledged: DataFrame) -> DataFrame:

@@ -91,3 +91,28 @@ def test_rule_join_salted_path_equals_broadcast(spark):
     assert ("r2", 1, "deadline_breached", "pager") in fast
     assert ("r4", 2, "deadline_approaching", "webhook") in fast
     assert {x[3] for x in fast if x[0] == "r3"} == {"email", "slack-ops"}
+
+
+def test_circuit_breaker_chunked_equals_reference_loop(spark):
+    import random
+    from duewatch.operators.scans import circuit_breaker
+    rnd = random.Random(3)
+    rows, expect = [], set()
+    for scan in range(40):
+        n = rnd.randint(1, 60)
+        oks = [rnd.random() < 0.45 for _ in range(n)]
+        fails = 0
+        for i, ok in enumerate(oks, start=1):
+            rows.append((scan, i, scan * 1000 + i, ok))
+        for i, ok in enumerate(oks, start=1):  # the pass, row by row
+            if not ok:
+                fails += 1
+                if fails >= 5:
+                    break
+                continue
+            fails = 0
+            expect.add((scan, scan * 1000 + i))
+    df = spark.createDataFrame(rows, "scan_id long, pos int, run_id long, delivered boolean")
+    for chunk in (1, 3, 1 << 16):
+        got = {(r.scan_id, r.run_id) for r in circuit_breaker(df, chunk=chunk).collect()}
+        assert got == expect, chunk
