@@ -86,3 +86,13 @@ def test_round_half_up():
     spark = SparkSession.getActiveSession()
     df = spark.createDataFrame([(0.05,), (-0.05,), (2.25,)], "x double")
     assert [r.r for r in df.select(C.round1("x").alias("r")).collect()] == [0.1, 0.0, 2.3]
+
+
+def test_array_guard_variants(spark):
+    raw = [' \n [{"key":"k","value":"v"}]', "[1,2", '[{"key":"k","value":"v"}', "[]x", '{"a":[1]}', "\t[]"]
+    df = spark.createDataFrame([(s,) for s in raw], "tags string")
+    got = [r.n for r in df.select(F.size(J.parse_tags("tags")).alias("n")).collect()]
+    want = [r.n for r in df.select(F.size(F.coalesce(
+        F.when(F.json_array_length("tags").isNotNull(), F.from_json("tags", J.TAGS)),
+        F.array().cast(J.TAGS))).alias("n")).collect()]
+    assert got == want
