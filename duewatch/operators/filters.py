@@ -37,14 +37,16 @@ def by_status(v: str) -> Column:
 def has_tags(pairs: dict[str, str]) -> Column:
     """Every pair must sit in one tag element; null/non-array tags never match.
 
-    The JSON is parsed once per row; each wanted pair is then looked up in it."""
+    The JSON is parsed once per row (the parse appears once, outside any
+    lambda): all wanted pairs are present iff intersecting the run's distinct
+    elements with the (distinct) wanted pairs keeps all of them."""
     if len(pairs) == 1:
         (k, v), = pairs.items()
         return has_tag(k, v)
-    wanted = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in pairs.items()])
+    wanted = F.array(*[F.struct(F.lit(k).cast("string").alias("key"), F.lit(v).cast("string").alias("value"))
+                       for k, v in pairs.items()])
     parsed = parse_tags_or_null("tags")
-    return F.coalesce(F.forall(wanted, lambda p: F.exists(
-        parsed, lambda t: (t["key"] == p["key"]) & (t["value"] == p["value"]))), F.lit(False))
+    return F.coalesce(F.size(F.array_intersect(parsed, wanted)) == F.lit(len(pairs)), F.lit(False))
 
 
 def deadline_before(epoch_s: int) -> Column:

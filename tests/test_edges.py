@@ -96,3 +96,14 @@ def test_array_guard_variants(spark):
         F.when(F.json_array_length("tags").isNotNull(), F.from_json("tags", J.TAGS)),
         F.array().cast(J.TAGS))).alias("n")).collect()]
     assert got == want
+
+
+def test_multi_tag_containment_edges(spark):
+    from duewatch.operators.filters import has_tags
+    df = spark.createDataFrame([('[{"key":"k","value":"v"},{"key":"k","value":"v"},{"key":"a"}]',),
+                                ('[{"key":"k","value":"v"},{"key":"a","value":"x"}]',),
+                                ('{"key":"k","value":"v"}',), (None,)], "tags string")
+    both = [r.m for r in df.select(has_tags({"k": "v", "a": "x"}).alias("m")).collect()]
+    assert both == [False, True, False, False]
+    one = [r.m for r in df.select(has_tags({"k": "v"}).alias("m")).collect()]
+    assert one == [True, True, False, False]
