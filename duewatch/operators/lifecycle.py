@@ -139,10 +139,14 @@ def decide(cmds: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     c = c.selectExpr("*", f"min(_r) OVER ({run}) AS _rmin")
     c = c.selectExpr("*", f"lag(_r) OVER ({w}) AS _r_prev", f"lag(_rmin) OVER ({w}) AS _rmin_prev")
 
-    s = c.groupBy(*kc).agg(F.expr("min_by(kind, seq)").alias("_first"), F.expr("max_by(kind, seq)").alias("_last"),
+    # Kinds are summarised as small integer codes so min_by/max_by keep a
+    # fixed-width buffer (hash aggregation instead of sort-based).
+    code = f"CASE kind WHEN '{CREATE}' THEN 1 WHEN '{DELETE}' THEN 2 ELSE 0 END"
+    s = c.groupBy(*kc).agg(F.expr(f"min_by({code}, seq)").alias("_first"),
+                           F.expr(f"max_by({code}, seq)").alias("_last"),
                            F.expr("sum(_xr)").alias("_R"), F.expr("min(_r)").alias("_minr"))
-    s = s.selectExpr("*", f"coalesce(lag(_last) OVER ({wk}) = '{CREATE}', false) AS _carry")
-    s = s.selectExpr("*", f"{step('_first', '_carry')} AS _x1")
+    s = s.selectExpr("*", f"coalesce(lag(_last) OVER ({wk}) = 1, false) AS _carry")
+    s = s.selectExpr("*", "CASE WHEN _first = 1 AND NOT _carry THEN 1 WHEN _first = 2 THEN -1 ELSE 0 END AS _x1")
     s = s.selectExpr("*", "_x1 + _R AS _tot", "_x1 + _minr AS _cmin")
     s = s.selectExpr(*kc, "_carry", "_x1", "_cmin", f"coalesce(sum(_tot) OVER ({before_k}), 0) AS _off")
     s = s.selectExpr(*kc, "_carry", "_x1", "_off", f"min(_off + _cmin) OVER ({before_k}) AS _pmin")
