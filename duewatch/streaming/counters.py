@@ -20,8 +20,11 @@ def stream_counters(events: DataFrame) -> DataFrame:
 
 def stream_request_alerts(requests: DataFrame, watermark: str = "10 minutes", **kw) -> DataFrame:
     """Sliding-window request health on a stream; windows close (append mode)
-    once the watermark passes their end; rows later than the watermark are
-    dropped (Spark counts them in ``numRowsDroppedByWatermark``)."""
+    once the watermark passes their end and are then final. A row behind the
+    watermark is still merged if its windows are held in state, and dropped
+    once they have been emitted. Spark reports drops in
+    ``numRowsDroppedByWatermark``, counting (row, window) pairs, so a 5-minute
+    window sliding by 1 minute counts 5 per row."""
     return M.request_alerts(requests.withWatermark("ts", watermark), **kw)
 
 

@@ -105,3 +105,27 @@ def test_gauge_refresher(spark, scratch):
     refresh(later, 1)
     second = {r.name: r.overdue for r in spark.read.parquet(f"{scratch}/snap/latest").collect()}
     assert second == {"x": 1, "y": 1}
+
+
+def test_late_requests_after_emission_dropped_and_counted(spark, scratch):
+    """A row for windows that were already emitted (append mode) is dropped
+    and counted; emitted windows are final and never repeated."""
+    from datetime import datetime, timedelta
+    schema = "ts timestamp, method string, path string, status int, duration_ms double"
+    b = datetime(2024, 1, 1)
+    files = [
+        [(b + timedelta(minutes=i), "GET", "/x", 200, 10.0) for i in range(30)],
+        [(b + timedelta(minutes=40), "GET", "/x", 200, 10.0)],   # moves the watermark; windows to 00:19 close
+        [(b + timedelta(minutes=1), "GET", "/x", 500, 9999.0)],  # late: its windows were already emitted
+    ]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{scratch}/in/p{i}")
+    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(f"{scratch}/in"))
+    q = _run(stream_request_alerts(src), scratch)
+    dropped = sum(s.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for s in p["stateOperators"])
+    out = spark.read.parquet(f"{scratch}/out")
+    # Counted after the sliding-window expansion: one row × 5 windows.
+    assert dropped == 5
+    assert out.filter("errors > 0").count() == 0
+    assert out.count() == out.select("window_start").distinct().count()  # no window emitted twice
