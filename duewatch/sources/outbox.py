@@ -21,28 +21,38 @@ def outbox_rows(events: DataFrame, as_of) -> DataFrame:
         F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("event"))).alias("event_key"))
 
 
-def write_outbox(events: DataFrame, path: str, as_of) -> None:
-    """Append one scan's events, skipping keys already in the outbox."""
-    rows = outbox_rows(events, as_of)
+def write_outbox(events: DataFrame, path: str, as_of, lookback_days: int = 7) -> None:
+    """Append one scan's events, skipping keys already in the outbox.
+
+    The outbox is partitioned by emit date. A replayed batch is a recent one,
+    so keys are checked only against the last ``lookback_days`` partitions:
+    the anti-join reads a bounded slice (partition pruning) instead of the
+    whole, ever-growing table."""
+    rows = outbox_rows(events, as_of).withColumn(
+        "emit_date", F.to_date(F.timestamp_seconds(F.col("emitted_at"))))
     spark = events.sparkSession
     try:
-        existing = spark.read.parquet(path).select("event_key")
+        since = F.date_sub(F.to_date(instant(as_of)), lookback_days)
+        existing = spark.read.parquet(path).filter(F.col("emit_date") >= since).select("event_key")
         rows = rows.join(existing, "event_key", "left_anti")
     except Exception:  # noqa: BLE001 - first write: no table yet
         pass
-    rows.write.mode("append").parquet(path)
+    rows.write.mode("append").partitionBy("emit_date").parquet(path)
 
 
 def read_outbox(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).dropDuplicates(["event_key"])
 
 
-def foreach_batch_writer(path: str, as_of_col: str = "as_of"):
-    """A ``foreachBatch`` function appending a micro-batch of events."""
-    def write(batch: DataFrame, _epoch_id: int) -> None:
+def foreach_batch_writer(path: str):
+    """A ``foreachBatch`` function for a stream of deadline events.
+
+    Each micro-batch goes to its own ``epoch=<id>`` folder in overwrite mode:
+    a batch replayed after a failure has the same id and replaces its own
+    output, so the sink is exactly-once; readers dedupe by ``event_key``."""
+    def write(batch: DataFrame, epoch_id: int) -> None:
         rows = batch.select(
-            "id", "event", "name", "process_id", "payload",
-            F.col("emitted_at"),
+            "id", "event", "name", "process_id", "payload", F.col("emitted_at"),
             F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("event"))).alias("event_key"))
-        rows.write.mode("append").parquet(path)
+        rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch_id}")
     return write

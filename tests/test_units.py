@@ -116,3 +116,14 @@ def test_circuit_breaker_chunked_equals_reference_loop(spark):
     for chunk in (1, 3, 1 << 16):
         got = {(r.scan_id, r.run_id) for r in circuit_breaker(df, chunk=chunk).collect()}
         assert got == expect, chunk
+
+
+def test_foreach_batch_writer_replay_overwrites(spark, scratch):
+    from duewatch.sources.outbox import foreach_batch_writer, read_outbox
+    batch = spark.createDataFrame([(1, "e", "n", "p", "{}", 10)],
+                                  "id long, event string, name string, process_id string, payload string, emitted_at long")
+    w = foreach_batch_writer(f"{scratch}/ob")
+    w(batch, 0)
+    w(batch, 0)  # replay of epoch 0
+    assert spark.read.parquet(f"{scratch}/ob").count() == 1
+    assert read_outbox(spark, f"{scratch}/ob").count() == 1
