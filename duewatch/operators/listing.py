@@ -133,9 +133,9 @@ def _respond_with_pos(paged: DataFrame, as_of) -> DataFrame:
     return paged.select(
         F.col("pos"), F.col("process_id").alias("id"), "name", "status",
         C.deadline_status(as_of).alias("deadline_status"),
-        F.unix_seconds(C.started).alias("started_at"),
-        F.unix_seconds(C.completed).alias("completed_at"),
-        F.unix_seconds(C.deadline).alias("deadline"),
+        F.expr("unix_seconds(started_at)").alias("started_at"),
+        F.expr("unix_seconds(completed_at)").alias("completed_at"),
+        F.expr("unix_seconds(deadline)").alias("deadline"),
         C.duration_s(as_of).alias("duration"),
     )
 

@@ -127,3 +127,14 @@ def test_foreach_batch_writer_replay_overwrites(spark, scratch):
     w(batch, 0)  # replay of epoch 0
     assert spark.read.parquet(f"{scratch}/ob").count() == 1
     assert read_outbox(spark, f"{scratch}/ob").count() == 1
+
+
+def test_payload_url_and_escaping(spark):
+    import json
+    from duewatch.operators import scans as S
+    from tests.conftest import T0, make_runs, tags
+    runs = make_runs(spark, [dict(process_id="a b", name="n", status="ACTIVE", started=-3600, deadline=-60,
+                                  tags=tags(("k", "v")), context='{"x":1}')])
+    p = json.loads(runs.select(S.event_payload(runs, S.MISSED_EVENT, T0, "https://h/it's/").alias("p")).first().p)
+    assert p["url"] == "https://h/it's/?process=n/a+b"
+    assert p["tags"] == [{"key": "k", "value": "v"}] and p["context"] == {"x": 1} and p["event"] == S.MISSED_EVENT
