@@ -313,8 +313,8 @@ for _name, _start, _step in [("timeseries_1d", AS_OF_S - 30 * DAY_S, "1d"), ("ti
 
 @register("slo_burn_rate", O.with_views(
     "SELECT name, good, late, missed, good + late + missed AS total, "
-    f"{O.round1('CAST(late + missed AS DOUBLE) / (good + late + missed) * 100')} AS error_pct, "
-    f"{O.round1('CAST(late + missed AS DOUBLE) / (good + late + missed) / (1.0 - 0.9) * 10')} AS burn_rate_x10 FROM ("
+    f"{O.round1('CAST(late + missed AS DOUBLE) / NULLIF(good + late + missed, 0) * 100')} AS error_pct, "
+    f"{O.round1('CAST(late + missed AS DOUBLE) / NULLIF(good + late + missed, 0) / (1.0 - 0.9) * 10')} AS burn_rate_x10 FROM ("
     f"SELECT name, count(*) FILTER (WHERE status = 'COMPLETED' AND deadline_us IS NOT NULL AND completed_us >= {AS_OF} - 720 * {O.HOUR_US} "
     f"AND completed_us <= {AS_OF} AND completed_us <= deadline_us) AS good, "
     f"count(*) FILTER (WHERE status = 'COMPLETED' AND deadline_us IS NOT NULL AND completed_us >= {AS_OF} - 720 * {O.HOUR_US} "

@@ -51,7 +51,7 @@ def event_counters_q(t: Tables):
 @register("slo_on_time", O.with_views(
     "SELECT coalesce(l.name, e.name) AS name, coalesce(l.on_time, 0) AS good, "
     "coalesce(l.on_time, 0) + coalesce(l.late, 0) + coalesce(e.missed_events, 0) AS total, "
-    + O.round1("CAST(coalesce(l.on_time, 0) AS DOUBLE) / (coalesce(l.on_time, 0) + coalesce(l.late, 0) + coalesce(e.missed_events, 0)) * 100")
+    + O.round1("CAST(coalesce(l.on_time, 0) AS DOUBLE) / NULLIF(coalesce(l.on_time, 0) + coalesce(l.late, 0) + coalesce(e.missed_events, 0), 0) * 100")
     + f" AS ratio_pct FROM ({LC_SQL}) l FULL OUTER JOIN ({EV_COUNT_SQL}) e ON l.name = e.name", EVENTS_VIEW))
 def slo_q(t: Tables):
     return M.slo_on_time(M.lifecycle_counters(t.runs), S.deadline_events(t.runs, t.as_of, 0.75, 500))

@@ -138,3 +138,11 @@ def test_payload_url_and_escaping(spark):
     p = json.loads(runs.select(S.event_payload(runs, S.MISSED_EVENT, T0, "https://h/it's/").alias("p")).first().p)
     assert p["url"] == "https://h/it's/?process=n/a+b"
     assert p["tags"] == [{"key": "k", "value": "v"}] and p["context"] == {"x": 1} and p["event"] == S.MISSED_EVENT
+
+
+def test_burn_rate_empty_window_is_null(spark):
+    from duewatch.operators.timeseries import burn_rate
+    from tests.conftest import T0, make_runs
+    runs = make_runs(spark, [dict(process_id="a", name="quiet", status="ACTIVE", started=-3600, deadline=3600)])
+    r = burn_rate(runs, T0, 24, 0.9).first()
+    assert (r.total, r.error_pct, r.burn_rate_x10) == (0, None, None)
