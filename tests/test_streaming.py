@@ -129,3 +129,36 @@ def test_late_requests_after_emission_dropped_and_counted(spark, scratch):
     assert dropped == 5
     assert out.filter("errors > 0").count() == 0
     assert out.count() == out.select("window_start").distinct().count()  # no window emitted twice
+
+
+def test_stream_gauges_end_to_end(spark, scratch):
+    import time
+    from duewatch.sources.runs import write_runs
+    from duewatch.streaming.counters import stream_gauges
+    from tests.conftest import make_runs
+    # Deadlines far in the past relative to the rate source's wall-clock ticks.
+    runs = make_runs(spark, [dict(process_id="a", name="x", status="ACTIVE", started=-3600, deadline=-60),
+                             dict(process_id="b", name="x", status="ACTIVE", started=-3600, deadline=-30)])
+    write_runs(runs, f"{scratch}/runs")
+    q = stream_gauges(spark, f"{scratch}/runs", f"{scratch}/snap", f"{scratch}/ck", interval="1 second")
+    try:
+        deadline = time.time() + 120
+        while time.time() < deadline:
+            if q.exception() is not None:
+                raise q.exception()
+            if _done_epochs(f"{scratch}/snap"):
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
+    # Read a completed per-epoch snapshot: "latest" is rewritten every trigger.
+    newest = max(_done_epochs(f"{scratch}/snap"), key=lambda d: int(d.split("=")[1]))
+    got = {r.name: r.overdue for r in spark.read.parquet(f"{scratch}/snap/{newest}").collect()}
+    assert got == {"x": 2}
+
+
+def _done_epochs(path):
+    if not os.path.isdir(path):
+        return []
+    return [d for d in os.listdir(path)
+            if d.startswith("epoch=") and os.path.exists(os.path.join(path, d, "_SUCCESS"))]
