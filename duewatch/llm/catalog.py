@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duewatch.llm import exact_dedup, mixing, token_counts
+from duewatch.llm import chat_format, exact_dedup, jaccard_join, mixing, token_counts
 from duewatch.llm.shared import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -27,7 +27,19 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", chat_format.PLANTED), (-7, 1, "assistant", chat_format.PLANTED)],
+                                    turns.schema)
+    return chat_format.chat_digest(chat_format.format_chats(turns.unionByName(planted)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_exact_dedup, op5_token_counts, op7_mix_sources)
+    f.__name__: f for f in (op3_exact_dedup, op5_token_counts, op7_mix_sources, op8_jaccard_join,
+                            op9_chat_format)
 }
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat_format.ORACLE}
