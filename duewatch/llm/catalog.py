@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duewatch.llm import chat_format, exact_dedup, jaccard_join, mixing, token_counts
+from duewatch.llm import chat_format, decontaminate, exact_dedup, jaccard_join, mixing, token_counts
 from duewatch.llm.shared import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -22,6 +22,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -39,7 +43,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_exact_dedup, op5_token_counts, op7_mix_sources, op8_jaccard_join,
+    f.__name__: f for f in (op3_exact_dedup, op5_token_counts, op6_decontaminate, op7_mix_sources, op8_jaccard_join,
                             op9_chat_format)
 }
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat_format.ORACLE}

@@ -17,6 +17,9 @@ import pyarrow as pa
 WINDOW = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Space and ASCII punctuation: words are then runs of letters, digits and non-ASCII characters.
+PUNCTUATION = SPACE.copy()
+PUNCTUATION[[c for c in range(128) if not chr(c).isalnum()]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SEED = np.random.Generator(np.random.PCG64(20240601))
@@ -78,7 +81,7 @@ def document_groups(offsets: np.ndarray, most: int = WINDOW) -> Iterator[tuple[i
         a = min(b, n)
 
 
-def _window_ends(space: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
+def _window_ends(space: np.ndarray) -> Iterator[tuple[int, int]]:
     s, n = 0, space.size
     while s < n:
         e = min(s + WINDOW, n)
@@ -93,24 +96,31 @@ def _window_ends(space: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, i
         s = e
 
 
-def words(data: np.ndarray, offsets: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of rows [a, b), and each word's row (counted from a)."""
-    base = offsets[a]
-    chunk = data[base:offsets[b]]
-    if not chunk.size:
-        return np.empty(0, np.uint64), np.empty(0, np.int32)
-    space = SPACE[chunk]
+def word_spans(chunk: np.ndarray, bounds: np.ndarray,
+               between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, space): the words of ``chunk``, in which rows begin and end at ``bounds``."""
+    space = between[chunk]
     edge = np.zeros(chunk.size + 1, bool)
-    edge[offsets[a:b + 1] - base] = True
+    edge[bounds] = True
     word = ~space
     prior = np.empty(chunk.size, bool)
     prior[0], prior[1:] = True, space[:-1]
     after = np.empty(chunk.size, bool)
     after[-1], after[:-1] = True, space[1:]
     starts = np.flatnonzero(word & (prior | edge[:-1]))
-    ends = np.flatnonzero(word & (after | edge[1:])) + 1
+    return starts, np.flatnonzero(word & (after | edge[1:])) + 1, space
+
+
+def words(data: np.ndarray, offsets: np.ndarray, a: int, b: int,
+          between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of rows [a, b), and each word's row (counted from a)."""
+    base = offsets[a]
+    chunk = data[base:offsets[b]]
+    if not chunk.size:
+        return np.empty(0, np.uint64), np.empty(0, np.int32)
+    starts, ends, space = word_spans(chunk, offsets[a:b + 1] - base, between)
     out = np.empty(starts.size, np.uint64)
-    windows = [(0, chunk.size)] if b - a > 1 or chunk.size <= WINDOW else _window_ends(space, starts)
+    windows = [(0, chunk.size)] if b - a > 1 or chunk.size <= WINDOW else _window_ends(space)
     for s, e in windows:
         i, j = np.searchsorted(starts, (s, e))
         if i < j:
