@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duewatch.llm import chat_format, decontaminate, exact_dedup, jaccard_join, mixing, token_counts
+from duewatch.llm import chat_format, decontaminate, exact_dedup, jaccard_join, mixing, token_counts, toxicity
 from duewatch.llm.shared import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -42,8 +42,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(chat_format.format_chats(turns.unionByName(planted)))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op3_exact_dedup, op5_token_counts, op6_decontaminate, op7_mix_sources, op8_jaccard_join,
-                            op9_chat_format)
+                            op9_chat_format, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat_format.ORACLE}

@@ -81,7 +81,7 @@ def document_groups(offsets: np.ndarray, most: int = WINDOW) -> Iterator[tuple[i
         a = min(b, n)
 
 
-def _window_ends(space: np.ndarray) -> Iterator[tuple[int, int]]:
+def window_ends(space: np.ndarray) -> Iterator[tuple[int, int]]:
     s, n = 0, space.size
     while s < n:
         e = min(s + WINDOW, n)
@@ -120,7 +120,7 @@ def words(data: np.ndarray, offsets: np.ndarray, a: int, b: int,
         return np.empty(0, np.uint64), np.empty(0, np.int32)
     starts, ends, space = word_spans(chunk, offsets[a:b + 1] - base, between)
     out = np.empty(starts.size, np.uint64)
-    windows = [(0, chunk.size)] if b - a > 1 or chunk.size <= WINDOW else _window_ends(space)
+    windows = [(0, chunk.size)] if b - a > 1 or chunk.size <= WINDOW else window_ends(space)
     for s, e in windows:
         i, j = np.searchsorted(starts, (s, e))
         if i < j:
