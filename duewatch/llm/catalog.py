@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duewatch.llm import chat_format, decontaminate, exact_dedup, jaccard_join, mixing, token_counts, toxicity
+from duewatch.llm import chat_format, decontaminate, exact_dedup, jaccard_join, mixing, quality, token_counts, toxicity
 from duewatch.llm.shared import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -16,6 +16,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality_scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_exact_dedup, op5_token_counts, op6_decontaminate, op7_mix_sources, op8_jaccard_join,
+    f.__name__: f for f in (op3_exact_dedup, op4_quality, op5_token_counts, op6_decontaminate, op7_mix_sources, op8_jaccard_join,
                             op9_chat_format, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat_format.ORACLE}
