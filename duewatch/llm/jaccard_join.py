@@ -6,14 +6,14 @@ their count over all documents in a fixed-size count table, then by hash). Two
 sets of similarity t or more share a shingle within their prefixes of
 n - ceil(t * n) + 1, so classes are joined on prefix shingles alone; pairs
 outside the length bound, or whose positions leave too little to share, go at
-once. Distinct pairs are verified once: a suffix filter compares how many
-shingles of each lie in every part of the hash range, and what passes is
-counted exactly.
+once. So do pairs that a suffix filter tells apart: each set has the parity of
+its count in each of 256 hash cells, and two sets differ in at least as many
+shingles as parities. What is left is verified once per pair by an exact count.
 
 Joining all classes under a frequent shingle with each other would grow with
 the square of a family of near copies, though its members hang together by few
-links. So a few rounds join every class only with one pivot of each shingle it
-is under, and components are formed; then only pairs whose ends are still in
+links. So every class is first joined with a few pivots of each shingle it is
+under, and components are formed; then only pairs whose ends are still in
 different components are formed, all of them. Components come out as if every
 pair had been verified.
 """
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duewatch.llm import hashing
@@ -32,8 +32,10 @@ from duewatch.llm.components import components
 from duewatch.llm.shared import cut, flag_by_bits, set_bits
 
 COUNT_BITS = 18
-PIVOT_ROUNDS = 3
-PARTS = 16
+PIVOTS = 4
+ID_BITS = 23
+PARITY_LONGS = 4
+PARITY = [f"q{k}" for k in range(PARITY_LONGS)]
 
 
 def _document_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -78,7 +80,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(id, n, s1, s2, prefix): set size, digest of the set in two longs, and its rarest shingles in order."""
+    """(id, n, s1, s2, parities, prefix): set size, digest of the set in two longs, rarest shingles in order."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,11 +88,14 @@ def _prefixes(docs: DataFrame, words: int, percent: int, counts: np.ndarray) ->
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             digest = np.zeros((2, batch.num_rows), np.uint64)
+            parity = np.zeros((PARITY_LONGS, batch.num_rows), np.int64)
             prefix: list[np.ndarray] = [np.empty(0, np.int64)] * batch.num_rows
             for i, s in _document_sets(batch, words):
                 n[i] = s.size
                 digest[0, i] = hashing.mix(s ^ np.uint64(0x5BD1E9955BD1E995)).sum(dtype=np.uint64)
                 digest[1, i] = np.bitwise_xor.reduce(hashing.mix(s))
+                odd = np.bincount(s & np.uint64(64 * PARITY_LONGS - 1), minlength=64 * PARITY_LONGS) & 1
+                parity[:, i] = np.packbits(odd.astype(bool)).view(np.int64)
                 size = s.size - -(-percent * s.size // 100) + 1
                 f = freq[s >> np.uint64(64 - COUNT_BITS)]
                 if size < s.size:  # all that are rare enough, then in order
@@ -99,10 +104,12 @@ def _prefixes(docs: DataFrame, words: int, percent: int, counts: np.ndarray) ->
                 prefix[i] = _signed(s[np.lexsort((s, f))[:size]])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n), pa.array(_signed(digest[0])), pa.array(_signed(digest[1])),
-                 pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "s1", "s2", "prefix"])
+                 *map(pa.array, parity), pa.array(prefix, pa.list_(pa.int64()))],
+                ["id", "n", "s1", "s2", *PARITY, "prefix"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n bigint, s1 bigint, s2 bigint, prefix array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, n bigint, s1 bigint, s2 bigint, "
+                                + "".join(f"{c} bigint, " for c in PARITY) + "prefix array<bigint>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -127,22 +134,23 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets reach the similarity: suffix filter first, then the exact count."""
-    least = -(-percent * (x.size + y.size) // (100 + percent))  # the intersection that is needed
-    step = max(1, y.size // PARTS)
-    marks = y[step::step]
-    apart = np.abs(np.diff(np.searchsorted(x, marks), prepend=0, append=x.size)
-                   - np.diff(np.searchsorted(y, marks), prepend=0, append=y.size)).sum()
-    if (x.size + y.size - int(apart)) // 2 < least:
-        return False
+    """Whether two sorted sets reach the similarity."""
     both = np.concatenate((x, y))
     both.sort(kind="stable")
     common = int(np.count_nonzero(both[1:] == both[:-1]))
     return 100 * common >= percent * (x.size + y.size - common)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows (a, b) of ``pairs`` that are linked."""
+def _verify(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rows (a, b) of ``pairs`` that are linked.
+
+    Only the sets of documents that stand in a pair are made and shuffled: a
+    fixed-size filter of their ids tells them apart in the scan.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    cell = F.pmod(F.xxhash64(F.col("id")), F.lit(1 << ID_BITS))
+    wanted = flag_by_bits(rows, set_bits(ids.select(cell.alias("c")), "c"), cell, "w").where("w").select("id", "t")
+    sets = cut(_sets(wanted, words).join(ids, "id", "left_semi").dropDuplicates(["id"]), "jaccard-sets")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
 
@@ -159,7 +167,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
-                    percent: int = 90, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
+                    percent: int = 90) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``; ids are longs.
 
     Words are runs of other bytes than space and 0x09-0x0D, A-Z as a-z; a set
@@ -174,53 +182,38 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     found = cut(_prefixes(rows, words, percent, shingle_counts(rows, words)), "jaccard-prefixes")
     classes = cut(found.where("n > 0 and id is not null").groupBy("n", "s1", "s2")
-                  .agg(F.min(F.struct("id", "prefix")).alias("r"))
-                  .select("n", "s1", "s2", "r.id", "r.prefix"), "jaccard-classes")
-    # Rows of each prefix shingle that stands in two classes at least.
-    under = classes.select("id", "n", F.posexplode("prefix").alias("i", "token"))
-    shared = under.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("n", "id")).alias("p")).where("m > 1")
-    under = cut(under.join(shared.select("token", "p"), "token"), "jaccard-tokens")
-    needed = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100 + percent))
-    reach = ((F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2"))  # length filter
-             & (1 + F.least(F.col("n") - F.col("i") - 1, F.col("n2") - F.col("i2") - 1) >= needed))  # positional filter
-
-    ids = under.select("id").distinct()
-    cell = F.pmod(F.xxhash64(F.col("id")), F.lit(1 << 23))
-    wanted = flag_by_bits(rows, set_bits(ids.select(cell.alias("c")), "c"), cell, "w").where("w").select("id", "t")
-    sets = cut(_sets(wanted, words).join(ids, "id", "left_semi").dropDuplicates(["id"]), "jaccard-sets")
-
-    links, component, seen = None, None, None
-    for step in range(pivot_rounds + 1):
-        last = step == pivot_rounds
-        if component is None:
-            open_ = under.withColumn("c", F.col("id"))
-        else:
-            open_ = under.join(component.withColumnRenamed("component", "c"), "id", "left") \
-                .withColumn("c", F.coalesce("c", "id"))
-            spread = open_.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-            open_ = cut(open_.join(spread.select("token"), "token", "left_semi"), "jaccard-open")
-            if open_.isEmpty():
-                break
-        other = open_.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("i").alias("i2"),
-                             F.col("c").alias("c2"))
-        if not last:  # each class with one pivot of its shingle: the smallest set, then others by turns
-            if step == 0:
-                pivot = open_.select("token", F.col("p.id").alias("id2")).distinct()
-            else:
-                turn = F.struct(F.xxhash64(F.lit(step), "c"), F.xxhash64(F.lit(step), "id"), "id")
-                pivot = open_.groupBy("token").agg(F.min(turn).alias("q")).select("token", F.col("q.id").alias("id2"))
-            other = other.join(pivot, ["token", "id2"], "left_semi")
-        pairs = open_.join(other, "token").where((F.col("c") != F.col("c2")) & reach)
-        if last:
-            pairs = pairs.where("id < id2")
-        pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "jaccard-pairs")
-        good = cut(_verify(pairs, sets, percent), "jaccard-links")
-        links = good if links is None else links.unionByName(good)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        component = cut(components(links), "jaccard-components")
+                  .agg(F.min(F.struct("id", *PARITY, "prefix")).alias("r"))
+                  .select("n", "s1", "s2", "r.*"), "jaccard-classes")
+    # Rows of each prefix shingle that stands in two classes at least, and its pivots.
+    under = classes.select("id", "n", *PARITY, F.posexplode("prefix").alias("i", "token"))
+    first = [F.min(F.struct("n", "id"))["id"]] + [F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id"))["id"]
+                                                  for k in range(1, PIVOTS)]
+    shared = (under.groupBy("token").agg(F.count("*").alias("m"), F.array_distinct(F.array(*first)).alias("pivots"))
+              .where("m > 1"))
+    under = cut(under.join(shared.select("token", "pivots"), "token"), "jaccard-tokens")
+    pivots = cut(under.where(F.array_contains("pivots", F.col("id"))).drop("pivots"), "jaccard-pivots")
+    under = under.drop("pivots")
+
+    def pairs_of(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
+        right = right.select("token", *[F.col(c).alias(c + "_") for c in right.columns if c != "token"])
+        needed = F.ceil(F.lit(percent) * (F.col("n") + F.col("n_")) / F.lit(100 + percent))  # shared shingles
+        odd = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "_"))) for c in PARITY), F.lit(0))
+        reach = ((F.lit(100) * F.least("n", "n_") >= F.lit(percent) * F.greatest("n", "n_"))  # length filter
+                 & (F.least(F.col("n") - F.col("i"), F.col("n_") - F.col("i_")) >= needed)  # positional filter
+                 & (odd <= F.col("n") + F.col("n_") - 2 * needed))  # suffix filter
+        found = left.join(right, (left["token"] == right["token"]) & apart & reach)
+        return found.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+
+    tried = cut(pairs_of(under, pivots, F.col("id") != F.col("id_")), "jaccard-pairs")
+    links = cut(_verify(tried, rows, words, percent), "jaccard-links")
+    component = cut(components(links), "jaccard-components")
+    named = under.join(component.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    spread = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    named = cut(named.join(spread.select("token"), "token", "left_semi"), "jaccard-open")
+    rest = pairs_of(named, named, (F.col("id") < F.col("id_")) & (F.col("c") != F.col("c_")))
+    rest = cut(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    links = links.unionByName(cut(_verify(rest, rows, words, percent), "jaccard-links"))
+    component = cut(components(links), "jaccard-components")
     # Each class's component, and its least id; a class's id is the least of its rows.
     of_class = classes.select("n", "s1", "s2", "id")
     of_class = of_class.join(component, "id", "left").select(
