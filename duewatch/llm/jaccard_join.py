@@ -2,7 +2,8 @@
 
 A document's set is its distinct word shingles. Equal sets are one class, so
 copies are compared once. Shingles have one global order, rarest first (by
-their count over all documents in a fixed-size count table, then by hash). Two
+how often they are repeated, from a fixed-size table over all documents, then
+by hash). Two
 sets of similarity t or more share a shingle within their prefixes of
 n - ceil(t * n) + 1, so classes are joined on prefix shingles alone; pairs
 outside the length bound, or whose positions leave too little to share, go at
@@ -31,7 +32,8 @@ from duewatch.llm import hashing
 from duewatch.llm.components import components
 from duewatch.llm.shared import cut, flag_by_bits, set_bits
 
-COUNT_BITS = 18
+COUNT_BITS = 22
+BLOCK = 1 << 22
 PIVOTS = 4
 ID_BITS = 23
 PARITY_LONGS = 4
@@ -49,29 +51,33 @@ def _document_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.
 
 
 def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
-    """Rows of ``docs`` (id, t) that hold a shingle of each of 2**COUNT_BITS hash cells.
+    """How often shingles are repeated, in a table of 2**COUNT_BITS hash cells of two bytes.
 
-    The table has a fixed size (2 MB) whatever the input; tasks count into it
-    and the counts are added up by Spark.
+    Tasks go over all documents in blocks of BLOCK shingles, count how many of
+    a block's documents have each, and report those that more than one has; so
+    a cell holds what is repeated and not the noise of all that occurs once.
+    The table orders prefixes; any numbers in it give the same links.
     """
+    def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+        distinct, n = np.unique(np.concatenate(held), return_counts=True)
+        cell = (distinct[n > 1] >> np.uint64(64 - COUNT_BITS)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[n > 1].astype(np.int64))], ["cell", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, np.int64)
         held, size = [], 0
         for batch in batches:
             for _, s in _document_sets(batch, words):
                 held.append(s)
                 size += s.size
-                if size > 1 << 20:
-                    total += np.bincount(np.concatenate(held) >> np.uint64(64 - COUNT_BITS), minlength=total.size)
+                if size > BLOCK:
+                    yield repeated(held)
                     held, size = [], 0
         if held:
-            total += np.bincount(np.concatenate(held) >> np.uint64(64 - COUNT_BITS), minlength=total.size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
+            yield repeated(held)
 
-    rows = docs.mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << COUNT_BITS, np.int64)
-    out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    got = docs.mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNT_BITS, np.uint16)
+    out[got.column(0).to_numpy()] = np.minimum(got.column(1).to_numpy(), 65535)
     return out
 
 
@@ -185,14 +191,13 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                   .agg(F.min(F.struct("id", *PARITY, "prefix")).alias("r"))
                   .select("n", "s1", "s2", "r.*"), "jaccard-classes")
     # Rows of each prefix shingle that stands in two classes at least, and its pivots.
-    under = classes.select("id", "n", *PARITY, F.posexplode("prefix").alias("i", "token"))
+    under = classes.select("id", "n", F.posexplode("prefix").alias("i", "token"))
+    shared = under.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    under = cut(under.join(shared, "token").join(classes.select("id", *PARITY), "id"), "jaccard-tokens")
     first = [F.min(F.struct("n", "id"))["id"]] + [F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id"))["id"]
                                                   for k in range(1, PIVOTS)]
-    shared = (under.groupBy("token").agg(F.count("*").alias("m"), F.array_distinct(F.array(*first)).alias("pivots"))
-              .where("m > 1"))
-    under = cut(under.join(shared.select("token", "pivots"), "token"), "jaccard-tokens")
-    pivots = cut(under.where(F.array_contains("pivots", F.col("id"))).drop("pivots"), "jaccard-pivots")
-    under = under.drop("pivots")
+    chosen = under.groupBy("token").agg(F.array_distinct(F.array(*first)).alias("id")).select("token", F.explode("id").alias("id"))
+    pivots = under.join(chosen, ["token", "id"], "left_semi")
 
     def pairs_of(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
         right = right.select("token", *[F.col(c).alias(c + "_") for c in right.columns if c != "token"])
