@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duewatch.llm import chat_format, decontaminate, exact_dedup, jaccard_join, mixing, pii, quality, token_counts, toxicity
+from duewatch.llm import chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, token_counts, toxicity
 from duewatch.llm.shared import table
 
 TOKENIZER = "piece_bpe_32k.model"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_pii, op3_exact_dedup, op4_quality, op5_token_counts, op6_decontaminate, op7_mix_sources, op8_jaccard_join,
+    f.__name__: f for f in (op1_line_dedup, op2_pii, op3_exact_dedup, op4_quality, op5_token_counts, op6_decontaminate, op7_mix_sources, op8_jaccard_join,
                             op9_chat_format, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat_format.ORACLE}
