@@ -51,7 +51,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
                                                          F.col("copies").alias("__copies"))
     joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]) & docs["source"].eqNullSafe(taken["__source"]))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "__copies")).alias(name))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["__copies"])).alias(name))
 
 
 STAGES = [("quality classifier", good_quality), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies),

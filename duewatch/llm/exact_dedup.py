@@ -33,17 +33,19 @@ def _cell(digest: str, i: int, bits: int) -> Column:
 
 
 def flag_possible_repeats(rows: DataFrame, digest: str, flag: str, *, bits: int = FILTER_BITS,
-                          hashes: int = HASHES) -> DataFrame:
+                          hashes: int = HASHES, seen: DataFrame | None = None) -> DataFrame:
     """Add boolean ``flag``: false only where no other row has the same ``digest``.
 
     The filter has 2**bits cells per hash function whatever the input, so the
     broadcast bit sets stay under 2**bits / 4 bytes each (16 MB at 26). With n
     rows a unique row is flagged with probability about (n / 2**bits)**hashes;
-    past the filter's size more rows shuffle and the result is the same.
+    past the filter's size more rows shuffle and the result is the same. ``seen``
+    may give the digests of the same rows in a table that is cheaper to read.
     """
+    seen = rows if seen is None else seen
     out = rows
     for i in range(hashes):
-        shared = (rows.select(_cell(digest, i, bits).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+        shared = (seen.select(_cell(digest, i, bits).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
                   .where("n > 1"))
         out = flag_by_bits(out, set_bits(shared, "c"), _cell(digest, i, bits), f"__hit{i}")
     hits = [F.col(f"__hit{i}") for i in range(hashes)]
@@ -86,20 +88,12 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Between rows of the same id and text the choice is by their other columns,
     in order, so that reruns agree.
     """
-    cols = docs.columns
-    digests = cut(docs.select(F.sha2(normalised(F.col(text_col)), 256).alias("sha")), "exact-digests")
-    shared = []
-    for i in range(HASHES):
-        cells = digests.select(_cell("sha", i, bits).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
-        shared.append(set_bits(cells.where("n > 1"), "c"))
-    rows = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
-    for i, words in enumerate(shared):
-        rows = flag_by_bits(rows, words, _cell("__sha", i, bits), f"__hit{i}")
-    every = F.col("__hit0") & F.col("__hit1")
-    alone = rows.where(~every).select(*cols)
-    ordered = F.struct(F.col(id_col).alias("__k"), *[F.col(c) for c in cols])
-    kept = rows.where(every).groupBy("__sha").agg(F.max(ordered).alias("__row"))
-    return alone.unionByName(kept.select(*[F.col("__row")[c].alias(c) for c in cols]))
+    sha = F.sha2(normalised(F.col(text_col)), 256)
+    digests = cut(docs.select(sha.alias("sha")), "exact-digests")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("k"), sha.alias("sha"))  # no name can clash
+    rows = flag_possible_repeats(rows, "sha", "maybe", bits=bits, seen=digests)
+    kept = rows.where("maybe").groupBy("sha").agg(F.max(F.struct("k", "row")).alias("best"))
+    return rows.where("not maybe").select("row.*").unionByName(kept.select("best.row.*"))
 
 
 ORACLE = """

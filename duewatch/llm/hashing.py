@@ -99,6 +99,8 @@ def window_ends(space: np.ndarray) -> Iterator[tuple[int, int]]:
 def word_spans(chunk: np.ndarray, bounds: np.ndarray,
                between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, space): the words of ``chunk``, in which rows begin and end at ``bounds``."""
+    if not chunk.size:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     space = between[chunk]
     edge = np.zeros(chunk.size + 1, bool)
     edge[bounds] = True

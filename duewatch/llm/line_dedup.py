@@ -341,6 +341,6 @@ def drop_lines(docs: DataFrame, digest: DataFrame, *, id_col: str = "doc_id", te
     """``docs`` with the lines that ``digest`` drops taken out of their texts; other columns and null texts stay."""
     gone = digest.where("n_dropped > 0").select(F.col(id_col).alias("__id"), F.col("dropped").alias("__gone"))
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
-    left = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(left)
+    left = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda _, i: ~F.array_contains(gone["__gone"], i)), "\n")
+    text = F.when(gone["__gone"].isNull(), docs[text_col]).otherwise(left)
     return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -70,10 +70,10 @@ def keep_without(rows: DataFrame, dropped: DataFrame, key: str, bits: int = 23)
     shuffle for the exact anti-join, the rest pass straight through. Null keys
     are kept.
     """
-    cell = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits))
-    words = set_bits(dropped.select(cell.alias("__c")), "__c")
-    flagged = flag_by_bits(rows, words, cell, "__maybe")
-    passed = flagged.where("not __maybe").drop("__maybe")
-    ids = dropped.select(F.col(key).alias("__gone"))
-    tested = flagged.where("__maybe").drop("__maybe")
-    return passed.unionByName(tested.join(ids, tested[key] == ids["__gone"], "left_anti"))
+    ids = dropped.select(F.col(key).alias("gone"))
+    cell = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(1 << bits))
+    words = set_bits(ids.select(cell("gone").alias("c")), "c")
+    packed = rows.select(F.struct("*").alias("row"), F.col(key).alias("key"))  # no name of a column can clash
+    flagged = flag_by_bits(packed, words, cell("key"), "maybe")
+    tested = flagged.where("maybe").join(ids, F.col("key") == F.col("gone"), "left_anti")
+    return flagged.where("not maybe").select("row.*").unionByName(tested.select("row.*"))
