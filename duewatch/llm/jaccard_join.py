@@ -34,7 +34,6 @@ from duewatch.llm.shared import cut, flag_by_bits, set_bits
 
 COUNT_BITS = 22
 BLOCK = 1 << 22
-PIVOTS = 4
 ID_BITS = 23
 PARITY_LONGS = 4
 PARITY = [f"q{k}" for k in range(PARITY_LONGS)]
@@ -190,26 +189,39 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = cut(found.where("n > 0 and id is not null").groupBy("n", "s1", "s2")
                   .agg(F.min(F.struct("id", *PARITY, "prefix")).alias("r"))
                   .select("n", "s1", "s2", "r.*"), "jaccard-classes")
-    # Rows of each prefix shingle that stands in two classes at least, and its pivots.
+    # Each prefix shingle's classes. Where there are two, they are a pair at once; where there are
+    # more, its rows get the classes' parities and the pivots: the smallest set and two by hash.
+    place = F.struct("id", F.col("n").cast("int").alias("n"), "i")
     under = classes.select("id", "n", F.posexplode("prefix").alias("i", "token"))
-    shared = under.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    under = cut(under.join(shared, "token").join(classes.select("id", *PARITY), "id"), "jaccard-tokens")
-    first = [F.min(F.struct("n", "id"))["id"]] + [F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id"))["id"]
-                                                  for k in range(1, PIVOTS)]
-    chosen = under.groupBy("token").agg(F.array_distinct(F.array(*first)).alias("id")).select("token", F.explode("id").alias("id"))
+    lists = cut(under.groupBy("token").agg(F.count("*").alias("m"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+                .where("m > 1"), "jaccard-lists")
+    under = cut(under.join(lists.where("m > 2").select("token"), "token").join(classes.select("id", *PARITY), "id"),
+                "jaccard-tokens")
+    turn = F.struct(F.xxhash64("id").alias("h"), "id")
+    chosen = (under.groupBy("token").agg(F.array_distinct(F.array(F.min(F.struct("n", "id"))["id"], F.min(turn)["id"],
+                                                                  F.max(turn)["id"])).alias("id"))
+              .select("token", F.explode("id").alias("id")))
     pivots = under.join(chosen, ["token", "id"], "left_semi")
 
+    def needed(n: Column, m: Column) -> Column:
+        return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))  # shared shingles of a linked pair
+
+    def near(n: Column, i: Column, m: Column, j: Column) -> Column:
+        return ((F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m))  # length filter
+                & (F.least(n - i, m - j) >= needed(n, m)))  # positional filter
+
     def pairs_of(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
         right = right.select("token", *[F.col(c).alias(c + "_") for c in right.columns if c != "token"])
-        needed = F.ceil(F.lit(percent) * (F.col("n") + F.col("n_")) / F.lit(100 + percent))  # shared shingles
         odd = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "_"))) for c in PARITY), F.lit(0))
-        reach = ((F.lit(100) * F.least("n", "n_") >= F.lit(percent) * F.greatest("n", "n_"))  # length filter
-                 & (F.least(F.col("n") - F.col("i"), F.col("n_") - F.col("i_")) >= needed)  # positional filter
-                 & (odd <= F.col("n") + F.col("n_") - 2 * needed))  # suffix filter
+        n, m = F.col("n"), F.col("n_")
+        reach = near(n, F.col("i"), m, F.col("i_")) & (odd <= n + m - 2 * needed(n, m))  # and suffix filter
         found = left.join(right, (left["token"] == right["token"]) & apart & reach)
         return found.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
 
-    tried = cut(pairs_of(under, pivots, F.col("id") != F.col("id_")), "jaccard-pairs")
+    lo, hi = F.col("lo"), F.col("hi")
+    twos = (lists.where("m = 2").where(near(lo["n"], lo["i"], hi["n"], hi["i"]))
+            .select(lo["id"].alias("a"), hi["id"].alias("b")).distinct())
+    tried = cut(pairs_of(under, pivots, F.col("id") != F.col("id_")).unionByName(twos).distinct(), "jaccard-pairs")
     links = cut(_verify(tried, rows, words, percent), "jaccard-links")
     component = cut(components(links), "jaccard-components")
     named = under.join(component.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
