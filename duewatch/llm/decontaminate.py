@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duewatch.llm import hashing
-from duewatch.llm.shared import cut, keep_without
+from duewatch.llm.shared import cut, keep_without, map_batches
 
 BLOCKS, BLOCK_BITS = 4, 16
 RADIUS = 19
@@ -166,7 +166,7 @@ def _hits(docs: DataFrame, index: ItemIndex, words: int, least: float, item_type
                  pa.array([o[3] for o in out], pa.int64())],
                 ["id", "item_id", "similarity", "first_word", "n_words"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, item_id {item_type}, "
+    return map_batches(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, item_id {item_type}, "
                                 "similarity double, first_word bigint, n_words bigint")
 
 

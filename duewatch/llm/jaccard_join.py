@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from duewatch.llm import hashing
 from duewatch.llm.components import components
-from duewatch.llm.shared import cut, flag_by_bits, set_bits
+from duewatch.llm.shared import cut, flag_by_bits, map_batches, set_bits
 
 COUNT_BITS = 22
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 ID_BITS = 23
 PARITY_LONGS = 4
 PARITY = [f"q{k}" for k in range(PARITY_LONGS)]
@@ -74,7 +74,7 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
         if held:
             yield repeated(held)
 
-    got = docs.mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    got = map_batches(docs, count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << COUNT_BITS, np.uint16)
     out[got.column(0).to_numpy()] = np.minimum(got.column(1).to_numpy(), 65535)
     return out
@@ -113,7 +113,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, counts: np.ndarray) ->
                 ["id", "n", "s1", "s2", *PARITY, "prefix"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n bigint, s1 bigint, s2 bigint, "
+    return map_batches(docs, run, f"id {kind}, n bigint, s1 bigint, s2 bigint, "
                                 + "".join(f"{c} bigint, " for c in PARITY) + "prefix array<bigint>")
 
 
@@ -135,7 +135,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                                                   pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, shingles array<bigint>")
+    return map_batches(docs, run, f"id {kind}, shingles array<bigint>")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -168,7 +168,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> Data
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    return map_batches(joined, run, "a bigint, b bigint")
 
 
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3,

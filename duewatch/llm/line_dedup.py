@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from duewatch.llm import hashing
 from duewatch.llm.components import components
-from duewatch.llm.shared import cut, flag_by_bits, set_bits
+from duewatch.llm.shared import cut, flag_by_bits, map_batches, set_bits
 
 TAU = 2
 LEAST_BYTES = 20
@@ -166,7 +166,7 @@ def _occurrences(rows: DataFrame) -> DataFrame:
                     [batch.column(0).take(pa.array(row + a)), pa.array((number + before).astype(np.int32)), _signed(h)],
                     ["id", "line", "h"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, line int, h bigint")
+    return map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, line int, h bigint")
 
 
 def _cells(rows: DataFrame, tau: int, least: int) -> DataFrame:
@@ -181,7 +181,7 @@ def _cells(rows: DataFrame, tau: int, least: int) -> DataFrame:
                 cells = np.unique(np.concatenate(found) & mask)
                 yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64))], ["cell"])
 
-    return rows.mapInArrow(run, "cell bigint")
+    return map_batches(rows, run, "cell bigint")
 
 
 def _keys(rows: DataFrame, bits: np.ndarray, tau: int, least: int) -> DataFrame:
@@ -212,7 +212,7 @@ def _keys(rows: DataFrame, bits: np.ndarray, tau: int, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), _signed(np.concatenate(lines)),
                                                   pa.array(np.concatenate(probe))], ["key", "h", "probe"])
 
-    return rows.mapInArrow(run, "key bigint, h bigint, probe boolean")
+    return map_batches(rows, run, "key bigint, h bigint, probe boolean")
 
 
 def _bit_array(words: DataFrame) -> np.ndarray:
@@ -252,7 +252,7 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                     [_signed(h[hit]), pa.array([len(t) for t in texts], pa.int64()), pa.array(texts, pa.binary()),
                      *map(pa.array, parity)], ["h", "n", "t", *PAIRS])
 
-    got = rows.mapInArrow(run, "h bigint, n bigint, t binary, " + ", ".join(f"{c} bigint" for c in PAIRS))
+    got = map_batches(rows, run, "h bigint, n bigint, t binary, " + ", ".join(f"{c} bigint" for c in PAIRS))
     return got.join(wanted, "h", "left_semi").dropDuplicates(["h"])
 
 
@@ -266,7 +266,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
                     for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    return map_batches(joined, run, "a bigint, b bigint")
 
 
 def line_links(rows: DataFrame, tau: int, least: int) -> DataFrame:

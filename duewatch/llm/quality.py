@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from duewatch.llm import hashing
 from duewatch.llm.toxicity import learnable
+from duewatch.llm.shared import map_batches
 
 SAMPLE_A_CLASS = 2000
 POOL = 6000
@@ -202,22 +203,23 @@ def _columns(docs: DataFrame, cols: tuple[str, str, str, str, str]) -> DataFrame
                        F.col(size_col).cast("double").alias("n"))
 
 
-def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Both views of a batch whose last four columns are text, language, source, size."""
-    t, l, s, n = batch.columns[-4:]
+def _views(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of a batch, from its text, language, source and size."""
+    t, l, s, n = columns
     return (text_features(*hashing.string_buffers(t)),
-            meta_features(l.to_pylist(), s.to_pylist(), n.to_numpy(zero_copy_only=False).astype(float)))
+            meta_features(l.cast(pa.string()).to_pylist(), s.cast(pa.string()).to_pylist(),
+                          n.cast(pa.float64()).to_numpy(zero_copy_only=False)))
 
 
 def _features(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, m = _views(batch)
+            t, m = _views(batch.columns[1:])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(t), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.float64()))],
                 ["id", "text_view", "meta_view"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_view array<double>, "
+    return map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, text_view array<double>, "
                                 "meta_view array<double>")
 
 
@@ -260,13 +262,13 @@ def quality_scores(docs: DataFrame, model: Model, *, cols: tuple[str, str, str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            x, y = _views(batch)
+            x, y = _views(batch.columns[1:])
             t, m = model.text(x), model.meta(y)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(t), pa.array(m), pa.array(model.combine(t, m))],
                 ["id", "text_score", "meta_score", "score"])
 
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text_score double, "
+    out = map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, text_score double, "
                                "meta_score double, score double")
     return out.select(F.col("id").alias(cols[0]), "text_score", "meta_score", "score",
                       F.when(F.col("score") >= least, 1).otherwise(0).alias("predicted"))
@@ -275,17 +277,14 @@ def quality_scores(docs: DataFrame, model: Model, *, cols: tuple[str, str, str,
 def quality_filter(docs: DataFrame, model: Model, *, cols: tuple[str, str, str, str, str] = COLUMNS,
                    least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is ``least`` or more, with all their columns as they are; a map."""
-    wide = docs.select("*", *[c.alias(f"__v{i}") for i, c in enumerate(
-        (F.coalesce(F.col(cols[1]), F.lit("")), F.col(cols[2]).cast("string"), F.col(cols[3]).cast("string"),
-         F.col(cols[4]).cast("double")))])
+    at = [docs.columns.index(c) for c in cols[1:]]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    width = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            x, y = _views(batch)
+            x, y = _views([batch.column(i) for i in at])
             keep = model.combine(model.text(x), model.meta(y)) >= least
-            yield batch.select(list(range(width))).filter(pa.array(keep))
+            yield batch.filter(pa.array(keep))
 
-    return wide.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

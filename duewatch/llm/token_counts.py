@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duewatch.llm.shared import map_batches
+
 SPACE = "▁"
 CACHE = 600_000
 
@@ -120,6 +122,6 @@ def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", te
                 ["id", "n_bytes", "n_tokens"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint")
+    out = map_batches(rows, run, f"id {kind}, n_bytes bigint, n_tokens bigint")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens",
                       (F.col("n_tokens") > limit).alias("over_limit"))

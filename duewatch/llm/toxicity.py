@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duewatch.llm import hashing
+from duewatch.llm.shared import map_batches
 
 BUCKET_BITS = 17
 GRAMS = (3, 4, 5)
@@ -258,7 +259,7 @@ def score_texts(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_c
             score = np.where(np.diff(offsets) > 0, model.scores(data, offsets), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["id", "score"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
