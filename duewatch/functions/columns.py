@@ -145,8 +145,10 @@ def round_int(col) -> Column:
 def budget_used(as_of) -> Column:
     """Deadline budget used in percent on whole seconds:
     ``min(120, max(0, end − start) / (deadline − start) · 100)``, end defaulting
-    to as_of; null without a deadline or with a zero budget."""
+    to as_of; null without a deadline. A budget of zero is 120 once time has
+    passed and null before."""
     end = F.unix_seconds(F.coalesce(F.col("completed_at"), instant(as_of)))
     st, dl = F.unix_seconds(F.col("started_at")), F.unix_seconds(F.col("deadline"))
     pct = F.try_divide(F.greatest(F.lit(0), end - st).cast("double"), (dl - st).cast("double")) * F.lit(100.0)
-    return F.when(F.col("deadline").isNotNull() & (dl != st), F.least(F.lit(120.0), pct))
+    return (F.when(F.col("deadline").isNotNull() & (dl != st), F.least(F.lit(120.0), pct))
+            .when((dl == st) & (end > st), F.lit(120.0)))

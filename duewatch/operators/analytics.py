@@ -13,16 +13,19 @@ from duewatch.functions import columns as C
 from duewatch.functions.jsoncols import parse_tags_or_null
 from duewatch.functions.time import instant, minus_hours
 from duewatch.operators.ordering import top_k
+from duewatch.operators.quantiles import with_percentiles
 
 MAX_TAG_ROWS = 100
 DEFAULT_WINDOW_HOURS = 24
 
 
-def clamp_window(hours: int | None) -> int:
-    """Window hours are 1–720; default 24."""
+def window_hours(hours: int | None) -> int:
+    """Window hours, 1 to 720 (24 if None); others are an error, as in every entry point."""
     if hours is None:
         return DEFAULT_WINDOW_HOURS
-    return max(1, min(720, int(hours)))
+    if not 1 <= int(hours) <= 720:
+        raise ValueError(f"window hours must be 1 to 720: {hours}")
+    return int(hours)
 
 
 def scope(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name: str | None = None) -> DataFrame:
@@ -33,7 +36,7 @@ def scope(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name: str |
     ALL rather than one OR, so each branch's predicate reaches the scan: the
     ACTIVE branch prunes to the ACTIVE status partition, the finished branch
     pushes ``completed_at >= since`` into Parquet row-group statistics."""
-    since = minus_hours(as_of, hours)
+    since = minus_hours(as_of, window_hours(hours))
     by_name = F.lit(True) if name is None else (F.col("name") == F.lit(name))
     active = runs.filter(C.is_active() & by_name)
     finished = runs.filter((F.col("status") != C.ACTIVE) & C.completed.isNotNull()
@@ -41,27 +44,13 @@ def scope(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name: str |
     return active.unionByName(finished)
 
 
-def duration_stats(d: Column, approx: bool = False) -> list[Column]:
-    """count, avg, p50, p90, p99 of ``d`` (nulls ignored), rounded to 0.1.
+def duration_stats(d: str) -> list[Column]:
+    """count and average, rounded to 0.1, of ``d`` (nulls ignored)."""
+    return [F.expr(f"count({d})").alias("dur_count"), C.round1(f"avg({d})").alias("avg_s")]
 
-    Exact interpolated percentiles by default (one buffer for all three);
-    ``approx=True`` swaps in ``percentile_approx`` for very high-cardinality
-    groups, at the cost of exactness.
-    """
-    if isinstance(d, str):
-        q = (f"CAST(percentile_approx({d}, array(0.5D, 0.9D, 0.99D), 10000) AS ARRAY<DOUBLE>)" if approx
-             else f"percentile({d}, array(0.5D, 0.9D, 0.99D))")
-        return [F.expr(f"count({d})").alias("dur_count"), C.round1(f"avg({d})").alias("avg_s"),
-                F.expr(q).alias("_q")]
-    if approx:
-        q = F.percentile_approx(d, [0.5, 0.9, 0.99], 10000).cast("array<double>")
-    else:
-        q = F.percentile(d, [0.5, 0.9, 0.99])
-    return [
-        F.count(d).alias("dur_count"),
-        C.round1(F.avg(d)).alias("avg_s"),
-        q.alias("_q"),
-    ]
+
+def _approx(d: str) -> Column:
+    return F.expr(f"CAST(percentile_approx({d}, array(0.5D, 0.9D, 0.99D), 10000) AS ARRAY<DOUBLE>)").alias("_q")
 
 
 def _finish_stats(df: DataFrame) -> DataFrame:
@@ -80,22 +69,17 @@ def _classified(runs: DataFrame, as_of, hours: int, name: str | None) -> DataFra
 
 
 def tag_totals(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name: str | None = None,
-               approx: bool = False, method: str = "one_pass") -> DataFrame:
+               approx: bool = False) -> DataFrame:
     """Window totals (untagged runs included): total, problems, duration stats.
 
-    The percentiles here are over the whole scope, one global group; use
-    ``method="two_pass"`` for bounded memory on very large scopes."""
+    Percentiles are exact (:mod:`duewatch.operators.quantiles`) unless
+    ``approx`` asks for a sketch in the same pass."""
     s = _classified(runs, as_of, hours, name)
-    counts = [F.expr("count(1)").alias("total"), F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems")]
-    if method == "two_pass" and not approx:
-        from duewatch.operators.quantiles import exact_percentiles
-        base = s.agg(*counts, F.expr("count(dur)").alias("dur_count"), C.round1("avg(dur)").alias("avg_s"))
-        # A global aggregate always yields one row (null q when no durations),
-        # so the cross join below pairs one row with one row.
-        q = exact_percentiles(s, [], "dur").agg(F.first("q", ignorenulls=True).alias("_q"))
-        return _finish_stats(base.crossJoin(q))
-    agg = s.agg(*counts, *duration_stats("dur", approx))
-    return _finish_stats(agg)
+    counts = [F.expr("count(1)").alias("total"), F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems"),
+              *duration_stats("dur")]
+    if approx:
+        return _finish_stats(s.agg(*counts, _approx("dur")))
+    return _finish_stats(with_percentiles(s.agg(*counts), s, [], "dur"))
 
 
 def tag_impact_order() -> list[Column]:
@@ -112,39 +96,24 @@ def explode_tags(runs: DataFrame, *keep: str) -> DataFrame:
 
 
 def tag_rollup(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name: str | None = None,
-               approx: bool = False, method: str = "one_pass") -> DataFrame:
-    """Uncapped per-(key, value) rollup.
-
-    ``method="one_pass"`` uses Spark's exact ``percentile`` (memory per group
-    grows with its distinct durations); ``"two_pass"`` gives the same exact
-    values with bounded per-group memory (:mod:`duewatch.operators.quantiles`),
-    for tags that hold a large share of high-resolution durations."""
+               approx: bool = False) -> DataFrame:
+    """Uncapped per-(key, value) rollup; percentiles exact unless ``approx``."""
     s = explode_tags(_classified(runs, as_of, hours, name), "outcome", "dur")
     counts = [F.expr("count(1)").alias("total")] + [
         F.expr(f"count_if(outcome = '{o}')").alias(col) for o, col in
         [(C.OVERDUE, "overdue"), (C.ON_TRACK, "on_track"), (C.COMPLETED_LATE, "completed_late"),
          (C.COMPLETED_ON_TIME, "completed_on_time"), (C.FAILED, "failed")]]
-    counts.append(F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems"))
-    if method == "two_pass" and not approx:
-        from duewatch.operators.quantiles import exact_percentiles
-        keys = ["tag_key", "tag_value"]
-        base = s.groupBy(*keys).agg(*counts, F.expr("count(dur)").alias("dur_count"),
-                                    C.round1("avg(dur)").alias("avg_s"))
-        q = exact_percentiles(s, keys, "dur").select(
-            F.col("tag_key").alias("_qk"), F.col("tag_value").alias("_qv"), F.col("q").alias("_q"))
-        # Both sides derive from one frame, so the keys are renamed before the
-        # join; null-safe because a tag element may lack a key or a value.
-        cond = F.col("tag_key").eqNullSafe(F.col("_qk")) & F.col("tag_value").eqNullSafe(F.col("_qv"))
-        j = base.join(q, cond, "left").drop("_qk", "_qv")
-        return _finish_stats(j)
-    agg = s.groupBy("tag_key", "tag_value").agg(*counts, *duration_stats("dur", approx))
-    return _finish_stats(agg)
+    counts += [F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems"), *duration_stats("dur")]
+    keys = ["tag_key", "tag_value"]
+    if approx:
+        return _finish_stats(s.groupBy(*keys).agg(*counts, _approx("dur")))
+    return _finish_stats(with_percentiles(s.groupBy(*keys).agg(*counts), s, keys, "dur"))
 
 
 def tag_impact(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name: str | None = None,
-               cap: int = MAX_TAG_ROWS, approx: bool = False, method: str = "one_pass") -> DataFrame:
+               cap: int = MAX_TAG_ROWS, approx: bool = False) -> DataFrame:
     """Per-tag outcome breakdown, most problematic first, top ``cap``."""
-    return top_k(tag_rollup(runs, as_of, clamp_window(hours), name, approx, method), tag_impact_order(), cap)
+    return top_k(tag_rollup(runs, as_of, hours, name, approx), tag_impact_order(), cap)
 
 
 def summary(runs: DataFrame, as_of) -> DataFrame:
@@ -204,11 +173,12 @@ def distinct_names(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count_distinct("name").alias("names"))
 
 
-def overdue_by_name(runs: DataFrame, as_of, n: int = 100) -> DataFrame:
+def overdue_by_name(runs: DataFrame, as_of, n: int | None = None) -> DataFrame:
+    """Overdue runs per name: all names, or the ``n`` with the most, with ``pos``."""
     now = instant(as_of)
     over = runs.filter(C.is_active() & C.deadline.isNotNull() & (C.deadline < now))
     agg = over.groupBy("name").agg(F.count(F.lit(1)).alias("overdue"))
-    return top_k(agg, [F.col("overdue").desc(), F.col("name").asc()], n)
+    return agg if n is None else top_k(agg, [F.col("overdue").desc(), F.col("name").asc()], n)
 
 
 def count_by_status(runs: DataFrame, status: str | None = None) -> DataFrame:
@@ -236,17 +206,10 @@ def completion_metrics(runs: DataFrame) -> DataFrame:
 
 
 def nearest_rank_stats(df: DataFrame, keys: list[str], value: str = "dur") -> DataFrame:
-    """count, avg and nearest-rank p50/p90/p99: ``sorted[max(0, ceil(p·n) − 1)]``.
-
-    Uses ``percentile_disc`` — the smallest value whose cumulative share is
-    ≥ p — which is the same element as the nearest rank."""
-    v = F.col(value)
-    return df.filter(v.isNotNull()).groupBy(*keys).agg(
-        F.count(v).alias("dur_count"),
-        C.round1(F.avg(v)).alias("avg_s"),
-        C.round1(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})")).alias("p50_s"),
-        C.round1(F.expr(f"percentile_disc(0.9) WITHIN GROUP (ORDER BY {value})")).alias("p90_s"),
-        C.round1(F.expr(f"percentile_disc(0.99) WITHIN GROUP (ORDER BY {value})")).alias("p99_s"))
+    """count, avg and nearest-rank p50/p90/p99: ``sorted[max(0, ceil(p·n) − 1)]``."""
+    some = df.filter(F.col(value).isNotNull())
+    base = some.groupBy(*keys).agg(*duration_stats(value))
+    return _finish_stats(with_percentiles(base, some, keys, value, nearest_rank=True))
 
 
 def on_time_rate(done: Column, on_time: Column, empty_value=None) -> Column:
@@ -267,26 +230,26 @@ def distribution(summary_df: DataFrame, kind: str) -> DataFrame:
     return long.filter(F.col("n") > 0)
 
 
-def tag_catalogue(impact: DataFrame) -> DataFrame:
-    """Group a (capped) tag rollup by key: key total, number of values, and
-    the values ordered by total desc then value asc."""
+def tag_catalogue(rollup: DataFrame) -> DataFrame:
+    """Group the tag rollup by key: key total, number of values, and the values
+    as a JSON array, ordered by total desc then value asc."""
     vals = F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("neg_total"),
                                                 F.col("tag_value").alias("value"))))
-    return impact.groupBy("tag_key").agg(
+    return rollup.groupBy("tag_key").agg(
         F.sum("total").cast("long").alias("key_total"),
         F.count(F.lit(1)).alias("value_count"),
-        F.concat_ws(",", F.transform(vals, lambda s: s["value"])).alias("values"))
+        F.to_json(F.transform(vals, lambda s: s["value"])).alias("values"))
 
 
-def latency_by_tag(impact: DataFrame, totals: DataFrame) -> DataFrame:
-    """Tags with duration stats, slowest p90 first; flag tags slower than the overall p90."""
+def latency_by_tag(rollup: DataFrame, totals: DataFrame, n: int = MAX_TAG_ROWS) -> DataFrame:
+    """The ``n`` slowest tags by p90 of the whole rollup; flags those slower than the overall p90."""
     overall = totals.select(F.col("p90_s").alias("overall_p90"))
-    with_stats = impact.filter(F.col("dur_count") > 0)
+    with_stats = rollup.filter(F.col("dur_count") > 0)
     # totals is exactly one row, so this cross join cannot multiply rows.
     joined = with_stats.crossJoin(overall)
     out = joined.select("tag_key", "tag_value", "dur_count", "p50_s", "p90_s", "p99_s",
                         F.coalesce(F.col("p90_s") > F.col("overall_p90"), F.lit(False)).alias("slower_than_overall"))
-    return top_k(out, [F.col("p90_s").desc(), F.col("tag_key").asc(), F.col("tag_value").asc()], None)
+    return top_k(out, [F.col("p90_s").desc(), F.col("tag_key").asc(), F.col("tag_value").asc()], n)
 
 
 def impacted_tags(impact: DataFrame, n: int = 8) -> DataFrame:

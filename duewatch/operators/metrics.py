@@ -8,9 +8,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from duewatch.functions import columns as C
 from duewatch.functions.text import sanitize_path
+from duewatch.operators.quantiles import with_percentiles
 from duewatch.operators.scans import MISSED_EVENT, WARNING_EVENT
 
-MAX_GAUGE_SERIES = 100
+#: How long each alert's condition holds before it counts, in seconds.
+ALERT_HOLD = {"latency": 300, "errors": 120}
+
+
+def alert_hold_seconds(alert):
+    expr = None
+    for name, seconds in ALERT_HOLD.items():
+        expr = F.when(alert == name, seconds) if expr is None else expr.when(alert == name, seconds)
+    return expr
 
 
 def lifecycle_counters(runs: DataFrame) -> DataFrame:
@@ -52,8 +61,10 @@ def operation_counters(results: DataFrame) -> DataFrame:
 
 def request_rollup(requests: DataFrame) -> DataFrame:
     """HTTP requests by (method, sanitized path, status): count, total and max ms."""
-    r = requests.select("method", sanitize_path("path").alias("endpoint"), F.col("status").cast("string").alias("status"),
-                        "duration_ms")
+    def known(c):
+        return F.coalesce(c, F.lit("unknown"))
+    r = requests.select(known(F.col("method")).alias("method"), known(sanitize_path("path")).alias("endpoint"),
+                        known(F.col("status").cast("string")).alias("status"), "duration_ms")
     return r.groupBy("method", "endpoint", "status").agg(
         F.count(F.lit(1)).alias("count"), C.round1(F.sum("duration_ms")).alias("sum_ms"),
         F.max("duration_ms").alias("max_ms"))
@@ -70,21 +81,21 @@ def slo_on_time(counters: DataFrame, events: DataFrame) -> DataFrame:
                     C.round1(F.try_divide(on_time.cast("double"), total.cast("double")) * 100).alias("ratio_pct"))
 
 
-def overdue_gauge(prev: DataFrame, cur: DataFrame, cap: int = MAX_GAUGE_SERIES) -> DataFrame:
-    """Carry a per-name gauge forward: names absent now are reset to 0; when the
-    series count exceeds ``cap``, the reset (zero, absent) series are dropped.
-
-    Both sides are per-name snapshots (``cur`` is itself capped at ``cap``)."""
+def overdue_gauge(prev: DataFrame, cur: DataFrame, cap: int | None = None) -> DataFrame:
+    """Carry a per-name gauge forward: names absent now are reset to 0. With
+    ``cap`` (for a registry that bounds its series), the reset series are
+    dropped when there are more series than that."""
     p = prev.select("name", F.col("overdue").alias("_prev"))
     c = cur.select("name", F.col("overdue").alias("_cur"))
-    j = p.join(c, "name", "full_outer")
-    series = j.agg(F.count(F.lit(1)).alias("_series"))
-    # ``series`` is a single row, so the cross join only attaches one column.
-    out = j.crossJoin(series).select(
+    out = p.join(c, "name", "full_outer").select(
         "name", F.coalesce(F.col("_cur"), F.lit(0)).cast("long").alias("overdue"),
-        F.col("_cur").isNotNull().alias("present"), "_series")
+        F.col("_cur").isNotNull().alias("present"))
+    if cap is None:
+        return out
+    series = out.agg(F.count(F.lit(1)).alias("_series"))
+    # ``series`` is a single row, so the cross join only attaches one column.
     keep = (F.col("_series") <= cap) | F.col("present") | (F.col("overdue") != 0)
-    return out.filter(keep).drop("_series")
+    return out.crossJoin(series).filter(keep).drop("_series")
 
 
 # Exported metric name per counter column.
@@ -111,7 +122,7 @@ def metrics_snapshot(runs: DataFrame, events: DataFrame, as_of, threshold: float
     lc = _long_form(lifecycle_counters(runs), ["name"], LIFECYCLE_METRICS)
     ev = _long_form(event_counters(events), ["name"], EVENT_METRICS)
     named = lc.unionByName(ev).select(F.col("_mapped").alias("metric"), by_name.alias("labels"), "value")
-    gauge = overdue_by_name(runs, as_of, MAX_GAUGE_SERIES).select(
+    gauge = overdue_by_name(runs, as_of).select(
         F.lit("processes_overdue_current").alias("metric"), by_name.alias("labels"),
         F.col("overdue").cast("double").alias("value"))
     bl = _long_form(backlog(runs, as_of, threshold), [], BACKLOG_LABELS).select(
@@ -124,13 +135,45 @@ def request_alerts(requests: DataFrame, window: str = "5 minutes", slide: str =
     """Sliding-window request health: p95 latency and 5xx share per window,
     with the two alert conditions."""
     w = F.window("ts", window, slide)
-    agg = requests.groupBy(w.alias("w")).agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.count_if(F.col("status") >= 500).alias("errors"),
-        F.percentile(F.col("duration_ms"), 0.95).alias("_p95"))
+    rows = requests.select(F.unix_seconds(w["start"]).alias("window_start"), "status", "duration_ms")
+    base = rows.groupBy("window_start").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") >= 500).alias("errors"))
+    agg = with_percentiles(base, rows, ["window_start"], "duration_ms", [0.95]).withColumn("_p95", F.col("_q")[0])
     return agg.select(
-        F.unix_seconds("w.start").alias("window_start"), "requests", "errors",
+        "window_start", "requests", "errors",
         C.round1_tolerant("_p95").alias("p95_ms"),
         C.round1(F.col("errors") / F.col("requests") * 100).alias("error_pct"),
         (F.col("_p95") > p95_ms).alias("latency_alert"),
         (F.col("errors") / F.col("requests") > error_ratio).alias("error_alert"))
+
+
+#: Upper bounds, in ms, of the duration bins that a stream keeps per window.
+DURATION_BINS = (5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000)
+
+
+def request_alerts_binned(requests: DataFrame, window: str = "5 minutes", slide: str = "1 minute",
+                          p95_ms: float = 1000.0, error_ratio: float = 0.05) -> DataFrame:
+    """:func:`request_alerts` for streams: state is one count per duration bin.
+
+    p95 is interpolated within its bin (the last bin's is its lower bound), so
+    it is exact to the bin; the latency alert is exact for a ``p95_ms`` that is
+    a bin's bound."""
+    d = F.col("duration_ms")
+    agg = requests.groupBy(F.window("ts", window, slide).alias("w")).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") >= 500).alias("errors"),
+        F.count(d).alias("_n"), *[F.count_if(d <= b).alias(f"_b{b}") for b in DURATION_BINS])
+    rank = F.lit(0.95) * F.col("_n")
+    p95, below, low = None, F.lit(0), 0
+    for b in DURATION_BINS:
+        upto = F.col(f"_b{b}")
+        at = F.lit(float(low)) + (rank - below) / (upto - below) * (b - low)
+        hit = (F.col("_n") > 0) & (upto >= rank)
+        p95 = F.when(hit, at) if p95 is None else p95.when(hit, at)
+        below, low = upto, b
+    p95 = p95.when(F.col("_n") > 0, F.lit(float(low)))
+    late = F.coalesce((F.col(f"_b{int(p95_ms)}") < rank), F.lit(False)) if int(p95_ms) in DURATION_BINS else p95 > p95_ms
+    return agg.select(
+        F.unix_seconds("w.start").alias("window_start"), "requests", "errors",
+        C.round1_tolerant(p95).alias("p95_ms"),
+        C.round1(F.col("errors") / F.col("requests") * 100).alias("error_pct"),
+        late.alias("latency_alert"), (F.col("errors") / F.col("requests") > error_ratio).alias("error_alert"))

@@ -1,79 +1,87 @@
-"""Exact interpolated percentiles per group with bounded per-group memory.
-
-Spark's exact ``percentile`` keeps a value → count map per group; for one group
-holding a third of all rows with high-resolution values, that single buffer is
-unbounded. This operator keeps results exact with two passes:
-
-1. per group: the count ``n`` and, for each wanted ``p``, approximate values at
-   ``p ± band`` (``percentile_approx``, rank error at most ``n / accuracy``,
-   and ``band`` is several times that);
-2. per group: for each ``p``, the number of values below the lower band value
-   and the sorted values inside the band (about ``2 · band · n`` of them).
-
-The order statistics around rank ``p · (n − 1)`` then sit inside the band at
-known offsets, and are interpolated exactly as ``percentile`` does. A group
-whose band does not contain the needed ranks (not expected under the sketch's
-error bound) is reported with ``exact = false`` and falls back to the one-pass
-exact ``percentile`` for that group only.
+"""Exact percentiles per group with bounded memory per task.
+
+Values are first counted per (group, value), which map-side combining makes one
+row per distinct value and task. Distinct values are dealt into narrow value
+ranges by a fixed monotone function; the ranges' counts (a few thousand rows
+per group at most) are summed up in order, and tell which ranges hold the
+wanted ranks. Only those ranges' values are put in order, by a window whose
+partitions are (group, range). No array or map is kept per group, a hot group's
+values are spread over its ranges, and there is no other path.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DEFAULT_PS = (0.5, 0.9, 0.99)
+RANGE_RATIO = 1.001
+
 
+def _range(v: Column) -> Column:
+    """A number that never falls as ``v`` rises: steps of 0.1 % on either side of zero."""
+    return (F.signum(v) * F.floor(F.log(F.abs(v) + 1.0) / F.lit(RANGE_RATIO - 1.0))).cast("long")
 
-def _lit_array(xs: Sequence[float]) -> str:
-    return "array(" + ", ".join(f"{float(x)!r}D" for x in xs) + ")"
+
+def _same(keys: list[str], left: DataFrame, right: DataFrame) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(right[k + "_"])
+    return cond
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: Sequence[float] = DEFAULT_PS,
-                      accuracy: int = 10000, band: float | None = None) -> DataFrame:
-    """``keys`` + ``n`` + one column ``q`` (array<double>, one entry per p;
-    null when the group has no non-null value)."""
-    band = band if band is not None else 5.0 / accuracy
-    v = f"`{value}`"
-    vals = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    edges = []
-    for p in ps:
-        edges += [max(0.0, p - band), min(1.0, p + band)]
-    bands = vals.groupBy(*keys).agg(
-        F.expr("count(1)").alias("n"),
-        F.expr(f"percentile_approx(_v, {_lit_array(edges)}, {int(accuracy)})").alias("_edges"))
-
-    # With no keys, ``bands`` is exactly one row (a global aggregate): it is
-    # broadcast and the cross join only attaches it to each value.
-    joined = vals.join(bands, keys) if keys else vals.crossJoin(F.broadcast(bands))
-    aggs = []
-    for i in range(len(ps)):
-        lo, hi = f"_edges[{2 * i}]", f"_edges[{2 * i + 1}]"
-        aggs.append(F.expr(f"count_if(_v < {lo})").alias(f"_below{i}"))
-        aggs.append(F.expr(f"sort_array(collect_list(CASE WHEN _v >= {lo} AND _v <= {hi} THEN _v END))")
-                    .alias(f"_in{i}"))
-    inside = joined.groupBy(*keys, "n").agg(*aggs)
-
-    qs, oks = [], []
+                      nearest_rank: bool = False) -> DataFrame:
+    """``keys``, ``n`` and ``q`` (array<double>, one entry per p) of each group with a non-null value.
+
+    Interpolated between the values around rank ``p · (n − 1)``, as
+    ``percentile`` does, or with ``nearest_rank`` the value at rank
+    ``max(1, ceil(p · n))``, as ``percentile_disc`` does. Without keys there is
+    one group, and no row if it has no value. Null keys are a group.
+    """
+    one = "_all"
+    if not keys:
+        df, keys = df.withColumn(one, F.lit(0)), [one]
+    c = (df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+         .groupBy(*keys, "_v").agg(F.count("*").alias("_c")).withColumn("_b", _range(F.col("_v"))))
+    of_group = Window.partitionBy(*keys)
+    ranges = (c.groupBy(*keys, "_b").agg(F.sum("_c").alias("_m"))
+              .withColumn("n", F.sum("_m").over(of_group))
+              .withColumn("_end", F.sum("_m").over(of_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))))
+
+    def ranks(p: float) -> tuple[str, str, str]:
+        """(position, rank below, rank above), ranks counted from 1."""
+        if nearest_rank:
+            rank = f"greatest(1L, CAST(ceil({float(p)!r}D * n) AS BIGINT))"
+            return "0.0D", rank, rank
+        at = f"({float(p)!r}D * (n - 1))"
+        return at, f"(CAST(floor({at}) AS BIGINT) + 1)", f"(CAST(ceil({at}) AS BIGINT) + 1)"
+
+    wanted = [r for p in ps for r in ranks(p)[1:]]
+    hit = " OR ".join(f"({r} > _end - _m AND {r} <= _end)" for r in wanted)
+    near = ranges.where(hit).select(*[F.col(k).alias(k + "_") for k in keys], F.col("_b").alias("_b_"), "n",
+                                    (F.col("_end") - F.col("_m")).alias("_before"))
+    within = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (c.join(near, _same(keys, c, near) & (c["_b"] == near["_b_"]))
+              .withColumn("_last", F.col("_before") + F.sum("_c").over(within))
+              .withColumn("_first", F.col("_last") - F.col("_c")))
+    picks = [F.max(F.expr(f"CASE WHEN {r} > _first AND {r} <= _last THEN _v END")).alias(f"_r{i}")
+             for i, r in enumerate(wanted)]
+    got = placed.groupBy(*keys, "n").agg(*picks)
+    out = []
     for i, p in enumerate(ps):
-        pos = f"({float(p)!r}D * (n - 1))"
-        k0, k1 = f"CAST(floor({pos}) AS BIGINT)", f"CAST(ceil({pos}) AS BIGINT)"
-        i0, i1 = f"({k0} - _below{i})", f"({k1} - _below{i})"
-        ok = f"({i0} >= 0 AND {i1} < size(_in{i}))"
-        v0, v1 = f"element_at(_in{i}, CAST({i0} + 1 AS INT))", f"element_at(_in{i}, CAST({i1} + 1 AS INT))"
-        interp = f"CASE WHEN {k0} = {k1} THEN {v0} ELSE ({k1} - {pos}) * {v0} + ({pos} - {k0}) * {v1} END"
-        qs.append(f"CASE WHEN {ok} THEN {interp} END")
-        oks.append(ok)
-    out = inside.selectExpr(*keys, "n", f"array({', '.join(qs)}) AS q", f"({' AND '.join(oks)}) AS exact")
-
-    bad = out.filter("NOT exact").select(*keys, F.lit(True).alias("_bad"))
-    if keys:
-        fallback = (vals.join(bad, keys)
-                    .groupBy(*keys).agg(F.expr(f"percentile(_v, {_lit_array(ps)})").alias("_fq")))
-        merged = out.join(fallback, keys, "left")
-    else:
-        # ``bad`` has at most one row here (the single global group).
-        fallback = vals.crossJoin(F.broadcast(bad)).agg(F.expr(f"percentile(_v, {_lit_array(ps)})").alias("_fq"))
-        merged = out.crossJoin(F.broadcast(fallback))
-    return merged.selectExpr(*keys, "n", "CASE WHEN exact THEN q ELSE _fq END AS q")
+        at, lo, hi = ranks(p)
+        a, b = f"_r{2 * i}", f"_r{2 * i + 1}"
+        out.append(f"CASE WHEN {lo} = {hi} THEN {a} ELSE ({hi} - 1 - {at}) * {a} + ({at} - ({lo} - 1)) * {b} END")
+    return got.selectExpr(*[f"`{k}`" for k in keys if k != one], "n", f"array({', '.join(out)}) AS q")
+
+
+def with_percentiles(base: DataFrame, values: DataFrame, keys: list[str], value: str,
+                     ps: Sequence[float] = DEFAULT_PS, nearest_rank: bool = False) -> DataFrame:
+    """``base`` (a row per group of ``keys``) with ``_q``, the percentiles of ``values``; null where there are none."""
+    q = exact_percentiles(values, keys, value, ps, nearest_rank)
+    if not keys:  # each side is one row at most
+        return base.join(q.select(F.col("q").alias("_q")), F.lit(True), "left")
+    q = q.select(*[F.col(k).alias(k + "_") for k in keys], F.col("q").alias("_q"))
+    return base.join(q, _same(keys, base, q), "left").drop(*[k + "_" for k in keys])

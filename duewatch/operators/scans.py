@@ -87,35 +87,40 @@ def _scan_order() -> list[Column]:
     return [F.col("deadline").asc(), F.col("id").asc()]
 
 
-def missed_scan(runs: DataFrame, as_of, batch: int = DEFAULT_BATCH, public_url: str | None = None) -> DataFrame:
-    """One missed-deadline pass: the earliest ``batch`` overdue, unnotified runs."""
-    due = runs.filter(missed_due(as_of))
-    picked = top_k(due, _scan_order(), batch)
+def _picked(due: DataFrame, batch: int | None) -> tuple[DataFrame, list[str]]:
+    return (due, []) if batch is None else (top_k(due, _scan_order(), batch), ["pos"])
+
+
+def missed_scan(runs: DataFrame, as_of, batch: int | None = DEFAULT_BATCH, public_url: str | None = None) -> DataFrame:
+    """One missed-deadline pass: the earliest ``batch`` overdue, unnotified runs
+    with their ``pos``, or all of them without if ``batch`` is None."""
+    picked, pos = _picked(runs.filter(missed_due(as_of)), batch)
     return picked.select(
-        "pos", "id", "name", "process_id", F.lit(MISSED_EVENT).alias("event"),
+        *pos, "id", "name", "process_id", F.lit(MISSED_EVENT).alias("event"),
         F.unix_seconds("deadline").alias("deadline"),
         F.lit(None).cast("long").alias("seconds_remaining"),
         event_payload(picked, MISSED_EVENT, as_of, public_url).alias("payload"))
 
 
-def warning_scan(runs: DataFrame, as_of, threshold: float = DEFAULT_THRESHOLD, batch: int = DEFAULT_BATCH,
+def warning_scan(runs: DataFrame, as_of, threshold: float = DEFAULT_THRESHOLD, batch: int | None = DEFAULT_BATCH,
                  public_url: str | None = None) -> DataFrame:
     """One warning pass; empty when the threshold is outside (0, 1)."""
     if not (0 < threshold < 1):
         due = runs.filter(F.lit(False))
     else:
         due = runs.filter(warning_due(as_of, threshold))
-    picked = top_k(due, _scan_order(), batch)
+    picked, pos = _picked(due, batch)
     return picked.select(
-        "pos", "id", "name", "process_id", F.lit(WARNING_EVENT).alias("event"),
+        *pos, "id", "name", "process_id", F.lit(WARNING_EVENT).alias("event"),
         F.unix_seconds("deadline").alias("deadline"),
         C.seconds_remaining(as_of).alias("seconds_remaining"),
         event_payload(picked, WARNING_EVENT, as_of, public_url).alias("payload"))
 
 
 def deadline_events(runs: DataFrame, as_of, threshold: float = DEFAULT_THRESHOLD,
-                    batch: int = DEFAULT_BATCH) -> DataFrame:
-    """Warning pass then missed pass at one instant, as one event log."""
+                    batch: int | None = None) -> DataFrame:
+    """Warning then missed events at one instant, as one event log: every due
+    run, unless ``batch`` bounds each pass as a delivery does."""
     return warning_scan(runs, as_of, threshold, batch).unionByName(missed_scan(runs, as_of, batch))
 
 

@@ -84,4 +84,4 @@ def burn_rate(runs: DataFrame, as_of, hours: int, target: float) -> DataFrame:
     err = F.try_divide((F.col("late") + F.col("missed")).cast("double"), total.cast("double"))
     return agg.select("name", "good", "late", "missed", total.alias("total"),
                       C.round1(err * 100).alias("error_pct"),
-                      C.round1(err / F.lit(1.0 - target) * 10).alias("burn_rate_x10"))
+                      C.round1(err / F.lit(1.0 - target)).alias("burn_rate"))

@@ -68,7 +68,7 @@ def duplicate_active(runs: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("active_runs")).filter(F.col("active_runs") > 1))
 
 
-def sustained(samples: DataFrame, key: list[str], ts: str, cond: Column, hold_seconds: int,
+def sustained(samples: DataFrame, key: list[str], ts: str, cond: Column, hold_seconds: int | Column,
               max_gap_seconds: int | None = None) -> DataFrame:
     """Alert episodes: maximal runs of consecutive samples (per ``key``, in
     ``ts`` order) where ``cond`` holds, reported when they span at least

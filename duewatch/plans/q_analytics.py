@@ -220,11 +220,11 @@ def deadline_dist_q(t: Tables):
 
 @register("tag_catalogue", O.with_views(
     "SELECT tag_key, CAST(sum(total) AS BIGINT) AS key_total, count(*) AS value_count, "
-    "string_agg(tag_value, ',' ORDER BY total DESC, tag_value ASC) AS \"values\" "
-    f"FROM (SELECT * FROM rollup ORDER BY {O.TAG_ORDER} LIMIT 100) r GROUP BY tag_key",
+    "CAST(to_json(list(tag_value ORDER BY total DESC, tag_value ASC)) AS VARCHAR) AS \"values\" "
+    "FROM rollup GROUP BY tag_key",
     O.classified_view(720), O.EXPLODED_VIEW, O.tag_rollup_view()))
 def tag_catalogue_q(t: Tables):
-    return A.tag_catalogue(A.tag_impact(t.runs, t.as_of, 720))
+    return A.tag_catalogue(A.tag_rollup(t.runs, t.as_of, 720))
 
 
 @register("impacted_tags", O.with_views(
@@ -235,7 +235,7 @@ def tag_catalogue_q(t: Tables):
     f"FROM (SELECT * FROM rollup WHERE problems > 0 ORDER BY {O.TAG_ORDER} LIMIT 8) r",
     O.classified_view(720), O.EXPLODED_VIEW, O.tag_rollup_view()))
 def impacted_tags_q(t: Tables):
-    return A.impacted_tags(A.tag_impact(t.runs, t.as_of, 720).drop("pos"), 8)
+    return A.impacted_tags(A.tag_rollup(t.runs, t.as_of, 720), 8)
 
 
 # -- windows ------------------------------------------------------------------
@@ -314,7 +314,7 @@ for _name, _start, _step in [("timeseries_1d", AS_OF_S - 30 * DAY_S, "1d"), ("ti
 @register("slo_burn_rate", O.with_views(
     "SELECT name, good, late, missed, good + late + missed AS total, "
     f"{O.round1('CAST(late + missed AS DOUBLE) / NULLIF(good + late + missed, 0) * 100')} AS error_pct, "
-    f"{O.round1('CAST(late + missed AS DOUBLE) / NULLIF(good + late + missed, 0) / (1.0 - 0.9) * 10')} AS burn_rate_x10 FROM ("
+    f"{O.round1('CAST(late + missed AS DOUBLE) / NULLIF(good + late + missed, 0) / (1.0 - 0.9)')} AS burn_rate FROM ("
     f"SELECT name, count(*) FILTER (WHERE status = 'COMPLETED' AND deadline_us IS NOT NULL AND completed_us >= {AS_OF} - 720 * {O.HOUR_US} "
     f"AND completed_us <= {AS_OF} AND completed_us <= deadline_us) AS good, "
     f"count(*) FILTER (WHERE status = 'COMPLETED' AND deadline_us IS NOT NULL AND completed_us >= {AS_OF} - 720 * {O.HOUR_US} "
@@ -325,10 +325,9 @@ def burn_rate_q(t: Tables):
     return TS.burn_rate(t.runs, t.as_of, 720, 0.9)
 
 
-# The same two queries computed with bounded-memory exact percentiles
-# (operators.quantiles); their SQL twins are the one-pass ones.
+# The 720 h tag impact and totals under their former names; exact percentiles have one path now.
 register("tag_impact_720h_two_pass", O.tag_impact_sql(720))(
-    lambda t: A.tag_impact(t.runs, t.as_of, 720, method="two_pass"))
+    lambda t: A.tag_impact(t.runs, t.as_of, 720))
 register("tag_impact_totals_two_pass", O.with_views(
     f"SELECT count(*) AS total, count(*) FILTER (WHERE {O.PROBLEM}) AS problems, {O.stats()} FROM classified",
-    O.classified_view(720)))(lambda t: A.tag_totals(t.runs, t.as_of, 720, method="two_pass"))
+    O.classified_view(720)))(lambda t: A.tag_totals(t.runs, t.as_of, 720))

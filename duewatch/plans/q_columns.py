@@ -124,7 +124,9 @@ def deep_link_q(t: Tables):
 
 _BUDGET_SQL = (
     f"CASE WHEN deadline_us IS NOT NULL AND {O.sec('deadline_us')} <> {O.sec('started_us')} THEN "
-    f"{O.round1(f'least(120.0, greatest(0, {O.sec(f'coalesce(completed_us, {AS_OF})')} - {O.sec('started_us')}) / CAST({O.sec('deadline_us')} - {O.sec('started_us')} AS DOUBLE) * 100.0)')} END")
+    f"{O.round1(f'least(120.0, greatest(0, {O.sec(f'coalesce(completed_us, {AS_OF})')} - {O.sec('started_us')}) / CAST({O.sec('deadline_us')} - {O.sec('started_us')} AS DOUBLE) * 100.0)')} "
+    f"WHEN {O.sec('deadline_us')} = {O.sec('started_us')} AND {O.sec(f'coalesce(completed_us, {AS_OF})')} > {O.sec('started_us')} "
+    "THEN 120.0 END")
 
 
 @register("deadline_budget_used", _sql(

@@ -93,12 +93,12 @@ def recent_activity_q(t: Tables):
 
 @register("latency_by_tag", O.with_views(
     O.ordered("(SELECT r.*, coalesce(r.p90_s > t.p90_s, false) AS slower_than_overall FROM "
-              "(SELECT * FROM rollup ORDER BY " + O.TAG_ORDER + " LIMIT 100) r, "
+              "rollup r, "
               f"(SELECT {O.stats()} FROM classified) t WHERE r.dur_count > 0) x",
-              "p90_s DESC, tag_key ASC, tag_value ASC", None,
+              "p90_s DESC, tag_key ASC, tag_value ASC", 100,
               cols="tag_key, tag_value, dur_count, p50_s, p90_s, p99_s, slower_than_overall"),
     O.classified_view(720), O.EXPLODED_VIEW, O.tag_rollup_view()))
 def latency_by_tag_q(t: Tables):
-    impact = A.tag_impact(t.runs, t.as_of, 720).drop("pos")
+    impact = A.tag_rollup(t.runs, t.as_of, 720)
     totals = A.tag_totals(t.runs, t.as_of, 720)
     return A.latency_by_tag(impact, totals)

@@ -24,8 +24,8 @@ LC_SQL = ("SELECT name, count(*) AS created, count(*) FILTER (WHERE status = 'CO
           "AND completed_us <= deadline_us) AS on_time, "
           "count(*) FILTER (WHERE status = 'COMPLETED' AND deadline_us IS NOT NULL AND completed_us IS NOT NULL "
           "AND completed_us > deadline_us) AS late FROM runs GROUP BY name")
-EVENTS_VIEW = ("dl_events AS (SELECT * FROM (" + _scan_sql(_warning_sql(0.75), S.WARNING_EVENT, True, 500)
-               + ") w UNION ALL SELECT * FROM (" + _scan_sql(MISSED_SQL, S.MISSED_EVENT, False, 500) + ") m)")
+EVENTS_VIEW = ("dl_events AS (SELECT * FROM (" + _scan_sql(_warning_sql(0.75), S.WARNING_EVENT, True, None)
+               + ") w UNION ALL SELECT * FROM (" + _scan_sql(MISSED_SQL, S.MISSED_EVENT, False, None) + ") m)")
 EV_COUNT_SQL = (f"SELECT name, count(*) FILTER (WHERE event = '{S.MISSED_EVENT}') AS missed_events, "
                 f"count(*) FILTER (WHERE event = '{S.WARNING_EVENT}') AS warning_events FROM dl_events GROUP BY name")
 
@@ -45,7 +45,7 @@ def duration_timer_q(t: Tables):
 
 @register("event_counters", O.with_views(EV_COUNT_SQL, EVENTS_VIEW))
 def event_counters_q(t: Tables):
-    return M.event_counters(S.deadline_events(t.runs, t.as_of, 0.75, 500))
+    return M.event_counters(S.deadline_events(t.runs, t.as_of, 0.75))
 
 
 @register("slo_on_time", O.with_views(
@@ -54,7 +54,7 @@ def event_counters_q(t: Tables):
     + O.round1("CAST(coalesce(l.on_time, 0) AS DOUBLE) / NULLIF(coalesce(l.on_time, 0) + coalesce(l.late, 0) + coalesce(e.missed_events, 0), 0) * 100")
     + f" AS ratio_pct FROM ({LC_SQL}) l FULL OUTER JOIN ({EV_COUNT_SQL}) e ON l.name = e.name", EVENTS_VIEW))
 def slo_q(t: Tables):
-    return M.slo_on_time(M.lifecycle_counters(t.runs), S.deadline_events(t.runs, t.as_of, 0.75, 500))
+    return M.slo_on_time(M.lifecycle_counters(t.runs), S.deadline_events(t.runs, t.as_of, 0.75))
 
 
 @register("request_rollup", O.with_views(
@@ -73,7 +73,7 @@ GAUGE_SQL = O.with_views(
     f"FROM (SELECT name, count(*) AS overdue FROM runs WHERE started_us <= {_PREV_T} AND (completed_us IS NULL OR completed_us > {_PREV_T}) "
     f"AND deadline_us < {_PREV_T} GROUP BY name) p FULL OUTER JOIN ("
     + O.ordered(f"(SELECT name, count(*) AS overdue FROM runs WHERE status = 'ACTIVE' AND deadline_us IS NOT NULL "
-                f"AND deadline_us < {AS_OF} GROUP BY name) g", "overdue DESC, name ASC", 100) + ") c ON c.name = p.name")
+                f"AND deadline_us < {AS_OF} GROUP BY name) g", "overdue DESC, name ASC") + ") c ON c.name = p.name")
 
 
 def gauge_prev(t: Tables):
@@ -86,7 +86,7 @@ def gauge_prev(t: Tables):
 
 @register("overdue_gauge", GAUGE_SQL)
 def overdue_gauge_q(t: Tables):
-    return M.overdue_gauge(gauge_prev(t), A.overdue_by_name(t.runs, t.as_of, 100))
+    return M.overdue_gauge(gauge_prev(t), A.overdue_by_name(t.runs, t.as_of))
 
 
 def _snapshot_sql() -> str:
@@ -99,7 +99,7 @@ def _snapshot_sql() -> str:
         ("missed_events", "deadline_missed_total"), ("warning_events", "deadline_warning_total")]]
     parts.append(f"SELECT 'processes_overdue_current', {lab}, CAST(overdue AS DOUBLE) FROM (SELECT name, count(*) AS overdue "
                  f"FROM runs WHERE status = 'ACTIVE' AND deadline_us IS NOT NULL AND deadline_us < {AS_OF} GROUP BY name "
-                 "ORDER BY overdue DESC, name LIMIT 100) o")
+                 ") o")
     parts.append(f"SELECT 'notification_backlog', 'type=missed', CAST(count(*) FILTER (WHERE {MISSED_SQL}) AS DOUBLE) FROM runs")
     parts.append(f"SELECT 'notification_backlog', 'type=warning', CAST(count(*) FILTER (WHERE {_warning_sql(0.75)}) AS DOUBLE) FROM runs")
     return O.with_views(" UNION ALL ".join(parts), EVENTS_VIEW, f"lc AS ({LC_SQL})", f"ev AS ({EV_COUNT_SQL})")
@@ -107,7 +107,7 @@ def _snapshot_sql() -> str:
 
 @register("metrics_snapshot", _snapshot_sql())
 def metrics_snapshot_q(t: Tables):
-    return M.metrics_snapshot(t.runs, S.deadline_events(t.runs, t.as_of, 0.75, 500), t.as_of)
+    return M.metrics_snapshot(t.runs, S.deadline_events(t.runs, t.as_of, 0.75), t.as_of)
 
 
 WINDOWS_VIEW = """req_windows AS (
@@ -142,14 +142,13 @@ def request_error_q(t: Tables):
     "lag(window_start) OVER (PARTITION BY alert ORDER BY window_start) > 60, false) AS brk FROM ("
     "SELECT 'latency' AS alert, window_start, p95 > 1000.0 AS fired FROM win UNION ALL "
     "SELECT 'errors', window_start, CAST(errors AS DOUBLE) / requests > 0.05 FROM win) s) b) g WHERE NOT brk OR fired "
-    "GROUP BY alert, grp) e WHERE \"until\" - since >= 300", _http_view(), WINDOWS_VIEW))
+    "GROUP BY alert, grp) e WHERE \"until\" - since >= CASE alert WHEN 'errors' THEN 120 ELSE 300 END", _http_view(), WINDOWS_VIEW))
 def alert_sustained_q(t: Tables):
     a = M.request_alerts(t.http_requests)
-    samples = a.select(F.lit("latency").alias("alert"), F.timestamp_seconds("window_start").alias("ts"),
-                       F.col("latency_alert").alias("fired")).unionByName(
-        a.select(F.lit("errors").alias("alert"), F.timestamp_seconds("window_start").alias("ts"),
-                 F.col("error_alert").alias("fired")))
-    return WN.sustained(samples, ["alert"], "ts", F.col("fired"), 300, max_gap_seconds=60)
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("alert"), F.col(c).alias("fired"))
+                               for k, c in (("latency", "latency_alert"), ("errors", "error_alert"))]))
+    samples = a.select(F.timestamp_seconds("window_start").alias("ts"), both.alias("s")).select("ts", "s.*")
+    return WN.sustained(samples, ["alert"], "ts", F.col("fired"), M.alert_hold_seconds(F.col("alert")), max_gap_seconds=60)
 
 
 def _rules_sql() -> str:

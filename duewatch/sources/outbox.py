@@ -21,22 +21,20 @@ def outbox_rows(events: DataFrame, as_of) -> DataFrame:
         F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("event"))).alias("event_key"))
 
 
-def write_outbox(events: DataFrame, path: str, as_of, lookback_days: int = 7) -> None:
+def _exists(spark, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def write_outbox(events: DataFrame, path: str, as_of) -> None:
     """Append one scan's events, skipping keys already in the outbox.
 
-    The outbox is partitioned by emit date. A replayed batch is a recent one,
-    so keys are checked only against the last ``lookback_days`` partitions:
-    the anti-join reads a bounded slice (partition pruning) instead of the
-    whole, ever-growing table."""
-    rows = outbox_rows(events, as_of).withColumn(
-        "emit_date", F.to_date(F.timestamp_seconds(F.col("emitted_at"))))
-    spark = events.sparkSession
-    try:
-        since = F.date_sub(F.to_date(instant(as_of)), lookback_days)
-        existing = spark.read.parquet(path).filter(F.col("emit_date") >= since).select("event_key")
-        rows = rows.join(existing, "event_key", "left_anti")
-    except Exception:  # noqa: BLE001 - first write: no table yet
-        pass
+    All keys count, whatever their age; the anti-join reads that one column.
+    A table that exists but can't be read is an error, not a first write."""
+    rows = outbox_rows(events, as_of)
+    if _exists(events.sparkSession, path):
+        rows = rows.join(events.sparkSession.read.parquet(path).select("event_key"), "event_key", "left_anti")
+    rows = rows.withColumn("emit_date", F.to_date(F.timestamp_seconds("emitted_at")))
     rows.write.mode("append").partitionBy("emit_date").parquet(path)
 
 
@@ -44,15 +42,26 @@ def read_outbox(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).dropDuplicates(["event_key"])
 
 
+def stream_outbox_rows(events: DataFrame) -> DataFrame:
+    """Outbox rows of the deadline stream's events: the run's seq is its id, and it fires at ``fire_at_ms``."""
+    body = F.to_json(F.struct("event", "name", F.col("process_id").alias("id"),
+                              (F.col("fire_at_ms") / 1000).cast("long").alias("fired_at")))
+    return events.select(
+        F.col("run_seq").alias("id"), "event", "name", "process_id", body.alias("payload"),
+        F.floor(F.col("fire_at_ms") / 1000).cast("long").alias("emitted_at"),
+        F.md5(F.concat_ws("|", F.col("run_seq").cast("string"), F.col("event"))).alias("event_key"))
+
+
 def foreach_batch_writer(path: str):
-    """A ``foreachBatch`` function for a stream of deadline events.
+    """A ``foreachBatch`` function for the stream of deadline events.
 
-    Each micro-batch goes to its own ``epoch=<id>`` folder in overwrite mode:
-    a batch replayed after a failure has the same id and replaces its own
-    output, so the sink is exactly-once; readers dedupe by ``event_key``."""
+    Rows have the layout of :func:`write_outbox`, and keys that the outbox has
+    are skipped, so a micro-batch that is replayed after a failure adds only
+    what it had not written; readers dedupe by ``event_key``."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        rows = batch.select(
-            "id", "event", "name", "process_id", "payload", F.col("emitted_at"),
-            F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("event"))).alias("event_key"))
-        rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch_id}")
+        rows = stream_outbox_rows(batch).dropDuplicates(["event_key"])
+        if _exists(batch.sparkSession, path):
+            rows = rows.join(batch.sparkSession.read.parquet(path).select("event_key"), "event_key", "left_anti")
+        rows = rows.withColumn("emit_date", F.to_date(F.timestamp_seconds("emitted_at")))
+        rows.write.mode("append").partitionBy("emit_date").parquet(path)
     return write

@@ -25,13 +25,25 @@ def stream_request_alerts(requests: DataFrame, watermark: str = "10 minutes", **
     once they have been emitted. Spark reports drops in
     ``numRowsDroppedByWatermark``, counting (row, window) pairs, so a 5-minute
     window sliding by 1 minute counts 5 per row."""
-    return M.request_alerts(requests.withWatermark("ts", watermark), **kw)
+    return M.request_alerts_binned(requests.withWatermark("ts", watermark), **kw)
 
 
-def gauge_refresher(runs_path: str, snapshot_path: str, cap: int = M.MAX_GAUGE_SERIES):
-    """A ``foreachBatch`` function: on every trigger, recompute overdue per name
-    from the stored runs at the trigger's time, carry the previous snapshot
-    forward (absent names reset to 0) and write the new snapshot."""
+def _committed_epochs(spark: SparkSession, path: str) -> list[int]:
+    """Epochs whose snapshot was fully written (the writer's ``_SUCCESS`` file), by Hadoop's file system."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "epoch=*/_SUCCESS"))
+    return sorted(int(d.getPath().getParent().getName().split("=")[1]) for d in done or [])
+
+
+def gauge_refresher(runs_path: str, snapshot_path: str, cap: int | None = None):
+    """A ``foreachBatch`` function: on every trigger, recompute overdue and
+    active runs per name from the stored runs at the trigger's time, carry the
+    newest committed snapshot below this epoch forward (absent names reset to
+    0) and write this epoch's own folder. A crash leaves earlier snapshots as
+    they are, and a replayed epoch replaces its own."""
     from duewatch.operators.analytics import overdue_by_name
     from duewatch.sources.runs import read_stored_runs
 
@@ -41,18 +53,23 @@ def gauge_refresher(runs_path: str, snapshot_path: str, cap: int = M.MAX_GAUGE_S
         if ticks is None or ticks.t is None:
             return
         runs = read_stored_runs(spark, runs_path)
-        cur = overdue_by_name(runs, F.lit(ticks.t).cast("timestamp"), cap).select("name", "overdue")
-        try:
-            prev = spark.read.parquet(f"{snapshot_path}/latest")
-        except Exception:  # noqa: BLE001 - first refresh
-            prev = cur.limit(0)
-        snap = M.overdue_gauge(prev.select("name", "overdue"), cur, cap).select("name", "overdue")
-        snap = snap.withColumn("epoch", F.lit(epoch_id))
+        cur = overdue_by_name(runs, F.lit(ticks.t).cast("timestamp")).select("name", "overdue")
+        active = runs.where("status = 'ACTIVE'").groupBy("name").agg(F.count("*").alias("active"))
+        earlier = [e for e in _committed_epochs(spark, snapshot_path) if e < epoch_id]
+        prev = (spark.read.parquet(f"{snapshot_path}/epoch={earlier[-1]}").select("name", "overdue")
+                if earlier else cur.limit(0))
+        snap = (M.overdue_gauge(prev, cur, cap).select("name", "overdue").join(active, "name", "full_outer")
+                .select("name", F.coalesce("overdue", F.lit(0)).alias("overdue"),
+                        F.coalesce("active", F.lit(0)).alias("active"), F.lit(epoch_id).alias("epoch")))
         snap.write.mode("overwrite").parquet(f"{snapshot_path}/epoch={epoch_id}")
-        spark.read.parquet(f"{snapshot_path}/epoch={epoch_id}").write.mode("overwrite").parquet(f"{snapshot_path}/latest")
     return refresh
 
 
+def read_gauges(spark: SparkSession, snapshot_path: str) -> DataFrame:
+    """The newest committed snapshot."""
+    return spark.read.parquet(f"{snapshot_path}/epoch={_committed_epochs(spark, snapshot_path)[-1]}")
+
+
 def stream_gauges(spark: SparkSession, runs_path: str, snapshot_path: str, checkpoint: str,
                   interval: str = "30 seconds"):
     """Start the 30-second gauge refresh as a streaming query on a rate source."""

@@ -151,8 +151,9 @@ def test_gauge_reset(spark):
     got = {r.name: r.overdue for r in M.overdue_gauge(prev, cur).collect()}
     assert got == {"a": 0, "b": 2}
     many = spark.createDataFrame([(f"n{i}", 1) for i in range(120)], "name string, overdue long")
-    kept = M.overdue_gauge(many, cur).collect()
-    assert {r.name for r in kept} == {"b"}  # over the cap, zeroed series are dropped
+    assert M.overdue_gauge(many, cur).count() == 121
+    kept = M.overdue_gauge(many, cur, cap=100).collect()
+    assert {r.name for r in kept} == {"b"}  # over a registry's cap, zeroed series are dropped
 
 
 def test_response_row(spark):

@@ -59,6 +59,8 @@ def test_outbox_write_is_idempotent(spark, scratch):
     path = f"{scratch}/outbox"
     write_outbox(events, path, T0)
     write_outbox(events, path, T0)  # a replayed batch
+    from datetime import timedelta
+    write_outbox(events, path, T0 + timedelta(days=30))  # replayed a month later
     out = read_outbox(spark, path)
     assert out.count() == 2 == spark.read.parquet(path).count()
     assert {r.event for r in out.collect()} == {S.MISSED_EVENT, S.WARNING_EVENT}
@@ -118,15 +120,18 @@ def test_circuit_breaker_chunked_equals_reference_loop(spark):
         assert got == expect, chunk
 
 
-def test_foreach_batch_writer_replay_overwrites(spark, scratch):
+def test_foreach_batch_writer_replay(spark, scratch):
+    """A replayed or overlapping micro-batch of the deadline stream adds only new keys."""
     from duewatch.sources.outbox import foreach_batch_writer, read_outbox
-    batch = spark.createDataFrame([(1, "e", "n", "p", "{}", 10)],
-                                  "id long, event string, name string, process_id string, payload string, emitted_at long")
+    from duewatch.streaming.deadlines import EVENTS
+    rows = [("n", "p", 7, "process.deadline_missed", 1_700_000_000_123), ("n", "q", 8, "process.deadline_warning", 1_700_000_001_000)]
     w = foreach_batch_writer(f"{scratch}/ob")
-    w(batch, 0)
-    w(batch, 0)  # replay of epoch 0
-    assert spark.read.parquet(f"{scratch}/ob").count() == 1
-    assert read_outbox(spark, f"{scratch}/ob").count() == 1
+    for epoch, part in ((0, rows[:1]), (0, rows[:1]), (1, rows)):
+        w(spark.createDataFrame(part, EVENTS), epoch)
+    out = read_outbox(spark, f"{scratch}/ob")
+    assert spark.read.parquet(f"{scratch}/ob").count() == 2
+    assert {(r.id, r.emitted_at) for r in out.collect()} == {(7, 1_700_000_000), (8, 1_700_000_001)}
+
 
 
 def test_payload_url_and_escaping(spark):
@@ -145,4 +150,4 @@ def test_burn_rate_empty_window_is_null(spark):
     from tests.conftest import T0, make_runs
     runs = make_runs(spark, [dict(process_id="a", name="quiet", status="ACTIVE", started=-3600, deadline=3600)])
     r = burn_rate(runs, T0, 24, 0.9).first()
-    assert (r.total, r.error_pct, r.burn_rate_x10) == (0, None, None)
+    assert (r.total, r.error_pct, r.burn_rate) == (0, None, None)
