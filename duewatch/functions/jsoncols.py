@@ -51,7 +51,7 @@ def parse_context(col="context") -> Column:
 
     Nested values are kept as their JSON text."""
     c = _c(col)
-    parsed = F.when(F.trim(c) != "", F.from_json(c, CONTEXT, {"mode": "PERMISSIVE"}))
+    parsed = F.when(~c.rlike(r"^[\x00-\x20]*$"), F.from_json(c, CONTEXT, {"mode": "PERMISSIVE"}))
     return F.coalesce(parsed, F.create_map().cast(CONTEXT))
 
 

@@ -119,14 +119,31 @@ def parse_tag_filter_col(col) -> Column:
     """Column form of :func:`parse_tag_filter`: ``map<string,string>``, or null
     when nothing valid remains. Duplicate keys keep the last value."""
     c = _c(col)
-    pairs = F.transform(F.split(c, ","), lambda p: F.trim(p))
+    pairs = F.transform(F.split(c, ","), strip)
     valid = F.filter(pairs, lambda p: (p != "") & F.contains(p, F.lit(":")))
     kv = F.transform(valid, lambda p: F.struct(
-        F.trim(F.substring_index(p, ":", 1)).alias("key"),
-        F.trim(F.substring(p, F.instr(p, ":") + 1, F.length(p))).alias("value")))
+        strip(F.substring_index(p, ":", 1)).alias("key"),
+        strip(F.substring(p, F.instr(p, ":") + 1, F.length(p))).alias("value")))
     kept = F.filter(kv, lambda s: s["key"] != "")
     # Last occurrence wins: reverse, keep the first of each key, reverse back.
     rev = F.reverse(kept)
     dedup = F.filter(rev, lambda s, i: ~F.exists(F.slice(rev, 1, i), lambda t: t["key"] == s["key"]))
     entries = F.reverse(dedup)
     return F.when(c.isNotNull() & (F.size(entries) > 0), F.map_from_entries(entries))
+
+
+def strip(col) -> Column:
+    """Without leading and trailing characters up to U+0020, which the service's trim removes."""
+    return F.regexp_replace(_c(col), F.lit(r"^[\x00-\x20]+|[\x00-\x20]+$"), F.lit(""))
+
+
+def blank(col) -> Column:
+    """Null, or nothing but characters up to U+0020."""
+    c = _c(col)
+    return c.isNull() | c.rlike(r"^[\x00-\x20]*$")
+
+
+def utf16_length(col) -> Column:
+    """Length in UTF-16 units, as the service counts: characters beyond U+FFFF are two."""
+    c = _c(col)
+    return F.length(c) + F.length(F.regexp_replace(c, F.lit(r"[^\x{10000}-\x{10FFFF}]"), F.lit("")))

@@ -21,6 +21,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from duewatch.functions.text import blank, utf16_length
+
 
 CREATE, COMPLETE, DELETE = "create", "complete", "delete"
 DEFAULT_CHUNK = 1 << 20
@@ -34,10 +36,6 @@ NAME_PATTERN = "^[a-zA-Z0-9_-]+$"
 
 # -- validation -----------------------------------------------------------------
 
-def _blank(c: Column) -> Column:
-    return c.isNull() | (F.trim(c) == "")
-
-
 def _first(*rules: tuple[Column, str]) -> Column:
     expr = None
     for cond, reason in rules:
@@ -57,15 +55,17 @@ def validate_create(reqs: DataFrame, now: Column | None = None) -> Column:
     now_s = F.unix_seconds(now if now is not None else F.col("received_at"))
     name, pid, dl, tags = F.col("name"), F.col("id"), F.col("deadline"), F.col("tags")
     tag_reason = _first_bad_tag(tags, [
-        (lambda t: _blank(t["key"]), "tag_key_blank"),
-        (lambda t: _blank(t["value"]), "tag_value_blank"),
-        (lambda t: F.length(t["key"]) > 50, "tag_key_too_long"),
-        (lambda t: F.length(t["value"]) > 100, "tag_value_too_long"),
+        (lambda t: blank(t["key"]), "tag_key_blank"),
+        (lambda t: blank(t["value"]), "tag_value_blank"),
+        (lambda t: utf16_length(t["key"]) > 50, "tag_key_too_long"),
+        (lambda t: utf16_length(t["value"]) > 100, "tag_value_too_long"),
     ])
-    return (F.when(_blank(name), F.lit("name_blank"))
-            .when(F.length(name) > 100, F.lit("name_too_long"))
-            .when(_blank(pid), F.lit("id_blank"))
-            .when(F.length(pid) > 50, F.lit("id_too_long"))
+    unreadable = F.col("unreadable") if "unreadable" in reqs.columns else F.lit(False)
+    return (F.when(unreadable, F.lit("body_unreadable"))
+            .when(blank(name), F.lit("name_blank"))
+            .when(utf16_length(name) > 100, F.lit("name_too_long"))
+            .when(blank(pid), F.lit("id_blank"))
+            .when(utf16_length(pid) > 50, F.lit("id_too_long"))
             .when(dl.isNotNull() & (dl <= 0), F.lit("deadline_not_positive"))
             .when(dl.isNotNull() & (dl < now_s - 60), F.lit("deadline_in_past"))
             .when(tags.isNotNull() & (F.size(tags) > 20), F.lit("too_many_tags"))
@@ -76,27 +76,30 @@ def validate_edge(reqs: DataFrame) -> Column:
     """Request-shape rules checked before the service rules (first failing)."""
     name, pid, dl, tags = F.col("name"), F.col("id"), F.col("deadline"), F.col("tags")
     tag_reason = _first_bad_tag(tags, [
-        (lambda t: _blank(t["key"]) | (F.length(t["key"]) > 50), "tag_key_invalid"),
-        (lambda t: _blank(t["value"]) | (F.length(t["value"]) > 100), "tag_value_invalid"),
+        (lambda t: blank(t["key"]) | (utf16_length(t["key"]) > 50), "tag_key_invalid"),
+        (lambda t: blank(t["value"]) | (utf16_length(t["value"]) > 100), "tag_value_invalid"),
     ])
-    return (F.when(_blank(name), F.lit("name_required"))
-            .when((F.length(name) < 1) | (F.length(name) > 100), F.lit("name_length"))
+    return (F.when(blank(name), F.lit("name_required"))
+            .when((utf16_length(name) < 1) | (utf16_length(name) > 100), F.lit("name_length"))
             .when(~name.rlike(NAME_PATTERN), F.lit("name_pattern"))
-            .when(_blank(pid), F.lit("id_required"))
-            .when((F.length(pid) < 3) | (F.length(pid) > 50), F.lit("id_length"))
+            .when(blank(pid), F.lit("id_required"))
+            .when((utf16_length(pid) < 3) | (utf16_length(pid) > 50), F.lit("id_length"))
             .when(dl.isNotNull() & (dl < 0), F.lit("deadline_negative"))
             .otherwise(tag_reason))
 
 
-def validate_complete(status: Column) -> Column:
-    return F.when(status == "ACTIVE", F.lit("status_active"))
+def validate_complete(status: Column, unreadable: Column | None = None) -> Column:
+    """A body that can't be read, a run that would stay ACTIVE, or a status outside the domain."""
+    return (F.when(F.lit(False) if unreadable is None else unreadable, F.lit("body_unreadable"))
+            .when(status == "ACTIVE", F.lit("status_active"))
+            .when(~status.isin("COMPLETED", "FAILED"), F.lit("status_invalid")))
 
 
 def validate_lookup(name: Column, pid: Column) -> Column:
-    return (F.when(_blank(name), F.lit("name_blank"))
-            .when(F.length(name) > 100, F.lit("name_too_long"))
-            .when(_blank(pid), F.lit("id_blank"))
-            .when(F.length(pid) > 50, F.lit("id_too_long")))
+    return (F.when(blank(name), F.lit("name_blank"))
+            .when(utf16_length(name) > 100, F.lit("name_too_long"))
+            .when(blank(pid), F.lit("id_blank"))
+            .when(utf16_length(pid) > 50, F.lit("id_too_long")))
 
 
 def status_violations(runs: DataFrame) -> DataFrame:
@@ -114,14 +117,20 @@ def error_code(reason: Column) -> Column:
 
 def decide(cmds: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Accept or reject each command. ``cmds``: seq, ts, name, process_id,
-    kind, status, deadline (already validated). Adds ``active_before``,
+    kind, status, deadline, and further columns that are kept (already
+    validated). Another kind than the three is rejected and changes nothing;
+    its ``active_before`` and row counts are null. Adds ``active_before``,
     ``rows_before``, ``rows_after``, ``accepted``, ``reason``, ``code``.
 
-    One shuffle on (key, seq chunk) computes everything local to a chunk;
-    only the first row of a chunk depends on earlier chunks, through the
-    previous chunk's last kind. Per-chunk summaries (one row per chunk) are
-    stitched per key — a small frame — and joined back on the same keys, so
-    the command rows are shuffled once."""
+    A shuffle on (key, seq chunk) computes everything local to a chunk; only
+    the first row of a chunk depends on earlier chunks, through the previous
+    chunk's last kind. Per-chunk summaries (one row per key and chunk) are
+    stitched per key and joined back on the same columns. The summary is an
+    aggregate over the same scan, so the scan and its shuffle are planned
+    twice; narrow command columns are all that the summary side reads."""
+    known = F.coalesce(F.col("kind").isin(CREATE, COMPLETE, DELETE), F.lit(False))
+    unknown = cmds.filter(~known)
+    cmds = cmds.filter(known)
     kc = KEY + ["_chunk"]
     w = "PARTITION BY name, process_id, _chunk ORDER BY seq"
     run = w + " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -171,12 +180,19 @@ def decide(cmds: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
             f"WHEN reason = 'not_found' THEN {CODE_NOT_FOUND} WHEN reason IS NOT NULL THEN {CODE_BAD_REQUEST} "
             f"WHEN kind = '{CREATE}' THEN {CODE_CREATED} WHEN kind = '{COMPLETE}' THEN {CODE_OK} "
             f"ELSE {CODE_DELETED} END")
-    return c.selectExpr(*cols, "active_before", "rows_before", "rows_after", "reason IS NULL AS accepted",
-                        "reason", f"{code} AS code")
+    decided = c.selectExpr(*cols, "active_before", "rows_before", "rows_after", "reason IS NULL AS accepted",
+                           "reason", f"{code} AS code")
+    return decided.unionByName(unknown.selectExpr(
+        *cols, "CAST(NULL AS BOOLEAN) AS active_before", "CAST(NULL AS BIGINT) AS rows_before",
+        "CAST(NULL AS BIGINT) AS rows_after", "false AS accepted", "'unknown_command' AS reason",
+        f"{CODE_BAD_REQUEST} AS code"))
 
 
 def fold(decisions: DataFrame) -> DataFrame:
-    """Final runs from decided commands: one row per surviving create."""
+    """Final runs from decided commands: one row per surviving create, with its tags and context."""
+    for c in ("tags", "context"):
+        if c not in decisions.columns:
+            decisions = decisions.withColumn(c, F.lit(None).cast("string"))
     acc = decisions.filter("accepted")
     kind = F.col("kind")
     level = F.when(kind == CREATE, F.col("rows_after")).otherwise(F.col("rows_before"))
@@ -184,7 +200,7 @@ def fold(decisions: DataFrame) -> DataFrame:
     cd = kind.isin(CREATE, DELETE)
     done = kind == COMPLETE
     g = ev.groupBy(*KEY, "level").agg(
-        F.max_by(F.when(cd, F.struct("kind", "seq", "ts", "deadline")), F.when(cd, F.col("seq"))).alias("cd"),
+        F.max_by(F.when(cd, F.struct("kind", "seq", "ts", "deadline", "tags", "context")), F.when(cd, F.col("seq"))).alias("cd"),
         F.max_by(F.when(done, F.struct("seq", "ts", "status")), F.when(done, F.col("seq"))).alias("fin"))
     live = g.filter(F.col("cd.kind") == CREATE)
     finished = F.col("fin.seq").isNotNull() & (F.col("fin.seq") > F.col("cd.seq"))
@@ -194,7 +210,7 @@ def fold(decisions: DataFrame) -> DataFrame:
         F.col("cd.ts").alias("started_at"),
         F.when(finished, F.col("fin.ts")).alias("completed_at"),
         F.col("cd.deadline").alias("deadline"),
-        F.lit(None).cast("string").alias("tags"), F.lit(None).cast("string").alias("context"),
+        F.col("cd.tags").alias("tags"), F.col("cd.context").alias("context"),
         F.col("cd.ts").alias("created_at"),
         F.when(finished, F.col("fin.ts")).otherwise(F.col("cd.ts")).alias("updated_at"),
         F.lit(None).cast("long").alias("namespace_id"),
@@ -216,3 +232,9 @@ def operation_results(decisions: DataFrame) -> DataFrame:
           .when((kind == COMPLETE) & ok, F.lit("update"))
           .when((kind == DELETE) & ok, F.lit("delete")))
     return decisions.select(op.alias("operation"), F.when(kind == CREATE, ok).otherwise(F.lit(True)).alias("success"))
+
+
+def read_results(requests: DataFrame) -> DataFrame:
+    """The read operations that lookups and lists record: GET requests, failed when the server erred."""
+    return requests.filter(F.col("method") == "GET").select(
+        F.lit("read").alias("operation"), F.coalesce(F.col("status") < 500, F.lit(False)).alias("success"))

@@ -55,7 +55,7 @@ def _json_or_raw_sql(col: str) -> str:
 
     Variant objects render their keys sorted; tag objects are written
     key-before-value, so the order is unchanged for them."""
-    return f"CASE WHEN trim({col}) != '' THEN coalesce(try_parse_json({col}), CAST({col} AS VARIANT)) END"
+    return f"CASE WHEN NOT {col} RLIKE '^[\\\\x00-\\\\x20]*$' THEN coalesce(try_parse_json({col}), CAST({col} AS VARIANT)) END"
 
 
 def _sql_str(text: str) -> str:

@@ -8,21 +8,21 @@ from duewatch.operators import lifecycle as LC
 from duewatch.operators.metrics import operation_counters
 from duewatch.plans import oracle as O
 from duewatch.plans.catalog import Tables, register
+from duewatch.plans.q_columns import _http_view
 from duewatch.sources.requests import parse_complete_requests, parse_create_requests
 
 HOUR_US = O.HOUR_US
-# Chunk of the seq range per task in the fold; small here so the fixture
-# spans several chunks and the stitching is exercised.
-FOLD_CHUNK = 4096
-
 CREATE_REQ_VIEW = """create_req AS (
   SELECT event_id AS request_id,
-         CASE WHEN event_type = 'view' AND user_id % 2 = 1 THEN ' ' ELSE event_type END AS name,
-         CASE WHEN event_type = 'click' THEN 'u' || CAST(user_id AS VARCHAR) ELSE 'user-' || CAST(user_id AS VARCHAR) END AS id,
-         CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) + (CAST(floor(value * 60) AS BIGINT) - 600) AS deadline,
-         CASE WHEN event_type = 'error' THEN [{'key': 'k', 'value': ' '}, {'key': 'k', 'value': props ->> 'k'}]
+         CASE WHEN event_type = 'view' AND user_id % 4 = 1 THEN ' ' WHEN event_type = 'view' AND user_id % 4 = 3 THEN chr(9)
+              ELSE event_type END AS name,
+         event_type = 'click' AND user_id % 13 = 0 AS unreadable,
+         CASE WHEN unreadable THEN NULL WHEN event_type = 'click' THEN 'u' || CAST(user_id AS VARCHAR) ELSE 'user-' || CAST(user_id AS VARCHAR) END AS id,
+         CASE WHEN NOT unreadable THEN CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) + (CAST(floor(value * 60) AS BIGINT) - 600)
+         END AS deadline,
+         CASE WHEN unreadable THEN NULL WHEN event_type = 'error' THEN [{'key': 'k', 'value': ' '}, {'key': 'k', 'value': props ->> 'k'}]
               ELSE [{'key': 'k', 'value': props ->> 'k'}] END AS tags,
-         event_id AS context_event,
+         CASE WHEN NOT unreadable THEN event_id END AS context_event,
          CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS received_s
   FROM events
 )"""
@@ -30,24 +30,31 @@ CREATE_REQ_VIEW = """create_req AS (
 
 @register("ingest_create_requests", O.with_views(
     "SELECT request_id, name, id, deadline, CAST(len(tags) AS INTEGER) AS tag_count, tags[-1].value AS last_tag_value, "
-    "CAST(context_event AS VARCHAR) AS context_event FROM create_req", CREATE_REQ_VIEW))
+    "CAST(context_event AS VARCHAR) AS context_event, unreadable FROM create_req", CREATE_REQ_VIEW))
 def ingest_create_q(t: Tables):
     r = parse_create_requests(t.create_requests)
     return r.select("request_id", "name", "id", "deadline", F.size("tags").alias("tag_count"),
                     F.element_at("tags", -1)["value"].alias("last_tag_value"),
-                    F.col("context")["event"].alias("context_event"))
+                    F.col("context")["event"].alias("context_event"), "unreadable")
+
+
+COMPLETE_VIEW = """complete_req AS (
+  SELECT event_id AS request_id, 'user-' || CAST(user_id AS VARCHAR) AS process_id,
+         user_id % 17 = 0 OR user_id % 19 = 0 AS unreadable,
+         CASE WHEN user_id % 17 = 0 OR user_id % 19 = 0 THEN NULL WHEN user_id % 23 = 0 THEN 'DONE'
+              WHEN event_type = 'error' THEN 'FAILED' WHEN event_type = 'view' THEN 'ACTIVE' ELSE 'COMPLETED' END AS status
+  FROM events WHERE event_type <> 'signup'
+)"""
 
 
-@register("ingest_complete_requests", O.with_views(
-    "SELECT event_id AS request_id, 'user-' || CAST(user_id AS VARCHAR) AS process_id, "
-    "CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'view' THEN 'ACTIVE' ELSE 'COMPLETED' END AS status "
-    "FROM events WHERE event_type <> 'signup'"))
+@register("ingest_complete_requests", O.with_views("SELECT request_id, process_id, status, unreadable FROM complete_req",
+                                                   COMPLETE_VIEW))
 def ingest_complete_q(t: Tables):
-    return parse_complete_requests(t.complete_requests).select("request_id", "process_id", "status")
+    return parse_complete_requests(t.complete_requests).select("request_id", "process_id", "status", "unreadable")
 
 
 def _blank(c: str) -> str:
-    return f"({c} IS NULL OR trim({c}) = '')"
+    return f"({c} IS NULL OR regexp_full_match({c}, '[\\x00-\\x20]*'))"
 
 
 def _first_bad_tag_sql(checks: list[tuple[str, str]]) -> str:
@@ -62,7 +69,8 @@ _CREATE_TAG = _first_bad_tag_sql([
 
 @register("validate_create", O.with_views(
     f"SELECT request_id, reason, CASE WHEN reason IS NOT NULL THEN 400 END AS code FROM ("
-    f"SELECT request_id, CASE WHEN {_blank('name')} THEN 'name_blank' WHEN length(name) > 100 THEN 'name_too_long' "
+    f"SELECT request_id, CASE WHEN unreadable THEN 'body_unreadable' WHEN {_blank('name')} THEN 'name_blank' "
+    "WHEN length(name) > 100 THEN 'name_too_long' "
     f"WHEN {_blank('id')} THEN 'id_blank' WHEN length(id) > 50 THEN 'id_too_long' "
     "WHEN deadline IS NOT NULL AND deadline <= 0 THEN 'deadline_not_positive' "
     "WHEN deadline IS NOT NULL AND deadline < received_s - 60 THEN 'deadline_in_past' "
@@ -92,11 +100,11 @@ def validate_edge_q(t: Tables):
 
 
 @register("validate_complete", O.with_views(
-    "SELECT event_id AS request_id, CASE WHEN event_type = 'view' THEN 'status_active' END AS reason "
-    "FROM events WHERE event_type <> 'signup'"))
+    "SELECT request_id, CASE WHEN unreadable THEN 'body_unreadable' WHEN status = 'ACTIVE' THEN 'status_active' "
+    "WHEN status NOT IN ('COMPLETED', 'FAILED') THEN 'status_invalid' END AS reason FROM complete_req", COMPLETE_VIEW))
 def validate_complete_q(t: Tables):
     r = parse_complete_requests(t.complete_requests)
-    return r.select("request_id", LC.validate_complete(F.col("status")).alias("reason"))
+    return r.select("request_id", LC.validate_complete(F.col("status"), F.col("unreadable")).alias("reason"))
 
 
 @register("validate_lookup", O.with_views(
@@ -114,13 +122,19 @@ def status_violations_q(t: Tables):
     return LC.status_violations(t.runs).select("id", "status")
 
 
-CMDS_VIEW = f"""cmds AS (
-  SELECT event_id AS seq, epoch_us(ts) AS ts_us, 'journey' AS name, 'user-' || CAST(user_id AS VARCHAR) AS process_id,
-         CASE WHEN event_type = 'signup' THEN 'create' ELSE 'complete' END AS kind,
+CMDS_VIEW = f"""all_cmds AS (
+  SELECT event_id AS seq, epoch_us(ts) AS ts_us, CASE WHEN user_id % 3 = 0 THEN 'trial' ELSE 'journey' END AS name,
+         'user-' || CAST(user_id AS VARCHAR) AS process_id,
+         CASE WHEN event_type = 'signup' THEN 'create' WHEN event_type IN ('purchase', 'error') THEN 'complete'
+              WHEN event_type = 'view' AND user_id % 5 = 0 THEN 'delete'
+              WHEN event_type = 'click' AND user_id % 11 = 0 THEN 'pause' END AS kind,
          CASE event_type WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' END AS status,
-         CASE WHEN event_type = 'signup' THEN epoch_us(ts) + 6 * {HOUR_US} END AS deadline_us
-  FROM events WHERE event_type IN ('signup', 'purchase', 'error')
+         CASE WHEN event_type = 'signup' THEN epoch_us(ts) + 6 * {HOUR_US} END AS deadline_us,
+         CASE WHEN event_type = 'signup' THEN '[{{"key":"k","value":"' || (props ->> 'k') || '"}}]' END AS tags,
+         CASE WHEN event_type = 'signup' THEN '{{"event":' || CAST(event_id AS VARCHAR) || '}}' END AS context
+  FROM events
 ),
+cmds AS (SELECT * FROM all_cmds WHERE kind IN ('create', 'complete', 'delete')),
 d1 AS (
   SELECT *, coalesce(lag(kind) OVER (PARTITION BY name, process_id ORDER BY seq) = 'create', false) AS active FROM cmds
 ),
@@ -146,34 +160,37 @@ decisions AS (
     "SELECT seq, name, process_id, kind, active AS active_before, CAST(rows_before AS BIGINT) AS rows_before, "
     "CAST(rows_after AS BIGINT) AS rows_after, reason IS NULL AS accepted, reason, "
     "CASE WHEN reason IN ('already_exists', 'already_completed') THEN 409 WHEN reason = 'not_found' THEN 404 "
-    "WHEN kind = 'create' THEN 201 WHEN kind = 'complete' THEN 200 ELSE 204 END AS code FROM decisions", CMDS_VIEW))
+    "WHEN kind = 'create' THEN 201 WHEN kind = 'complete' THEN 200 ELSE 204 END AS code FROM decisions "
+    "UNION ALL SELECT seq, name, process_id, kind, NULL, NULL, NULL, false, 'unknown_command', 400 FROM all_cmds WHERE kind = 'pause'",
+    CMDS_VIEW))
 def lifecycle_decisions_q(t: Tables):
-    d = LC.decide(t.commands, FOLD_CHUNK)
+    d = LC.decide(t.commands)
     return d.select("seq", "name", "process_id", "kind", "active_before", "rows_before", "rows_after",
                     "accepted", "reason", "code")
 
 
 @register("lifecycle_runs", O.with_views(
     "SELECT c.seq AS id, c.process_id, c.name, CASE WHEN f.seq IS NULL THEN 'ACTIVE' ELSE f.status END AS status, "
-    f"{O.sec('c.ts_us')} AS started_at, {O.sec('f.ts_us')} AS completed_at, {O.sec('c.deadline_us')} AS deadline "
-    "FROM decisions c LEFT JOIN LATERAL (SELECT * FROM decisions n WHERE n.name = c.name AND n.process_id = c.process_id "
+    f"{O.sec('c.ts_us')} AS started_at, {O.sec('f.ts_us')} AS completed_at, {O.sec('c.deadline_us')} AS deadline, "
+    "c.tags, c.context FROM decisions c LEFT JOIN LATERAL (SELECT * FROM decisions n WHERE n.name = c.name AND n.process_id = c.process_id "
     "AND n.seq > c.seq AND n.kind <> 'create' ORDER BY n.seq LIMIT 1) f ON f.kind = 'complete' "
     "WHERE c.kind = 'create' AND c.reason IS NULL AND NOT EXISTS (SELECT 1 FROM decisions l WHERE l.reason IS NULL "
     "AND l.name = c.name AND l.process_id = c.process_id AND l.seq > c.seq AND l.kind IN ('create', 'delete') "
     "AND (CASE WHEN l.kind = 'create' THEN l.rows_after ELSE l.rows_before END) = c.rows_after)", CMDS_VIEW))
 def lifecycle_runs_q(t: Tables):
-    _, runs = LC.fold_commands(t.commands, FOLD_CHUNK)
+    _, runs = LC.fold_commands(t.commands)
     return runs.select("id", "process_id", "name", "status", F.unix_seconds("started_at").alias("started_at"),
                        F.unix_seconds("completed_at").alias("completed_at"),
-                       F.unix_seconds("deadline").alias("deadline"))
+                       F.unix_seconds("deadline").alias("deadline"), "tags", "context")
 
 
 @register("operation_counters", O.with_views(
     "SELECT operation, 'processes' AS \"table\", success, count(*) AS count FROM ("
     "SELECT CASE WHEN kind = 'create' THEN 'create' WHEN kind = 'complete' AND reason IS NULL THEN 'update' "
     "WHEN kind = 'delete' AND reason IS NULL THEN 'delete' END AS operation, "
-    "CASE WHEN kind = 'create' THEN reason IS NULL ELSE true END AS success FROM decisions) o "
-    "WHERE operation IS NOT NULL GROUP BY ALL", CMDS_VIEW))
+    "CASE WHEN kind = 'create' THEN reason IS NULL ELSE true END AS success FROM decisions "
+    "UNION ALL SELECT 'read', status < 500 FROM http_requests WHERE method = 'GET') o "
+    "WHERE operation IS NOT NULL GROUP BY ALL", CMDS_VIEW, _http_view()))
 def operation_counters_q(t: Tables):
-    d = LC.decide(t.commands, FOLD_CHUNK)
-    return operation_counters(LC.operation_results(d))
+    d = LC.decide(t.commands)
+    return operation_counters(LC.operation_results(d).unionByName(LC.read_results(t.http_requests)))

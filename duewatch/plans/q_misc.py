@@ -5,7 +5,7 @@ from __future__ import annotations
 from duewatch.operators.scans import MISSED_EVENT, WARNING_EVENT
 from duewatch.plans import oracle as O
 from duewatch.plans.catalog import Tables, register
-from duewatch.plans.q_lifecycle import CMDS_VIEW, FOLD_CHUNK
+from duewatch.plans.q_lifecycle import CMDS_VIEW
 from duewatch.streaming.deadlines import deadline_events_batch
 
 
@@ -27,4 +27,4 @@ SELECT name, process_id, run_seq, ev.event AS event, ev.fire AS fire_at_ms FROM
 
 @register("stream_deadline_events", O.with_views(_SQL, CMDS_VIEW))
 def stream_deadline_events_q(t: Tables):
-    return deadline_events_batch(t.commands, 0.75, FOLD_CHUNK)
+    return deadline_events_batch(t.commands, 0.75)

@@ -102,23 +102,27 @@ def derive_runs(spark: SparkSession, sf_dir: str, as_of_us: int = AS_OF_US) -> D
 
 # -- views over events ---------------------------------------------------------
 
-COMMAND_KIND = {"signup": "create", "purchase": "complete", "error": "complete"}
-
-
 def derive_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lifecycle commands: signup → create (deadline ts + 6 h), purchase →
-    complete COMPLETED, error → complete FAILED. Key (journey, user-<id>);
-    ``seq`` is the event id, which rises with ``ts``."""
-    ev = table(spark, sf_dir, "events").filter(F.col("event_type").isin("signup", "purchase", "error"))
-    et = F.col("event_type")
+    """Lifecycle commands: signup → create (deadline ts + 6 h, a tag and a
+    context), purchase → complete COMPLETED, error → complete FAILED, views of
+    every fifth user → delete, clicks of every eleventh → a kind that doesn't
+    exist. Key (journey or trial, user-<id>); ``seq`` is the event id, which
+    rises with ``ts``."""
+    et, uid = F.col("event_type"), F.col("user_id")
+    kind = (F.when(et == "signup", "create").when(et.isin("purchase", "error"), "complete")
+            .when((et == "view") & (uid % 5 == 0), "delete").when((et == "click") & (uid % 11 == 0), "pause"))
+    ev = table(spark, sf_dir, "events").withColumn("kind", kind).filter("kind IS NOT NULL")
+    create = F.col("kind") == "create"
     return ev.select(
         F.col("event_id").alias("seq"),
         F.col("ts").cast("timestamp").alias("ts"),
-        F.lit("journey").alias("name"),
-        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("process_id"),
-        F.when(et == "signup", F.lit("create")).otherwise(F.lit("complete")).alias("kind"),
+        F.when(uid % 3 == 0, "trial").otherwise("journey").alias("name"),
+        F.concat(F.lit("user-"), uid.cast("string")).alias("process_id"),
+        "kind",
         F.when(et == "purchase", F.lit("COMPLETED")).when(et == "error", F.lit("FAILED")).alias("status"),
-        F.when(et == "signup", F.col("ts").cast("timestamp") + F.expr("INTERVAL 6 HOURS")).alias("deadline"),
+        F.when(create, F.col("ts").cast("timestamp") + F.expr("INTERVAL 6 HOURS")).alias("deadline"),
+        F.when(create, F.concat(F.lit('[{"key":"k","value":"'), F.get_json_object("props", "$.k"), F.lit('"}]'))).alias("tags"),
+        F.when(create, F.concat(F.lit('{"event":'), F.col("event_id").cast("string"), F.lit("}"))).alias("context"),
     )
 
 
@@ -161,8 +165,8 @@ def derive_create_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     et, uid, val = F.col("event_type"), F.col("user_id"), F.col("value")
     k = F.get_json_object(F.col("props"), "$.k")
-    # name: the event type; blank for view events with an odd user id
-    name = F.when((et == "view") & (uid % 2 == 1), F.lit(" ")).otherwise(et)
+    # name: the event type; blank for view events with an odd user id, by a space or a tab
+    name = F.when((et == "view") & (uid % 4 == 1), F.lit(" ")).when((et == "view") & (uid % 4 == 3), F.lit("\t")).otherwise(et)
     pid = F.when(et == "click", F.concat(F.lit("u"), uid.cast("string"))) \
            .otherwise(F.concat(F.lit("user-"), uid.cast("string")))
     deadline_s = F.unix_seconds(F.col("ts").cast("timestamp")) + (F.floor(val * 60).cast("long") - 600)
@@ -175,17 +179,20 @@ def derive_create_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.col("event_id").alias("request_id"),
         name.alias("name"),
-        body.alias("body"),
+        F.when((et == "click") & (uid % 13 == 0), F.lit("{broken")).otherwise(body).alias("body"),
         F.col("ts").cast("timestamp").alias("received_at"),
     )
 
 
 def derive_complete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw complete bodies: purchase → COMPLETED, error → FAILED, click → an
-    empty body (defaults to COMPLETED), view → ACTIVE (rejected)."""
+    empty body (defaults to COMPLETED), view → ACTIVE (rejected). Some users
+    send a body that can't be read, a bare string, or a status that doesn't exist."""
     ev = table(spark, sf_dir, "events").filter(F.col("event_type") != "signup")
     et = F.col("event_type")
-    body = (F.when(et == "purchase", F.lit('{"status":"COMPLETED"}'))
+    uid = F.col("user_id")
+    body = (F.when(uid % 17 == 0, F.lit("{broken")).when(uid % 19 == 0, F.lit('"completed"'))
+            .when(uid % 23 == 0, F.lit('{"status":"DONE"}')).when(et == "purchase", F.lit('{"status":"COMPLETED"}'))
             .when(et == "error", F.lit('{"status":"FAILED"}'))
             .when(et == "view", F.lit('{"status":"ACTIVE"}')))
     return ev.select(

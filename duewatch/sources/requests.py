@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from duewatch.functions.jsoncols import TAGS
+from duewatch.functions.text import blank
 
 CREATE_BODY = T.StructType([
     T.StructField("id", T.StringType()),
@@ -15,19 +16,29 @@ CREATE_BODY = T.StructType([
 COMPLETE_BODY = T.StructType([T.StructField("status", T.StringType())])
 
 
+def _unreadable(body: str) -> Column:
+    """A body that isn't one JSON object; an absent or blank body is not counted."""
+    b = F.col(body)
+    parsed = F.schema_of_variant(F.try_parse_json(b))
+    return ~blank(b) & ~F.coalesce(parsed.startswith("OBJECT"), F.lit(False))
+
+
 def parse_create_requests(raw: DataFrame, body: str = "body") -> DataFrame:
-    """``name`` (path) + JSON ``body`` → name, id, deadline (epoch s), tags, context."""
+    """``name`` (path) + JSON ``body`` → name, id, deadline (epoch s), tags, context, unreadable."""
     b = F.from_json(F.col(body), CREATE_BODY)
-    keep = [c for c in raw.columns if c != body]
-    return raw.select(*keep, b["id"].alias("id"), b["deadline"].alias("deadline"),
-                      b["tags"].alias("tags"), b["context"].alias("context"))
+    bad = _unreadable(body) | blank(F.col(body))
+    keep = [F.col(c) for c in raw.columns if c != body]
+    fields = [F.when(~bad, b[f]).alias(f) for f in ("id", "deadline", "tags", "context")]
+    return raw.select(*keep, *fields, bad.alias("unreadable"))
 
 
 def parse_complete_requests(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Missing body or status → COMPLETED."""
+    """Missing body or status → COMPLETED; an unreadable body has no status and is flagged."""
     b = F.from_json(F.col(body), COMPLETE_BODY)
-    keep = [c for c in raw.columns if c != body]
-    return raw.select(*keep, F.coalesce(b["status"], F.lit("COMPLETED")).alias("status"))
+    bad = _unreadable(body)
+    keep = [F.col(c) for c in raw.columns if c != body]
+    return raw.select(*keep, F.when(~bad, F.coalesce(b["status"], F.lit("COMPLETED"))).alias("status"),
+                      bad.alias("unreadable"))
 
 
 def read_request_stream(spark, path: str, schema: T.StructType, fmt: str = "json") -> DataFrame:

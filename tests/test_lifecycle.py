@@ -33,6 +33,8 @@ def replay(cmds):
             else:
                 newest["status"], newest["completed"] = status, ts
                 decisions[seq] = None
+        elif kind != "delete":
+            decisions[seq] = "unknown_command"
         else:
             if newest is None:
                 decisions[seq] = "not_found"
@@ -48,7 +50,7 @@ def random_commands(n, keys, seed):
     out = []
     for seq in range(n):
         k = rnd.randrange(keys)
-        kind = rnd.choices(["create", "complete", "delete"], [5, 4, 2])[0]
+        kind = rnd.choices(["create", "complete", "delete", "pause"], [5, 4, 2, 1])[0]
         ts = BASE + timedelta(minutes=seq)
         out.append((seq * 3 + 1, ts, "p", f"k{k}", kind,
                     rnd.choice(["COMPLETED", "FAILED"]) if kind == "complete" else None,
