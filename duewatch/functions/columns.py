@@ -16,7 +16,6 @@ from pyspark.sql import Column, functions as F
 from duewatch.functions.time import instant, instant_sql
 
 ACTIVE, COMPLETED, FAILED = "ACTIVE", "COMPLETED", "FAILED"
-STATUSES = (ACTIVE, COMPLETED, FAILED)
 
 MISSED, ON_TRACK = "MISSED", "ON_TRACK"
 COMPLETED_ON_TIME, COMPLETED_LATE = "COMPLETED_ON_TIME", "COMPLETED_LATE"
@@ -80,10 +79,6 @@ def outcome(as_of) -> Column:
         ELSE '{COMPLETED_ON_TIME}' END""")
 
 
-def is_problem(outcome_col: Column) -> Column:
-    return outcome_col.isin(*PROBLEM_OUTCOMES)
-
-
 def duration_s(as_of) -> Column:
     """Whole-second live duration: floor(end) - floor(start), end defaulting to as_of."""
     now = _now(as_of)

@@ -6,7 +6,6 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, functions as F
 
-AsOf = "datetime | str | int | Column"
 
 MICROS_PER_SECOND = 1_000_000
 MICROS_PER_HOUR = 3_600 * MICROS_PER_SECOND
@@ -62,9 +61,5 @@ def epoch_us(col) -> Column:
     return F.unix_micros(_c(col))
 
 
-def from_epoch_s(col) -> Column:
-    return F.timestamp_seconds(_c(col))
-
-
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col

@@ -19,8 +19,6 @@ from duewatch.functions.jsoncols import has_tag, parse_tags_or_null
 from duewatch.functions.time import instant, minus_hours
 from duewatch.operators.ordering import top_k
 
-DEADLINE_STATUSES = (C.MISSED, C.ON_TRACK, C.COMPLETED_ON_TIME, C.COMPLETED_LATE)
-
 
 def by_name(v: str) -> Column:
     return F.col("name") == F.lit(v)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,7 +12,6 @@ from duewatch.operators.filters import RunFilter, apply_filter
 from duewatch.operators.ordering import top_k
 
 SORT_KEYS = ("started_at", "completed_at", "deadline", "name", "status", "duration")
-NULLABLE_SORT_KEYS = ("completed_at", "deadline")
 DEFAULT_LIMIT, MAX_LIMIT = 20, 100
 
 
@@ -76,11 +74,11 @@ def page_by_number(page: int, size: int) -> tuple[int, int]:
     return size, (max(1, int(page)) - 1) * size
 
 
-def run_response(runs: DataFrame, as_of) -> DataFrame:
+def run_response(runs: DataFrame, as_of, *keep: str) -> DataFrame:
     """The per-run response: id, name, status, deadline_status, epoch-second
     times, live duration, typed tags and context."""
     return runs.select(
-        F.col("process_id").alias("id"), "name", "status",
+        *keep, F.col("process_id").alias("id"), "name", "status",
         C.deadline_status(as_of).alias("deadline_status"),
         F.unix_seconds(C.started).alias("started_at"),
         F.unix_seconds(C.completed).alias("completed_at"),
@@ -108,44 +106,41 @@ def page(df: DataFrame, order: list[Column], limit: int | None, offset: int | No
     return top_k(df, order, lim, off)
 
 
-@dataclass
-class PageInfo:
-    total: int
-    limit: int
-    offset: int
-    rows: int
-
-    @property
-    def has_more(self) -> bool:
-        return self.offset + self.rows < self.total
-
-
 def list_runs(runs: DataFrame, flt: RunFilter | None, as_of, limit: int | None = None,
               offset: int | None = None) -> DataFrame:
-    """Filter → sort → page, with the response projection and ``pos``."""
+    """Filter → sort → page: the full response, with ``pos`` and the ``total``
+    of all matches on each row."""
     flt = flt or RunFilter()
     matched = apply_filter(runs, flt, as_of)
-    paged = page(matched, sort_columns(flt.sort_by, flt.sort_dir, as_of), limit, offset)
-    return _respond_with_pos(paged, as_of)
-
-
-def _respond_with_pos(paged: DataFrame, as_of) -> DataFrame:
-    return paged.select(
-        F.col("pos"), F.col("process_id").alias("id"), "name", "status",
-        C.deadline_status(as_of).alias("deadline_status"),
-        F.expr("unix_seconds(started_at)").alias("started_at"),
-        F.expr("unix_seconds(completed_at)").alias("completed_at"),
-        F.expr("unix_seconds(deadline)").alias("deadline"),
-        C.duration_s(as_of).alias("duration"),
-    )
-
-
-def page_info(runs: DataFrame, flt: RunFilter | None, as_of, limit: int | None = None,
-              offset: int | None = None) -> DataFrame:
-    """One row: total matches, clamped limit/offset, rows on the page, has_more."""
+    order = flt.sort_by if flt.sort_by and (":" in flt.sort_by or "," in flt.sort_by) else None
+    columns = sort_multi(order, as_of) if order else sort_columns(flt.sort_by, flt.sort_dir, as_of)
+    paged = page(matched, columns, limit, offset)
+    total = matched.agg(F.count(F.lit(1)).alias("total"))  # one row, so the cross join only attaches it
+    return normalize(run_response(paged, as_of, "pos")).crossJoin(total)
+
+
+def keyset_page(runs: DataFrame, flt: RunFilter | None, as_of, after: tuple | None = None,
+                limit: int | None = None) -> DataFrame:
+    """The page that follows ``after``, the (started_at, id) of the last row
+    seen, newest first. Deep pages cost what the first one costs, as the bound
+    is a filter that reaches the scan, and no offset is merged."""
+    matched = apply_filter(runs, flt or RunFilter(), as_of)
+    if after is not None:
+        at, run_id = instant(after[0]), F.lit(after[1])
+        matched = matched.filter((F.col("started_at") < at) | ((F.col("started_at") == at) & (F.col("id") < run_id)))
+    return top_k(matched, [F.col("started_at").desc(), F.col("id").desc()], clamp_page(limit, 0)[0])
+
+
+def paging(total: DataFrame, limit: int | None = None, offset: int | None = None) -> DataFrame:
+    """One row from a one-row ``total``: total, clamped limit/offset, rows on the page, has_more."""
     lim, off = clamp_page(limit, offset)
-    total = apply_filter(runs, flt, as_of).agg(F.count(F.lit(1)).alias("total"))
     rows = F.greatest(F.lit(0), F.least(F.lit(lim), F.col("total") - F.lit(off)))
     return total.select(
         "total", F.lit(lim).cast("long").alias("limit"), F.lit(off).cast("long").alias("offset"),
         rows.cast("long").alias("rows"), (F.lit(off) + rows < F.col("total")).alias("has_more"))
+
+
+def page_info(runs: DataFrame, flt: RunFilter | None, as_of, limit: int | None = None,
+              offset: int | None = None) -> DataFrame:
+    """:func:`paging` of all matches of a filter."""
+    return paging(apply_filter(runs, flt, as_of).agg(F.count(F.lit(1)).alias("total")), limit, offset)

@@ -4,7 +4,7 @@ command results; gauges become snapshots joined to the previous snapshot."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from duewatch.functions import columns as C
 from duewatch.functions.text import sanitize_path
@@ -98,36 +98,67 @@ def overdue_gauge(prev: DataFrame, cur: DataFrame, cap: int | None = None) -> Da
     return out.crossJoin(series).filter(keep).drop("_series")
 
 
-# Exported metric name per counter column.
-LIFECYCLE_METRICS = {"created": "processes_created_total", "completed": "processes_completed_total",
-                     "failed": "processes_failed_total", "on_time": "processes_completed_on_time_total",
-                     "late": "processes_completed_late_total"}
-EVENT_METRICS = {"missed_events": "deadline_missed_total", "warning_events": "deadline_warning_total"}
-BACKLOG_LABELS = {"missed_backlog": "type=missed", "warning_backlog": "type=warning"}
-
-
-def _long_form(df: DataFrame, id_cols: list[str], names: dict[str, str]) -> DataFrame:
-    """One pass over an aggregate: unpivot its counter columns to (col, value)."""
-    long = df.unpivot(id_cols, list(names), "_col", "value")
-    lookup = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
-    return long.withColumn("_mapped", lookup[F.col("_col")]).withColumn("value", F.col("value").cast("double"))
-
-
-def metrics_snapshot(runs: DataFrame, events: DataFrame, as_of, threshold: float = 0.75) -> DataFrame:
-    """Long-form metrics (metric, labels, value): lifecycle counters, event
-    counters, the overdue gauge and backlog gauges. ``labels`` is ``k=v``
-    pairs joined by ``,``. Each source is aggregated once and unpivoted."""
-    from duewatch.operators.analytics import backlog, overdue_by_name
-    by_name = F.concat(F.lit("process_name="), F.col("name"))
-    lc = _long_form(lifecycle_counters(runs), ["name"], LIFECYCLE_METRICS)
-    ev = _long_form(event_counters(events), ["name"], EVENT_METRICS)
-    named = lc.unionByName(ev).select(F.col("_mapped").alias("metric"), by_name.alias("labels"), "value")
-    gauge = overdue_by_name(runs, as_of).select(
-        F.lit("processes_overdue_current").alias("metric"), by_name.alias("labels"),
-        F.col("overdue").cast("double").alias("value"))
-    bl = _long_form(backlog(runs, as_of, threshold), [], BACKLOG_LABELS).select(
-        F.lit("notification_backlog").alias("metric"), F.col("_mapped").alias("labels"), "value")
-    return named.unionByName(gauge).unionByName(bl)
+# Exported metric name per column of the per-name aggregate.
+NAME_METRICS = {"created": "processes_created_total", "completed": "processes_completed_total",
+                "failed": "processes_failed_total", "on_time": "processes_completed_on_time_total",
+                "late": "processes_completed_late_total", "missed_events": "deadline_missed_total",
+                "warning_events": "deadline_warning_total"}
+
+
+def name_aggregate(runs: DataFrame, as_of, threshold: float = 0.75) -> DataFrame:
+    """All per-name counters and gauges in one pass over the runs: lifecycle
+    counters, due events, overdue and active runs."""
+    from duewatch.operators.scans import missed_due, warning_due
+    st, dl, ca = F.col("status"), F.col("deadline"), F.col("completed_at")
+    timed = (st == C.COMPLETED) & dl.isNotNull() & ca.isNotNull()
+    warn = warning_due(as_of, threshold) if 0 < threshold < 1 else F.lit(False)
+    return runs.groupBy("name").agg(
+        F.count(F.lit(1)).alias("created"), F.count_if(st == C.COMPLETED).alias("completed"),
+        F.count_if(st == C.FAILED).alias("failed"), F.count_if(timed & (ca <= dl)).alias("on_time"),
+        F.count_if(timed & (ca > dl)).alias("late"), F.count_if(missed_due(as_of)).alias("missed_events"),
+        F.count_if(warn).alias("warning_events"), F.count_if(C.is_overdue(as_of)).alias("overdue"),
+        F.count_if(st == C.ACTIVE).alias("active"))
+
+
+def _rows(df: DataFrame, labels: Column, values: dict[str, Column]) -> DataFrame:
+    """(metric, labels, value): one row of ``df`` gives one per entry of ``values``."""
+    items = F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in values.items()])
+    return df.select(labels.alias("labels"), F.explode(items).alias("m")).select("m.metric", "labels", "m.value")
+
+
+def metrics_snapshot(runs: DataFrame, as_of, threshold: float = 0.75, operations: DataFrame | None = None,
+                     requests: DataFrame | None = None) -> DataFrame:
+    """Long-form metrics (metric, labels, value): lifecycle and event counters,
+    overdue, active and backlog gauges, duration timers, and, where given,
+    database operations (operation, success) and HTTP requests. ``labels`` is
+    ``k=v`` pairs joined by ``,``. Runs are aggregated once by (name, status)
+    for the timers and once by name for all else."""
+    def labels(**cols) -> Column:
+        return F.concat_ws(",", *[F.concat(F.lit(f"{k}="), F.coalesce(c.cast("string"), F.lit("unknown")))
+                                  for k, c in cols.items()])
+    agg = name_aggregate(runs, as_of, threshold)
+    out = _rows(agg, labels(process_name=F.col("name")), {m: F.col(c) for c, m in NAME_METRICS.items()})
+    over = agg.filter("overdue > 0").select(F.lit("processes_overdue_current").alias("metric"),
+                                            labels(process_name=F.col("name")).alias("labels"),
+                                            F.col("overdue").cast("double").alias("value"))
+    whole = agg.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("active", "missed_events", "warning_events")])
+    out = out.unionByName(over).unionByName(_rows(whole, F.lit(""), {"active_processes_current": F.col("active")}))
+    for kind in ("missed", "warning"):
+        out = out.unionByName(_rows(whole, F.lit(f"type={kind}"), {"notification_backlog": F.col(f"{kind}_events")}))
+    timers = duration_timer(runs)
+    out = out.unionByName(_rows(timers, labels(process_name=F.col("name"), status=F.col("status")), {
+        "process_duration_ms_count": F.col("count"), "process_duration_ms_sum": F.col("sum_ms"),
+        "process_duration_ms_max": F.col("max_ms")}))
+    if operations is not None:
+        ops = operation_counters(operations)
+        out = out.unionByName(_rows(ops, labels(operation=F.col("operation"), table=F.col("table"), success=F.col("success")),
+                                    {"database_operations_total": F.col("count")}))
+    if requests is not None:
+        req = request_rollup(requests)
+        out = out.unionByName(_rows(req, labels(method=F.col("method"), endpoint=F.col("endpoint"), status=F.col("status")), {
+            "http_requests_total": F.col("count"), "http_request_duration_ms_sum": F.col("sum_ms"),
+            "http_request_duration_ms_max": F.col("max_ms")}))
+    return out
 
 
 def request_alerts(requests: DataFrame, window: str = "5 minutes", slide: str = "1 minute",

@@ -3,14 +3,16 @@
 A rule has an event type, a threshold (percent of the deadline budget or a
 duration in seconds), optional targets (process names, or tags that must all
 match; any target matching is enough; no targets means every run) and
-channels. Each run qualifies for at most one event type at ``as_of``, so rules
-join runs on that type — broadcast after a size check, salted beyond it (see
-:func:`_join_rules`) — and the threshold and targets are then checked per pair.
+channels. Each run qualifies for at most one event type at ``as_of``. Rules
+meet runs by equi-joins only: on (event type, name) for name targets, and on
+(event type, key, value) of one wanted tag for tag targets, whose other tags are
+then verified; only untargeted rules, which every run of the type matches, join
+on the type alone. Whether a side is broadcast is Spark's choice by its size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from duewatch.functions import columns as C
 from duewatch.functions.jsoncols import parse_tags
@@ -28,19 +30,6 @@ RULES = T.StructType([
     T.StructField("channel_ids", T.ArrayType(T.StringType())),
 ])
 
-# The four rules of the test fixture.
-FIXTURE_RULES = [
-    ("r1", APPROACHING, "percent", 75.0, [], {}, ["slack-ops"]),
-    ("r2", BREACHED, "duration", 0.0, ["building"], {}, ["pager"]),
-    ("r3", COMPLETED_EVENT, "percent", 0.0, [], {"priority": "1-URGENT"}, ["email", "slack-ops"]),
-    ("r4", APPROACHING, "duration", 86400.0, ["machinery"], {"region": "EUROPE"}, ["webhook"]),
-]
-
-
-def fixture_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FIXTURE_RULES, RULES)
-
-
 def run_event_type(as_of):
     now = instant(as_of)
     dl = F.col("deadline")
@@ -49,31 +38,25 @@ def run_event_type(as_of):
             .when(F.col("status") == C.COMPLETED, F.lit(COMPLETED_EVENT)))
 
 
-MAX_BROADCAST_RULES = 100_000
-JOIN_SALTS = 64
-
-
-def _join_rules(runs: DataFrame, rules: DataFrame, max_broadcast: int, salts: int) -> DataFrame:
-    """Join runs to rules on event type. There are only three event types, so
-    a shuffle join on it alone would put every run of a type in one task.
-    Rules are a configuration table: after a size check (a count, cheap on a
-    small table) they are broadcast; beyond the bound, runs are salted over
-    ``salts`` buckets and each rule is replicated to every bucket."""
-    if rules.count() <= max_broadcast:
-        return runs.join(F.broadcast(rules), "event_type")
-    salted_runs = runs.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    salted_rules = rules.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
-    return salted_runs.join(salted_rules, ["event_type", "_salt"]).drop("_salt")
-
-
-def match_rules(runs: DataFrame, rules: DataFrame, as_of, max_broadcast: int = MAX_BROADCAST_RULES,
-                salts: int = JOIN_SALTS) -> DataFrame:
+def match_rules(runs: DataFrame, rules: DataFrame, as_of) -> DataFrame:
     """One row per (rule, run, channel) that fires at ``as_of``."""
     now_s = F.unix_seconds(instant(as_of))
     r = runs.select("id", "name", parse_tags("tags").alias("_tags"), run_event_type(as_of).alias("event_type"),
                     F.unix_seconds("started_at").alias("_st"), F.unix_seconds("deadline").alias("_dl"),
                     F.unix_seconds("completed_at").alias("_ca")).filter(F.col("event_type").isNotNull())
-    j = _join_rules(r, rules, max_broadcast, salts)
+    names = F.array_distinct(F.coalesce(F.col("target_names"), F.array().cast("array<string>")))
+    tags = F.coalesce(F.col("target_tags"), F.create_map().cast("map<string,string>"))
+    q = rules.withColumn("_names", names).withColumn("_want", F.sort_array(F.map_entries(tags)))
+    by_name = r.join(q.select("*", F.explode("_names").alias("name")), ["event_type", "name"])
+    first = F.col("_want")[0]
+    tagged = q.filter(F.size("_want") > 0).select("*", first["key"].alias("key"), first["value"].alias("value"))
+    one = r.select("*", F.explode(F.array_distinct("_tags")).alias("_t")).select("*", "_t.key", "_t.value").drop("_t")
+    # A rule that names the run has matched already.
+    by_tag = (one.join(tagged, ["event_type", "key", "value"]).drop("key", "value")
+              .filter(~F.array_contains("_names", F.col("name")) & F.forall("_want", lambda e: F.exists(
+                  "_tags", lambda t: (t["key"] == e["key"]) & (t["value"] == e["value"])))))
+    everyone = q.filter((F.size("_names") == 0) & (F.size("_want") == 0))
+    j = by_name.unionByName(by_tag).unionByName(r.join(everyone, "event_type"))
     budget = (F.col("_dl") - F.col("_st")).cast("double")
     v, pct = F.col("threshold_value"), F.col("threshold_type") == "percent"
     et = F.col("event_type")
@@ -86,11 +69,5 @@ def match_rules(runs: DataFrame, rules: DataFrame, as_of, max_broadcast: int = M
                     .otherwise((F.col("_ca") - F.col("_st")).cast("double") >= v)
     threshold_ok = (F.when(et == APPROACHING, approaching_ok).when(et == BREACHED, breached_ok)
                     .otherwise(completed_ok))
-    names, tags = F.coalesce(F.col("target_names"), F.array().cast("array<string>")), F.col("target_tags")
-    n_tags = F.coalesce(F.size(tags), F.lit(0))
-    name_hit = F.array_contains(names, F.col("name"))
-    tag_hit = (n_tags > 0) & F.forall(F.map_entries(tags), lambda e: F.exists(
-        "_tags", lambda t: (t["key"] == e["key"]) & (t["value"] == e["value"])))
-    no_targets = (F.size(names) == 0) & (n_tags == 0)
-    fired = j.filter(F.coalesce(threshold_ok, F.lit(False)) & (no_targets | name_hit | tag_hit))
+    fired = j.filter(F.coalesce(threshold_ok, F.lit(False)))
     return fired.select("rule_id", "id", "event_type", F.explode("channel_ids").alias("channel_id"))

@@ -167,6 +167,29 @@ def circuit_breaker(attempts: DataFrame, limit: int = MAX_CONSECUTIVE_FAILURES,
                                                                      "_stop IS NOT NULL AS tripped")
 
 
+def deadline_pass(runs: DataFrame, delivered: DataFrame, as_of, threshold: float = DEFAULT_THRESHOLD,
+                  batch: int = DEFAULT_BATCH, enabled: bool = True) -> DataFrame:
+    """One pass: the warning batch, then the missed batch, each delivered in
+    order until MAX_CONSECUTIVE_FAILURES in a row fail; returns the marks (id,
+    event, marked_at) of what was delivered. With delivery disabled every event
+    of the batches is marked. ``delivered`` (id, event) lists what the
+    deliverer got through. Marks are appended to a table; :func:`unmarked`
+    leaves out what it holds, so runs need not be rewritten."""
+    events = deadline_events(runs, as_of, threshold, batch)
+    at = F.unix_seconds(instant(as_of)).alias("marked_at")
+    if not enabled:
+        return events.select("id", "event", at)
+    ok = delivered.select("id", "event", F.lit(True).alias("_ok")).distinct()
+    attempts = events.join(ok, ["id", "event"], "left").select(
+        F.col("event").alias("scan_id"), "pos", F.col("id").alias("run_id"), F.coalesce("_ok", F.lit(False)).alias("delivered"))
+    return circuit_breaker(attempts).select(F.col("run_id").alias("id"), F.col("scan_id").alias("event"), at)
+
+
+def unmarked(events: DataFrame, marks: DataFrame) -> DataFrame:
+    """Events (id, event, …) that the marks table doesn't hold."""
+    return events.join(marks.select("id", "event"), ["id", "event"], "left_anti")
+
+
 def pending_deliveries(outbox: DataFrame, acknowledged: DataFrame) -> DataFrame:
     """Outbox events without an acknowledgement: they are retried next pass."""
     return outbox.join(acknowledged.select("id", "event"), ["id", "event"], "left_anti")

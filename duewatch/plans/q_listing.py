@@ -51,21 +51,29 @@ def sort_multi_q(t: Tables):
 _RESP_SQL = (f"process_id AS id, name, status, {O.DEADLINE_STATUS} AS deadline_status, "
              f"{O.sec('started_us')} AS started_at, {O.sec('completed_us')} AS completed_at, "
              f"{O.sec('deadline_us')} AS deadline, "
-             f"{O.sec(f'coalesce(completed_us, {AS_OF})')} - {O.sec('started_us')} AS duration")
+             f"{O.sec(f'coalesce(completed_us, {AS_OF})')} - {O.sec('started_us')} AS duration, "
+             f"CASE WHEN {O.IS_ARRAY} THEN tags ELSE '[]' END AS tags_json, context ->> 'customer' AS context_customer")
 
 
 def _list_sql(order: str, limit: int, offset: int, where: str = "true") -> str:
-    return O.with_views(O.ordered(f"runs WHERE {where}", order, limit, offset, cols=_RESP_SQL))
+    page = O.ordered(f"runs WHERE {where}", order, limit, offset, cols=_RESP_SQL)
+    return O.with_views(f"SELECT p.*, t.total FROM ({page}) p, (SELECT count(*) AS total FROM runs WHERE {where}) t")
+
+
+def _listed(t: Tables, flt: RunFilter, limit: int, offset: int):
+    got = L.list_runs(t.runs, flt, t.as_of, limit, offset)
+    return got.select(*[c for c in got.columns if c not in ("tags", "context")], F.to_json("tags").alias("tags_json"),
+                      F.col("context")["customer"].alias("context_customer"))
 
 
 @register("list_page1", _list_sql(_sql_order("started_at", "desc"), 20, 0))
 def list_page1_q(t: Tables):
-    return L.list_runs(t.runs, RunFilter(), t.as_of, 20, 0)
+    return _listed(t, RunFilter(), 20, 0)
 
 
 @register("list_page2", _list_sql(_sql_order("started_at", "desc"), 20, 20))
 def list_page2_q(t: Tables):
-    return L.list_runs(t.runs, RunFilter(), t.as_of, 20, 20)
+    return _listed(t, RunFilter(), 20, 20)
 
 
 _LIST_FILTER = RunFilter(status="ACTIVE", sort_by="deadline", sort_dir="asc")
@@ -73,7 +81,7 @@ _LIST_FILTER = RunFilter(status="ACTIVE", sort_by="deadline", sort_dir="asc")
 
 @register("list_runs", _list_sql(_sql_order("deadline", "asc"), 50, 0, "status = 'ACTIVE'"))
 def list_runs_q(t: Tables):
-    return L.list_runs(t.runs, _LIST_FILTER, t.as_of, 50, 0)
+    return _listed(t, _LIST_FILTER, 50, 0)
 
 
 @register("page_info", O.with_views(
@@ -102,3 +110,29 @@ def latency_by_tag_q(t: Tables):
     impact = A.tag_rollup(t.runs, t.as_of, 720)
     totals = A.tag_totals(t.runs, t.as_of, 720)
     return A.latency_by_tag(impact, totals)
+
+
+@register("list_sorted_multi", _list_sql("status ASC NULLS LAST, deadline_us DESC NULLS LAST, id DESC", 30, 0, "name = 'building'"))
+def list_sorted_multi_q(t: Tables):
+    return _listed(t, RunFilter(name="building", sort_by="status:asc,deadline:desc"), 30, 0)
+
+
+@register("page_by_number", O.with_views(O.ordered("runs", "started_us DESC NULLS LAST, id DESC", 25, 50, cols="id")))
+def page_by_number_q(t: Tables):
+    limit, offset = L.page_by_number(3, 25)
+    return L.page(t.runs, L.sort_columns("started_at", "desc", t.as_of), limit, offset).select("id", "pos")
+
+
+@register("keyset_page", O.with_views(O.ordered(
+    f"runs WHERE started_us < {AS_OF} - 400 * {O.DAY_US}", "started_us DESC, id DESC", 20, cols="id")))
+def keyset_page_q(t: Tables):
+    from duewatch.functions.time import minus_hours
+    return L.keyset_page(t.runs, None, t.as_of, (minus_hours(t.as_of, 400 * 24), -1), 20).select("id", "pos")
+
+
+@register("name_rollups_info", O.with_views(
+    "SELECT total, CAST(2 AS BIGINT) AS \"limit\", CAST(2 AS BIGINT) AS \"offset\", "
+    "CAST(greatest(0, least(2, total - 2)) AS BIGINT) AS rows, 2 + greatest(0, least(2, total - 2)) < total AS has_more "
+    "FROM (SELECT count(DISTINCT name) AS total FROM runs) n"))
+def name_rollups_info_q(t: Tables):
+    return L.paging(A.distinct_names(t.runs).withColumnRenamed("names", "total"), 2, 2)

@@ -10,11 +10,13 @@ from duewatch.operators import metrics as M
 from duewatch.operators import rules as R
 from duewatch.operators import scans as S
 from duewatch.operators import windows as WN
+from duewatch.operators.lifecycle import read_results
 from duewatch.plans import oracle as O
 from duewatch.plans.catalog import Tables, register
 from duewatch.plans.q_columns import _http_view
 from duewatch.plans.q_scans import _scan_sql
 from duewatch.plans.q_analytics import MISSED_SQL, _warning_sql
+from duewatch.sources.fixtures import FIXTURE_RULES, fixture_rules
 
 AS_OF = O.AS_OF
 
@@ -102,12 +104,27 @@ def _snapshot_sql() -> str:
                  ") o")
     parts.append(f"SELECT 'notification_backlog', 'type=missed', CAST(count(*) FILTER (WHERE {MISSED_SQL}) AS DOUBLE) FROM runs")
     parts.append(f"SELECT 'notification_backlog', 'type=warning', CAST(count(*) FILTER (WHERE {_warning_sql(0.75)}) AS DOUBLE) FROM runs")
-    return O.with_views(" UNION ALL ".join(parts), EVENTS_VIEW, f"lc AS ({LC_SQL})", f"ev AS ({EV_COUNT_SQL})")
+    parts.append("SELECT 'active_processes_current', '', CAST(count(*) FILTER (WHERE status = 'ACTIVE') AS DOUBLE) FROM runs")
+    timer = ("(SELECT name, status, count(*) AS c, sum(ms) AS s, max(ms) AS m FROM (SELECT name, status, "
+             "floor((completed_us - started_us) / 1000.0) AS ms FROM runs WHERE completed_us IS NOT NULL AND status <> 'ACTIVE') "
+             "GROUP BY ALL)")
+    parts += [f"SELECT 'process_duration_ms_{k}', {lab} || ',status=' || status, CAST({c} AS DOUBLE) FROM {timer} t"
+              for k, c in (("count", "c"), ("sum", "s"), ("max", "m"))]
+    req = ("(SELECT 'method=' || method || ',endpoint=' || regexp_replace(path, '/v1/processes/[^/]+/[^/]+', "
+           "'/v1/processes/{name}/{id}') || ',status=' || CAST(status AS VARCHAR) AS l, count(*) AS c, "
+           + O.round1("sum(duration_ms)") + " AS s, max(duration_ms) AS m FROM http_requests GROUP BY ALL)")
+    parts += [f"SELECT '{k}', l, CAST({c} AS DOUBLE) FROM {req} t" for k, c in (
+        ("http_requests_total", "c"), ("http_request_duration_ms_sum", "s"), ("http_request_duration_ms_max", "m"))]
+    parts.append("SELECT 'database_operations_total', 'operation=read,table=processes,success=' || "
+                 "CAST(status < 500 AS VARCHAR), CAST(count(*) AS DOUBLE) FROM http_requests WHERE method = 'GET' GROUP BY ALL")
+    return O.with_views(" UNION ALL ".join(parts), EVENTS_VIEW, f"lc AS ({LC_SQL})", f"ev AS (SELECT n.name, "
+                        f"coalesce(e.missed_events, 0) AS missed_events, coalesce(e.warning_events, 0) AS warning_events "
+                        f"FROM (SELECT DISTINCT name FROM runs) n LEFT JOIN ({EV_COUNT_SQL}) e ON e.name = n.name)", _http_view())
 
 
 @register("metrics_snapshot", _snapshot_sql())
 def metrics_snapshot_q(t: Tables):
-    return M.metrics_snapshot(t.runs, S.deadline_events(t.runs, t.as_of, 0.75), t.as_of)
+    return M.metrics_snapshot(t.runs, t.as_of, 0.75, read_results(t.http_requests), t.http_requests)
 
 
 WINDOWS_VIEW = """req_windows AS (
@@ -153,7 +170,7 @@ def alert_sustained_q(t: Tables):
 
 def _rules_sql() -> str:
     vals = []
-    for rid, et, tt, tv, names, tags, ch in R.FIXTURE_RULES:
+    for rid, et, tt, tv, names, tags, ch in FIXTURE_RULES:
         n = "[" + ", ".join(f"'{x}'" for x in names) + "]::VARCHAR[]"
         tg = ("MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in tags.items()) + "}") if tags else "MAP {}::MAP(VARCHAR, VARCHAR)"
         c = "[" + ", ".join(f"'{x}'" for x in ch) + "]"
@@ -184,4 +201,4 @@ def _tag_has(k: str, v: str) -> str:
     "(cardinality(target_tags) > 0 AND list_bool_and(list_transform(map_entries(target_tags), lambda e: "
     + _tag_has("e.key", "e.value") + "))))", _rules_sql()))
 def rule_match_q(t: Tables):
-    return R.match_rules(t.runs, R.fixture_rules(t.spark), t.as_of)
+    return R.match_rules(t.runs, fixture_rules(t.spark), t.as_of)

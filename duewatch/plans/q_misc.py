@@ -1,11 +1,24 @@
-"""Catalogue: the batch twin of the streaming deadline events."""
+"""Catalogue: batch twins of streaming operators, and rows for operators that other queries use inside
+(SURVEY §2.K5, K7, K8, B11, B24, C13, C14, D7, J5)."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from duewatch.functions import jsoncols as J
+from duewatch.operators import filters as FL
+from duewatch.operators import lifecycle as LC
+from duewatch.operators import listing as L
+from duewatch.operators import metrics as M
+from duewatch.operators import scans as S
+from duewatch.operators import windows as WN
+from duewatch.operators.ordering import top_k
 from duewatch.operators.scans import MISSED_EVENT, WARNING_EVENT
 from duewatch.plans import oracle as O
 from duewatch.plans.catalog import Tables, register
 from duewatch.plans.q_lifecycle import CMDS_VIEW
+from duewatch.plans.q_metrics import EV_COUNT_SQL, EVENTS_VIEW
+from duewatch.streaming.counters import stream_counters
 from duewatch.streaming.deadlines import deadline_events_batch
 
 
@@ -28,3 +41,60 @@ SELECT name, process_id, run_seq, ev.event AS event, ev.fire AS fire_at_ms FROM
 @register("stream_deadline_events", O.with_views(_SQL, CMDS_VIEW))
 def stream_deadline_events_q(t: Tables):
     return deadline_events_batch(t.commands, 0.75)
+
+
+@register("stream_counters", O.with_views(EV_COUNT_SQL, EVENTS_VIEW))
+def stream_counters_q(t: Tables):
+    return stream_counters(S.deadline_events(t.runs, t.as_of, 0.75))
+
+
+@register("gauge_snapshot", O.with_views(
+    f"SELECT name, count(*) FILTER (WHERE status = 'ACTIVE' AND deadline_us IS NOT NULL AND deadline_us < {O.AS_OF}) AS overdue, "
+    "count(*) FILTER (WHERE status = 'ACTIVE') AS active FROM runs GROUP BY name"))
+def gauge_snapshot_q(t: Tables):
+    return M.name_aggregate(t.runs, t.as_of).select("name", "overdue", "active")
+
+
+@register("context_to_json", O.with_views(
+    "SELECT id, '{\"customer\":\"' || (context ->> 'customer') || '\"}' AS context_json FROM runs"))
+def context_to_json_q(t: Tables):
+    return t.runs.select("id", J.context_to_json(J.parse_context("context")).alias("context_json"))
+
+
+@register("normalized_response", O.with_views(
+    f"SELECT process_id AS id, CASE WHEN id % 2 = 0 AND {O.IS_ARRAY} THEN tags ELSE '[]' END AS tags_json, "
+    "CASE WHEN id % 3 = 0 THEN context ->> 'customer' END AS customer FROM runs"))
+def normalized_response_q(t: Tables):
+    r = L.run_response(t.runs.withColumnRenamed("id", "run"), t.as_of, "run")
+    partial = r.withColumn("tags", F.when(F.col("run") % 2 == 0, F.col("tags"))) \
+               .withColumn("context", F.when(F.col("run") % 3 == 0, F.col("context")))
+    return L.normalize(partial).select("id", F.to_json("tags").alias("tags_json"),
+                                       F.try_element_at("context", F.lit("customer")).alias("customer"))
+
+
+@register("approaching_first50", O.with_views(O.ordered(
+    f"runs WHERE status = 'ACTIVE' AND deadline_us IS NOT NULL AND deadline_us <= {O.AS_OF} + 24 * {O.HOUR_US}",
+    "deadline_us, id", 50, cols="id")))
+def approaching_first_q(t: Tables):
+    return top_k(FL.approaching(t.runs, t.as_of, 24), [F.col("deadline"), F.col("id")], 50).select("id", "pos")
+
+
+@register("active_newest50", O.with_views(O.ordered("runs WHERE status = 'ACTIVE'", "started_us DESC, id DESC", 50, cols="id")))
+def active_newest_q(t: Tables):
+    return top_k(FL.active_runs(t.runs), [F.col("started_at").desc(), F.col("id").desc()], 50).select("id", "pos")
+
+
+# Two exports merged without care: runs of every tenth id come twice, and some statuses are outside the domain.
+@register("duplicate_active_merged", O.with_views(
+    "SELECT name, process_id, count(*) AS active_runs FROM (SELECT * FROM runs UNION ALL SELECT * FROM runs WHERE id % 10 = 0) m "
+    "WHERE status = 'ACTIVE' GROUP BY name, process_id HAVING count(*) > 1"))
+def duplicate_active_merged_q(t: Tables):
+    return WN.duplicate_active(t.runs.unionByName(t.runs.where("id % 10 = 0")))
+
+
+@register("status_violations_merged", O.with_views(
+    "SELECT id, CASE WHEN id % 211 = 0 THEN 'PAUSED' END AS status FROM runs WHERE id % 211 = 0 OR id % 223 = 0"))
+def status_violations_merged_q(t: Tables):
+    merged = t.runs.withColumn("status", F.when(F.col("id") % 211 == 0, "PAUSED")
+                               .when(F.col("id") % 223 == 0, F.lit(None)).otherwise(F.col("status")))
+    return LC.status_violations(merged).select("id", "status")

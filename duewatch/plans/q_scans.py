@@ -132,3 +132,28 @@ def pending_q(t: Tables):
     acks = out.where(((F.col("id") % 5 < 2) & (F.col("event") == S.MISSED_EVENT))
                      | ((F.col("id") % 7 == 0) & (F.col("event") == S.WARNING_EVENT))).select("id", "event")
     return S.pending_deliveries(out, acks).select("id", "event")
+
+
+def _pass_sql(enabled: bool) -> str:
+    events = (f"SELECT * FROM ({_scan_sql(_warning_sql(0.75), S.WARNING_EVENT, True, 500)}) w "
+              f"UNION ALL SELECT * FROM ({_scan_sql(MISSED_SQL, S.MISSED_EVENT, False, 500)}) m")
+    if not enabled:
+        return O.with_views(f"SELECT id, event, {O.sec(AS_OF)} AS marked_at FROM ({events}) e")
+    return O.with_views(
+        f"SELECT id, event, {O.sec(AS_OF)} AS marked_at FROM (SELECT *, min(CASE WHEN streak >= 5 THEN pos END) OVER "
+        "(PARTITION BY event) AS stop FROM (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY event, island "
+        "ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS streak FROM (SELECT *, sum(CASE WHEN ok THEN 1 "
+        "ELSE 0 END) OVER (PARTITION BY event ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM "
+        f"(SELECT *, id % 2 = 0 AS ok FROM ({events}) e) a) b) c) d WHERE ok AND (stop IS NULL OR pos < stop)")
+
+
+@register("deadline_pass", _pass_sql(True))
+def deadline_pass_q(t: Tables):
+    # The fixture's deliverer gets even ids through.
+    through = S.deadline_events(t.runs, t.as_of, 0.75).where("id % 2 = 0").select("id", "event")
+    return S.deadline_pass(t.runs, through, t.as_of)
+
+
+@register("deadline_pass_disabled", _pass_sql(False))
+def deadline_pass_disabled_q(t: Tables):
+    return S.deadline_pass(t.runs, t.runs.limit(0).select("id"), t.as_of, enabled=False)

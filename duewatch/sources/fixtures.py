@@ -202,3 +202,18 @@ def derive_complete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         body.alias("body"),
         F.col("ts").cast("timestamp").alias("received_at"),
     )
+
+
+# The four rules of the fixture (id, event type, threshold type and value, names, tags, channels).
+FIXTURE_RULES = [
+    ("r1", "deadline_approaching", "percent", 75.0, [], {}, ["slack-ops"]),
+    ("r2", "deadline_breached", "duration", 0.0, ["building"], {}, ["pager"]),
+    ("r3", "process_completed", "percent", 0.0, [], {"priority": "1-URGENT"}, ["email", "slack-ops"]),
+    ("r4", "deadline_approaching", "duration", 86400.0, ["machinery"], {"region": "EUROPE"}, ["webhook"]),
+]
+
+
+def fixture_rules(spark: SparkSession) -> DataFrame:
+    from duewatch.operators.rules import RULES
+
+    return spark.createDataFrame(FIXTURE_RULES, RULES)

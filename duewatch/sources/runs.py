@@ -59,11 +59,27 @@ def jdbc_options(url: str, table: str = "processes", *, lower_id: int | None = N
     return opts
 
 
-def load_runs_jdbc(spark: SparkSession, url: str, **kwargs) -> DataFrame:
-    reader = spark.read.format("jdbc")
-    for key, value in jdbc_options(url, **kwargs).items():
-        reader = reader.option(key, value)
-    return upgrade_runs(reader.load())
+def load_runs_jdbc(spark: SparkSession, url: str, table: str = "processes", **kwargs) -> DataFrame:
+    """Read runs from a database by many tasks, which need the range of ids:
+    without bounds, its ends are read first, by one query over the id index."""
+    def load(**options) -> DataFrame:
+        return spark.read.format("jdbc").options(**jdbc_options(url, **options)).load()
+    if kwargs.get("lower_id") is None or kwargs.get("upper_id") is None:
+        ends = load(table=f"(SELECT min(id) AS lo, max(id) AS hi FROM {table}) ends",
+                    **{k: v for k, v in kwargs.items() if k in ("user", "password")}).first()
+        kwargs |= {"lower_id": ends["lo"] or 0, "upper_id": ends["hi"] or 1}
+    return upgrade_runs(load(table=table, **kwargs))
+
+
+FILE_BYTES = 256 << 20
+
+
+def _input_bytes(df: DataFrame) -> int:
+    spark, total = df.sparkSession, 0
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return total
 
 
 def write_runs(runs: DataFrame, path: str, mode: str = "overwrite", files: int | None = None) -> None:
@@ -75,11 +91,11 @@ def write_runs(runs: DataFrame, path: str, mode: str = "overwrite", files: int |
     (what the deadline scans filter on), the completion time for finished
     ones (what analytics windows filter on) — so every status is spread over
     many tasks (none lands in one task) and each file covers a narrow time
-    range that Parquet min/max statistics can skip. ``files`` defaults to
-    ``spark.sql.shuffle.partitions``; cap file size with
-    ``spark.sql.files.maxRecordsPerFile`` on very large inputs.
+    range that Parquet min/max statistics can skip. ``files`` defaults to the
+    bytes of the files that ``runs`` reads over FILE_BYTES, and
+    ``spark.sql.shuffle.partitions`` at least.
     """
-    n = files or int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = files or max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-_input_bytes(runs) // FILE_BYTES))
     cluster = F.coalesce(F.col("completed_at"), F.col("deadline"), F.col("started_at"))
     (runs.repartitionByRange(n, F.col("status"), cluster, F.col("id"))
          .sortWithinPartitions(F.col("status"), cluster, F.col("id"))
@@ -90,4 +106,4 @@ def read_stored_runs(spark: SparkSession, path: str) -> DataFrame:
     """Read a table written by :func:`write_runs` with the canonical schema and
     column order. The schema is given, so no footer is read to infer it;
     ``status`` comes from the partition directories."""
-    return upgrade_runs(spark.read.schema(RUNS).parquet(path))
+    return upgrade_runs(load_runs(spark, path))

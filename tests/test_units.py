@@ -77,7 +77,7 @@ def test_normalize_fills_defaults(spark):
     assert rows["a"] == ([], {}) and rows["b"][1] == {"x": "1"}
 
 
-def test_rule_join_salted_path_equals_broadcast(spark):
+def test_rules_match_once_per_target_kind(spark):
     from duewatch.operators import rules as R
     from tests.conftest import T0, make_runs, tags
     runs = make_runs(spark, [
@@ -86,10 +86,14 @@ def test_rule_join_salted_path_equals_broadcast(spark):
              tags=tags(("region", "EUROPE"))),
         dict(id=3, process_id="c", name="x", status="COMPLETED", started=-3600, deadline=600, completed=-5,
              tags=tags(("priority", "1-URGENT")))])
-    rules = R.fixture_rules(spark)
-    fast = {tuple(r) for r in R.match_rules(runs, rules, T0).collect()}
-    salted = {tuple(r) for r in R.match_rules(runs, rules, T0, max_broadcast=0, salts=4).collect()}
-    assert fast == salted
+    from duewatch.sources.fixtures import FIXTURE_RULES
+    both = ("r5", "deadline_breached", "duration", 0.0, ["building", "building"], {"region": "EUROPE"}, ["pager"])
+    rules = spark.createDataFrame([*FIXTURE_RULES, both], R.RULES)
+    got = [tuple(r) for r in R.match_rules(runs, rules, T0).collect()]
+    fast = set(got)
+    assert len(got) == len(fast) and ("r5", 1, "deadline_breached", "pager") in fast
+    plan = R.match_rules(runs, rules, T0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 3 and "Cartesian" not in plan
     assert ("r2", 1, "deadline_breached", "pager") in fast
     assert ("r4", 2, "deadline_approaching", "webhook") in fast
     assert {x[3] for x in fast if x[0] == "r3"} == {"email", "slack-ops"}
