@@ -50,7 +50,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         name += "_"
     taken = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
                                                          F.col("copies").alias("__copies"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]) & docs["source"].eqNullSafe(taken["__source"]))
+    # The same kind of join at every size: both sides are dealt by the document.
+    joined = docs.join(taken.hint("merge"), docs["doc_id"].eqNullSafe(taken["__id"]) & docs["source"].eqNullSafe(taken["__source"]))
     return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["__copies"])).alias(name))
 
 

@@ -8,7 +8,7 @@ sets of similarity t or more share a shingle within their prefixes of
 n - ceil(t * n) + 1, so classes are joined on prefix shingles alone; pairs
 outside the length bound, or whose positions leave too little to share, go at
 once. So do pairs that a suffix filter tells apart: each set has the parity of
-its count in each of 256 hash cells, and two sets differ in at least as many
+its count in each of 512 hash cells, and two sets differ in at least as many
 shingles as parities. What is left is verified once per pair by an exact count.
 
 Joining all classes under a frequent shingle with each other would grow with
@@ -30,12 +30,15 @@ from pyspark.sql import functions as F
 
 from duewatch.llm import hashing
 from duewatch.llm.components import components
+from duewatch.llm.exact_dedup import flag_possible_repeats
 from duewatch.llm.shared import cut, flag_by_bits, map_batches, set_bits
 
 COUNT_BITS = 22
 BLOCK = 1 << 21
 ID_BITS = 23
-PARITY_LONGS = 4
+PARITY_LONGS = 8
+PIVOT_ROUNDS = 2
+TOKEN_BITS = 27
 PARITY = [f"q{k}" for k in range(PARITY_LONGS)]
 
 
@@ -189,19 +192,17 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = cut(found.where("n > 0 and id is not null").groupBy("n", "s1", "s2")
                   .agg(F.min(F.struct("id", *PARITY, "prefix")).alias("r"))
                   .select("n", "s1", "s2", "r.*"), "jaccard-classes")
-    # Each prefix shingle's classes. Where there are two, they are a pair at once; where there are
-    # more, its rows get the classes' parities and the pivots: the smallest set and two by hash.
+    # Each prefix shingle's classes. A fixed-size filter passes over shingles of one class alone.
+    # Where there are two, they are a pair at once; where there are more, its rows get the
+    # classes' parities.
+    under = flag_possible_repeats(classes.select("id", "n", F.posexplode("prefix").alias("i", "token")), "token", "maybe",
+                                  bits=TOKEN_BITS, hashes=1).where("maybe").drop("maybe")
     place = F.struct("id", F.col("n").cast("int").alias("n"), "i")
-    under = classes.select("id", "n", F.posexplode("prefix").alias("i", "token"))
+    under = cut(under, "jaccard-shared")
     lists = cut(under.groupBy("token").agg(F.count("*").alias("m"), F.min(place).alias("lo"), F.max(place).alias("hi"))
                 .where("m > 1"), "jaccard-lists")
     under = cut(under.join(lists.where("m > 2").select("token"), "token").join(classes.select("id", *PARITY), "id"),
                 "jaccard-tokens")
-    turn = F.struct(F.xxhash64("id").alias("h"), "id")
-    chosen = (under.groupBy("token").agg(F.array_distinct(F.array(F.min(F.struct("n", "id"))["id"], F.min(turn)["id"],
-                                                                  F.max(turn)["id"])).alias("id"))
-              .select("token", F.explode("id").alias("id")))
-    pivots = under.join(chosen, ["token", "id"], "left_semi")
 
     def needed(n: Column, m: Column) -> Column:
         return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))  # shared shingles of a linked pair
@@ -221,16 +222,29 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     lo, hi = F.col("lo"), F.col("hi")
     twos = (lists.where("m = 2").where(near(lo["n"], lo["i"], hi["n"], hi["i"]))
             .select(lo["id"].alias("a"), hi["id"].alias("b")).distinct())
-    tried = cut(pairs_of(under, pivots, F.col("id") != F.col("id_")).unionByName(twos).distinct(), "jaccard-pairs")
-    links = cut(_verify(tried, rows, words, percent), "jaccard-links")
-    component = cut(components(links), "jaccard-components")
-    named = under.join(component.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    spread = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    named = cut(named.join(spread.select("token"), "token", "left_semi"), "jaccard-open")
-    rest = pairs_of(named, named, (F.col("id") < F.col("id_")) & (F.col("c") != F.col("c_")))
-    rest = cut(rest.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-    links = links.unionByName(cut(_verify(rest, rows, words, percent), "jaccard-links"))
-    component = cut(components(links), "jaccard-components")
+    open_, tried, links = under.withColumn("c", F.col("id")), None, None
+    for step in range(PIVOT_ROUNDS + 1):
+        if step < PIVOT_ROUNDS:  # with the smallest set and two others of each shingle, others in each round
+            turn = F.struct(F.xxhash64(F.lit(step), "id").alias("h"), "id")
+            least = F.min(F.struct("n", "id"))["id"] if step == 0 else F.min(F.struct("c", "id"))["id"]
+            chosen = (open_.groupBy("token").agg(F.array_distinct(F.array(least, F.min(turn)["id"], F.max(turn)["id"])).alias("id"))
+                      .select("token", F.explode("id").alias("id")))
+            pairs = pairs_of(open_, open_.join(chosen, ["token", "id"], "left_semi"), F.col("c") != F.col("c_"))
+            pairs = pairs.unionByName(twos).distinct() if step == 0 else pairs
+        else:  # all that are still apart
+            pairs = pairs_of(open_, open_, (F.col("id") < F.col("id_")) & (F.col("c") != F.col("c_")))
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = cut(pairs, "jaccard-pairs")
+        good = cut(_verify(pairs, rows, words, percent), "jaccard-links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = good if links is None else links.unionByName(good)
+        component = cut(components(links), "jaccard-components")
+        if step < PIVOT_ROUNDS:
+            named = (under.join(component.withColumnRenamed("component", "c"), "id", "left")
+                     .withColumn("c", F.coalesce("c", "id")))
+            spread = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+            open_ = cut(named.join(spread.select("token"), "token", "left_semi"), "jaccard-open")
     # Each class's component, and its least id; a class's id is the least of its rows.
     of_class = classes.select("n", "s1", "s2", "id")
     of_class = of_class.join(component, "id", "left").select(
