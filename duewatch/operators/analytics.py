@@ -49,6 +49,17 @@ def duration_stats(d: str) -> list[Column]:
     return [F.expr(f"count({d})").alias("dur_count"), C.round1(f"avg({d})").alias("avg_s")]
 
 
+def _counted(name: str, cond: str) -> Column:
+    return F.expr(f"coalesce(sum(CASE WHEN {cond} THEN c ELSE 0 END), 0)").alias(name)
+
+
+def _counted_stats() -> list[Column]:
+    """:func:`duration_stats` of rows (dur, c) that stand for c runs each."""
+    n = "sum(CASE WHEN dur IS NOT NULL THEN c ELSE 0 END)"
+    return [F.expr(f"coalesce({n}, 0)").alias("dur_count"), C.round1(f"try_divide(sum(dur * c), {n})")
+            .alias("avg_s")]
+
+
 def _approx(d: str) -> Column:
     return F.expr(f"CAST(percentile_approx({d}, array(0.5D, 0.9D, 0.99D), 10000) AS ARRAY<DOUBLE>)").alias("_q")
 
@@ -75,11 +86,14 @@ def tag_totals(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name:
     Percentiles are exact (:mod:`duewatch.operators.quantiles`) unless
     ``approx`` asks for a sketch in the same pass."""
     s = _classified(runs, as_of, hours, name)
-    counts = [F.expr("count(1)").alias("total"), F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems"),
-              *duration_stats("dur")]
     if approx:
-        return _finish_stats(s.agg(*counts, _approx("dur")))
-    return _finish_stats(with_percentiles(s.agg(*counts), s, [], "dur"))
+        return _finish_stats(s.agg(F.expr("count(1)").alias("total"),
+                                   F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems"),
+                                   *duration_stats("dur"), _approx("dur")))
+    c = s.groupBy("outcome", "dur").agg(F.count("*").alias("c"))
+    base = c.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), _counted("problems", f"outcome IN {_PROBLEMS}"),
+                 *_counted_stats())
+    return _finish_stats(with_percentiles(base, c, [], "dur", count="c"))
 
 
 def tag_impact_order() -> list[Column]:
@@ -99,15 +113,17 @@ def tag_rollup(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name:
                approx: bool = False) -> DataFrame:
     """Uncapped per-(key, value) rollup; percentiles exact unless ``approx``."""
     s = explode_tags(_classified(runs, as_of, hours, name), "outcome", "dur")
-    counts = [F.expr("count(1)").alias("total")] + [
-        F.expr(f"count_if(outcome = '{o}')").alias(col) for o, col in
-        [(C.OVERDUE, "overdue"), (C.ON_TRACK, "on_track"), (C.COMPLETED_LATE, "completed_late"),
-         (C.COMPLETED_ON_TIME, "completed_on_time"), (C.FAILED, "failed")]]
-    counts += [F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems"), *duration_stats("dur")]
     keys = ["tag_key", "tag_value"]
+    outcomes = [(C.OVERDUE, "overdue"), (C.ON_TRACK, "on_track"), (C.COMPLETED_LATE, "completed_late"),
+                (C.COMPLETED_ON_TIME, "completed_on_time"), (C.FAILED, "failed")]
     if approx:
-        return _finish_stats(s.groupBy(*keys).agg(*counts, _approx("dur")))
-    return _finish_stats(with_percentiles(s.groupBy(*keys).agg(*counts), s, keys, "dur"))
+        return _finish_stats(s.groupBy(*keys).agg(
+            F.expr("count(1)").alias("total"), *[F.expr(f"count_if(outcome = '{o}')").alias(n) for o, n in outcomes],
+            F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems"), *duration_stats("dur"), _approx("dur")))
+    c = s.groupBy(*keys, "outcome", "dur").agg(F.count("*").alias("c"))
+    base = c.groupBy(*keys).agg(F.sum("c").alias("total"), *[_counted(n, f"outcome = '{o}'") for o, n in outcomes],
+                                _counted("problems", f"outcome IN {_PROBLEMS}"), *_counted_stats())
+    return _finish_stats(with_percentiles(base, c, keys, "dur", count="c"))
 
 
 def tag_impact(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name: str | None = None,

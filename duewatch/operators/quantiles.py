@@ -32,19 +32,25 @@ def _same(keys: list[str], left: DataFrame, right: DataFrame) -> Column:
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: Sequence[float] = DEFAULT_PS,
-                      nearest_rank: bool = False) -> DataFrame:
+                      nearest_rank: bool = False, count: str | None = None) -> DataFrame:
     """``keys``, ``n`` and ``q`` (array<double>, one entry per p) of each group with a non-null value.
 
     Interpolated between the values around rank ``p · (n − 1)``, as
     ``percentile`` does, or with ``nearest_rank`` the value at rank
     ``max(1, ceil(p · n))``, as ``percentile_disc`` does. Without keys there is
-    one group, and no row if it has no value. Null keys are a group.
+    one group, and no row if it has no value. Null keys are a group. With
+    ``count``, ``df`` has that many rows of each row; no filter is put on it, so
+    that a caller's counts are shuffled once for all that is read off them.
     """
     one = "_all"
     if not keys:
         df, keys = df.withColumn(one, F.lit(0)), [one]
-    c = (df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-         .groupBy(*keys, "_v").agg(F.count("*").alias("_c")).withColumn("_b", _range(F.col("_v"))))
+    v = F.col(value).cast("double").alias("_v")
+    if count is None:
+        c = df.select(*keys, v).where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    else:  # null values count as none, and stand in no range that is wanted
+        c = df.groupBy(*keys, v).agg(F.sum(F.when(F.col(value).isNull(), 0).otherwise(F.col(count))).alias("_c"))
+    c = c.withColumn("_b", _range(F.col("_v")))
     of_group = Window.partitionBy(*keys)
     ranges = (c.groupBy(*keys, "_b").agg(F.sum("_c").alias("_m"))
               .withColumn("n", F.sum("_m").over(of_group))
@@ -78,9 +84,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: Sequence[f
 
 
 def with_percentiles(base: DataFrame, values: DataFrame, keys: list[str], value: str,
-                     ps: Sequence[float] = DEFAULT_PS, nearest_rank: bool = False) -> DataFrame:
+                     ps: Sequence[float] = DEFAULT_PS, nearest_rank: bool = False, count: str | None = None) -> DataFrame:
     """``base`` (a row per group of ``keys``) with ``_q``, the percentiles of ``values``; null where there are none."""
-    q = exact_percentiles(values, keys, value, ps, nearest_rank)
+    q = exact_percentiles(values, keys, value, ps, nearest_rank, count)
     if not keys:  # each side is one row at most
         return base.join(q.select(F.col("q").alias("_q")), F.lit(True), "left")
     q = q.select(*[F.col(k).alias(k + "_") for k in keys], F.col("q").alias("_q"))
