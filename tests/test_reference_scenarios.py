@@ -168,3 +168,45 @@ def test_response_row(spark):
            for r in L.run_response(runs, "2023-01-01T00:00:00Z").collect()}
     assert got == {"on-time": (3600, "COMPLETED_ON_TIME", 1640995200, 1640998800),
                    "late": (7200, "COMPLETED_LATE", 1640995200, 1640998800)}
+
+
+# -- the deadline pass -------------------------------------------------------------
+
+def _pass_runs(spark, late=0, soon=0):
+    return make_runs(spark, [dict(id=i + 1, process_id=f"late{i}", status="ACTIVE", started=-3600, deadline=-600 + i)
+                             for i in range(late)]
+                     + [dict(id=100 + i, process_id=f"soon{i}", status="ACTIVE", started=-900, deadline=100 + i)
+                        for i in range(soon)])
+
+
+def _marks(spark, runs, ok, **options):
+    through = spark.createDataFrame(ok, "id long, event string")
+    return {(r.id, r.event) for r in S.deadline_pass(runs, through, T0, **options).collect()}
+
+
+def test_pass_marks_only_what_was_delivered(spark):
+    runs = _pass_runs(spark, late=3, soon=2)
+    ok = [(1, S.MISSED_EVENT), (3, S.MISSED_EVENT), (101, S.WARNING_EVENT)]
+    assert _marks(spark, runs, ok) == set(ok)
+
+
+def test_pass_stops_after_consecutive_failures(spark):
+    runs = _pass_runs(spark, late=9, soon=1)
+    ok = [(i, S.MISSED_EVENT) for i in (1, 7, 8)] + [(100, S.WARNING_EVENT)]
+    # 2 to 6 fail in a row, so 7 and 8 are not tried any more; the warning pass is its own.
+    assert _marks(spark, runs, ok) == {(1, S.MISSED_EVENT), (100, S.WARNING_EVENT)}
+    assert _marks(spark, runs, []) == set()
+
+
+def test_pass_with_delivery_disabled_marks_all(spark):
+    runs = _pass_runs(spark, late=7, soon=2)
+    assert len(_marks(spark, runs, [], enabled=False)) == 9
+
+
+def test_pass_with_warnings_off_and_marks_table(spark):
+    runs = _pass_runs(spark, late=2, soon=2)
+    every = [(1, S.MISSED_EVENT), (2, S.MISSED_EVENT), (100, S.WARNING_EVENT), (101, S.WARNING_EVENT)]
+    assert _marks(spark, runs, every, threshold=1.0) == set(every[:2])
+    marks = S.deadline_pass(runs, spark.createDataFrame(every[:1], "id long, event string"), T0)
+    left = S.unmarked(S.deadline_events(runs, T0), marks)
+    assert {(r.id, r.event) for r in left.collect()} == set(every[1:])
