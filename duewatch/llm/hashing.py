@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Space and ASCII punctuation: words are then runs of letters, digits and non-ASCII characters.

@@ -3,8 +3,7 @@
 A document's set is its distinct word shingles. Equal sets are one class, so
 copies are compared once. Shingles have one global order, rarest first (by
 how often they are repeated, from a fixed-size table over all documents, then
-by hash). Two
-sets of similarity t or more share a shingle within their prefixes of
+by hash). Two sets of similarity t or more share a shingle within their prefixes of
 n - ceil(t * n) + 1, so classes are joined on prefix shingles alone; pairs
 outside the length bound, or whose positions leave too little to share, go at
 once. So do pairs that a suffix filter tells apart: each set has the parity of
@@ -13,9 +12,9 @@ shingles as parities. What is left is verified once per pair by an exact count.
 
 Joining all classes under a frequent shingle with each other would grow with
 the square of a family of near copies, though its members hang together by few
-links. So every class is first joined with a few pivots of each shingle it is
-under, and components are formed; then only pairs whose ends are still in
-different components are formed, all of them. Components come out as if every
+links. So in a fixed number of rounds every class is joined with a few pivots of
+each shingle it is under, and components are formed; then only pairs whose ends
+are still in different components are formed, all of them. Components come out as if every
 pair had been verified.
 """
 
@@ -33,12 +32,12 @@ from duewatch.llm.components import components
 from duewatch.llm.exact_dedup import flag_possible_repeats
 from duewatch.llm.shared import cut, flag_by_bits, map_batches, set_bits
 
-COUNT_BITS = 22
-BLOCK = 1 << 21
+COUNT_BITS = 21
+BLOCK = 1 << 20
 ID_BITS = 23
 PARITY_LONGS = 8
 PIVOT_ROUNDS = 2
-TOKEN_BITS = 27
+TOKEN_BITS = 26
 PARITY = [f"q{k}" for k in range(PARITY_LONGS)]
 
 
@@ -158,7 +157,7 @@ def _verify(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> Data
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     cell = F.pmod(F.xxhash64(F.col("id")), F.lit(1 << ID_BITS))
     wanted = flag_by_bits(rows, set_bits(ids.select(cell.alias("c")), "c"), cell, "w").where("w").select("id", "t")
-    sets = cut(_sets(wanted, words).join(ids, "id", "left_semi").dropDuplicates(["id"]), "jaccard-sets")
+    sets = _sets(wanted, words).join(ids, "id", "left_semi").dropDuplicates(["id"])  # one shuffle, for both joins
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
 
@@ -211,17 +210,21 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return ((F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m))  # length filter
                 & (F.least(n - i, m - j) >= needed(n, m)))  # positional filter
 
+    odd = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "_"))) for c in PARITY), F.lit(0))
+    alike = odd <= F.col("n") + F.col("n_") - 2 * needed(F.col("n"), F.col("n_"))  # suffix filter
+
     def pairs_of(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
         right = right.select("token", *[F.col(c).alias(c + "_") for c in right.columns if c != "token"])
-        odd = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "_"))) for c in PARITY), F.lit(0))
-        n, m = F.col("n"), F.col("n_")
-        reach = near(n, F.col("i"), m, F.col("i_")) & (odd <= n + m - 2 * needed(n, m))  # and suffix filter
+        reach = near(F.col("n"), F.col("i"), F.col("n_"), F.col("i_")) & alike
         found = left.join(right, (left["token"] == right["token"]) & apart & reach)
         return found.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
 
     lo, hi = F.col("lo"), F.col("hi")
     twos = (lists.where("m = 2").where(near(lo["n"], lo["i"], hi["n"], hi["i"]))
             .select(lo["id"].alias("a"), hi["id"].alias("b")).distinct())
+    of_a = classes.select(F.col("id").alias("a"), "n", *PARITY)
+    of_b = classes.select(F.col("id").alias("b"), *[F.col(c).alias(c + "_") for c in ("n", *PARITY)])
+    twos = twos.join(of_a, "a").join(of_b, "b").where(alike).select("a", "b")
     open_, tried, links = under.withColumn("c", F.col("id")), None, None
     for step in range(PIVOT_ROUNDS + 1):
         if step < PIVOT_ROUNDS:  # with the smallest set and two others of each shingle, others in each round
