@@ -38,6 +38,7 @@ ID_BITS = 23
 PARITY_LONGS = 8
 PIVOT_ROUNDS = 2
 TOKEN_BITS = 26
+SHORT_LIST = 16
 PARITY = [f"q{k}" for k in range(PARITY_LONGS)]
 
 
@@ -192,16 +193,17 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                   .agg(F.min(F.struct("id", *PARITY, "prefix")).alias("r"))
                   .select("n", "s1", "s2", "r.*"), "jaccard-classes")
     # Each prefix shingle's classes. A fixed-size filter passes over shingles of one class alone.
-    # Where there are two, they are a pair at once; where there are more, its rows get the
-    # classes' parities.
+    # Where there are two, they are a pair at once; up to SHORT_LIST, all are paired; where there
+    # are more, its rows get the classes' parities for the rounds below.
     under = flag_possible_repeats(classes.select("id", "n", F.posexplode("prefix").alias("i", "token")), "token", "maybe",
                                   bits=TOKEN_BITS, hashes=1).where("maybe").drop("maybe")
     place = F.struct("id", F.col("n").cast("int").alias("n"), "i")
     under = cut(under, "jaccard-shared")
     lists = cut(under.groupBy("token").agg(F.count("*").alias("m"), F.min(place).alias("lo"), F.max(place).alias("hi"))
                 .where("m > 1"), "jaccard-lists")
-    under = cut(under.join(lists.where("m > 2").select("token"), "token").join(classes.select("id", *PARITY), "id"),
-                "jaccard-tokens")
+    short = under.join(lists.where(f"m > 2 and m <= {SHORT_LIST}").select("token"), "token")
+    under = cut(under.join(lists.where(f"m > {SHORT_LIST}").select("token"), "token")
+                .join(classes.select("id", *PARITY), "id"), "jaccard-tokens")
 
     def needed(n: Column, m: Column) -> Column:
         return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))  # shared shingles of a linked pair
@@ -224,6 +226,10 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             .select(lo["id"].alias("a"), hi["id"].alias("b")).distinct())
     of_a = classes.select(F.col("id").alias("a"), "n", *PARITY)
     of_b = classes.select(F.col("id").alias("b"), *[F.col(c).alias(c + "_") for c in ("n", *PARITY)])
+    other = short.select("token", *[F.col(c).alias(c + "_") for c in ("id", "n", "i")])
+    few = short.join(other, (short["token"] == other["token"]) & (F.col("id") < F.col("id_"))
+                     & near(F.col("n"), F.col("i"), F.col("n_"), F.col("i_")))
+    twos = twos.unionByName(few.select(F.col("id").alias("a"), F.col("id_").alias("b"))).distinct()
     twos = twos.join(of_a, "a").join(of_b, "b").where(alike).select("a", "b")
     open_, tried, links = under.withColumn("c", F.col("id")), None, None
     for step in range(PIVOT_ROUNDS + 1):
