@@ -37,7 +37,7 @@ BLOCK = 1 << 20
 ID_BITS = 23
 PARITY_LONGS = 8
 PIVOT_ROUNDS = 2
-TOKEN_BITS = 26
+TOKEN_BITS = 27
 SHORT_LIST = 16
 PARITY = [f"q{k}" for k in range(PARITY_LONGS)]
 
@@ -201,9 +201,9 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     under = cut(under, "jaccard-shared")
     lists = cut(under.groupBy("token").agg(F.count("*").alias("m"), F.min(place).alias("lo"), F.max(place).alias("hi"))
                 .where("m > 1"), "jaccard-lists")
-    short = under.join(lists.where(f"m > 2 and m <= {SHORT_LIST}").select("token"), "token")
-    under = cut(under.join(lists.where(f"m > {SHORT_LIST}").select("token"), "token")
-                .join(classes.select("id", *PARITY), "id"), "jaccard-tokens")
+    under = cut(under.join(lists.where("m > 2").select("token", "m"), "token"), "jaccard-longer")
+    short = under.where(f"m <= {SHORT_LIST}").drop("m")
+    under = cut(under.where(f"m > {SHORT_LIST}").drop("m").join(classes.select("id", *PARITY), "id"), "jaccard-tokens")
 
     def needed(n: Column, m: Column) -> Column:
         return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))  # shared shingles of a linked pair
