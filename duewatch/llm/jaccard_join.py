@@ -37,7 +37,7 @@ BLOCK = 1 << 20
 ID_BITS = 23
 PARITY_LONGS = 8
 PIVOT_ROUNDS = 2
-TOKEN_BITS = 27
+TOKEN_BITS = 26
 SHORT_LIST = 16
 PARITY = [f"q{k}" for k in range(PARITY_LONGS)]
 
@@ -196,7 +196,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Where there are two, they are a pair at once; up to SHORT_LIST, all are paired; where there
     # are more, its rows get the classes' parities for the rounds below.
     under = flag_possible_repeats(classes.select("id", "n", F.posexplode("prefix").alias("i", "token")), "token", "maybe",
-                                  bits=TOKEN_BITS, hashes=1).where("maybe").drop("maybe")
+                                  bits=TOKEN_BITS).where("maybe").drop("maybe")
     place = F.struct("id", F.col("n").cast("int").alias("n"), "i")
     under = cut(under, "jaccard-shared")
     lists = cut(under.groupBy("token").agg(F.count("*").alias("m"), F.min(place).alias("lo"), F.max(place).alias("hi"))
