@@ -1,18 +1,27 @@
 """Line dedup by a segment-partition edit join.
 
 Lines are trimmed, with A-Z as a-z; lengths and edits count UTF-8 bytes. Lines
-of equal text collapse first. A line of length L is cut into tau + 1 segments;
-a line within tau edits of it has at least one of them as a substring, at a
-place that the edits left and right of it allow. So each line puts its
-segments, with L and their number, into an index, and probes it for every
-length from its own down to tau less with its substrings at those places only.
-Candidates are verified by banded bit-parallel edit distance.
-
-Segment keys are tested against a fixed-size bit set of the index before they
-shuffle, so that of the many probes only those that may find something move.
-As in any family of near copies links are many but few are needed, each key's
-lines are first joined with one of them, and then only lines of different
-components, if a filter of their byte pairs lets them.
+of equal text collapse first. Two lines are near within ``tau`` edits, and from
+LONG_BYTES on within a twentieth of the longer one's bytes.
+
+A line of length L is cut into one segment more than the edits it allows; a
+line within them has at least one of the segments as a substring, at a place
+that the edits left and right of it allow. So each line puts its segments, with
+L and their number, into an index, and probes it for every length from its own
+down to tau less with its substrings at those places only. Long lines allow too
+many edits to try each length and place: there the index has the first GRAM
+bytes of each segment with a range of lengths and a range of places, and a line
+probes with all its substrings of GRAM bytes, for its own range of lengths and
+the next, and the one or two ranges of places that the edits can reach. Both
+ways every near pair meets. Candidates are verified by banded bit-parallel edit
+distance.
+
+Keys are tested against fixed-size bit sets before they shuffle: probes against
+that of the index, and the index against that of the probes left and of the
+keys that occur in it twice. As in any family of near copies links are many but
+few are needed, each key's lines are first joined with one of them, and then
+only lines of different components. Lengths, places and a filter of their byte
+pairs tell most pairs apart before they are verified.
 """
 
 from __future__ import annotations
@@ -30,7 +39,12 @@ from duewatch.llm.shared import cut, flag_by_bits, map_batches, set_bits
 
 TAU = 2
 LEAST_BYTES = 20
-KEY_BITS = 27
+LONG_BYTES = 80
+SHARE = 20  # a long line allows an edit for so many bytes
+GRAM = 16  # at most the shortest segment of a long line
+KEY_BITS = 29
+PART_BITS = 23
+CELLS_A_FLUSH = 1 << 22
 LINE_BITS = 23
 PAIR_LONGS = 4
 PAIRS = [f"q{k}" for k in range(PAIR_LONGS)]
@@ -123,6 +137,16 @@ def _key(sums: np.ndarray, at: np.ndarray, size: np.ndarray, length: np.ndarray,
     return hashing.mix(hashing.span_hash(sums, at, at + size) ^ hashing.mix((length * 16 + i).astype(np.uint64)))
 
 
+def long_from(tau: int) -> int:
+    """The length from which lines allow a SHAREth of their bytes, which is more than ``tau``."""
+    return max(LONG_BYTES, (tau + 1) * SHARE)
+
+
+def edits(length: int, tau: int) -> int:
+    """Edits that a pair whose longer line has ``length`` bytes allows."""
+    return length // SHARE if length >= long_from(tau) else tau
+
+
 def index_keys(sums: np.ndarray, starts: np.ndarray, length: np.ndarray, tau: int) -> Iterator[np.ndarray]:
     for i in range(tau + 1):
         at, size = _segment(length, i, tau)
@@ -147,6 +171,71 @@ def probe_keys(sums: np.ndarray, starts: np.ndarray, length: np.ndarray, tau: in
                 yield _key(sums, starts[fits] + at[fits] + d, size[fits], other[fits], i), fits
 
 
+def _length_ranges() -> np.ndarray:
+    """Where ranges of lengths begin: a line and another a SHAREth shorter are in one or in neighbours."""
+    out = [GRAM]
+    while out[-1] < 1 << 32:
+        out.append(out[-1] + out[-1] // (SHARE - 1) + 1)
+    return np.array(out, np.int64)
+
+
+_RANGES = _length_ranges()
+_REACH = np.r_[(_RANGES[1:] - 1) // SHARE, 0]  # edits that a line of the range allows at most
+
+
+def gram_hashes(sums: np.ndarray) -> np.ndarray:
+    """Hash of the GRAM bytes from each place on."""
+    n = max(sums.size - GRAM, 0)
+    up, _ = hashing.powers(sums.size)
+    return hashing.mix((sums[GRAM:] - sums[:n]) * up[:n])
+
+
+def _gram_key(gram: np.ndarray, span: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return hashing.mix(gram ^ hashing.mix((span << 40 | place + 1).astype(np.uint64)))
+
+
+def gram_index(grams: np.ndarray, starts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(gram, key, line, place) of the first GRAM bytes of each segment of long lines."""
+    pieces = length // SHARE + 1
+    line = np.repeat(np.arange(starts.size), pieces)
+    i = np.arange(line.size) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    place, _ = _segment(length[line], i, (pieces - 1)[line])
+    gram = grams[starts[line] + place]
+    span = np.searchsorted(_RANGES, length[line], "right") - 1
+    return gram, _gram_key(gram, span, place // (4 * _REACH[span] + 2)), line, place
+
+
+def gram_probes(grams: np.ndarray, starts: np.ndarray, length: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, line, place) of every substring of GRAM bytes that may be in the index of a line as long or longer.
+
+    ``starts`` are in order. ``held`` has the grams of the index and its keys.
+    """
+    inside = np.zeros(grams.size + 1, np.int32)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, starts + length - GRAM + 1, -1)
+    at = np.flatnonzero(np.cumsum(inside[:-1]))
+    at = at[_has(held, grams[at])]
+    line = np.searchsorted(starts, at, "right") - 1
+    place = at - starts[line]
+    own = np.searchsorted(_RANGES, length[line], "right") - 1
+    keys, lines, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for span in (own, own + 1):
+        width = 4 * _REACH[span] + 2
+        lo, hi = (place - _REACH[span]) // width, (place + _REACH[span]) // width
+        for step, some in ((lo, np.flatnonzero(lo >= 0)), (hi, np.flatnonzero(hi != lo))):
+            key = _gram_key(grams[at[some]], span[some], step[some])
+            hit = _has(held, key)
+            keys.append(key[hit])
+            lines.append(line[some][hit])
+            places.append(place[some][hit])
+    return np.concatenate(keys), np.concatenate(lines), np.concatenate(places)
+
+
+def _has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    cell = key & np.uint64((1 << KEY_BITS) - 1)
+    return (bits[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -169,58 +258,133 @@ def _occurrences(rows: DataFrame) -> DataFrame:
     return map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, line int, h bigint")
 
 
-def _cells(rows: DataFrame, tau: int, least: int) -> DataFrame:
+def _distinct_lines(chunk: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(running sums, hash, start, length) of the distinct lines of ``least`` bytes or more, in text order."""
+    starts, ends, _, _ = _lines(chunk, bounds)
+    sums = hashing.prefix_sums(chunk)
+    h, one = np.unique(_line_hash(sums, starts, ends), return_index=True)
+    order = np.argsort(one)
+    h, starts, length = h[order], starts[one[order]], (ends - starts)[one[order]]
+    enough = length >= least
+    return sums, h[enough], starts[enough], length[enough]
+
+
+def _index_rows(sums: np.ndarray, starts: np.ndarray, length: np.ndarray, tau: int) -> tuple[np.ndarray, ...]:
+    """(grams, key, line, place) of the whole index; place is 0 where keys have their place already."""
+    short, long = np.flatnonzero(length < long_from(tau)), np.flatnonzero(length >= long_from(tau))
+    keys = list(index_keys(sums, starts[short], length[short], tau))
+    gram, key, line, place = gram_index(gram_hashes(sums), starts[long], length[long])
+    return (gram, np.concatenate([*keys, key]), np.concatenate([np.tile(short, tau + 1), long[line]]),
+            np.concatenate([np.zeros(short.size * (tau + 1), np.int64), place]))
+
+
+def _key_bits(cells: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bit sets of 2**KEY_BITS cells (64 MB), whatever the input: those in ``cells`` (part, cells), and those in it twice.
+
+    Tasks hold a bit set for each part and the driver gets one row for each.
+    """
+    size = 1 << PART_BITS
+
+    def packed(cells: np.ndarray) -> np.ndarray:
+        out = np.zeros(size, bool)
+        out[cells] = True
+        return np.packbits(out, bitorder="little")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64((1 << KEY_BITS) - 1)
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            data, offsets = hashing.string_buffers(batch.column(1))
-            for _, _, chunk, bounds, _ in _pieces(data, offsets):
-                starts, ends, _, _ = _lines(chunk, bounds)
-                long = ends - starts >= least
-                found = list(index_keys(hashing.prefix_sums(chunk), starts[long], (ends - starts)[long], tau))
-                cells = np.unique(np.concatenate(found) & mask)
-                yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64))], ["cell"])
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                got = np.frombuffer(raw.as_buffer(), np.uint32)
+                once, twice = held.setdefault(part, (np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)))
+                bits = packed(got)
+                twice |= once & bits
+                once |= bits
+                if (again := got[1:][got[1:] == got[:-1]]).size:
+                    twice |= packed(again)
+        for part, (once, twice) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([once.tobytes()], pa.binary()),
+                                              pa.array([twice.tobytes()], pa.binary())], ["part", "once", "twice"])
+
+    parts = 1 << (KEY_BITS - PART_BITS)
+    got = map_batches(cells.repartition(parts, "part"), run, "part int, once binary, twice binary").toArrow()
+    out = np.zeros((2, parts, size // 8), np.uint8)
+    for part, once, twice in zip(got.column(0).to_pylist(), got.column(1), got.column(2), strict=True):
+        out[0, part], out[1, part] = np.frombuffer(once.as_buffer(), np.uint8), np.frombuffer(twice.as_buffer(), np.uint8)
+    return out[0].ravel(), out[1].ravel()
+
+
+def _cells(rows: DataFrame, found) -> DataFrame:
+    """(part, cells in order) of the keys that ``found`` yields for each batch of ``rows``."""
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        cells = np.sort(np.concatenate(held) & np.uint64((1 << KEY_BITS) - 1))
+        ends = np.searchsorted(cells, np.arange((1 << (KEY_BITS - PART_BITS)) + 1, dtype=np.uint64) << np.uint64(PART_BITS))
+        low = (cells & np.uint64((1 << PART_BITS) - 1)).astype(np.uint32)
+        parts = np.flatnonzero(np.diff(ends))
+        return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(
+            [low[ends[p]:ends[p + 1]].tobytes() for p in parts], pa.binary())], ["part", "cells"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for keys in found(batch):
+                held.append(keys)
+                size += keys.size
+                if size > CELLS_A_FLUSH:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return map_batches(rows, run, "part int, cells binary")
+
+
+def _index_bits(rows: DataFrame, tau: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bit sets of the index's keys and grams, and of what is in it twice."""
+    def found(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        data, offsets = hashing.string_buffers(batch.column(1))
+        for _, _, chunk, bounds, _ in _pieces(data, offsets):
+            sums, _, starts, length = _distinct_lines(chunk, bounds, least)
+            gram, key, _, _ = _index_rows(sums, starts, length, tau)
+            yield np.concatenate((np.unique(gram), key))
 
-    return map_batches(rows, run, "cell bigint")
+    return _key_bits(_cells(rows, found))
 
 
-def _keys(rows: DataFrame, bits: np.ndarray, tau: int, least: int) -> DataFrame:
-    """(key, h, probe) of all segments, and of the probes that the bit set lets pass."""
+def _keys(rows: DataFrame, bits: np.ndarray, tau: int, least: int, probe: bool) -> DataFrame:
+    """(key, h, n, place, probe) of the probes, or of the index, that the bit set lets pass; a written table."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, mask = shared.value, np.uint64((1 << KEY_BITS) - 1)
+        held = shared.value
         for batch in batches:
             data, offsets = hashing.string_buffers(batch.column(1))
             for _, _, chunk, bounds, _ in _pieces(data, offsets):
-                starts, ends, _, _ = _lines(chunk, bounds)
-                sums = hashing.prefix_sums(chunk)
-                h, one = np.unique(_line_hash(sums, starts, ends), return_index=True)
-                long = (ends - starts)[one] >= least
-                h, starts, length = h[long], starts[one][long], (ends - starts)[one][long]
-                keys, lines, probe = [], [], []
-                for key in index_keys(sums, starts, length, tau):
-                    keys.append(key)
-                    lines.append(h)
-                    probe.append(np.zeros(h.size, bool))
-                for key, line in probe_keys(sums, starts, length, tau, least):
-                    cell = key & mask
-                    hit = (held[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    keys.append(key[hit])
-                    lines.append(h[line[hit]])
-                    probe.append(np.ones(int(hit.sum()), bool))
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), _signed(np.concatenate(lines)),
-                                                  pa.array(np.concatenate(probe))], ["key", "h", "probe"])
-
-    return map_batches(rows, run, "key bigint, h bigint, probe boolean")
-
-
-def _bit_array(words: DataFrame) -> np.ndarray:
-    """The bit set as 2**KEY_BITS / 8 bytes (16 MB), whatever the input."""
-    got = words.toArrow()
-    out = np.zeros(1 << (KEY_BITS - 6), np.int64)
-    out[got.column("__word").to_numpy()] = got.column("__bits").to_numpy()
-    return out.view(np.uint8)
+                sums, h, starts, length = _distinct_lines(chunk, bounds, least)
+                _, key, line, place = _index_rows(sums, starts, length, tau)
+                if probe:
+                    own = key ^ hashing.mix(h[line])
+                    short = np.flatnonzero(length < long_from(tau))
+                    wide = np.flatnonzero(length >= max(GRAM, long_from(tau) - edits(long_from(tau), tau)))
+                    key, line, place = gram_probes(gram_hashes(sums), starts[wide], length[wide], held)
+                    keys, lines, places = [key], [wide[line]], [place]
+                    for key, line in probe_keys(sums, starts[short], length[short], tau, least):
+                        hit = _has(held, key)
+                        keys.append(key[hit])
+                        lines.append(short[line[hit]])
+                        places.append(np.zeros(int(hit.sum()), np.int64))
+                    key, line, place = np.concatenate(keys), np.concatenate(lines), np.concatenate(places)
+                    some = ~np.isin(key ^ hashing.mix(h[line]), own)  # index keys meet each other
+                else:
+                    some = _has(held, key)
+                key, line, place = key[some], line[some], place[some]
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(key), _signed(h[line]), pa.array(length[line].astype(np.int32)),
+                     pa.array(place.astype(np.int32)), pa.array(np.full(key.size, probe))], ["key", "h", "n", "place", "probe"])
+
+    out = cut(map_batches(rows, run, "key bigint, h bigint, n int, place int, probe boolean"),
+              "line-probes" if probe else "line-index")
+    shared.destroy()  # its copies stand on the disks
+    return out
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -256,14 +420,32 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return got.join(wanted, "h", "left_semi").dropDuplicates(["h"])
 
 
+def _edits(n: Column, m: Column, tau: int) -> Column:
+    longer = F.greatest(n, m)
+    return F.when(longer >= long_from(tau), F.floor(longer / SHARE)).otherwise(tau)
+
+
+def _reach(n: Column, place: Column, n_: Column, place_: Column, tau: int) -> Column:
+    """Whether the edits suffice for the shift of what a pair shares and for that of the lines' ends."""
+    shift = place - place_
+    return F.abs(shift) + F.abs(n - n_ - shift) <= _edits(n, n_, tau)
+
+
+def _alike(tau: int) -> Column:
+    odd = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "_"))) for c in PAIRS), F.lit(0))
+    return odd <= 4 * _edits(F.col("n"), F.col("n_"), tau)  # an edit takes two byte pairs away at most and brings as many
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
     joined = (pairs.join(texts.select(F.col("h").alias("a"), F.col("t").alias("x")), "a")
               .join(texts.select(F.col("h").alias("b"), F.col("t").alias("y")), "b").select("a", "b", "x", "y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [banded_distance(x.as_py(), y.as_py(), tau) <= tau
-                    for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                most = edits(max(len(x), len(y)), tau)
+                keep.append(banded_distance(x, y, most) <= most)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return map_batches(joined, run, "a bigint, b bigint")
@@ -271,27 +453,34 @@ def _verify(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
 
 def line_links(rows: DataFrame, tau: int, least: int) -> DataFrame:
     """(h, component) of the distinct lines of ``rows`` (id, t) that stand in a class with another."""
-    bits = _bit_array(set_bits(_cells(rows, tau, least), "cell"))
-    keys = cut(_keys(rows, bits, tau, least), "line-keys")
+    indexed, twice = _index_bits(rows, tau, least)
+    probes = _keys(rows, indexed, tau, least, True)
+    probed, _ = _key_bits(_cells(probes.select("key"), lambda batch: [batch.column(0).to_numpy().view(np.uint64)]))
+    index = _keys(rows, probed | twice, tau, least, False)
+    keys = probes.unionByName(index)
     # Keys of different lines, one of which at least is in the index.
     met = (keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("probe").alias("p"),
-                                   F.min(F.when(~F.col("probe"), F.col("h"))).alias("pivot"))
+                                   F.min(F.when(~F.col("probe"), F.struct("h", "n", "place"))).alias("pivot"))
            .where("lo < hi and not p").select("key", "pivot"))
     under = cut(keys.join(met, "key").distinct(), "line-under")
+    pivot = F.col("pivot")
+    tried = cut(under.where(F.col("h") != pivot["h"])
+                .where(_reach(F.col("n"), F.col("place"), pivot["n"], pivot["place"], tau))
+                .select(F.least("h", pivot["h"]).alias("a"), F.greatest("h", pivot["h"]).alias("b")).distinct(), "line-pairs")
     texts = cut(_texts(rows, under.select("h").distinct()), "line-texts")
-    tried = cut(under.where("h != pivot").select(F.least("h", "pivot").alias("a"), F.greatest("h", "pivot").alias("b"))
-                .distinct(), "line-pairs")
-    links = cut(_verify(tried, texts, tau), "line-found")
+    slim = texts.drop("t")
+    near = (tried.join(slim.withColumnRenamed("h", "a"), "a")
+            .join(slim.select([F.col(c).alias("b" if c == "h" else c + "_") for c in slim.columns]), "b")
+            .where(_alike(tau)).select("a", "b"))
+    links = cut(_verify(near, texts, tau), "line-found")
     component = cut(components(links), "line-components")
     named = (under.drop("pivot").join(component.withColumnRenamed("id", "h"), "h", "left")
              .withColumn("c", F.coalesce("component", "h")).drop("component"))
     spread = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    named = cut(named.join(spread, "key", "left_semi").join(texts.drop("t"), "h"), "line-open")
+    named = cut(named.join(spread, "key", "left_semi").join(slim.drop("n"), "h"), "line-open")
     left, right = named.where("not probe"), named.select([F.col(c).alias(c + "_") for c in named.columns])
-    odd = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "_"))) for c in PAIRS), F.lit(0))
-    near: Column = ((F.abs(F.col("n") - F.col("n_")) <= tau)
-                    & (odd <= 4 * tau))  # an edit takes two byte pairs away at most and brings as many
-    pairs = (left.join(right, (F.col("key") == F.col("key_")) & (F.col("c") != F.col("c_")) & near)
+    reach = _reach(F.col("n"), F.col("place"), F.col("n_"), F.col("place_"), tau)
+    pairs = (left.join(right, (F.col("key") == F.col("key_")) & (F.col("c") != F.col("c_")) & reach & _alike(tau))
              .select(F.least("h", "h_").alias("a"), F.greatest("h", "h_").alias("b")).distinct()
              .join(tried, ["a", "b"], "left_anti"))
     links = links.unionByName(cut(_verify(pairs, texts, tau), "line-found"))
@@ -304,7 +493,8 @@ def line_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Lines are one class if their trimmed texts, A-Z as a-z, are equal or
     linked through lines of at least ``least`` bytes within ``tau`` edits of
-    each other. A class's first line, by id and then line number, stays; a null
+    each other, or from LONG_BYTES on within a SHAREth of the longer one's
+    bytes. A class's first line, by id and then line number, stays; a null
     id comes first. Null and empty texts have no lines; rows repeated with one
     id are one document; an empty table gives no rows; only id and text are
     read.

@@ -228,6 +228,38 @@ def test_lines(spark):
         assert out[i] == (None if t is None else "\n".join(stays))
 
 
+def test_long_lines(spark):
+    """Long lines are near within a twentieth of the longer one's bytes: swapped, added and dropped words."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghé") for _ in range(rng.randint(2, 7)))
+
+    def edited(w):
+        w = list(w)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(w))
+            w[at:at + rng.randrange(2)] = rng.choice([[word()], []])
+        return w
+
+    base = [[word() for _ in range(n)] for n in (11, 12, 13, 14, 15, 16, 17, 18, 20, 25, 30, 40, 60, 90, 140, 300) for _ in range(3)]
+    lines = sorted({" ".join(edited(w)).encode() for w in base for _ in range(9)})
+    union = Union(lines)
+    wide = 0
+    for n, a in enumerate(lines):
+        for b in lines[:n]:
+            longer = max(len(a), len(b))
+            most = longer // 20 if longer >= 80 else 2
+            if abs(len(a) - len(b)) <= most and line_dedup.banded_distance(a, b, most) <= most:
+                wide += line_dedup.banded_distance(a, b, 2) > 2
+                union.join(a, b)
+    assert wide > 100
+    at = {i: b for i, b in enumerate(rng.sample(lines, len(lines)))}
+    first = {}
+    for i, b in at.items():
+        first.setdefault(union.find(b), i)
+    docs = make_docs(spark, [(i, b.decode()) for i, b in at.items()])
+    assert {r.doc_id: r.first_id for r in line_dedup.line_classes(docs).collect()} == {i: first[union.find(b)] for i, b in at.items()}
+
+
 def test_decontaminate(spark, docs, texts):
     bench = dict(duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall())
     words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
