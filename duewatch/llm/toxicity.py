@@ -1,10 +1,10 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's bag holds its character 3- to 5-grams (of bytes, marked where they
-touch the word's begin or end) and the word itself, all hashed to buckets. The
-embeddings of a window's bags are averaged and go through a linear softmax of
-two classes; embeddings and softmax are trained together, so a misspelling that
-was never seen shares most of its vectors with words that were. A few toxic
+touch the word's begin or end) and the word itself, all hashed to buckets. A
+window of SPAN words starts at every word. The embeddings of a window's bags
+are averaged and go through a linear softmax of two classes; embeddings and
+softmax are trained together, so a misspelling that was never seen shares most of its vectors with words that were. A few toxic
 words in a long text would drown in one average, so a text is scored by its
 most toxic window and the windows of a labelled text are learnt as a bag: the
 top windows of a toxic text are its examples, and the hardest windows of clean
@@ -56,23 +56,44 @@ def _buckets(chunk: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterato
 
 
 def _windows(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word of each window of SPAN words that doesn't leave its row, and the windows' rows."""
+    """First word and end of each window of SPAN words, one from every word that has so many in its row from there on.
+
+    A row of fewer words is one window.
+    """
     if not row.size:
-        return np.empty(0, np.int64), np.empty(0, np.int32)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    place = np.arange(row.size) - np.repeat(first, np.diff(np.r_[first, row.size]))
-    at = np.flatnonzero(place % SPAN == 0)
-    return at, row[at]
+    size = np.diff(np.r_[first, row.size])
+    place = np.arange(row.size) - np.repeat(first, size)
+    left = np.repeat(size, size) - place
+    at = np.flatnonzero((left >= SPAN) | (place == 0))
+    return at, at + np.minimum(left[at], SPAN)
+
+
+def _sums(x: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sum of ``x`` over each window."""
+    out = np.zeros(at.size, x.dtype)
+    for k in range(SPAN):
+        some = at + k < end
+        out[some] += x[at[some] + k]
+    return out
 
 
 def _pieces(offsets: np.ndarray, a: int, b: int, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bytes, row bounds) of rows [a, b); a single long row comes in pieces that end between words."""
+    """(bytes, row bounds) of rows [a, b); a single long row comes in pieces of whole words that share SPAN - 1 of them."""
     chunk = data[offsets[a]:offsets[b]]
     if b - a > 1 or chunk.size <= hashing.WINDOW:
         yield chunk, offsets[a:b + 1] - offsets[a]
         return
-    for s, e in hashing.window_ends(hashing.PUNCTUATION[chunk]):
-        yield chunk[s:e], np.array([0, e - s])
+    between = hashing.PUNCTUATION[chunk]
+    starts = np.flatnonzero(~between & np.r_[True, between[:-1]])
+    first = sent = 0
+    for _, e in hashing.window_ends(between):
+        words = int(np.searchsorted(starts, e))
+        if words == sent or (words - first < SPAN and words < starts.size):
+            continue
+        yield chunk[starts[first]:e], np.array([0, e - starts[first]])
+        sent, first = words, max(0, words - SPAN + 1)
 
 
 @dataclass
@@ -97,9 +118,8 @@ class Model:
                 for bucket, word in _buckets(chunk, starts, ends):
                     total += np.bincount(word, self.weight[bucket], starts.size)
                     n += np.bincount(word, minlength=starts.size)
-                at, of = _windows(row)
-                got = np.add.reduceat(total, at) / np.add.reduceat(n, at) + self.bias
-                np.maximum.at(out, a + of, got)
+                at, end = _windows(row)
+                np.maximum.at(out, a + row[at], _sums(total, at, end) / _sums(n, at, end) + self.bias)
         return out
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -112,7 +132,7 @@ class _Sample:
 
     def __init__(self, texts: list[str], toxic: np.ndarray):
         data, offsets = hashing.string_buffers(pa.array(texts, pa.string()))
-        buckets, sizes, rows = [], [], []
+        buckets, firsts, sizes, rows, before = [], [], [], [], 0
         for a, b in hashing.document_groups(offsets):
             chunk, bounds = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
             starts, ends, _ = hashing.word_spans(chunk, bounds, hashing.PUNCTUATION)
@@ -123,17 +143,21 @@ class _Sample:
             word = np.concatenate([w for _, w in parts])
             order = np.argsort(word, kind="stable")
             buckets.append(np.concatenate([x for x, _ in parts])[order].astype(np.int32))
-            at, of = _windows(row)
-            sizes.append(np.add.reduceat(np.bincount(word, minlength=starts.size), at))
-            rows.append(of + a)
+            at, end = _windows(row)
+            upto = np.r_[0, np.cumsum(np.bincount(word, minlength=starts.size))]
+            firsts.append(upto[at] + before)
+            sizes.append(upto[end] - upto[at])
+            rows.append(row[at] + a)
+            before += word.size
         self.buckets = np.concatenate(buckets) if buckets else np.empty(0, np.int32)
         self.size = np.concatenate(sizes) if sizes else np.empty(0, np.int64)
         self.row = np.concatenate(rows) if rows else np.empty(0, np.int64)
-        self.first = np.cumsum(self.size) - self.size
+        self.first = np.concatenate(firsts) if firsts else np.empty(0, np.int64)
         self.toxic = toxic
 
     def logits(self, weight: np.ndarray, bias: float) -> np.ndarray:
-        return np.add.reduceat(weight[self.buckets], self.first) / self.size + bias
+        upto = np.r_[0.0, np.cumsum(weight[self.buckets], dtype=np.float64)]
+        return (upto[self.first + self.size] - upto[self.first]) / self.size + bias
 
     def take(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of the windows, and each one's place in ``windows``."""

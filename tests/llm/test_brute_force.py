@@ -374,6 +374,25 @@ def test_toxicity_held_out(spark):
     assert scores.where("held_out != (crc32(cast(cast(doc_id as string) as binary)) % 3 = 1)").count() == 0
 
 
+def test_toxicity_windows_start_at_every_word(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 90)))
+    model = toxicity.Model(np.random.default_rng(12).normal(size=1 << toxicity.BUCKET_BITS), 0.25)
+    logits = lambda rows: model.logits(*hashing.string_buffers(pa.array(rows)))
+    texts = [[word() for _ in range(n)] for n in (1, 2, 3, 4, 5, 8, 13, 30) for _ in range(4)]
+    want = [max(logits([" ".join(w[k:k + 2]) for k in range(max(1, len(w) - 1))])) for w in texts]
+    rows = [rng.choice(["", " ", ". "]) + "".join(x + rng.choice([" ", ", ", "." * 70]) for x in w) for w in texts]
+    assert np.allclose(logits(rows), want)
+    sample = toxicity._Sample(rows, np.zeros(len(rows), int))
+    got = np.full(len(rows), -np.inf)
+    np.maximum.at(got, sample.row, sample.logits(model.weight, model.bias))
+    assert np.allclose(got, want)
+    monkeypatch.setattr(hashing, "WINDOW", 64)  # long texts come in pieces
+    assert np.allclose(logits(rows), want)
+
+
 def test_quality_held_out(spark):
     big = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
