@@ -2,7 +2,9 @@
 
 Every benchmark item has a 64-bit SimHash over its word shingles, weighted by
 how often each occurs. A document's windows of the item's length get theirs
-from running sums. The 64 bits are cut into 4 blocks of 16; two fingerprints
+from running sums. As one shingle that is repeated would dominate it, items and
+windows with such have a second one over their distinct shingles, and are
+candidates by either. The 64 bits are cut into 4 blocks of 16; two fingerprints
 within ``radius`` bits differ by at most radius // 4 bits in some block, so an
 index from every block value within that of an item's block to the item finds
 all items within the radius of a window. Candidates are verified by exact
@@ -42,6 +44,23 @@ def _bit_sums(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct_sums(sh: np.ndarray, m: int) -> np.ndarray | None:
+    """Sums of the bits of each window of ``m`` shingles, each distinct one once; None if no window has one twice."""
+    order = np.argsort(sh, kind="stable")
+    same = sh[order][1:] == sh[order][:-1]
+    before, after = order[:-1][same], order[1:][same]
+    if not (after - before < m).any():
+        return None
+    last, following = np.full(sh.size, -1), np.full(sh.size, 2 * sh.size)
+    last[after], following[before] = before, after
+    votes = ((sh[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) * 2 - 1
+    at = np.arange(sh.size - m)  # from this window to the next: what is new in it comes, what isn't in it any more goes
+    out = np.empty((at.size + 1, 64), np.int32)
+    out[0] = votes[:m][last[:m] < 0].sum(0)
+    out[1:] = votes[m:] * (last[m:] <= at)[:, None] - votes[:at.size] * (following[:at.size] >= at + m)[:, None]
+    return np.cumsum(out, axis=0, out=out)
+
+
 def _fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -57,7 +76,7 @@ class ItemIndex:
 
     def __init__(self, items: pa.Table, words: int, radius: int):
         self.radius = radius
-        self.length, self.shingles, self.counts, kept, prints = [], [], [], [], []
+        self.length, self.shingles, self.counts, kept, prints, once = [], [], [], [], [], []
         for at, text in enumerate(items.column(1).to_pylist()):
             data, offsets = hashing.string_buffers(pa.array([text], pa.string()))
             hashes, row = hashing.words(data, offsets, 0, 1, hashing.PUNCTUATION)
@@ -70,9 +89,12 @@ class ItemIndex:
             self.shingles.append(distinct)
             self.counts.append(n)
             prints.append(_fingerprints(_bit_sums(sh)[-1:])[0])
+            if distinct.size < sh.size:
+                once.append((len(kept) - 1, _fingerprints(_bit_sums(distinct)[-1:])[0]))
         self.ids = items.column(0).combine_chunks().take(pa.array(kept, pa.int64()))
         self.length = np.array(self.length, np.int64)
-        self.prints = np.array(prints, np.uint64)
+        self.prints = np.array(prints + [f for _, f in once], np.uint64)
+        self.item = np.array([*range(len(prints)), *(i for i, _ in once)], np.int64)  # of each fingerprint
         masks = near_values(min(radius // BLOCKS, BLOCK_BITS))
         self.first, self.listed = [], []
         for b in range(BLOCKS):
@@ -100,12 +122,12 @@ class ItemIndex:
             window = np.repeat(np.arange(prints.size), n)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
             item = self.listed[b][at]
-            same = self.length[item] == length
+            same = self.length[self.item[item]] == length
             found.append(window[same] * self.prints.size + item[same])
         both = np.unique(np.concatenate(found))
         window, item = both // self.prints.size, both % self.prints.size
         near = np.bitwise_count(prints[window] ^ self.prints[item]) <= self.radius
-        return window[near], item[near]
+        return window[near], self.item[item[near]]
 
     def similarity(self, window: np.ndarray, item: int) -> float:
         distinct, n = np.unique(window, return_counts=True)
@@ -127,7 +149,11 @@ def _text_hits(sh: np.ndarray, anchor: np.ndarray, k: int, lengths: list[int], i
             starts = starts[now.size:]
             sums = _bit_sums(sh[lo:int(now[-1]) + m])
             prints = _fingerprints(sums[now - lo + m] - sums[now - lo])
-            for w, i in zip(*index.candidates(prints, length), strict=True):
+            found = list(zip(*index.candidates(prints, length), strict=True))
+            once = _distinct_sums(sh[lo:int(now[-1]) + m], m)
+            if once is not None:
+                found += zip(*index.candidates(_fingerprints(once[now - lo]), length), strict=True)
+            for w, i in sorted(set(found)):
                 s = int(now[w])
                 got = index.similarity(sh[s:s + m], int(i))
                 if got >= least and (int(i) not in best or (got, -s) > (best[int(i)][0], -best[int(i)][1])):

@@ -112,6 +112,14 @@ def test_jaccard_family(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_brute(texts, 3, 90)
 
 
+def test_jaccard_one_id_on_different_texts(spark):
+    """Merged sources with their own numbering: each text of an id is compared, and they share a component."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(1) + " end"), (1, text(2) + " end"), (1, text(3) + " end"), (5, text(1)), (6, text(2)), (7, text(3)), (8, text(4))]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_classes(make_docs(spark, rows)).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (5, 1), (6, 1), (7, 1), (8, 8)]
+
+
 def test_exact(spark, docs):
     duckdb.sql(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     cols = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
@@ -292,6 +300,17 @@ def test_decontaminate(spark, docs, texts):
     assert any(0.8 <= v < 1 for v in want.values())
 
 
+def test_decontaminate_run_of_one_word(spark):
+    """Copies of long items that end in one repeated word, at similarity just over 0.8."""
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(404))) for k in range(8)]
+    rows = [(k, " ".join(t.split()[:360] + ["same"] * 44)) for k, t in items]
+    got = decontaminate.benchmark_hits(make_docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(8)]
+    sh = np.random.default_rng(2).integers(1, 9, 60).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    want = [decontaminate._bit_sums(np.unique(sh[s:s + 12]))[-1] for s in range(49)]
+    assert np.array_equal(decontaminate._distinct_sums(sh, 12), want)
+
+
 def test_block_index_finds_all_within_radius(spark):
     rng = np.random.default_rng(3)
     index = decontaminate.ItemIndex(spark.createDataFrame([(0, "a b c d e f g h")], "item long, t string").toArrow(), 5, 19)
