@@ -100,8 +100,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, counts: np.ndarray) ->
             prefix: list[np.ndarray] = [np.empty(0, np.int64)] * batch.num_rows
             for i, s in _document_sets(batch, words):
                 n[i] = s.size
-                digest[0, i] = hashing.mix(s ^ np.uint64(0x5BD1E9955BD1E995)).sum(dtype=np.uint64)
-                digest[1, i] = np.bitwise_xor.reduce(hashing.mix(s))
+                digest[:, i] = _digest(s)
                 odd = np.bincount(s & np.uint64(64 * PARITY_LONGS - 1), minlength=64 * PARITY_LONGS) & 1
                 parity[:, i] = np.packbits(odd.astype(bool)).view(np.int64)
                 size = s.size - -(-percent * s.size // 100) + 1
@@ -120,25 +119,38 @@ def _prefixes(docs: DataFrame, words: int, percent: int, counts: np.ndarray) ->
                                 + "".join(f"{c} bigint, " for c in PARITY) + "prefix array<bigint>")
 
 
+def _digest(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Digest of a set of shingles in two longs."""
+    return (hashing.mix(s ^ np.uint64(0x5BD1E9955BD1E995)).sum(dtype=np.uint64), np.bitwise_xor.reduce(hashing.mix(s)))
+
+
+def _class_key() -> Column:
+    """One long for a set; rows of equal sets, and no others, have the same."""
+    return F.xxhash64("n", "s1", "s2")
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) with the distinct shingles of each document, in their order as unsigned numbers."""
+    """(id, shingles) with the distinct shingles of each document, in their order as unsigned numbers; id is the set's key."""
+    def rows(digests: list[tuple], sets: list[np.ndarray]) -> pa.RecordBatch:
+        s1, s2 = (_signed(np.array(d, np.uint64)) for d in zip(*digests, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([x.size for x in sets], pa.int64()), pa.array(s1), pa.array(s2),
+                                           pa.array(sets, pa.list_(pa.int64()))], ["n", "s1", "s2", "shingles"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, sets, size = [], [], 0
-            for i, s in _document_sets(batch, words):
-                at.append(i)
+            digests, sets, size = [], [], 0
+            for _, s in _document_sets(batch, words):
+                digests.append(_digest(s))
                 sets.append(_signed(s))
                 size += s.size
                 if size > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)),
-                                                      pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
-                    at, sets, size = [], [], 0
-            if at:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)),
-                                                  pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+                    yield rows(digests, sets)
+                    digests, sets, size = [], [], 0
+            if sets:
+                yield rows(digests, sets)
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return map_batches(docs, run, f"id {kind}, shingles array<bigint>")
+    return (map_batches(docs, run, "n bigint, s1 bigint, s2 bigint, shingles array<bigint>")
+            .select(_class_key().alias("id"), "shingles"))
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -149,15 +161,17 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (x.size + y.size - common)
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """The rows (a, b) of ``pairs`` that are linked.
+def _verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rows (a, b) of ``pairs``, keys of ``classes`` (id, least), that are linked.
 
     Only the sets of documents that stand in a pair are made and shuffled: a
-    fixed-size filter of their ids tells them apart in the scan.
+    fixed-size filter of the least document of each class tells them apart in
+    the scan, and the key of the set those that share its id.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     cell = F.pmod(F.xxhash64(F.col("id")), F.lit(1 << ID_BITS))
-    wanted = flag_by_bits(rows, set_bits(ids.select(cell.alias("c")), "c"), cell, "w").where("w").select("id", "t")
+    held = classes.join(ids, "id", "left_semi").select(F.col("least").alias("id"))
+    wanted = flag_by_bits(rows, set_bits(held.select(cell.alias("c")), "c"), cell, "w").where("w").select("id", "t")
     sets = _sets(wanted, words).join(ids, "id", "left_semi").dropDuplicates(["id"])  # one shuffle, for both joins
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
@@ -183,15 +197,15 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     there are fewer. Two documents link when 100 * intersection >=
     ``percent`` * union; component_id is the least id reachable by links. A
     text without words (or null) has n_shingles 0 and links with nothing. Rows
-    repeated with one id each appear and share their component. An empty table
-    gives no rows. Only id and text are read. A row with a null id has a null
+    repeated with one id each appear and share their component, also if their
+    texts differ: each text is compared. An empty table gives no rows. Only id and text are read. A row with a null id has a null
     component and takes part in none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     found = cut(_prefixes(rows, words, percent, shingle_counts(rows, words)), "jaccard-prefixes")
     classes = cut(found.where("n > 0 and id is not null").groupBy("n", "s1", "s2")
-                  .agg(F.min(F.struct("id", *PARITY, "prefix")).alias("r"))
-                  .select("n", "s1", "s2", "r.*"), "jaccard-classes")
+                  .agg(F.min(F.struct(F.col("id").alias("least"), *PARITY, "prefix")).alias("r"))
+                  .select("n", "s1", "s2", _class_key().alias("id"), "r.*"), "jaccard-classes")
     # Each prefix shingle's classes. A fixed-size filter passes over shingles of one class alone.
     # Where there are two, they are a pair at once; up to SHORT_LIST, all are paired; where there
     # are more, its rows get the classes' parities for the rounds below.
@@ -245,7 +259,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "jaccard-pairs")
-        good = cut(_verify(pairs, rows, words, percent), "jaccard-links")
+        good = cut(_verify(pairs, rows, classes, words, percent), "jaccard-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = good if links is None else links.unionByName(good)
         component = cut(components(links), "jaccard-components")
@@ -254,12 +268,19 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                      .withColumn("c", F.coalesce("c", "id")))
             spread = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
             open_ = cut(named.join(spread.select("token"), "token", "left_semi"), "jaccard-open")
-    # Each class's component, and its least id; a class's id is the least of its rows.
-    of_class = classes.select("n", "s1", "s2", "id")
-    of_class = of_class.join(component, "id", "left").select(
-        F.col("n").alias("cn"), F.col("s1").alias("c1"), F.col("s2").alias("c2"),
-        F.coalesce("component", "id").alias("component_id"))
     some = found.where("n > 0 and id is not null")
+    # Sets of one id are one component. Each one's component is named by the least id of its rows.
+    keyed = some.select("id", _class_key().alias("k"))
+    shared = (keyed.groupBy("id").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a < z").select("id", "a")
+              .join(keyed, "id").where("a != k").select("a", F.col("k").alias("b")).distinct())
+    shared = cut(shared, "jaccard-one-id")
+    if not shared.isEmpty():
+        component = cut(components(links.unionByName(shared)), "jaccard-components")
+    of_class = classes.select("n", "s1", "s2", "id", "least")
+    of_class = of_class.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = of_class.join(named, "component").select(
+        F.col("n").alias("cn"), F.col("s1").alias("c1"), F.col("s2").alias("c2"), "component_id")
     joined = some.join(of_class, (F.col("n") == F.col("cn")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")))
     none = found.where("n = 0 or id is null").withColumn("component_id", F.col("id"))
     return (joined.select("id", "n", "component_id").unionByName(none.select("id", "n", "component_id"))
