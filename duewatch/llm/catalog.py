@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: each over its whole table, with production parameters."""
+"""Registered queries of the corpus operators: each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duewatch.llm import chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, token_counts, toxicity
+from duewatch.llm import alignment, chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, token_counts, toxicity
 from duewatch.llm.shared import table
 
 TOKENIZER = "piece_bpe_32k.model"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +60,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER),
+                               public_tokenizers.path(TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_pii, op3_exact_dedup, op4_quality, op5_token_counts, op6_decontaminate, op7_mix_sources, op8_jaccard_join,
-                            op9_chat_format, op10_toxicity)
+                            op9_chat_format, op10_toxicity, op13_alignment)
 }
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat_format.ORACLE}
