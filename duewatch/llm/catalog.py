@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duewatch.llm import alignment, chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, pii, quality, token_counts, toxicity
+from duewatch.llm import alignment, chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, mixing, pii, prefix_trie, quality, token_counts, \
+    toxicity, vantage
 from duewatch.llm.shared import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -60,6 +62,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = prefix_trie.sequences(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_openings(convs))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +80,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_pii, op3_exact_dedup, op4_quality, op5_token_counts, op6_decontaminate, op7_mix_sources, op8_jaccard_join,
-                            op9_chat_format, op10_toxicity, op13_alignment)
+                            op9_chat_format, op10_toxicity, op11_neighbours, op12_prefix_trie, op13_alignment)
 }
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat_format.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op9_chat_format": chat_format.ORACLE,
+                              "op12_prefix_trie": prefix_trie.ORACLE}
