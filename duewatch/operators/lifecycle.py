@@ -31,7 +31,7 @@ KEY = ["name", "process_id"]
 # HTTP status per decision.
 CODE_CREATED, CODE_OK, CODE_DELETED = 201, 200, 204
 CODE_BAD_REQUEST, CODE_NOT_FOUND, CODE_CONFLICT = 400, 404, 409
-NAME_PATTERN = "^[a-zA-Z0-9_-]+$"
+NAME_PATTERN = r"\A[a-zA-Z0-9_-]+\z"  # the whole name: $ would let a final line feed pass
 
 
 # -- validation -----------------------------------------------------------------

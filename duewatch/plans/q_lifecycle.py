@@ -9,22 +9,53 @@ from duewatch.operators.metrics import operation_counters
 from duewatch.plans import oracle as O
 from duewatch.plans.catalog import Tables, register
 from duewatch.plans.q_columns import _http_view
+from duewatch.sources.fixtures import ODD_BODIES, ODD_COMPLETES, ODD_EVERY
 from duewatch.sources.requests import parse_complete_requests, parse_create_requests
 
 HOUR_US = O.HOUR_US
-CREATE_REQ_VIEW = """create_req AS (
-  SELECT event_id AS request_id,
+
+
+def _sql_list(texts: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in texts) + "]"
+
+
+# The twin gets the same raw bodies and reads them with DuckDB's own JSON functions, which refuse text behind a value.
+_PLAIN = "('VARCHAR', 'BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE', 'BOOLEAN', 'NULL')"
+CREATE_REQ_VIEW = f"""create_raw AS (
+  SELECT event_id AS request_id, CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS received_s,
          CASE WHEN event_type = 'view' AND user_id % 4 = 1 THEN ' ' WHEN event_type = 'view' AND user_id % 4 = 3 THEN chr(9)
-              ELSE event_type END AS name,
-         event_type = 'click' AND user_id % 13 = 0 AS unreadable,
-         CASE WHEN unreadable THEN NULL WHEN event_type = 'click' THEN 'u' || CAST(user_id AS VARCHAR) ELSE 'user-' || CAST(user_id AS VARCHAR) END AS id,
-         CASE WHEN NOT unreadable THEN CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) + (CAST(floor(value * 60) AS BIGINT) - 600)
-         END AS deadline,
-         CASE WHEN unreadable THEN NULL WHEN event_type = 'error' THEN [{'key': 'k', 'value': ' '}, {'key': 'k', 'value': props ->> 'k'}]
-              ELSE [{'key': 'k', 'value': props ->> 'k'}] END AS tags,
-         CASE WHEN NOT unreadable THEN event_id END AS context_event,
-         CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS received_s
+              WHEN event_type = 'purchase' AND event_id % 37 = 0 THEN 'purchase' || chr(10) ELSE event_type END AS name,
+         CASE WHEN event_type = 'click' AND user_id % 13 = 0 THEN '{{broken'
+              WHEN event_type = 'purchase' AND event_id % {ODD_EVERY} < {len(ODD_BODIES)}
+              THEN replace({_sql_list(ODD_BODIES)}[event_id % {ODD_EVERY} + 1], '{{id}}', CAST(event_id AS VARCHAR))
+              ELSE '{{"id":"' || CASE WHEN event_type = 'click' THEN 'u' ELSE 'user-' END || CAST(user_id AS VARCHAR) || '","deadline":'
+                   || CAST(received_s + (CAST(floor(value * 60) AS BIGINT) - 600) AS VARCHAR) || ',"tags":['
+                   || CASE WHEN event_type = 'error' THEN '{{"key":"k","value":" "}},' ELSE '' END
+                   || '{{"key":"k","value":"' || (props ->> 'k') || '"}}],"context":{{"event":' || CAST(event_id AS VARCHAR) || '}}}}' END AS body
   FROM events
+),
+create_json AS (
+  SELECT *, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM create_raw
+),
+create_ok AS (
+  SELECT *, coalesce(json_type(j) = 'OBJECT'
+      AND coalesce(json_type(j, '$.id') IN {_PLAIN}, true)
+      AND coalesce(json_type(j, '$.deadline') IN ('BIGINT', 'UBIGINT', 'NULL') AND try_cast(j ->> '$.deadline' AS BIGINT) IS NOT NULL
+                   OR json_type(j, '$.deadline') = 'NULL'
+                   OR json_type(j, '$.deadline') = 'VARCHAR' AND regexp_full_match(j ->> '$.deadline', '-?[0-9]{{1,19}}'), true)
+      AND coalesce(json_type(j, '$.context') IN ('OBJECT', 'NULL'), true)
+      AND coalesce(json_type(j, '$.tags') = 'NULL' OR json_type(j, '$.tags') = 'ARRAY' AND len(list_filter(CAST(json_extract(j, '$.tags[*]') AS JSON[]),
+           lambda t: json_type(t) <> 'NULL' AND NOT (json_type(t) = 'OBJECT' AND coalesce(json_type(t, '$.key') IN {_PLAIN}, true)
+                     AND coalesce(json_type(t, '$.value') IN {_PLAIN}, true)))) = 0, true), false) AS ok
+  FROM create_json
+),
+create_req AS (
+  SELECT request_id, name, received_s, NOT ok AS unreadable, CASE WHEN ok THEN j ->> '$.id' END AS id,
+         CASE WHEN ok THEN try_cast(j ->> '$.deadline' AS BIGINT) END AS deadline,
+         CASE WHEN ok AND json_type(j, '$.tags') = 'ARRAY' THEN list_transform(CAST(json_extract(j, '$.tags[*]') AS JSON[]),
+              lambda t: {{'key': t ->> '$.key', 'value': t ->> '$.value'}}) END AS tags,
+         CASE WHEN ok THEN j ->> '$.context.event' END AS context_event
+  FROM create_ok
 )"""
 
 
@@ -38,12 +69,18 @@ def ingest_create_q(t: Tables):
                     F.col("context")["event"].alias("context_event"), "unreadable")
 
 
-COMPLETE_VIEW = """complete_req AS (
+COMPLETE_VIEW = f"""complete_raw AS (
   SELECT event_id AS request_id, 'user-' || CAST(user_id AS VARCHAR) AS process_id,
-         user_id % 17 = 0 OR user_id % 19 = 0 AS unreadable,
-         CASE WHEN user_id % 17 = 0 OR user_id % 19 = 0 THEN NULL WHEN user_id % 23 = 0 THEN 'DONE'
-              WHEN event_type = 'error' THEN 'FAILED' WHEN event_type = 'view' THEN 'ACTIVE' ELSE 'COMPLETED' END AS status
+         CASE WHEN event_id % 29 = 0 THEN {_sql_list(ODD_COMPLETES)}[(event_id // 29) % {len(ODD_COMPLETES)} + 1]
+              WHEN user_id % 17 = 0 THEN '{{broken' WHEN user_id % 19 = 0 THEN '"completed"' WHEN user_id % 23 = 0 THEN '{{"status":"DONE"}}'
+              WHEN event_type = 'purchase' THEN '{{"status":"COMPLETED"}}' WHEN event_type = 'error' THEN '{{"status":"FAILED"}}'
+              WHEN event_type = 'view' THEN '{{"status":"ACTIVE"}}' END AS body
   FROM events WHERE event_type <> 'signup'
+),
+complete_req AS (
+  SELECT request_id, process_id, NOT ok AS unreadable, CASE WHEN ok THEN coalesce(j ->> '$.status', 'COMPLETED') END AS status
+  FROM (SELECT *, body IS NULL OR trim(body) = '' OR coalesce(json_type(j) = 'OBJECT' AND coalesce(json_type(j, '$.status') IN ('VARCHAR', 'NULL'), true), false) AS ok
+        FROM (SELECT *, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM complete_raw) r) r
 )"""
 
 
@@ -90,7 +127,7 @@ _EDGE_TAG = _first_bad_tag_sql([
 @register("validate_edge", O.with_views(
     f"SELECT request_id, CASE WHEN {_blank('name')} THEN 'name_required' "
     "WHEN length(name) < 1 OR length(name) > 100 THEN 'name_length' "
-    "WHEN NOT regexp_full_match(name, '^[a-zA-Z0-9_-]+$') THEN 'name_pattern' "
+    "WHEN NOT regexp_full_match(name, '[a-zA-Z0-9_-]+') THEN 'name_pattern' "
     f"WHEN {_blank('id')} THEN 'id_required' WHEN length(id) < 3 OR length(id) > 50 THEN 'id_length' "
     f"WHEN deadline IS NOT NULL AND deadline < 0 THEN 'deadline_negative' ELSE {_EDGE_TAG} END AS reason "
     "FROM create_req", CREATE_REQ_VIEW))

@@ -158,15 +158,38 @@ def derive_delivery_attempts(spark: SparkSession, sf_dir: str, chunk: int = 1 <<
         "event_type IN ('signup', 'purchase') AS delivered")
 
 
+# Bodies that purchase requests of the fixture send, by event id modulo 40; ``{id}`` is the event id.
+ODD_BODIES = [
+    '{"id":"user-{id}","deadline":"soon"}', '{"id":"user-{id}","tags":{"key":"k","value":"v"}}', '{"id":"user-{id}","tags":"zz"}',
+    '{"id":"user-{id}","context":[1]}', '{"id":["user-{id}"]}', '{"id":"user-{id}"} trailing', '{"id":"user-{id}"}]', '{"id":"user-{id}"}}',
+    '{"id":"user-{id}"},{"id":"x"}', '{"id":{id}}', '{"id":"user-{id}","deadline":"4102444800"}', '{"id":"user-{id}","tags":[1]}',
+    '{"id":"user-{id}","tags":[{"key":["k"],"value":"v"}]}', '{"id":"user-{id}","deadline":4102444800.5}',
+    '{"id":"user-{id}","deadline":null,"tags":null,"context":null}', '{"id":"user-{id}","deadline":true}', '["user-{id}"]', 'null', '  ',
+    ' {"id" : "user-{id}", "extra" : [1, {"a" : null}]} ', '{"id":"user-{id}","context":{"n":{"m":[1,2]}},"tags":[{"key":1,"value":true}]}',
+    '{"id":"user-{id}","deadline":92233720368547758070}', '{"id":"user-{id}","context":"c"}', '{}',
+]
+ODD_EVERY = 40
+# Bodies that every 29th complete request sends, by event id.
+ODD_COMPLETES = ['{"status":["FAILED"]}', '{"status":"FAILED"} x', '{"status":"FAILED"}}', '{"status":null}', '{"status":5}', '[]', '{"other":1}', ' ']
+
+
+def _odd_body(bodies: list[str], at) -> F.Column:
+    """The body numbered ``at`` with the event id filled in; null where there is none."""
+    texts = F.array(*[F.lit(b) for b in bodies])
+    return F.replace(F.get(texts, at.cast("int")), F.lit("{id}"), F.col("event_id").cast("string"))
+
+
 def derive_create_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw JSON bodies of create requests, one per event, as an API would
     receive them. Field values are taken from the event so that every
-    validation rule is exercised by real rows."""
+    validation rule is exercised by real rows; purchase events also send the
+    bodies of ODD_BODIES, and names that end in a line feed."""
     ev = table(spark, sf_dir, "events")
-    et, uid, val = F.col("event_type"), F.col("user_id"), F.col("value")
+    et, uid, val, eid = F.col("event_type"), F.col("user_id"), F.col("value"), F.col("event_id")
     k = F.get_json_object(F.col("props"), "$.k")
     # name: the event type; blank for view events with an odd user id, by a space or a tab
-    name = F.when((et == "view") & (uid % 4 == 1), F.lit(" ")).when((et == "view") & (uid % 4 == 3), F.lit("\t")).otherwise(et)
+    name = (F.when((et == "view") & (uid % 4 == 1), F.lit(" ")).when((et == "view") & (uid % 4 == 3), F.lit("\t"))
+            .when((et == "purchase") & (eid % 37 == 0), F.lit("purchase\n")).otherwise(et))
     pid = F.when(et == "click", F.concat(F.lit("u"), uid.cast("string"))) \
            .otherwise(F.concat(F.lit("user-"), uid.cast("string")))
     deadline_s = F.unix_seconds(F.col("ts").cast("timestamp")) + (F.floor(val * 60).cast("long") - 600)
@@ -176,10 +199,11 @@ def derive_create_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(
         F.lit('{"id":"'), pid, F.lit('","deadline":'), deadline_s.cast("string"),
         F.lit(',"tags":'), tags, F.lit(',"context":{"event":'), F.col("event_id").cast("string"), F.lit("}}"))
+    odd = F.when(et == "purchase", _odd_body(ODD_BODIES, eid % ODD_EVERY))
     return ev.select(
         F.col("event_id").alias("request_id"),
         name.alias("name"),
-        F.when((et == "click") & (uid % 13 == 0), F.lit("{broken")).otherwise(body).alias("body"),
+        F.when((et == "click") & (uid % 13 == 0), F.lit("{broken")).otherwise(F.coalesce(odd, body)).alias("body"),
         F.col("ts").cast("timestamp").alias("received_at"),
     )
 
@@ -187,11 +211,13 @@ def derive_create_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derive_complete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw complete bodies: purchase → COMPLETED, error → FAILED, click → an
     empty body (defaults to COMPLETED), view → ACTIVE (rejected). Some users
-    send a body that can't be read, a bare string, or a status that doesn't exist."""
+    send a body that can't be read, a bare string, or a status that doesn't
+    exist; every 29th event sends one of ODD_COMPLETES."""
     ev = table(spark, sf_dir, "events").filter(F.col("event_type") != "signup")
-    et = F.col("event_type")
+    et, eid = F.col("event_type"), F.col("event_id")
     uid = F.col("user_id")
-    body = (F.when(uid % 17 == 0, F.lit("{broken")).when(uid % 19 == 0, F.lit('"completed"'))
+    odd = F.when(eid % 29 == 0, _odd_body(ODD_COMPLETES, (eid / 29).cast("long") % len(ODD_COMPLETES)))
+    body = (F.when(odd.isNotNull(), odd).when(uid % 17 == 0, F.lit("{broken")).when(uid % 19 == 0, F.lit('"completed"'))
             .when(uid % 23 == 0, F.lit('{"status":"DONE"}')).when(et == "purchase", F.lit('{"status":"COMPLETED"}'))
             .when(et == "error", F.lit('{"status":"FAILED"}'))
             .when(et == "view", F.lit('{"status":"ACTIVE"}')))
