@@ -24,6 +24,7 @@ import hashlib
 import io
 import json
 import os
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -44,11 +45,25 @@ PLANE_BYTES = UNIT_DOCS // 8
 
 # Tokenizers ------------------------------------------------------------------------------------------------------
 
+#: Fixed value: how byte-level BPE parts a text before it merges.
+PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters whose classes in that pattern no two regex libraries or Unicode versions read differently.
+PLAIN = re.compile("[\t\n\r -~\u00a1-\u00ac\u00ae-\u024f]*")
+PLAIN_CHARS = 200_000
+
+
 class ByteLevel:
-    """Byte-level BPE of a ``tokenizers`` file; special strings in a text are plain text. Encodes space + text."""
+    """Byte-level BPE of a ``tokenizers`` file; special strings in a text are plain text. Encodes space + text.
+
+    Plain texts go through ``tiktoken``, which does the same with the file's
+    entries as ranks in a quarter of the time. It is used if the file parts
+    texts by :data:`PARTS` and its merges are in order of their entries; other
+    characters and very long texts stay with ``tokenizers``.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -57,14 +72,31 @@ class ByteLevel:
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         other = [b for b in range(256) if b not in set(plain)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-        entries = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        entries = file["model"]["vocab"]
         self.bytes = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             self.bytes[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
+        merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
+        made = [entries.get("".join(m), -1) for m in merges]
+        parts = file["pre_tokenizer"] or {}
+        usual = (parts.get("type") == "ByteLevel" and parts.get("use_regex", True) and not parts.get("add_prefix_space")
+                 and not file["normalizer"] and all(a < b for a, b in zip([-1, *made], made, strict=False)))
+        self.quick = tiktoken.Encoding("entries", pat_str=PARTS, special_tokens={}, mergeable_ranks={
+            self.bytes[i]: i for i in [*(entries[c] for c in byte), *made]}) if usual and all(c in entries for c in byte) else None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        found = self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [e.ids for e in found]
+        out: list[list[int]] = [[]] * len(texts)
+        rest = []
+        for k, t in enumerate(texts):
+            if self.quick and len(t) <= PLAIN_CHARS and PLAIN.fullmatch(t):
+                out[k] = self.quick.encode_ordinary(" " + t)
+            else:
+                rest.append(k)
+        for k, e in zip(rest, self.model.encode_batch_fast([" " + texts[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
 
 
 class Pieces:
