@@ -19,7 +19,7 @@ level finishes it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duewatch.functions.text import blank, utf16_length
 
@@ -218,6 +218,35 @@ def fold(decisions: DataFrame) -> DataFrame:
         F.lit(None).cast("timestamp").alias("deadline_warned_at"))
 
 
+def run_history(decisions: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """Every run there ever was, deleted ones too, from decided commands.
+
+    Columns of a run (id, process_id, name, status, started_at, completed_at,
+    deadline, tags, context), then ``ended_by`` and ``ended_at``: the command
+    that ended it, a complete or a delete. A deleted run stays in the state it
+    had. "Next event at the same (key, level)" is found per seq chunk with
+    ``lead``; the last event of a chunk looks up the first event of the next
+    chunk holding that level through a per-chunk summary, so a busy key that
+    keeps reusing one level is still spread over many tasks."""
+    for c in ("tags", "context"):
+        if c not in decisions.columns:
+            decisions = decisions.withColumn(c, F.lit(None).cast("string"))
+    level = F.when(F.col("kind") == CREATE, F.col("rows_after")).otherwise(F.col("rows_before"))
+    ev = (decisions.filter("accepted").withColumn("_level", level)
+          .withColumn("_chunk", F.floor(F.col("seq") / F.lit(chunk)).cast("long")).withColumn("_end", F.struct("kind", "ts", "status")))
+    group = [*KEY, "_level"]
+    ev = ev.withColumn("_next", F.lead("_end").over(Window.partitionBy(*group, "_chunk").orderBy("seq")))
+    firsts = ev.groupBy(*group, "_chunk").agg(F.min_by("_end", "seq").alias("_first"))
+    firsts = firsts.withColumn("_later", F.lead("_first").over(Window.partitionBy(*group).orderBy("_chunk")))
+    ev = ev.filter(F.col("kind") == CREATE).join(firsts.select(*group, "_chunk", "_later"), [*group, "_chunk"])
+    end = F.coalesce("_next", "_later")
+    done = end["kind"] == COMPLETE
+    return ev.select(
+        F.col("seq").alias("id"), "process_id", "name", F.when(done, end["status"]).otherwise(F.lit("ACTIVE")).alias("status"),
+        F.col("ts").alias("started_at"), F.when(done, end["ts"]).alias("completed_at"), "deadline", "tags", "context",
+        end["kind"].alias("ended_by"), end["ts"].alias("ended_at"))
+
+
 def fold_commands(cmds: DataFrame, chunk: int = DEFAULT_CHUNK) -> tuple[DataFrame, DataFrame]:
     d = decide(cmds, chunk)
     return d, fold(d)

@@ -62,16 +62,17 @@ def _sql_str(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def event_payload(df: DataFrame, event: str, as_of=None, public_url: str | None = None) -> Column:
+def event_payload(df: DataFrame, event: str, as_of=None, public_url: str | None = None, now: str | None = None) -> Column:
     """The webhook body as JSON text: event, name, id, started_at, deadline,
     [seconds_remaining], tags, context, [url]. Null fields are written as null.
-    Built as one SQL expression (one JVM call)."""
+    Built as one SQL expression (one JVM call). ``now`` names a timestamp
+    column to count the remaining seconds from, in place of ``as_of``."""
     fields = [("event", _sql_str(event)), ("name", "name"), ("id", "process_id"),
               ("started_at", "unix_seconds(started_at)"), ("deadline", "unix_seconds(deadline)")]
     if event == WARNING_EVENT:
-        now = instant_sql(as_of)
+        now = now or instant_sql(as_of)
         if now is None:
-            raise TypeError("warning payloads need a literal as_of")
+            raise TypeError("warning payloads need a literal as_of, or the name of a column")
         fields.append(("seconds_remaining", f"unix_seconds(deadline) - unix_seconds({now})"))
     fields += [("tags", _json_or_raw_sql("tags")), ("context", _json_or_raw_sql("context"))]
     if public_url and public_url.strip():

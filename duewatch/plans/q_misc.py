@@ -20,6 +20,7 @@ from duewatch.plans.q_lifecycle import CMDS_VIEW
 from duewatch.plans.q_metrics import EV_COUNT_SQL, EVENTS_VIEW
 from duewatch.streaming.counters import stream_counters
 from duewatch.streaming.deadlines import deadline_events_batch
+from duewatch.streaming.runs import outbox_batch
 
 
 _SQL = f"""
@@ -43,6 +44,63 @@ def stream_deadline_events_q(t: Tables):
     return deadline_events_batch(t.commands, 0.75)
 
 
+_HISTORY_VIEW = """history AS (
+  SELECT * FROM (
+    SELECT *, lead(struct_pack(kind := kind, ts_us := ts_us, status := status)) OVER (PARTITION BY name, process_id, lvl ORDER BY seq) AS e
+    FROM (SELECT *, CASE WHEN kind = 'create' THEN rows_after ELSE rows_before END AS lvl FROM decisions WHERE reason IS NULL) a
+  ) b WHERE kind = 'create'
+)"""
+_DONE = "e.kind = 'complete'"
+
+
+@register("lifecycle_history", O.with_views(
+    f"SELECT seq AS id, name, process_id, CASE WHEN {_DONE} THEN e.status ELSE 'ACTIVE' END AS status, {O.sec('ts_us')} AS started_at, "
+    f"CASE WHEN {_DONE} THEN {O.sec('e.ts_us')} END AS completed_at, {O.sec('deadline_us')} AS deadline, tags, context, e.kind AS ended_by, "
+    f"{O.sec('e.ts_us')} AS ended_at FROM history", CMDS_VIEW, _HISTORY_VIEW))
+def lifecycle_history_q(t: Tables):
+    h = LC.run_history(LC.decide(t.commands))
+    times = ("started_at", "completed_at", "deadline", "ended_at")
+    return h.select("id", "name", "process_id", "status", *[F.unix_seconds(c).alias(c) for c in times], "tags", "context", "ended_by")
+
+
+@register("lifecycle_log_counters", O.with_views(
+    "SELECT name, count(*) AS created, " + ", ".join(
+        f"count(*) FILTER (WHERE {_DONE} AND {cond}) AS {c}" for c, cond in {
+            "completed": "e.status = 'COMPLETED'", "failed": "e.status = 'FAILED'",
+            "on_time": "e.status = 'COMPLETED' AND e.ts_us <= deadline_us", "late": "e.status = 'COMPLETED' AND e.ts_us > deadline_us"}.items())
+    + " FROM history GROUP BY name", CMDS_VIEW, _HISTORY_VIEW))
+def lifecycle_log_counters_q(t: Tables):
+    return M.lifecycle_counters(LC.run_history(LC.decide(t.commands)))
+
+
+@register("lifecycle_log_timers", O.with_views(
+    "SELECT name, e.status AS status, count(*) AS count, CAST(sum(CAST(floor((e.ts_us - ts_us) / 1000.0) AS BIGINT)) AS BIGINT) AS sum_ms, "
+    "max(CAST(floor((e.ts_us - ts_us) / 1000.0) AS BIGINT)) AS max_ms "
+    f"FROM history WHERE {_DONE} GROUP BY name, e.status", CMDS_VIEW, _HISTORY_VIEW))
+def lifecycle_log_timers_q(t: Tables):
+    return M.duration_timer(LC.run_history(LC.decide(t.commands)))
+
+
+def _stream_payload(event: str, remaining: str | None) -> str:
+    fields = [f"'event', '{event}'", "'name', f.name", "'id', f.process_id", f"'started_at', {O.sec('c.ts_us')}",
+              f"'deadline', {O.sec('c.deadline_us')}", *([f"'seconds_remaining', {remaining}"] if remaining else []),
+              "'tags', json(c.tags)", "'context', json(c.context)",
+              "'url', 'https://status.example.com/?process=' || url_encode(f.name) || '/' || url_encode(f.process_id)"]
+    return f"CAST(json_object({', '.join(fields)}) AS VARCHAR)"
+
+
+_FIRED = "CAST(floor(f.fire_at_ms / 1000.0) AS BIGINT)"
+
+
+@register("stream_outbox", O.with_views(
+    f"SELECT f.run_seq AS id, f.event, f.name, f.process_id, CASE WHEN f.event = '{WARNING_EVENT}' "
+    f"THEN {_stream_payload(WARNING_EVENT, O.sec('c.deadline_us') + ' - ' + _FIRED)} ELSE {_stream_payload(MISSED_EVENT, None)} END AS payload, "
+    f"{_FIRED} AS emitted_at, md5(CAST(f.run_seq AS VARCHAR) || '|' || f.event) AS event_key FROM ({_SQL}) f JOIN all_cmds c ON c.seq = f.run_seq",
+    CMDS_VIEW))
+def stream_outbox_q(t: Tables):
+    return outbox_batch(t.commands, 0.75, "https://status.example.com/")
+
+
 @register("stream_counters", O.with_views(EV_COUNT_SQL, EVENTS_VIEW))
 def stream_counters_q(t: Tables):
     return stream_counters(S.deadline_events(t.runs, t.as_of, 0.75))

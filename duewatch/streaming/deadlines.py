@@ -14,9 +14,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from duewatch.operators.lifecycle import COMPLETE, CREATE, DELETE, decide
+from duewatch.operators.lifecycle import COMPLETE, CREATE, DELETE, decide, run_history
 from duewatch.operators.scans import MISSED_EVENT, WARNING_EVENT
 
 EVENTS = T.StructType([
@@ -130,36 +130,25 @@ def stream_deadlines(cmds: DataFrame, threshold: float = 0.75, watermark: str =
             .transformWithStateInPandas(proc(), EVENTS, "Append", "EventTime"))
 
 
-def deadline_events_batch(cmds: DataFrame, threshold: float = 0.75, chunk: int = 1 << 20) -> DataFrame:
-    """Batch twin: every accepted create fires its warning and miss unless the
+def run_fires(cmds: DataFrame, threshold: float = 0.75, chunk: int = 1 << 20) -> DataFrame:
+    """Every accepted create's warning and miss, with its run, unless the
     command that ends it (the next accepted complete or delete at the same
-    stored level) comes at or before the fire time.
-
-    "Next event at the same (key, level)" is found per seq chunk with
-    ``lead``; the last event of a chunk looks up the first event of the next
-    chunk holding that level through a per-chunk summary, so a busy key that
-    keeps reusing one level is still spread over many tasks."""
-    d = decide(cmds, chunk).filter("accepted")
-    level = F.when(F.col("kind") == CREATE, F.col("rows_after")).otherwise(F.col("rows_before"))
-    ev = (d.withColumn("_level", level)
-           .withColumn("_chunk", F.floor(F.col("seq") / F.lit(chunk)).cast("long"))
-           .withColumn("_ms", F.unix_millis("ts")))
-    grp = ["name", "process_id", "_level"]
-    w = Window.partitionBy(*grp, "_chunk").orderBy("seq")
-    ev = ev.withColumn("_next_in_chunk", F.lead("_ms").over(w))
-    firsts = ev.groupBy(*grp, "_chunk").agg(F.min_by("_ms", "seq").alias("_first_ms"))
-    firsts = firsts.withColumn("_next_chunk_first",
-                               F.lead("_first_ms").over(Window.partitionBy(*grp).orderBy("_chunk")))
-    ev = ev.join(firsts.select(*grp, "_chunk", "_next_chunk_first"), grp + ["_chunk"])
-    ev = ev.withColumn("_end_ms", F.coalesce(F.col("_next_in_chunk"), F.col("_next_chunk_first")))
-    runs = ev.filter((F.col("kind") == CREATE) & F.col("deadline").isNotNull())
+    stored level) comes at or before the fire time."""
+    runs = (run_history(decide(cmds, chunk), chunk).filter(F.col("deadline").isNotNull())
+            .withColumn("_ms", F.unix_millis("started_at")).withColumn("_end_ms", F.unix_millis("ended_at")))
     st, dl = F.col("_ms"), F.unix_millis("deadline")
     warn = F.when(F.lit(0 < threshold < 1) & (dl > st),
                   st + F.floor((dl - st).cast("double") * F.lit(float(threshold))).cast("long"))
-    fires = runs.select("name", "process_id", F.col("seq").alias("run_seq"), "_end_ms",
+    fires = runs.select("name", "process_id", "id", "started_at", "deadline", "tags", "context", "_end_ms",
                         F.explode(F.array(
-                            F.struct(F.lit(WARNING_EVENT).alias("event"), warn.alias("fire_at_ms")),
-                            F.struct(F.lit(MISSED_EVENT).alias("event"), dl.alias("fire_at_ms")))).alias("e"))
-    kept = fires.filter(F.col("e.fire_at_ms").isNotNull()
-                        & (F.col("_end_ms").isNull() | (F.col("_end_ms") > F.col("e.fire_at_ms"))))
-    return kept.select("name", "process_id", "run_seq", "e.event", "e.fire_at_ms")
+                            F.struct(F.lit(WARNING_EVENT).alias("event"), warn.alias("fire_ms")),
+                            F.struct(F.lit(MISSED_EVENT).alias("event"), dl.alias("fire_ms")))).alias("e"))
+    kept = fires.filter(F.col("e.fire_ms").isNotNull()
+                        & (F.col("_end_ms").isNull() | (F.col("_end_ms") > F.col("e.fire_ms"))))
+    return kept.select("name", "process_id", "id", "started_at", "deadline", "tags", "context", "e.event", "e.fire_ms")
+
+
+def deadline_events_batch(cmds: DataFrame, threshold: float = 0.75, chunk: int = 1 << 20) -> DataFrame:
+    """Batch twin of :func:`stream_deadlines`."""
+    return run_fires(cmds, threshold, chunk).select("name", "process_id", F.col("id").alias("run_seq"), "event",
+                                                    F.col("fire_ms").alias("fire_at_ms"))
