@@ -20,12 +20,14 @@ unit, whichever is less.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import io
 import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -142,8 +144,12 @@ class Bitmaps(NamedTuple):
         dense = 2 * n > width
         of_dense = np.repeat(dense, n)
         bits = np.zeros((int(dense.sum()), width), np.uint8)
-        row, at = np.repeat(np.arange(len(bits)), n[dense]), slot[of_dense].astype(np.int64)
-        np.bitwise_or.at(bits, (row, at >> 3), np.uint8(1) << (at & 7).astype(np.uint8))
+        ends, at, step = np.cumsum(n[dense]), slot[of_dense], max(1, PIECE_LINKS // (8 * width))
+        for i in range(0, len(bits), step):
+            lo, hi = ends[i - 1] if i else 0, ends[min(i + step, len(bits)) - 1]
+            here = np.zeros((min(step, len(bits) - i), 8 * width), bool)
+            here[np.repeat(np.arange(len(here)), n[dense][i:i + step]), at[lo:hi]] = True
+            bits[i:i + step] = np.packbits(here, axis=1, bitorder="little")
         return cls(pair[first[~dense]], n[~dense].astype(np.int32), slot[~of_dense].astype(np.uint16),
                    pair[first[dense]], bits)
 
@@ -164,7 +170,7 @@ class Bitmaps(NamedTuple):
 def or_merge(parts: list[Bitmaps], width: int = PLANE_BYTES) -> Bitmaps:
     """The OR of bitmaps, pair by pair."""
     found = [(p << 16) | s for part in parts for p, s in part.postings()]
-    key = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    key, _ = _counted(np.concatenate(found)) if found else (np.empty(0, np.int64), None)
     return Bitmaps.of(key >> 16, key & 0xFFFF, width)
 
 
@@ -270,7 +276,7 @@ class Cut(NamedTuple):
 
 def cut_texts(ids_a: list[list[int]], ids_b: list[list[int]], size_a: np.ndarray, size_b: np.ndarray) -> Cut:
     """Groups of documents whose two byte sequences are equal; ``size_*``: bytes of each id."""
-    flat = lambda ids: np.fromiter((i for x in ids for i in x), np.int64, sum(map(len, ids)))
+    flat = lambda ids: np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
     a, b = flat(ids_a), flat(ids_b)
     end_a, end_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
     both_a = np.isin(end_a, end_b, assume_unique=True, kind="sort") if a.size else np.empty(0, bool)
@@ -280,6 +286,13 @@ def cut_texts(ids_a: list[list[int]], ids_b: list[list[int]], size_a: np.ndarray
     return Cut(a, b, in_a, at, doc[both_a])
 
 
+@functools.cache
+def _decimals(digits: int) -> np.ndarray:
+    """The decimal digits of 0, 1, ... as characters, with leading zeros."""
+    n = np.arange(10 ** digits)
+    return np.stack([48 + n // 10 ** k % 10 for k in range(digits - 1, -1, -1)], 1).astype(np.uint8)
+
+
 def digests(cut_: Cut, n_docs: int) -> list[str]:
     """SHA-256 of ``a1,a2|b1;a3|b2,b3`` for each document; '' without tokens."""
     groups = cut_.doc.size
@@ -298,12 +311,11 @@ def digests(cut_: Cut, n_docs: int) -> list[str]:
     # Decimal digits of all ids, right-aligned in a matrix, with the mark behind; leading places drop out.
     digits = len(str(int(ids.max())))
     text = np.empty((ids.size, digits + 1), np.uint8)
-    rest = ids.copy()
-    for k in range(digits - 1, -1, -1):
-        text[:, k] = 48 + rest % 10
-        rest //= 10
+    text[:, :digits] = _decimals(digits)[ids]
     text[:, digits] = mark
-    length = 1 + np.searchsorted(10 ** np.arange(1, digits + 1), ids, "right") + 1
+    length = np.full(ids.size, 2)
+    for k in range(1, digits):
+        length += ids >= 10 ** k
     shown = text[np.arange(digits + 1) >= (digits + 1 - length)[:, None]]
     stop = np.cumsum(length)[ends - 1]  # end of each group in ``shown``
     last = np.searchsorted(cut_.doc, np.arange(n_docs), "right") - 1
