@@ -13,7 +13,7 @@ from duewatch.functions import columns as C
 from duewatch.functions.jsoncols import parse_tags_or_null
 from duewatch.functions.time import instant, minus_hours
 from duewatch.operators.ordering import top_k
-from duewatch.operators.quantiles import with_percentiles
+from duewatch.operators.quantiles import grouped_stats
 
 MAX_TAG_ROWS = 100
 DEFAULT_WINDOW_HOURS = 24
@@ -49,17 +49,6 @@ def duration_stats(d: str) -> list[Column]:
     return [F.expr(f"count({d})").alias("dur_count"), C.round1(f"avg({d})").alias("avg_s")]
 
 
-def _counted(name: str, cond: str) -> Column:
-    return F.expr(f"coalesce(sum(CASE WHEN {cond} THEN c ELSE 0 END), 0)").alias(name)
-
-
-def _counted_stats() -> list[Column]:
-    """:func:`duration_stats` of rows (dur, c) that stand for c runs each."""
-    n = "sum(CASE WHEN dur IS NOT NULL THEN c ELSE 0 END)"
-    return [F.expr(f"coalesce({n}, 0)").alias("dur_count"), C.round1(f"try_divide(sum(dur * c), {n})")
-            .alias("avg_s")]
-
-
 def _approx(d: str) -> Column:
     return F.expr(f"CAST(percentile_approx({d}, array(0.5D, 0.9D, 0.99D), 10000) AS ARRAY<DOUBLE>)").alias("_q")
 
@@ -79,6 +68,33 @@ def _classified(runs: DataFrame, as_of, hours: int, name: str | None) -> DataFra
         F.col("tags"), C.outcome(as_of).alias("outcome"), C.completed_duration().alias("dur"))
 
 
+_OUTCOMES = {C.OVERDUE: "overdue", C.ON_TRACK: "on_track", C.COMPLETED_LATE: "completed_late",
+             C.COMPLETED_ON_TIME: "completed_on_time", C.FAILED: "failed"}
+#: What a rollup adds up over (outcome, dur) rows: all that a stored partial needs for counts and averages.
+OUTCOME_SUMS = {"total": "1L", **{n: f"if(outcome = '{o}', 1L, 0L)" for o, n in _OUTCOMES.items()}, "dur_sum": "dur"}
+
+
+def _problems_sql() -> str:
+    return " + ".join(_OUTCOMES[o] for o in C.PROBLEM_OUTCOMES)
+
+
+def _rollup_columns(stats: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
+    """Counts, problems, average and percentiles from :func:`grouped_stats` over OUTCOME_SUMS."""
+    return _finish_stats(stats.selectExpr(
+        *[f"`{k}`" for k in keys], "total", *counts, f"{_problems_sql()} AS problems", "n AS dur_count",
+        "floor(try_divide(dur_sum, n) * 10.0D + 0.5D) / 10.0D AS avg_s", "_q"))
+
+
+_NO_TOTALS = "0L AS total, 0L AS problems, 0L AS dur_count, " + ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in ("avg_s", "p50_s", "p90_s", "p99_s"))
+
+
+def _one_row(df: DataFrame) -> DataFrame:
+    """An aggregate without keys as one row, of zeros and nulls if nothing was there."""
+    spark = df.sparkSession
+    none = spark.range(1).selectExpr(*_NO_TOTALS.split(", "))
+    return df.unionByName(none).agg(*[F.max(c).alias(c) for c in df.columns])
+
+
 def tag_totals(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name: str | None = None,
                approx: bool = False) -> DataFrame:
     """Window totals (untagged runs included): total, problems, duration stats.
@@ -90,10 +106,7 @@ def tag_totals(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name:
         return _finish_stats(s.agg(F.expr("count(1)").alias("total"),
                                    F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems"),
                                    *duration_stats("dur"), _approx("dur")))
-    c = s.groupBy("outcome", "dur").agg(F.count("*").alias("c"))
-    base = c.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), _counted("problems", f"outcome IN {_PROBLEMS}"),
-                 *_counted_stats())
-    return _finish_stats(with_percentiles(base, c, [], "dur", count="c"))
+    return _one_row(_rollup_columns(grouped_stats(s, [], "dur", OUTCOME_SUMS), [], []))
 
 
 def tag_impact_order() -> list[Column]:
@@ -114,16 +127,23 @@ def tag_rollup(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name:
     """Uncapped per-(key, value) rollup; percentiles exact unless ``approx``."""
     s = explode_tags(_classified(runs, as_of, hours, name), "outcome", "dur")
     keys = ["tag_key", "tag_value"]
-    outcomes = [(C.OVERDUE, "overdue"), (C.ON_TRACK, "on_track"), (C.COMPLETED_LATE, "completed_late"),
-                (C.COMPLETED_ON_TIME, "completed_on_time"), (C.FAILED, "failed")]
     if approx:
         return _finish_stats(s.groupBy(*keys).agg(
-            F.expr("count(1)").alias("total"), *[F.expr(f"count_if(outcome = '{o}')").alias(n) for o, n in outcomes],
+            F.expr("count(1)").alias("total"), *[F.expr(f"count_if(outcome = '{o}')").alias(n) for o, n in _OUTCOMES.items()],
             F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems"), *duration_stats("dur"), _approx("dur")))
-    c = s.groupBy(*keys, "outcome", "dur").agg(F.count("*").alias("c"))
-    base = c.groupBy(*keys).agg(F.sum("c").alias("total"), *[_counted(n, f"outcome = '{o}'") for o, n in outcomes],
-                                _counted("problems", f"outcome IN {_PROBLEMS}"), *_counted_stats())
-    return _finish_stats(with_percentiles(base, c, keys, "dur", count="c"))
+    return _rollup_columns(grouped_stats(s, keys, "dur", OUTCOME_SUMS), keys, list(_OUTCOMES.values()))
+
+
+def tag_rollup_with_totals(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name: str | None = None) -> DataFrame:
+    """:func:`tag_rollup`, and the window totals as one more group (``whole``): runs are classified once for both."""
+    s = _classified(runs, as_of, hours, name)
+    every = F.array(F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
+    tagged = F.transform(F.coalesce(parse_tags_or_null("tags"), F.array()), lambda t: F.struct(F.lit(False).alias("whole"), t["key"].alias("key"),
+                                                                                              t["value"].alias("value")))
+    s = s.select("outcome", "dur", F.explode(F.concat(every, tagged)).alias("t")).selectExpr(
+        "outcome", "dur", "t.whole", "t.key AS tag_key", "t.value AS tag_value")
+    keys = ["whole", "tag_key", "tag_value"]
+    return _rollup_columns(grouped_stats(s, keys, "dur", OUTCOME_SUMS), keys, list(_OUTCOMES.values()))
 
 
 def tag_impact(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name: str | None = None,
@@ -223,9 +243,8 @@ def completion_metrics(runs: DataFrame) -> DataFrame:
 
 def nearest_rank_stats(df: DataFrame, keys: list[str], value: str = "dur") -> DataFrame:
     """count, avg and nearest-rank p50/p90/p99: ``sorted[max(0, ceil(p·n) − 1)]``."""
-    some = df.filter(F.col(value).isNotNull())
-    base = some.groupBy(*keys).agg(*duration_stats(value))
-    return _finish_stats(with_percentiles(base, some, keys, value, nearest_rank=True))
+    got = grouped_stats(df.filter(F.col(value).isNotNull()), keys, value, {"_sum": f"CAST({value} AS DOUBLE)"}, nearest_rank=True)
+    return _finish_stats(got.selectExpr(*[f"`{k}`" for k in keys], "n AS dur_count", "floor(_sum / n * 10.0D + 0.5D) / 10.0D AS avg_s", "_q"))
 
 
 def on_time_rate(done: Column, on_time: Column, empty_value=None) -> Column:
@@ -257,11 +276,11 @@ def tag_catalogue(rollup: DataFrame) -> DataFrame:
         F.to_json(F.transform(vals, lambda s: s["value"])).alias("values"))
 
 
-def latency_by_tag(rollup: DataFrame, totals: DataFrame, n: int = MAX_TAG_ROWS) -> DataFrame:
-    """The ``n`` slowest tags by p90 of the whole rollup; flags those slower than the overall p90."""
-    overall = totals.select(F.col("p90_s").alias("overall_p90"))
-    with_stats = rollup.filter(F.col("dur_count") > 0)
-    # totals is exactly one row, so this cross join cannot multiply rows.
+def latency_by_tag(rollup: DataFrame, n: int = MAX_TAG_ROWS) -> DataFrame:
+    """The ``n`` slowest tags by p90 of the whole rollup (:func:`tag_rollup_with_totals`); flags those slower than the overall p90."""
+    overall = rollup.filter("whole").agg(F.max("p90_s").alias("overall_p90"))
+    with_stats = rollup.filter("NOT whole AND dur_count > 0")
+    # overall is exactly one row, so this cross join cannot multiply rows.
     joined = with_stats.crossJoin(overall)
     out = joined.select("tag_key", "tag_value", "dur_count", "p50_s", "p90_s", "p99_s",
                         F.coalesce(F.col("p90_s") > F.col("overall_p90"), F.lit(False)).alias("slower_than_overall"))

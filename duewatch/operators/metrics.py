@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from duewatch.functions import columns as C
 from duewatch.functions.text import sanitize_path
-from duewatch.operators.quantiles import with_percentiles
+from duewatch.operators.quantiles import grouped_stats
 from duewatch.operators.scans import MISSED_EVENT, WARNING_EVENT
 
 #: How long each alert's condition holds before it counts, in seconds.
@@ -167,9 +167,8 @@ def request_alerts(requests: DataFrame, window: str = "5 minutes", slide: str =
     with the two alert conditions."""
     w = F.window("ts", window, slide)
     rows = requests.select(F.unix_seconds(w["start"]).alias("window_start"), "status", "duration_ms")
-    base = rows.groupBy("window_start").agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") >= 500).alias("errors"))
-    agg = with_percentiles(base, rows, ["window_start"], "duration_ms", [0.95]).withColumn("_p95", F.col("_q")[0])
+    agg = grouped_stats(rows, ["window_start"], "duration_ms", {"requests": "1L", "errors": "if(status >= 500, 1L, 0L)"}, [0.95])
+    agg = agg.withColumn("_p95", F.col("_q")[0])
     return agg.select(
         "window_start", "requests", "errors",
         C.round1_tolerant("_p95").alias("p95_ms"),

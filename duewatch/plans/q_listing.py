@@ -107,9 +107,7 @@ def recent_activity_q(t: Tables):
               cols="tag_key, tag_value, dur_count, p50_s, p90_s, p99_s, slower_than_overall"),
     O.classified_view(720), O.EXPLODED_VIEW, O.tag_rollup_view()))
 def latency_by_tag_q(t: Tables):
-    impact = A.tag_rollup(t.runs, t.as_of, 720)
-    totals = A.tag_totals(t.runs, t.as_of, 720)
-    return A.latency_by_tag(impact, totals)
+    return A.latency_by_tag(A.tag_rollup_with_totals(t.runs, t.as_of, 720))
 
 
 @register("list_sorted_multi", _list_sql("status ASC NULLS LAST, deadline_us DESC NULLS LAST, id DESC", 30, 0, "name = 'building'"))
