@@ -78,10 +78,10 @@ def _problems_sql() -> str:
     return " + ".join(_OUTCOMES[o] for o in C.PROBLEM_OUTCOMES)
 
 
-def _rollup_columns(stats: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
+def rollup_columns(stats: DataFrame, keys: list[str], counts: bool = True) -> DataFrame:
     """Counts, problems, average and percentiles from :func:`grouped_stats` over OUTCOME_SUMS."""
     return _finish_stats(stats.selectExpr(
-        *[f"`{k}`" for k in keys], "total", *counts, f"{_problems_sql()} AS problems", "n AS dur_count",
+        *[f"`{k}`" for k in keys], "total", *(_OUTCOMES.values() if counts else []), f"{_problems_sql()} AS problems", "n AS dur_count",
         "floor(try_divide(dur_sum, n) * 10.0D + 0.5D) / 10.0D AS avg_s", "_q"))
 
 
@@ -106,7 +106,7 @@ def tag_totals(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name:
         return _finish_stats(s.agg(F.expr("count(1)").alias("total"),
                                    F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems"),
                                    *duration_stats("dur"), _approx("dur")))
-    return _one_row(_rollup_columns(grouped_stats(s, [], "dur", OUTCOME_SUMS), [], []))
+    return _one_row(rollup_columns(grouped_stats(s, [], "dur", OUTCOME_SUMS), [], counts=False))
 
 
 def tag_impact_order() -> list[Column]:
@@ -131,19 +131,26 @@ def tag_rollup(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name:
         return _finish_stats(s.groupBy(*keys).agg(
             F.expr("count(1)").alias("total"), *[F.expr(f"count_if(outcome = '{o}')").alias(n) for o, n in _OUTCOMES.items()],
             F.expr(f"count_if(outcome IN {_PROBLEMS})").alias("problems"), *duration_stats("dur"), _approx("dur")))
-    return _rollup_columns(grouped_stats(s, keys, "dur", OUTCOME_SUMS), keys, list(_OUTCOMES.values()))
+    return rollup_columns(grouped_stats(s, keys, "dur", OUTCOME_SUMS), keys)
+
+
+TAG_KEYS = ["whole", "tag_key", "tag_value"]
+
+
+def tagged(classified: DataFrame, *keep: str) -> DataFrame:
+    """A row per tag, and one for the run itself (``whole``, without a tag): ``keep``, ``whole``, ``tag_key``, ``tag_value``."""
+    none = F.lit(None).cast("string")
+    every = F.array(F.struct(F.lit(True).alias("whole"), none.alias("key"), none.alias("value")))
+    tags = F.transform(F.coalesce(parse_tags_or_null("tags"), F.array()),
+                       lambda t: F.struct(F.lit(False).alias("whole"), t["key"].alias("key"), t["value"].alias("value")))
+    rows = classified.select(*keep, F.explode(F.concat(every, tags)).alias("t"))
+    return rows.selectExpr(*[f"`{c}`" for c in keep], "t.whole", "t.key AS tag_key", "t.value AS tag_value")
 
 
 def tag_rollup_with_totals(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name: str | None = None) -> DataFrame:
     """:func:`tag_rollup`, and the window totals as one more group (``whole``): runs are classified once for both."""
-    s = _classified(runs, as_of, hours, name)
-    every = F.array(F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
-    tagged = F.transform(F.coalesce(parse_tags_or_null("tags"), F.array()), lambda t: F.struct(F.lit(False).alias("whole"), t["key"].alias("key"),
-                                                                                              t["value"].alias("value")))
-    s = s.select("outcome", "dur", F.explode(F.concat(every, tagged)).alias("t")).selectExpr(
-        "outcome", "dur", "t.whole", "t.key AS tag_key", "t.value AS tag_value")
-    keys = ["whole", "tag_key", "tag_value"]
-    return _rollup_columns(grouped_stats(s, keys, "dur", OUTCOME_SUMS), keys, list(_OUTCOMES.values()))
+    rows = tagged(_classified(runs, as_of, hours, name), "outcome", "dur")
+    return rollup_columns(grouped_stats(rows, TAG_KEYS, "dur", OUTCOME_SUMS), TAG_KEYS)
 
 
 def tag_impact(runs: DataFrame, as_of, hours: int = DEFAULT_WINDOW_HOURS, name: str | None = None,
