@@ -207,3 +207,44 @@ def request_alerts_binned(requests: DataFrame, window: str = "5 minutes", slide:
         C.round1_tolerant(p95).alias("p95_ms"),
         C.round1(F.col("errors") / F.col("requests") * 100).alias("error_pct"),
         late.alias("latency_alert"), (F.col("errors") / F.col("requests") > error_ratio).alias("error_alert"))
+
+
+#: Size of the quantile sketch: its rank error is below 0.5 % with 99 % confidence, and none below so many values.
+SKETCH_K = 800
+SKETCH_RANK_ERROR = 0.005
+
+
+def request_alerts_sketched(requests: DataFrame, window: str = "5 minutes", slide: str = "1 minute", p95_ms: float = 1000.0,
+                            error_ratio: float = 0.05, k: int = SKETCH_K, closed_at: bool = False) -> DataFrame:
+    """:func:`request_alerts` for streams, with a mergeable quantile sketch as a window's state.
+
+    ``p95_ms`` is the value whose rank is within :data:`SKETCH_RANK_ERROR` of
+    0.95. The latency alert is exact: p95 lies between two neighbouring values,
+    and which side of the limit they are on follows from the number of values
+    above it, the greatest not above it and the least above it. State per
+    window: the sketch (some KB) and six numbers. ``closed_at`` adds the
+    window's last instant, which carries the watermark to a next operator."""
+    d, over = F.col("duration_ms").cast("double"), F.col("duration_ms") > p95_ms
+    agg = requests.groupBy(F.window("ts", window, slide).alias("w")).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") >= 500).alias("errors"), F.count(d).alias("_n"),
+        F.count_if(over).alias("_over"), F.max(F.when(~over, d)).alias("_below"), F.min(F.when(over, d)).alias("_above"),
+        F.kll_sketch_agg_double(d, F.lit(k)).alias("_sketch"))
+    at = "(0.95D * (_n - 1))"
+    lo, hi = f"CAST(floor({at}) AS BIGINT)", f"CAST(ceil({at}) AS BIGINT)"
+    first_over = "(_n - _over)"  # place of the first value above the limit, from 0
+    late = (f"CASE WHEN _over = 0 OR _n = 0 THEN false WHEN {lo} >= {first_over} THEN true WHEN {hi} < {first_over} THEN false "
+            f"ELSE ({hi} - {at}) * _below + ({at} - {lo}) * _above > {float(p95_ms)!r}D END")
+    p95 = F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double("_sketch", F.lit(0.95)))
+    return agg.select(
+        *([F.window_time("w").alias("closed_at")] if closed_at else []),
+        F.unix_seconds("w.start").alias("window_start"), "requests", "errors", C.round1_tolerant(p95).alias("p95_ms"),
+        C.round1(F.col("errors") / F.col("requests") * 100).alias("error_pct"), F.expr(late).alias("latency_alert"),
+        (F.col("errors") / F.col("requests") > error_ratio).alias("error_alert"))
+
+
+def alert_samples(alerts: DataFrame) -> DataFrame:
+    """(alert, ts, fired): each window's two conditions as samples at its start; ``closed_at`` is kept if there."""
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("alert"), F.col(c).alias("fired"))
+                               for k, c in (("latency", "latency_alert"), ("errors", "error_alert"))]))
+    kept = [c for c in ("closed_at",) if c in alerts.columns]
+    return alerts.select(*kept, F.timestamp_seconds("window_start").alias("ts"), both.alias("s")).select(*kept, "ts", "s.*")

@@ -161,10 +161,7 @@ def request_error_q(t: Tables):
     "SELECT 'errors', window_start, CAST(errors AS DOUBLE) / requests > 0.05 FROM win) s) b) g WHERE NOT brk OR fired "
     "GROUP BY alert, grp) e WHERE \"until\" - since >= CASE alert WHEN 'errors' THEN 120 ELSE 300 END", _http_view(), WINDOWS_VIEW))
 def alert_sustained_q(t: Tables):
-    a = M.request_alerts(t.http_requests)
-    both = F.explode(F.array(*[F.struct(F.lit(k).alias("alert"), F.col(c).alias("fired"))
-                               for k, c in (("latency", "latency_alert"), ("errors", "error_alert"))]))
-    samples = a.select(F.timestamp_seconds("window_start").alias("ts"), both.alias("s")).select("ts", "s.*")
+    samples = M.alert_samples(M.request_alerts(t.http_requests))
     return WN.sustained(samples, ["alert"], "ts", F.col("fired"), M.alert_hold_seconds(F.col("alert")), max_gap_seconds=60)
 
 
