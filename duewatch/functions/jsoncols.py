@@ -21,16 +21,28 @@ def _c(col) -> Column:
 
 
 def is_json_array(col="tags") -> Column:
-    """Text that can only be a JSON array: optional whitespace, then ``[``.
+    """Text that can only be a JSON array: it begins with ``[`` and ends with ``]``.
 
     A cheap textual test instead of a full parse; malformed text that passes
-    it still comes out of ``from_json`` as null (then treated as no tags), so
-    the result equals guarding with ``json_array_length IS NOT NULL``."""
-    return F.coalesce(_c(col).rlike(r"^[ \t\r\n]*\["), F.lit(False))
+    it still comes out of the parse as null (then treated as no tags)."""
+    c = _c(col)
+    return F.coalesce(c.rlike(r"^[ \t\r\n]*\[") & c.rlike(r"\][ \t\r\n]*\z"), F.lit(False))
+
+
+def tag_elements(col="tags") -> Column:
+    """One tag for each element of a JSON array, else null (drops out of an inner explode).
+
+    As SQL unnests it: an element that isn't an object is a tag without key and
+    value. Only arrays that have one are parsed a second time."""
+    c = _c(col)
+    items = F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
+    any_element = F.transform(items, lambda e: F.struct(F.try_variant_get(e, "$.key", "string").alias("key"),
+                                                        F.try_variant_get(e, "$.value", "string").alias("value")))
+    return F.coalesce(parse_tags_or_null(c), F.when(is_json_array(c), any_element.cast(TAGS)))
 
 
 def parse_tags_or_null(col="tags") -> Column:
-    """Typed tags for array JSON, else null (drops out of an inner explode)."""
+    """Typed tags for a JSON array of objects, else null."""
     c = _c(col)
     return F.when(is_json_array(c), F.from_json(c, TAGS))
 
@@ -68,14 +80,24 @@ def context_key_count(col="context") -> Column:
     return F.size(F.map_keys(parse_context(col)))
 
 
-def parse_or_raw(col) -> Column:
+def whole_json_sql(text: str) -> str:
+    """SQL text of a JSON text as a variant if it is one value and nothing else, else null.
+
+    The parser stops after the first value, so text behind it goes unseen.
+    Inside an array that text would have to begin with ``]`` or ``,`` and
+    inside an object with ``}`` or ``,`` to get past it: none does both, and a
+    comma makes a second element."""
+    return (f"CASE WHEN try_parse_json(concat('{{\"v\":', {text}, '}}')) IS NOT NULL AND "
+            f"size(try_variant_get(try_parse_json(concat('[', {text}, ']')), '$', 'array<variant>')) = 1 THEN try_parse_json({text}) END")
+
+
+def parse_or_raw(col: str) -> Column:
     """Re-serialize valid JSON text, otherwise pass the raw text through."""
-    c = _c(col)
-    return F.coalesce(F.to_json(F.try_parse_json(c)), c.cast("string"))
+    return F.coalesce(F.to_json(F.expr(whole_json_sql(f"`{col}`"))), F.col(col).cast("string"))
 
 
 def has_tag(key: str, value: str, col="tags") -> Column:
     """Containment of one {key, value} pair in the same element."""
     return F.coalesce(
-        F.exists(parse_tags_or_null(col), lambda t: (t["key"] == F.lit(key)) & (t["value"] == F.lit(value))),
+        F.exists(tag_elements(col), lambda t: (t["key"] == F.lit(key)) & (t["value"] == F.lit(value))),
         F.lit(False))

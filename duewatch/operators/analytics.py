@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duewatch.functions import columns as C
-from duewatch.functions.jsoncols import parse_tags_or_null
+from duewatch.functions.jsoncols import tag_elements
 from duewatch.functions.time import instant, minus_hours
 from duewatch.operators.ordering import top_k
 from duewatch.operators.quantiles import grouped_stats
@@ -117,7 +117,7 @@ def tag_impact_order() -> list[Column]:
 def explode_tags(runs: DataFrame, *keep: str) -> DataFrame:
     """One row per tag element (inner: null, empty, non-array tags drop out;
     duplicates are kept)."""
-    t = F.explode(parse_tags_or_null("tags")).alias("t")
+    t = F.explode(tag_elements("tags")).alias("t")
     return runs.select(*keep, t).select(
         *keep, F.col("t.key").alias("tag_key"), F.col("t.value").alias("tag_value"))
 
@@ -141,7 +141,7 @@ def tagged(classified: DataFrame, *keep: str) -> DataFrame:
     """A row per tag, and one for the run itself (``whole``, without a tag): ``keep``, ``whole``, ``tag_key``, ``tag_value``."""
     none = F.lit(None).cast("string")
     every = F.array(F.struct(F.lit(True).alias("whole"), none.alias("key"), none.alias("value")))
-    tags = F.transform(F.coalesce(parse_tags_or_null("tags"), F.array()),
+    tags = F.transform(F.coalesce(tag_elements("tags"), F.array()),
                        lambda t: F.struct(F.lit(False).alias("whole"), t["key"].alias("key"), t["value"].alias("value")))
     rows = classified.select(*keep, F.explode(F.concat(every, tags)).alias("t"))
     return rows.selectExpr(*[f"`{c}`" for c in keep], "t.whole", "t.key AS tag_key", "t.value AS tag_value")

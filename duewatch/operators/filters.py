@@ -15,7 +15,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from duewatch.functions import columns as C
-from duewatch.functions.jsoncols import has_tag, parse_tags_or_null
+from duewatch.functions.jsoncols import has_tag, tag_elements
 from duewatch.functions.time import instant, minus_hours
 from duewatch.operators.ordering import top_k
 
@@ -43,7 +43,7 @@ def has_tags(pairs: dict[str, str]) -> Column:
         return has_tag(k, v)
     wanted = F.array(*[F.struct(F.lit(k).cast("string").alias("key"), F.lit(v).cast("string").alias("value"))
                        for k, v in pairs.items()])
-    parsed = parse_tags_or_null("tags")
+    parsed = tag_elements("tags")
     return F.coalesce(F.size(F.array_intersect(parsed, wanted)) == F.lit(len(pairs)), F.lit(False))
 
 

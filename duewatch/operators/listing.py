@@ -101,6 +101,16 @@ def normalize(resp: DataFrame) -> DataFrame:
     return out
 
 
+def list_order(flt: RunFilter, as_of) -> list[Column]:
+    """Order of a list request. A spec of one field, with or without its
+    direction, is :func:`parse_sort`'s; one of several is sorted by them all."""
+    spec = flt.sort_by
+    if spec and len([f for f in spec.split(",") if f.strip()]) > 1:
+        return sort_multi(spec, as_of)
+    key, direction = parse_sort(spec)
+    return sort_columns(key, direction if spec and ":" in spec else (flt.sort_dir or ("desc" if not spec else None)), as_of)
+
+
 def page(df: DataFrame, order: list[Column], limit: int | None, offset: int | None) -> DataFrame:
     lim, off = clamp_page(limit, offset)
     return top_k(df, order, lim, off)
@@ -109,14 +119,15 @@ def page(df: DataFrame, order: list[Column], limit: int | None, offset: int | No
 def list_runs(runs: DataFrame, flt: RunFilter | None, as_of, limit: int | None = None,
               offset: int | None = None) -> DataFrame:
     """Filter → sort → page: the full response, with ``pos`` and the ``total``
-    of all matches on each row."""
+    of all matches on each row. A page past the end is one row that has
+    nothing but the total."""
     flt = flt or RunFilter()
     matched = apply_filter(runs, flt, as_of)
-    order = flt.sort_by if flt.sort_by and (":" in flt.sort_by or "," in flt.sort_by) else None
-    columns = sort_multi(order, as_of) if order else sort_columns(flt.sort_by, flt.sort_dir, as_of)
+    columns = list_order(flt, as_of)
     paged = page(matched, columns, limit, offset)
-    total = matched.agg(F.count(F.lit(1)).alias("total"))  # one row, so the cross join only attaches it
-    return normalize(run_response(paged, as_of, "pos")).crossJoin(total)
+    total = matched.agg(F.count(F.lit(1)).alias("total"))  # one row, which the page's rows join
+    rows = normalize(run_response(paged, as_of, "pos"))
+    return total.join(rows, F.lit(True), "left").select(*rows.columns, "total")
 
 
 def keyset_page(runs: DataFrame, flt: RunFilter | None, as_of, after: tuple | None = None,

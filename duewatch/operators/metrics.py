@@ -98,6 +98,16 @@ def overdue_gauge(prev: DataFrame, cur: DataFrame, cap: int | None = None) -> Da
     return out.crossJoin(series).filter(keep).drop("_series")
 
 
+def gauge_snapshot(runs: DataFrame, as_of, prev: DataFrame | None = None, cap: int | None = None) -> DataFrame:
+    """Gauges per name at an instant (name, overdue, active); names of ``prev`` that are not overdue now are reset to 0."""
+    from duewatch.operators.analytics import overdue_by_name
+    cur = overdue_by_name(runs, as_of).select("name", "overdue")
+    active = runs.where(F.col("status") == C.ACTIVE).groupBy("name").agg(F.count("*").alias("active"))
+    none = F.lit(0).cast("long")
+    return (overdue_gauge(cur.limit(0) if prev is None else prev, cur, cap).select("name", "overdue").join(active, "name", "full_outer")
+            .select("name", F.coalesce("overdue", none).alias("overdue"), F.coalesce("active", none).alias("active")))
+
+
 # Exported metric name per column of the per-name aggregate.
 NAME_METRICS = {"created": "processes_created_total", "completed": "processes_completed_total",
                 "failed": "processes_failed_total", "on_time": "processes_completed_on_time_total",

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from duewatch.functions import columns as C
-from duewatch.functions.jsoncols import parse_tags
+from duewatch.functions.jsoncols import TAGS, tag_elements
 from duewatch.functions.time import instant
 
 APPROACHING, BREACHED, COMPLETED_EVENT = "deadline_approaching", "deadline_breached", "process_completed"
@@ -41,7 +41,7 @@ def run_event_type(as_of):
 def match_rules(runs: DataFrame, rules: DataFrame, as_of) -> DataFrame:
     """One row per (rule, run, channel) that fires at ``as_of``."""
     now_s = F.unix_seconds(instant(as_of))
-    r = runs.select("id", "name", parse_tags("tags").alias("_tags"), run_event_type(as_of).alias("event_type"),
+    r = runs.select("id", "name", F.coalesce(tag_elements("tags"), F.array().cast(TAGS)).alias("_tags"), run_event_type(as_of).alias("event_type"),
                     F.unix_seconds("started_at").alias("_st"), F.unix_seconds("deadline").alias("_dl"),
                     F.unix_seconds("completed_at").alias("_ca")).filter(F.col("event_type").isNotNull())
     names = F.array_distinct(F.coalesce(F.col("target_names"), F.array().cast("array<string>")))

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duewatch.functions import columns as C
+from duewatch.functions.jsoncols import whole_json_sql
 from duewatch.functions.text import process_url
 from duewatch.functions.time import instant, instant_sql
 from duewatch.operators.ordering import top_k
@@ -55,7 +56,7 @@ def _json_or_raw_sql(col: str) -> str:
 
     Variant objects render their keys sorted; tag objects are written
     key-before-value, so the order is unchanged for them."""
-    return f"CASE WHEN NOT {col} RLIKE '^[\\\\x00-\\\\x20]*$' THEN coalesce(try_parse_json({col}), CAST({col} AS VARIANT)) END"
+    return f"CASE WHEN NOT {col} RLIKE '^[\\\\x00-\\\\x20]*$' THEN coalesce({whole_json_sql(col)}, CAST({col} AS VARIANT)) END"
 
 
 def _sql_str(text: str) -> str:

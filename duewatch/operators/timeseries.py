@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from duewatch.functions import columns as C
 from duewatch.functions.time import instant, to_micros
+from duewatch.operators.analytics import window_hours
 from duewatch.operators.filters import RunFilter, apply_filter
 
 UNIT_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
@@ -70,7 +71,11 @@ def timeseries(runs: DataFrame, start_s: int, end_s: int, period: str | None, as
 def burn_rate(runs: DataFrame, as_of, hours: int, target: float) -> DataFrame:
     """Per name over the last ``hours``: good = completed on time, bad =
     completed late + still-active runs whose deadline passed in the window;
-    error rate = bad / (good + bad); burn rate = error rate / (1 − target)."""
+    error rate = bad / (good + bad); burn rate = error rate / (1 − target).
+    A target that leaves no budget (1 or more) or isn't a share is an error."""
+    hours = window_hours(hours)
+    if not 0 <= target < 1:
+        raise ValueError(f"target must be at least 0 and below 1: {target}")
     now = instant(as_of)
     since = F.timestamp_micros(F.lit(to_micros(as_of) - hours * 3_600_000_000))
     dl, ca = F.col("deadline"), F.col("completed_at")

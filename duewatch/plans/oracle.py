@@ -45,6 +45,8 @@ runs AS (
          CASE WHEN id % 17 = 0 THEN NULL
               WHEN id % 101 = 0 THEN '{{"key":"region","value":"none"}}'
               WHEN id % 103 = 0 THEN 'not json'
+              WHEN id % 107 = 0 THEN '[1,{{"key":"region","value":"none"}}]'
+              WHEN id % 109 = 0 THEN '[{{"key":"region","value":"none"}}] junk'
               ELSE '[{{"key":"region","value":"' || r_name || '"}},{{"key":"country","value":"' || n_name
                    || '"}},{{"key":"priority","value":"' || o_orderpriority || '"}}]' END AS tags,
          '{{"customer":' || CAST(o_custkey AS VARCHAR) || '}}' AS context,
@@ -90,6 +92,9 @@ COMPLETED_DUR = "CASE WHEN status = 'COMPLETED' AND completed_us IS NOT NULL THE
 
 IS_ARRAY = "(CASE WHEN json_valid(tags) THEN json_type(tags) = 'ARRAY' ELSE false END)"
 
+# An array of objects only: what the typed response takes for tags.
+IS_TAGS = (f"({IS_ARRAY} AND len(list_filter(from_json(CASE WHEN {IS_ARRAY} THEN tags END, '[\"JSON\"]'), lambda x: json_type(x) <> 'OBJECT')) = 0)")
+
 PROBLEM = "outcome IN ('OVERDUE','COMPLETED_LATE','FAILED')"
 
 

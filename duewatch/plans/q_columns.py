@@ -13,7 +13,7 @@ from duewatch.plans.catalog import Tables, register
 from duewatch.sources.runs import upgrade_runs
 
 AS_OF = O.AS_OF
-TAGS_JSON_SQL = f"CASE WHEN {O.IS_ARRAY} THEN tags ELSE '[]' END"
+TAGS_JSON_SQL = f"CASE WHEN {O.IS_TAGS} THEN tags ELSE '[]' END"
 PUBLIC_URL = "https://deadlines.example.test/app/"
 
 
@@ -85,8 +85,8 @@ def is_overdue_q(t: Tables):
 
 
 @register("parse_tags", _sql(
-    f"id, CAST(CASE WHEN {O.IS_ARRAY} THEN json_array_length(tags) ELSE 0 END AS INTEGER) AS tag_count, "
-    f"{TAGS_JSON_SQL} AS tags_json, CASE WHEN {O.IS_ARRAY} THEN tags -> '$[0]' ->> 'key' END AS first_key"))
+    f"id, CAST(CASE WHEN {O.IS_TAGS} THEN json_array_length(tags) ELSE 0 END AS INTEGER) AS tag_count, "
+    f"{TAGS_JSON_SQL} AS tags_json, CASE WHEN {O.IS_TAGS} THEN tags -> '$[0]' ->> 'key' END AS first_key"))
 def parse_tags_q(t: Tables):
     tags = J.parse_tags("tags")
     return t.runs.select("id", F.size(tags).alias("tag_count"), F.to_json(tags).alias("tags_json"),
@@ -94,7 +94,7 @@ def parse_tags_q(t: Tables):
 
 
 @register("tags_to_json", _sql(
-    f"id, CASE WHEN {O.IS_ARRAY} AND json_array_length(tags) > 0 THEN tags END AS tags_json"))
+    f"id, CASE WHEN {O.IS_TAGS} AND json_array_length(tags) > 0 THEN tags END AS tags_json"))
 def tags_to_json_q(t: Tables):
     return t.runs.select("id", J.tags_to_json(J.parse_tags("tags")).alias("tags_json"))
 
@@ -108,7 +108,7 @@ def parse_context_q(t: Tables):
 
 
 @register("attr_counts", _sql(
-    f"id, CAST(CASE WHEN {O.IS_ARRAY} THEN json_array_length(tags) ELSE 0 END AS INTEGER) AS tag_count, "
+    f"id, CAST(CASE WHEN {O.IS_TAGS} THEN json_array_length(tags) ELSE 0 END AS INTEGER) AS tag_count, "
     "CAST(CASE WHEN json_valid(context) AND json_type(context) = 'OBJECT' "
     "THEN len(json_keys(context)) ELSE 0 END AS INTEGER) AS context_key_count"))
 def attr_counts_q(t: Tables):

@@ -221,12 +221,15 @@ def lifecycle_runs_q(t: Tables):
                        F.unix_seconds("deadline").alias("deadline"), "tags", "context")
 
 
-@register("operation_counters", O.with_views(
-    "SELECT operation, 'processes' AS \"table\", success, count(*) AS count FROM ("
+OPERATIONS_SQL = (
     "SELECT CASE WHEN kind = 'create' THEN 'create' WHEN kind = 'complete' AND reason IS NULL THEN 'update' "
     "WHEN kind = 'delete' AND reason IS NULL THEN 'delete' END AS operation, "
     "CASE WHEN kind = 'create' THEN reason IS NULL ELSE true END AS success FROM decisions "
-    "UNION ALL SELECT 'read', status < 500 FROM http_requests WHERE method = 'GET') o "
+    "UNION ALL SELECT 'read', status < 500 FROM http_requests WHERE method = 'GET'")
+
+
+@register("operation_counters", O.with_views(
+    f"SELECT operation, 'processes' AS \"table\", success, count(*) AS count FROM ({OPERATIONS_SQL}) o "
     "WHERE operation IS NOT NULL GROUP BY ALL", CMDS_VIEW, _http_view()))
 def operation_counters_q(t: Tables):
     d = LC.decide(t.commands)

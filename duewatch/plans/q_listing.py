@@ -52,7 +52,7 @@ _RESP_SQL = (f"process_id AS id, name, status, {O.DEADLINE_STATUS} AS deadline_s
              f"{O.sec('started_us')} AS started_at, {O.sec('completed_us')} AS completed_at, "
              f"{O.sec('deadline_us')} AS deadline, "
              f"{O.sec(f'coalesce(completed_us, {AS_OF})')} - {O.sec('started_us')} AS duration, "
-             f"CASE WHEN {O.IS_ARRAY} THEN tags ELSE '[]' END AS tags_json, context ->> 'customer' AS context_customer")
+             f"CASE WHEN {O.IS_TAGS} THEN tags ELSE '[]' END AS tags_json, context ->> 'customer' AS context_customer")
 
 
 def _list_sql(order: str, limit: int, offset: int, where: str = "true") -> str:
@@ -71,6 +71,15 @@ def list_page1_q(t: Tables):
     return _listed(t, RunFilter(), 20, 0)
 
 
+@register("list_past_end", O.with_views(
+    "SELECT CAST(NULL AS BIGINT) AS pos, " + ", ".join(f"CAST(NULL AS {k}) AS {c}" for c, k in (
+        ("id", "VARCHAR"), ("name", "VARCHAR"), ("status", "VARCHAR"), ("deadline_status", "VARCHAR"), ("started_at", "BIGINT"),
+        ("completed_at", "BIGINT"), ("deadline", "BIGINT"), ("duration", "BIGINT"), ("tags_json", "VARCHAR"), ("context_customer", "VARCHAR")))
+    + ", count(*) AS total FROM runs WHERE status = 'ACTIVE'"))
+def list_past_end_q(t: Tables):
+    return _listed(t, RunFilter(status="ACTIVE"), 20, 10_000_000)
+
+
 @register("list_page2", _list_sql(_sql_order("started_at", "desc"), 20, 20))
 def list_page2_q(t: Tables):
     return _listed(t, RunFilter(), 20, 20)

@@ -10,10 +10,11 @@ from duewatch.operators import metrics as M
 from duewatch.operators import rules as R
 from duewatch.operators import scans as S
 from duewatch.operators import windows as WN
-from duewatch.operators.lifecycle import read_results
+from duewatch.operators.lifecycle import decide, operation_results, read_results
 from duewatch.plans import oracle as O
 from duewatch.plans.catalog import Tables, register
 from duewatch.plans.q_columns import _http_view
+from duewatch.plans.q_lifecycle import CMDS_VIEW, OPERATIONS_SQL
 from duewatch.plans.q_scans import _scan_sql
 from duewatch.plans.q_analytics import MISSED_SQL, _warning_sql
 from duewatch.sources.fixtures import FIXTURE_RULES, fixture_rules
@@ -115,16 +116,17 @@ def _snapshot_sql() -> str:
            + O.round1("sum(duration_ms)") + " AS s, max(duration_ms) AS m FROM http_requests GROUP BY ALL)")
     parts += [f"SELECT '{k}', l, CAST({c} AS DOUBLE) FROM {req} t" for k, c in (
         ("http_requests_total", "c"), ("http_request_duration_ms_sum", "s"), ("http_request_duration_ms_max", "m"))]
-    parts.append("SELECT 'database_operations_total', 'operation=read,table=processes,success=' || "
-                 "CAST(status < 500 AS VARCHAR), CAST(count(*) AS DOUBLE) FROM http_requests WHERE method = 'GET' GROUP BY ALL")
+    parts.append("SELECT 'database_operations_total', 'operation=' || operation || ',table=processes,success=' || "
+                 f"CAST(success AS VARCHAR), CAST(count(*) AS DOUBLE) FROM ({OPERATIONS_SQL}) o WHERE operation IS NOT NULL GROUP BY operation, success")
     return O.with_views(" UNION ALL ".join(parts), EVENTS_VIEW, f"lc AS ({LC_SQL})", f"ev AS (SELECT n.name, "
                         f"coalesce(e.missed_events, 0) AS missed_events, coalesce(e.warning_events, 0) AS warning_events "
-                        f"FROM (SELECT DISTINCT name FROM runs) n LEFT JOIN ({EV_COUNT_SQL}) e ON e.name = n.name)", _http_view())
+                        f"FROM (SELECT DISTINCT name FROM runs) n LEFT JOIN ({EV_COUNT_SQL}) e ON e.name = n.name)", _http_view(), CMDS_VIEW)
 
 
 @register("metrics_snapshot", _snapshot_sql())
 def metrics_snapshot_q(t: Tables):
-    return M.metrics_snapshot(t.runs, t.as_of, 0.75, read_results(t.http_requests), t.http_requests)
+    ops = operation_results(decide(t.commands)).unionByName(read_results(t.http_requests))
+    return M.metrics_snapshot(t.runs, t.as_of, 0.75, ops, t.http_requests)
 
 
 WINDOWS_VIEW = """req_windows AS (

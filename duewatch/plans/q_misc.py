@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from duewatch.functions import jsoncols as J
@@ -110,7 +112,8 @@ def stream_counters_q(t: Tables):
     f"SELECT name, count(*) FILTER (WHERE status = 'ACTIVE' AND deadline_us IS NOT NULL AND deadline_us < {O.AS_OF}) AS overdue, "
     "count(*) FILTER (WHERE status = 'ACTIVE') AS active FROM runs GROUP BY name"))
 def gauge_snapshot_q(t: Tables):
-    return M.name_aggregate(t.runs, t.as_of).select("name", "overdue", "active")
+    earlier = M.gauge_snapshot(t.runs, t.as_of - timedelta(days=30))
+    return M.gauge_snapshot(t.runs, t.as_of, earlier)
 
 
 @register("context_to_json", O.with_views(
@@ -120,7 +123,7 @@ def context_to_json_q(t: Tables):
 
 
 @register("normalized_response", O.with_views(
-    f"SELECT process_id AS id, CASE WHEN id % 2 = 0 AND {O.IS_ARRAY} THEN tags ELSE '[]' END AS tags_json, "
+    f"SELECT process_id AS id, CASE WHEN id % 2 = 0 AND {O.IS_TAGS} THEN tags ELSE '[]' END AS tags_json, "
     "CASE WHEN id % 3 = 0 THEN context ->> 'customer' END AS customer FROM runs"))
 def normalized_response_q(t: Tables):
     r = L.run_response(t.runs.withColumnRenamed("id", "run"), t.as_of, "run")

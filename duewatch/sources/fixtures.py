@@ -77,6 +77,8 @@ def derive_runs(spark: SparkSession, sf_dir: str, as_of_us: int = AS_OF_US) -> D
         F.when(key % 17 == 0, F.lit(None).cast("string"))
          .when(key % 101 == 0, F.lit('{"key":"region","value":"none"}'))
          .when(key % 103 == 0, F.lit("not json"))
+         .when(key % 107 == 0, F.lit('[1,{"key":"region","value":"none"}]'))
+         .when(key % 109 == 0, F.lit('[{"key":"region","value":"none"}] junk'))
          .otherwise(_tag_json()).alias("tags"),
     )
     as_of = F.lit(as_of_us)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from duewatch.functions.jsoncols import TAGS
+from duewatch.functions.jsoncols import TAGS, whole_json_sql
 from duewatch.functions.text import blank
 
 CREATE_BODY = T.StructType([
@@ -31,19 +31,10 @@ def _is(value: Column, *kinds: str) -> Column:
     return F.coalesce(_kind(value).isin("null", *kinds), F.lit(True))
 
 
-def _one_object(body: Column) -> Column:
-    """The body as a variant if it is one JSON object and nothing else, else null.
-
-    The parser stops after the first value, so text behind it goes unseen.
-    Inside an array that text would have to begin with ``]`` or ``,`` and
-    inside an object with ``}`` or ``,`` to get past it: none does both, and a
-    comma makes a second element."""
-    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
-    named = F.try_parse_json(F.concat(F.lit('{"b":'), body, F.lit("}")))
-    items = F.try_variant_get(listed, "$", "array<variant>")
-    one = F.get(items, F.lit(0))
-    whole = named.isNotNull() & (F.size(items) == 1) & (_kind(one) == "object")
-    return F.when(F.coalesce(whole, F.lit(False)), one)
+def _one_object(body: str) -> Column:
+    """The body as a variant if it is one JSON object and nothing else, else null."""
+    v = F.expr(whole_json_sql(f"`{body}`"))
+    return F.when(_kind(v) == "object", v)
 
 
 def _long(value: Column) -> Column:
@@ -79,7 +70,7 @@ def parse_create_requests(raw: DataFrame, body: str = "body") -> DataFrame:
     keep = [F.col(c) for c in raw.columns if c != body]
     b = F.col("_b")
     fields = [b["id"].alias("id"), _long(deadline).alias("deadline"), b["tags"].alias("tags"), b["context"].alias("context")]
-    parsed = raw.withColumn("_v", _one_object(F.col(body))).withColumn("_ok", F.coalesce(v.isNotNull() & fits, F.lit(False)))
+    parsed = raw.withColumn("_v", _one_object(body)).withColumn("_ok", F.coalesce(v.isNotNull() & fits, F.lit(False)))
     parsed = parsed.withColumn("_b", F.when(F.col("_ok"), F.from_json(F.col(body), CREATE_BODY)))
     return parsed.select(*keep, *[F.when(F.col("_ok"), f).alias(n) for f, n in zip(fields, CREATE_BODY.names, strict=True)],
                          (~F.col("_ok")).alias("unreadable"))
@@ -94,7 +85,7 @@ def parse_complete_requests(raw: DataFrame, body: str = "body") -> DataFrame:
     text = F.try_variant_get(status, "$", "string")
     readable = v.isNotNull() & (F.coalesce(_kind(status) == "null", F.lit(True)) | (F.schema_of_variant(status) == "STRING"))
     bad = ~blank(F.col(body)) & ~F.coalesce(readable, F.lit(False))
-    parsed = raw.withColumn("_v", _one_object(F.col(body))).withColumn("_bad", bad)
+    parsed = raw.withColumn("_v", _one_object(body)).withColumn("_bad", bad)
     return parsed.select(*keep, F.when(~F.col("_bad"), F.coalesce(text, F.lit("COMPLETED"))).alias("status"),
                          F.col("_bad").alias("unreadable"))
 

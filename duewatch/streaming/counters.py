@@ -6,16 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from duewatch.operators import metrics as M
-from duewatch.operators.scans import MISSED_EVENT, WARNING_EVENT
+from duewatch.sources.epochs import committed, prune, write_epoch
+from duewatch.sources.runs import read_stored_runs
 
 
 def stream_counters(events: DataFrame) -> DataFrame:
     """Per-name deadline event counts over a stream; run in ``update`` or
     ``complete`` output mode (partial aggregation happens per micro-batch,
     the running totals live in the state store)."""
-    e = F.col("event")
-    return events.groupBy("name").agg(F.count_if(e == MISSED_EVENT).alias("missed_events"),
-                                      F.count_if(e == WARNING_EVENT).alias("warning_events"))
+    return M.event_counters(events)
 
 
 def stream_request_alerts(requests: DataFrame, watermark: str = "10 minutes", **kw) -> DataFrame:
@@ -28,46 +27,33 @@ def stream_request_alerts(requests: DataFrame, watermark: str = "10 minutes", **
     return M.request_alerts_binned(requests.withWatermark("ts", watermark), **kw)
 
 
-def _committed_epochs(spark: SparkSession, path: str) -> list[int]:
-    """Epochs whose snapshot was fully written (the writer's ``_SUCCESS`` file), by Hadoop's file system."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "epoch=*/_SUCCESS"))
-    return sorted(int(d.getPath().getParent().getName().split("=")[1]) for d in done or [])
+GAUGES = "name string, overdue long, active long, epoch long"
 
 
-def gauge_refresher(runs_path: str, snapshot_path: str, cap: int | None = None):
+def gauge_refresher(runs_path: str, snapshot_path: str, cap: int | None = None, keep: int = 10):
     """A ``foreachBatch`` function: on every trigger, recompute overdue and
     active runs per name from the stored runs at the trigger's time, carry the
     newest committed snapshot below this epoch forward (absent names reset to
     0) and write this epoch's own folder. A crash leaves earlier snapshots as
-    they are, and a replayed epoch replaces its own."""
-    from duewatch.operators.analytics import overdue_by_name
-    from duewatch.sources.runs import read_stored_runs
-
+    they are, and a replayed epoch replaces its own. The last ``keep``
+    snapshots stay, older ones are deleted."""
     def refresh(batch: DataFrame, epoch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
         ticks = batch.agg(F.max("timestamp").alias("t")).first()
         if ticks is None or ticks.t is None:
             return
-        runs = read_stored_runs(spark, runs_path)
-        cur = overdue_by_name(runs, F.lit(ticks.t).cast("timestamp")).select("name", "overdue")
-        active = runs.where("status = 'ACTIVE'").groupBy("name").agg(F.count("*").alias("active"))
-        earlier = [e for e in _committed_epochs(spark, snapshot_path) if e < epoch_id]
-        prev = (spark.read.parquet(f"{snapshot_path}/epoch={earlier[-1]}").select("name", "overdue")
-                if earlier else cur.limit(0))
-        snap = (M.overdue_gauge(prev, cur, cap).select("name", "overdue").join(active, "name", "full_outer")
-                .select("name", F.coalesce("overdue", F.lit(0)).alias("overdue"),
-                        F.coalesce("active", F.lit(0)).alias("active"), F.lit(epoch_id).alias("epoch")))
-        snap.write.mode("overwrite").parquet(f"{snapshot_path}/epoch={epoch_id}")
+        earlier = [e for e in committed(spark, snapshot_path) if e < epoch_id]
+        prev = spark.read.schema(GAUGES).parquet(f"{snapshot_path}/epoch={earlier[-1]}").select("name", "overdue") if earlier else None
+        snap = M.gauge_snapshot(read_stored_runs(spark, runs_path), F.lit(ticks.t).cast("timestamp"), prev, cap)
+        write_epoch(snap.withColumn("epoch", F.lit(epoch_id).cast("long")), snapshot_path, epoch_id)
+        if len(earlier) >= keep:
+            prune(spark, snapshot_path, earlier[-keep])
     return refresh
 
 
 def read_gauges(spark: SparkSession, snapshot_path: str) -> DataFrame:
     """The newest committed snapshot."""
-    return spark.read.parquet(f"{snapshot_path}/epoch={_committed_epochs(spark, snapshot_path)[-1]}")
+    return spark.read.schema(GAUGES).parquet(f"{snapshot_path}/epoch={committed(spark, snapshot_path)[-1]}")
 
 
 def stream_gauges(spark: SparkSession, runs_path: str, snapshot_path: str, checkpoint: str,
