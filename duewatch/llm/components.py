@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duewatch.llm.shared import cut
+from duewatch.llm.shared import cut, uncut
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        edges = cut(small, "edges")
+        before, edges = edges, cut(small, "edges")
+        uncut(before)
         now = _state(edges)
         if now == state:
             break

@@ -85,15 +85,16 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     All columns are kept, whatever their names. Possibly repeated rows are
     pre-aggregated in each task before they shuffle; the others pass through.
-    Between rows of the same id and text the choice is by their other columns,
-    in order, so that reruns agree.
+    Between rows of the same id and text the choice is by a digest of the row
+    as JSON, so that reruns agree and columns of any type may be there.
     """
     sha = F.sha2(normalised(F.col(text_col)), 256)
     digests = cut(docs.select(sha.alias("sha")), "exact-digests")
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("k"), sha.alias("sha"))  # no name can clash
     rows = flag_possible_repeats(rows, "sha", "maybe", bits=bits, seen=digests)
-    kept = rows.where("maybe").groupBy("sha").agg(F.max(F.struct("k", "row")).alias("best"))
-    return rows.where("not maybe").select("row.*").unionByName(kept.select("best.row.*"))
+    kept = rows.where("maybe").groupBy("sha").agg(
+        F.max_by("row", F.struct("k", F.sha2(F.to_json("row"), 256))).alias("best"))
+    return rows.where("not maybe").select("row.*").unionByName(kept.select("best.*"))
 
 
 ORACLE = """

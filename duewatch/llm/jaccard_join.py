@@ -26,11 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duewatch.llm import hashing
 from duewatch.llm.components import components
 from duewatch.llm.exact_dedup import flag_possible_repeats
-from duewatch.llm.shared import cut, flag_by_bits, map_batches, set_bits
+from duewatch.llm.shared import cut, flag_by_bits, map_batches, set_bits, uncut
 
 COUNT_BITS = 21
 BLOCK = 1 << 20
@@ -88,7 +89,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, words: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(id, n, s1, s2, parities, prefix): set size, digest of the set in two longs, rarest shingles in order."""
+    """(id, n, s1, s2, parities, prefix): set size, digest of the set in two longs, rarest shingles in order; a written table."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +116,11 @@ def _prefixes(docs: DataFrame, words: int, percent: int, counts: np.ndarray) ->
                 ["id", "n", "s1", "s2", *PARITY, "prefix"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return map_batches(docs, run, f"id {kind}, n bigint, s1 bigint, s2 bigint, "
+    made = map_batches(docs, run, f"id {kind}, n bigint, s1 bigint, s2 bigint, "
                                 + "".join(f"{c} bigint, " for c in PARITY) + "prefix array<bigint>")
+    made = cut(made, "jaccard-prefixes")
+    shared.destroy()
+    return made
 
 
 def _digest(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -188,6 +192,13 @@ def _verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, p
     return map_batches(joined, run, "a bigint, b bigint")
 
 
+def _components(links: DataFrame) -> DataFrame:
+    found = components(links)
+    out = cut(found, "jaccard-components")
+    uncut(found)
+    return out
+
+
 def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
                     percent: int = 90) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``; ids are longs.
@@ -202,8 +213,12 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component and takes part in none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    found = cut(_prefixes(rows, words, percent, shingle_counts(rows, words)), "jaccard-prefixes")
-    classes = cut(found.where("n > 0 and id is not null").groupBy("n", "s1", "s2")
+    if not isinstance(docs.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        raise TypeError(f"{id_col} must be a whole number, not {docs.schema[id_col].dataType.simpleString()}")
+    prefixes = _prefixes(rows, words, percent, shingle_counts(rows, words))
+    # What is needed to the end is small; the prefixes go as soon as the tokens are dealt out.
+    found = cut(prefixes.select("id", "n", "s1", "s2"), "jaccard-rows")
+    classes = cut(prefixes.where("n > 0 and id is not null").groupBy("n", "s1", "s2")
                   .agg(F.min(F.struct(F.col("id").alias("least"), *PARITY, "prefix")).alias("r"))
                   .select("n", "s1", "s2", _class_key().alias("id"), "r.*"), "jaccard-classes")
     # Each prefix shingle's classes. A fixed-size filter passes over shingles of one class alone.
@@ -213,11 +228,15 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                                   bits=TOKEN_BITS).where("maybe").drop("maybe")
     place = F.struct("id", F.col("n").cast("int").alias("n"), "i")
     under = cut(under, "jaccard-shared")
+    slim = cut(classes.drop("prefix"), "jaccard-slim")
+    uncut(prefixes, classes)
+    classes = slim
     lists = cut(under.groupBy("token").agg(F.count("*").alias("m"), F.min(place).alias("lo"), F.max(place).alias("hi"))
                 .where("m > 1"), "jaccard-lists")
-    under = cut(under.join(lists.where("m > 2").select("token", "m"), "token"), "jaccard-longer")
-    short = under.where(f"m <= {SHORT_LIST}").drop("m")
-    under = cut(under.where(f"m > {SHORT_LIST}").drop("m").join(classes.select("id", *PARITY), "id"), "jaccard-tokens")
+    longer = cut(under.join(lists.where("m > 2").select("token", "m"), "token"), "jaccard-longer")
+    uncut(under)
+    short = longer.where(f"m <= {SHORT_LIST}").drop("m")
+    under = cut(longer.where(f"m > {SHORT_LIST}").drop("m").join(classes.select("id", *PARITY), "id"), "jaccard-tokens")
 
     def needed(n: Column, m: Column) -> Column:
         return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))  # shared shingles of a linked pair
@@ -245,7 +264,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                      & near(F.col("n"), F.col("i"), F.col("n_"), F.col("i_")))
     twos = twos.unionByName(few.select(F.col("id").alias("a"), F.col("id_").alias("b"))).distinct()
     twos = twos.join(of_a, "a").join(of_b, "b").where(alike).select("a", "b")
-    open_, tried, links = under.withColumn("c", F.col("id")), None, None
+    open_, tried, links, component = under.withColumn("c", F.col("id")), None, None, None
     for step in range(PIVOT_ROUNDS + 1):
         if step < PIVOT_ROUNDS:  # with the smallest set and two others of each shingle, others in each round
             turn = F.struct(F.xxhash64(F.lit(step), "id").alias("h"), "id")
@@ -259,15 +278,24 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "jaccard-pairs")
+        if step == 0:
+            uncut(lists, longer)
+        elif step == PIVOT_ROUNDS:
+            uncut(open_)
         good = cut(_verify(pairs, rows, classes, words, percent), "jaccard-links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = good if links is None else links.unionByName(good)
-        component = cut(components(links), "jaccard-components")
+        if component is not None:
+            uncut(component)
+        component = _components(links)
         if step < PIVOT_ROUNDS:
             named = (under.join(component.withColumnRenamed("component", "c"), "id", "left")
                      .withColumn("c", F.coalesce("c", "id")))
             spread = named.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-            open_ = cut(named.join(spread.select("token"), "token", "left_semi"), "jaccard-open")
+            before, open_ = open_, cut(named.join(spread.select("token"), "token", "left_semi"), "jaccard-open")
+            if step:
+                uncut(before)
+    uncut(under, tried)
     some = found.where("n > 0 and id is not null")
     # Sets of one id are one component. Each one's component is named by the least id of its rows.
     keyed = some.select("id", _class_key().alias("k"))
@@ -275,7 +303,7 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
               .join(keyed, "id").where("a != k").select("a", F.col("k").alias("b")).distinct())
     shared = cut(shared, "jaccard-one-id")
     if not shared.isEmpty():
-        component = cut(components(links.unionByName(shared)), "jaccard-components")
+        component = _components(links.unionByName(shared))
     of_class = classes.select("n", "s1", "s2", "id", "least")
     of_class = of_class.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = of_class.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -117,11 +117,11 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ``copies`` is 0, 1 or 2; ``taken`` is copies * size. Rows repeated with
     source and id are one document, whose size is theirs together. Null text
     has no words; documents without words are rounded alone; the null source is
-    a source. Decisions hang on ids and ``seed`` only, so reruns agree. An
+    a source, and one that isn't a text stands by its text. Decisions hang on ids and ``seed`` only, so reruns agree. An
     empty table gives no rows. No task gets more than about ``fanout``
     documents of a group, whatever a source's size.
     """
-    sizes = (docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+    sizes = (docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
                          word_count(F.col(text_col)).alias("size"))
              .groupBy("source", "id").agg(F.sum("size").alias("size")))
     sizes = cut(sizes, "mix-sizes")
@@ -162,5 +162,5 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     for d in done[1:]:
         every = every.unionByName(d)
     copies = (F.col("whole") + F.col("p")).cast("long")
-    return every.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
+    return every.select(F.col("id").alias(id_col), F.col("source").cast(docs.schema[source_col].dataType).alias(source_col), "size", "source_size", "target",
                         copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -41,6 +41,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def uncut(*tables: DataFrame) -> None:
+    """Delete the written tables of :func:`cut` that these frames read, once all that is made from them has been cut itself."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/duewatch-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 BATCH_BYTES = 8 << 20
 
 
@@ -66,17 +76,25 @@ def set_bits(cells: DataFrame, cell: str) -> DataFrame:
             .agg(F.expr(f"bit_or(shiftleft(1L, cast(`{cell}` % {WORD} as int)))").alias("__bits")))
 
 
+PACK = 256
+
+
 def flag_by_bits(rows: DataFrame, words: DataFrame, cell: Column, flag: str) -> DataFrame:
     """Add boolean ``flag``: whether the bit of ``cell`` is set in ``words``.
 
-    ``words`` comes from :func:`set_bits` over a fixed number of cells, so it
-    has at most cells / 64 rows of 16 bytes, whatever the input: that is the
-    bound under which it is broadcast. ``rows`` are not shuffled.
+    ``words`` comes from :func:`set_bits` over a fixed number of cells. It is
+    packed into rows of PACK words, 2 KB each, and has at most cells / 2**14 of
+    them, whatever the input: that is the bound under which it is broadcast,
+    and few rows cost the driver little beside their bytes. ``rows`` are not
+    shuffled.
     """
+    item = F.struct(F.expr(f"cast(`__word` % {PACK} as int)").alias("i"), F.col("__bits").alias("b"))
+    packed = (words.groupBy(F.expr(f"`__word` div {PACK}").alias("__pack")).agg(F.map_from_entries(F.collect_list(item)).alias("m"))
+              .select("__pack", F.expr(f"transform(sequence(0, {PACK - 1}), i -> coalesce(m[i], 0L))").alias("__words")))
     tagged = rows.withColumn("__cell", cell)
-    joined = tagged.join(F.broadcast(words), F.expr(f"`__cell` div {WORD}") == F.col("__word"), "left")
-    hit = F.expr(f"coalesce(shiftrightunsigned(`__bits`, cast(`__cell` % {WORD} as int)) & 1L, 0L) = 1L")
-    return joined.withColumn(flag, hit).drop("__cell", "__word", "__bits")
+    joined = tagged.join(F.broadcast(packed), F.expr(f"`__cell` div {PACK * WORD}") == F.col("__pack"), "left")
+    hit = F.expr(f"coalesce(shiftrightunsigned(`__words`[cast((`__cell` div {WORD}) % {PACK} as int)], cast(`__cell` % {WORD} as int)) & 1L, 0L) = 1L")
+    return joined.withColumn(flag, hit).drop("__cell", "__pack", "__words")
 
 
 def keep_without(rows: DataFrame, dropped: DataFrame, key: str, bits: int = 23) -> DataFrame:

@@ -124,3 +124,45 @@ def test_stages(spark, edge, empty, labels, benchmark, tmp_path):
             out = stage(spark, docs, str(tmp_path))
             assert out.columns[:len(docs.columns)] == docs.columns
             out.select(F.count("*")).collect()
+
+
+def test_columns_of_other_types(spark):
+    rows = [(1, "a text of five whole words", {"k": 1}, 3, [{"m": 1}]), (2, "A text of five whole words", {"k": 2}, 3, None), (2, "A text of five whole words", None, 4, None),
+            (3, None, {}, None, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string,int>, source int, more array<map<string,int>>")
+    kept = exact_dedup.exact_dedup(docs)
+    assert kept.columns == docs.columns and by_id(kept, "doc_id") == [(2,), (3,)] and by_id(kept, "source") == by_id(exact_dedup.exact_dedup(docs), "source")
+    mixed = mixing.mix_sources(docs)
+    assert mixed.schema["source"].dataType.simpleString() == "int" and {r.source for r in mixed.collect()} == {3, 4, None}
+    with pytest.raises(TypeError, match="whole number"):
+        jaccard_join.jaccard_classes(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
+def test_filters_are_whole(spark):
+    """Packed filters flag every set cell, at the ends of words and packs too."""
+    from duewatch.llm.shared import PACK, flag_by_bits, set_bits
+
+    cells = [0, 1, 62, 63, 64, 64 * PACK - 1, 64 * PACK, 64 * PACK + 63, 10 ** 6, (1 << 26) - 1]
+    words = set_bits(spark.createDataFrame([(c,) for c in cells for _ in range(2)], "c long"), "c")
+    near = sorted({max(0, c + d) for c in cells for d in (-1, 0, 1)})
+    rows = spark.createDataFrame([(c,) for c in near], "c long")
+    got = {r.c: r.hit for r in flag_by_bits(rows, words, F.col("c"), "hit").collect()}
+    assert got == {c: c in cells for c in near}
+
+
+def test_written_tables_go(spark):
+    import os
+
+    from duewatch.llm.shared import shared_dir
+
+    def names():
+        root = shared_dir(spark).removeprefix("file:")
+        return {n.rsplit("-", 1)[0] for n in os.listdir(root) if n.startswith("duewatch-jaccard") or n.startswith("duewatch-edges")}
+
+    def count():
+        return len([n for n in os.listdir(shared_dir(spark).removeprefix("file:")) if n.startswith(("duewatch-jaccard", "duewatch-edges"))])
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = count()
+    out = jaccard_join.jaccard_classes(docs)
+    assert out.count() == docs.count() and count() - before <= 8 and not names() & {"duewatch-jaccard-prefixes", "duewatch-jaccard-longer", "duewatch-jaccard-pairs"}
