@@ -67,6 +67,13 @@ def parse_context(col="context") -> Column:
     return F.coalesce(parsed, F.create_map().cast(CONTEXT))
 
 
+def typed_context(col: str = "context") -> Column:
+    """Context object as a variant, with its values' types; null, blank, malformed and what isn't an object → {}."""
+    value = F.expr(whole_json_sql(f"`{col}`"))
+    is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    return F.coalesce(F.when(is_object, value), F.parse_json(F.lit("{}")))
+
+
 def context_to_json(col) -> Column:
     c = _c(col)
     return F.when(F.size(c) > 0, F.to_json(c))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from duewatch.functions import columns as C
-from duewatch.functions.jsoncols import parse_context, parse_tags
+from duewatch.functions.jsoncols import CONTEXT, TAGS, parse_tags, typed_context
 from duewatch.functions.time import instant
 from duewatch.operators.filters import RunFilter, apply_filter
 from duewatch.operators.ordering import top_k
@@ -76,7 +76,8 @@ def page_by_number(page: int, size: int) -> tuple[int, int]:
 
 def run_response(runs: DataFrame, as_of, *keep: str) -> DataFrame:
     """The per-run response: id, name, status, deadline_status, epoch-second
-    times, live duration, typed tags and context."""
+    times, live duration, typed tags, and the context as a variant, whose
+    numbers, booleans and nested objects keep their types."""
     return runs.select(
         *keep, F.col("process_id").alias("id"), "name", "status",
         C.deadline_status(as_of).alias("deadline_status"),
@@ -85,19 +86,19 @@ def run_response(runs: DataFrame, as_of, *keep: str) -> DataFrame:
         F.unix_seconds(C.deadline).alias("deadline"),
         C.duration_s(as_of).alias("duration"),
         parse_tags("tags").alias("tags"),
-        parse_context("context").alias("context"),
+        typed_context("context").alias("context"),
     )
 
 
 def normalize(resp: DataFrame) -> DataFrame:
     """Fill omitted response fields with defaults: tags → [], context → {}
-    (typed), leaving every other field as is."""
-    from duewatch.functions.jsoncols import CONTEXT, TAGS
+    (typed: a variant, or a map of texts), leaving every other field as is."""
     out = resp
     if "tags" in resp.columns:
         out = out.withColumn("tags", F.coalesce(F.col("tags"), F.array().cast(TAGS)))
     if "context" in resp.columns:
-        out = out.withColumn("context", F.coalesce(F.col("context"), F.create_map().cast(CONTEXT)))
+        variant = isinstance(resp.schema["context"].dataType, T.VariantType)
+        out = out.withColumn("context", F.coalesce(F.col("context"), F.parse_json(F.lit("{}")) if variant else F.create_map().cast(CONTEXT)))
     return out
 
 

@@ -49,7 +49,8 @@ runs AS (
               WHEN id % 109 = 0 THEN '[{{"key":"region","value":"none"}}] junk'
               ELSE '[{{"key":"region","value":"' || r_name || '"}},{{"key":"country","value":"' || n_name
                    || '"}},{{"key":"priority","value":"' || o_orderpriority || '"}}]' END AS tags,
-         '{{"customer":' || CAST(o_custkey AS VARCHAR) || '}}' AS context,
+         '{{"customer":' || CAST(o_custkey AS VARCHAR)
+           || CASE WHEN id % 4 = 1 THEN ',"nested":{{"a":[1,null,"x"]}},"ok":true,"ratio":0.5}}' ELSE '}}' END AS context,
          started_us AS created_us,
          CASE WHEN end_us <= {AS_OF} THEN end_us ELSE started_us END AS updated_us,
          CASE WHEN id % 3 = 0 THEN {AS_OF} - {HOUR_US} END AS notified_us,

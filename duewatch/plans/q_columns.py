@@ -52,12 +52,15 @@ def runs_upgrade(t: Tables):
     f"process_id AS id, name, status, {O.DEADLINE_STATUS} AS deadline_status, "
     f"{O.sec('started_us')} AS started_at, {O.sec('completed_us')} AS completed_at, {O.sec('deadline_us')} AS deadline, "
     f"{O.sec(f'coalesce(completed_us, {AS_OF})')} - {O.sec('started_us')} AS duration, "
-    f"{TAGS_JSON_SQL} AS tags_json, context ->> 'customer' AS context_customer"))
+    f"{TAGS_JSON_SQL} AS tags_json, context ->> 'customer' AS context_customer, context AS context_json, "
+    "json_type(context, '$.ok') AS ok_type, CAST(context ->> '$.ratio' AS DOUBLE) AS ratio"))
 def run_response_q(t: Tables):
     r = run_response(t.runs, t.as_of)
     return r.select("id", "name", "status", "deadline_status", "started_at", "completed_at", "deadline",
                     "duration", F.to_json("tags").alias("tags_json"),
-                    F.col("context")["customer"].alias("context_customer"))
+                    F.try_variant_get("context", "$.customer", "string").alias("context_customer"), F.to_json("context").alias("context_json"),
+                    F.schema_of_variant(F.try_variant_get("context", "$.ok", "variant")).alias("ok_type"),
+                    F.try_variant_get("context", "$.ratio", "double").alias("ratio"))
 
 
 @register("deadline_status", _sql(f"id, {O.DEADLINE_STATUS} AS deadline_status"))

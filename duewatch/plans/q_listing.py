@@ -63,7 +63,7 @@ def _list_sql(order: str, limit: int, offset: int, where: str = "true") -> str:
 def _listed(t: Tables, flt: RunFilter, limit: int, offset: int):
     got = L.list_runs(t.runs, flt, t.as_of, limit, offset)
     return got.select(*[c for c in got.columns if c not in ("tags", "context")], F.to_json("tags").alias("tags_json"),
-                      F.col("context")["customer"].alias("context_customer"))
+                      F.try_variant_get("context", "$.customer", "string").alias("context_customer"))
 
 
 @register("list_page1", _list_sql(_sql_order("started_at", "desc"), 20, 0))

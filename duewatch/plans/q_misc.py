@@ -117,7 +117,8 @@ def gauge_snapshot_q(t: Tables):
 
 
 @register("context_to_json", O.with_views(
-    "SELECT id, '{\"customer\":\"' || (context ->> 'customer') || '\"}' AS context_json FROM runs"))
+    "SELECT id, CAST(CASE WHEN id % 4 = 1 THEN json_object('customer', context ->> 'customer', 'nested', context ->> 'nested', 'ok', context ->> 'ok', "
+    "'ratio', context ->> 'ratio') ELSE json_object('customer', context ->> 'customer') END AS VARCHAR) AS context_json FROM runs"))
 def context_to_json_q(t: Tables):
     return t.runs.select("id", J.context_to_json(J.parse_context("context")).alias("context_json"))
 
@@ -130,7 +131,7 @@ def normalized_response_q(t: Tables):
     partial = r.withColumn("tags", F.when(F.col("run") % 2 == 0, F.col("tags"))) \
                .withColumn("context", F.when(F.col("run") % 3 == 0, F.col("context")))
     return L.normalize(partial).select("id", F.to_json("tags").alias("tags_json"),
-                                       F.try_element_at("context", F.lit("customer")).alias("customer"))
+                                       F.try_variant_get("context", "$.customer", "string").alias("customer"))
 
 
 @register("approaching_first50", O.with_views(O.ordered(

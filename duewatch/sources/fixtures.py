@@ -93,7 +93,9 @@ def derive_runs(spark: SparkSession, sf_dir: str, as_of_us: int = AS_OF_US) -> D
         F.when(finished, ts(F.col("end_us"))).alias("completed_at"),
         ts(F.col("deadline_us")).alias("deadline"),
         F.col("tags"),
-        F.concat(F.lit('{"customer":'), F.col("o_custkey").cast("string"), F.lit("}")).alias("context"),
+        F.when(F.col("id") % 4 == 1, F.concat(F.lit('{"customer":'), F.col("o_custkey").cast("string"),
+                                              F.lit(',"nested":{"a":[1,null,"x"]},"ok":true,"ratio":0.5}')))
+         .otherwise(F.concat(F.lit('{"customer":'), F.col("o_custkey").cast("string"), F.lit("}"))).alias("context"),
         ts(F.col("started_us")).alias("created_at"),
         ts(F.when(finished, F.col("end_us")).otherwise(F.col("started_us"))).alias("updated_at"),
         F.lit(None).cast("long").alias("namespace_id"),

@@ -107,3 +107,72 @@ def test_multi_tag_containment_edges(spark):
     assert both == [False, True, False, False]
     one = [r.m for r in df.select(has_tags({"k": "v"}).alias("m")).collect()]
     assert one == [True, True, False, False]
+
+
+def test_arrays_with_other_elements(spark):
+    """SQL unnests every element and finds tags beside others; the typed response takes arrays of objects only."""
+    raw = ['[1,{"key":"k","value":"v"}]', '[{"key":"k","value":"v"}] junk', "[null]", '[["x"],{"key":7,"value":{"a":1}}]', "[1", '[{"key":"k","value":"v"}]\n']
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(raw)], "id int, tags string")
+    got = {}
+    for r in A.explode_tags(df, "id").collect():
+        got.setdefault(r.id, []).append((r.tag_key, r.tag_value))
+    assert got == {0: [(None, None), ("k", "v")], 2: [(None, None)], 3: [(None, None), ("7", '{"a":1}')], 5: [("k", "v")]}
+    assert [r.hit for r in df.orderBy("id").select(J.has_tag("k", "v").alias("hit")).collect()] == [True, False, False, False, False, True]
+    assert [r.n for r in df.orderBy("id").select(F.size(J.parse_tags("tags")).alias("n")).collect()] == [0, 0, 1, 0, 0, 1]
+
+
+def test_typed_context(spark):
+    import json
+
+    from duewatch.operators.listing import normalize, run_response
+    contexts = ['{"n":1,"f":1.5,"b":false,"o":{"p":[1,{"q":null}]},"s":"1"}', None, " ", "[1]", "not json", '{"a":1} tail', "7"]
+    runs = make_runs(spark, [dict(process_id=f"p{i}", status="ACTIVE", context=c) for i, c in enumerate(contexts)])
+    got = {r.id: json.loads(r.c) for r in run_response(runs, T0).select("id", F.to_json("context").alias("c")).collect()}
+    assert got["p0"] == json.loads(contexts[0]) and all(got[f"p{i}"] == {} for i in range(1, 7))
+    empty = normalize(run_response(runs, T0).withColumn("context", F.when(F.lit(False), F.col("context"))))
+    assert {r.c for r in empty.select(F.to_json("context").alias("c")).collect()} == {"{}"}
+
+
+def test_a_page_past_the_end_keeps_the_total(spark):
+    from duewatch.operators.filters import RunFilter
+    from duewatch.operators.listing import list_runs
+    runs = make_runs(spark, [dict(process_id=f"p{i}", status="ACTIVE") for i in range(5)])
+    assert [(r.pos, r.id, r.total) for r in list_runs(runs, None, T0, 2, 10).collect()] == [(None, None, 5)]
+    assert [(r.id, r.total) for r in list_runs(runs, RunFilter(status="FAILED"), T0).collect()] == [(None, 0)]
+    assert [r.total for r in list_runs(runs, None, T0, 2, 4).collect()] == [5]
+
+
+def test_list_order_of_one_field_and_of_several(spark):
+    from duewatch.operators.filters import RunFilter
+    from duewatch.operators.listing import list_runs
+    runs = make_runs(spark, [dict(process_id=p, name=n, status="ACTIVE", started=s) for p, n, s in (("a", "y", -3), ("b", "x", -2), ("c", "y", -1))])
+
+    def ids(**kw):
+        return [r.id for r in list_runs(runs, RunFilter(**kw), T0).orderBy("pos").collect()]
+    assert ids() == ["c", "b", "a"] and ids(sort_by="started_at", sort_dir="asc") == ids(sort_by="started_at:asc") == ["a", "b", "c"]
+    assert ids(sort_by="started_at") == ["c", "b", "a"] and ids(sort_by="nonsense:asc") == ["a", "b", "c"]
+    assert ids(sort_by="name:asc,started_at:desc") == ["b", "c", "a"] and ids(sort_by="name:desc,") == ["c", "a", "b"]
+
+
+def test_burn_rate_arguments(spark):
+    import pytest
+
+    from duewatch.operators.timeseries import burn_rate
+    runs = make_runs(spark, [dict(process_id="a", status="COMPLETED", started=-100, deadline=-50, completed=-40)])
+    assert burn_rate(runs, T0, 24, 0.9).first().burn_rate == 10.0
+    for hours, target in ((24, 1.0), (24, 1.5), (24, -0.1), (0, 0.9), (99999, 0.9)):
+        with pytest.raises(ValueError):
+            burn_rate(runs, T0, hours, target)
+
+
+def test_old_gauge_snapshots_go(spark, scratch):
+    from datetime import timedelta
+
+    from duewatch.sources.epochs import committed
+    from duewatch.sources.runs import write_runs
+    from duewatch.streaming.counters import gauge_refresher, read_gauges
+    write_runs(make_runs(spark, [dict(process_id="a", status="ACTIVE", deadline=-60)]), f"{scratch}/runs")
+    refresh = gauge_refresher(f"{scratch}/runs", f"{scratch}/snap", keep=2)
+    for epoch in range(5):
+        refresh(spark.createDataFrame([((T0 + timedelta(minutes=epoch)).replace(tzinfo=None),)], "timestamp timestamp"), epoch)
+    assert committed(spark, f"{scratch}/snap") == [3, 4] and read_gauges(spark, f"{scratch}/snap").first().epoch == 4
