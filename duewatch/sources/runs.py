@@ -71,15 +71,30 @@ def load_runs_jdbc(spark: SparkSession, url: str, table: str = "processes", **kw
     return upgrade_runs(load(table=table, **kwargs))
 
 
-FILE_BYTES = 256 << 20
+FILE_BYTES, MAX_FILES = 256 << 20, 1_000_000
+#: Columns that single runs are looked up by. A row group's bloom filter tells that a value isn't in it.
+LOOKUP_COLUMNS = ("process_id", "id")
 
 
 def _input_bytes(df: DataFrame) -> int:
-    spark, total = df.sparkSession, 0
-    for name in df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
-    return total
+    """Size of what ``df`` reads, from the statistics of its plan: one call, whatever the number of files."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return min(known, 1 << 60)  # a leaf without statistics counts as without bound
+
+
+def write_parquet(df: DataFrame, path: str, mode: str, partition_by: str | None = None, lookups: tuple[str, ...] = LOOKUP_COLUMNS) -> None:
+    """Write with bloom filters on ``lookups``, and instants as microseconds: the old 96-bit ones have no statistics to skip by."""
+    writer = df.write.mode(mode)
+    for column in lookups:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+    conf, name = df.sparkSession.conf, "spark.sql.parquet.outputTimestampType"
+    before = conf.get(name)
+    conf.set(name, "TIMESTAMP_MICROS")
+    try:
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        conf.set(name, before)
 
 
 def write_runs(runs: DataFrame, path: str, mode: str = "overwrite", files: int | None = None) -> None:
@@ -91,15 +106,16 @@ def write_runs(runs: DataFrame, path: str, mode: str = "overwrite", files: int |
     (what the deadline scans filter on), the completion time for finished
     ones (what analytics windows filter on) — so every status is spread over
     many tasks (none lands in one task) and each file covers a narrow time
-    range that Parquet min/max statistics can skip. ``files`` defaults to the
-    bytes of the files that ``runs`` reads over FILE_BYTES, and
-    ``spark.sql.shuffle.partitions`` at least.
+    range that Parquet min/max statistics can skip. Row groups have bloom
+    filters on LOOKUP_COLUMNS. ``files`` defaults to the size of what ``runs``
+    reads over FILE_BYTES, ``spark.sql.shuffle.partitions`` at least and
+    MAX_FILES at most.
     """
-    n = files or max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-_input_bytes(runs) // FILE_BYTES))
+    least = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = files or min(max(least, -(-_input_bytes(runs) // FILE_BYTES)), MAX_FILES)
     cluster = F.coalesce(F.col("completed_at"), F.col("deadline"), F.col("started_at"))
-    (runs.repartitionByRange(n, F.col("status"), cluster, F.col("id"))
-         .sortWithinPartitions(F.col("status"), cluster, F.col("id"))
-         .write.mode(mode).partitionBy("status").parquet(path))
+    write_parquet(runs.repartitionByRange(n, F.col("status"), cluster, F.col("id"))
+                  .sortWithinPartitions(F.col("status"), cluster, F.col("id")), path, mode, "status")
 
 
 def read_stored_runs(spark: SparkSession, path: str) -> DataFrame:
