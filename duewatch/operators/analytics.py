@@ -285,13 +285,12 @@ def tag_catalogue(rollup: DataFrame) -> DataFrame:
 
 def latency_by_tag(rollup: DataFrame, n: int = MAX_TAG_ROWS) -> DataFrame:
     """The ``n`` slowest tags by p90 of the whole rollup (:func:`tag_rollup_with_totals`); flags those slower than the overall p90."""
-    overall = rollup.filter("whole").agg(F.max("p90_s").alias("overall_p90"))
-    with_stats = rollup.filter("NOT whole AND dur_count > 0")
-    # overall is exactly one row, so this cross join cannot multiply rows.
-    joined = with_stats.crossJoin(overall)
-    out = joined.select("tag_key", "tag_value", "dur_count", "p50_s", "p90_s", "p99_s",
-                        F.coalesce(F.col("p90_s") > F.col("overall_p90"), F.lit(False)).alias("slower_than_overall"))
-    return top_k(out, [F.col("p90_s").desc(), F.col("tag_key").asc(), F.col("tag_value").asc()], n)
+    # The whole comes first, then the slowest tags: n + 1 rows, so the window below is as small.
+    order = [F.col("whole").desc(), F.col("p90_s").desc(), F.col("tag_key").asc(), F.col("tag_value").asc()]
+    first = top_k(rollup.filter("whole OR dur_count > 0"), order, n + 1, pos=False)
+    overall = F.max(F.when(F.col("whole"), F.col("p90_s"))).over(Window.partitionBy())
+    first = first.withColumn("slower_than_overall", F.coalesce(F.col("p90_s") > overall, F.lit(False)))
+    return top_k(first.filter("NOT whole"), order[1:], n).select("pos", "tag_key", "tag_value", "dur_count", "p50_s", "p90_s", "p99_s", "slower_than_overall")
 
 
 def impacted_tags(impact: DataFrame, n: int = 8) -> DataFrame:
