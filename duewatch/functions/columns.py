@@ -44,6 +44,20 @@ def _now(as_of) -> str | None:
     return instant_sql(as_of)
 
 
+#: The summary buckets, as SQL text: completed runs with a deadline, by whether they met it.
+ON_TIME_SQL = f"status = '{COMPLETED}' AND deadline IS NOT NULL AND completed_at <= deadline"
+LATE_SQL = f"status = '{COMPLETED}' AND deadline IS NOT NULL AND completed_at > deadline"
+
+
+def overdue_sql(now: str) -> str:
+    """ACTIVE runs whose deadline is before ``now`` (SQL text); at the very instant they are on track."""
+    return f"status = '{ACTIVE}' AND deadline IS NOT NULL AND deadline < {now}"
+
+
+def on_track_sql(now: str) -> str:
+    return f"status = '{ACTIVE}' AND deadline IS NOT NULL AND deadline >= {now}"
+
+
 def deadline_status(as_of) -> Column:
     """MISSED / ON_TRACK for ACTIVE (equality is ON_TRACK); COMPLETED_ON_TIME /
     COMPLETED_LATE for COMPLETED with a completion time (equality is on time);
@@ -105,7 +119,7 @@ def is_overdue(as_of) -> Column:
     if now is None:
         return F.coalesce(is_active() & F.col("deadline").isNotNull() & (instant(as_of) > F.col("deadline")),
                           F.lit(False))
-    return F.expr(f"coalesce(status = 'ACTIVE' AND deadline IS NOT NULL AND {now} > deadline, false)")
+    return F.expr(f"coalesce({overdue_sql(now)}, false)")
 
 
 def seconds_remaining(as_of) -> Column:

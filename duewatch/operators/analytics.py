@@ -172,13 +172,12 @@ def summary(runs: DataFrame, as_of) -> DataFrame:
         "active": "count_if(status = 'ACTIVE')",
         "completed": f"count_if({done})",
         "failed": f"count_if(status = '{C.FAILED}')",
-        "overdue": f"count_if(status = 'ACTIVE' AND deadline IS NOT NULL AND deadline < {now})",
-        "on_track": f"count_if(status = 'ACTIVE' AND deadline IS NOT NULL AND deadline >= {now})",
-        "completed_on_time": f"count_if({done} AND deadline IS NOT NULL AND completed_at <= deadline)",
-        "completed_late": f"count_if({done} AND deadline IS NOT NULL AND completed_at > deadline)",
+        "overdue": f"count_if({C.overdue_sql(now)})",
+        "on_track": f"count_if({C.on_track_sql(now)})",
+        "completed_on_time": f"count_if({C.ON_TIME_SQL})",
+        "completed_late": f"count_if({C.LATE_SQL})",
         "completed_24h": f"count_if({done} AND completed_at >= {day_ago})",
-        "completed_on_time_24h": f"count_if({done} AND completed_at >= {day_ago} AND deadline IS NOT NULL "
-                                 "AND completed_at <= deadline)",
+        "completed_on_time_24h": f"count_if({C.ON_TIME_SQL} AND completed_at >= {day_ago})",
         "failed_24h": f"count_if(status = '{C.FAILED}' AND completed_at >= {day_ago})",
     }
     return runs.agg(*[F.expr(e).alias(k) for k, e in exprs.items()])
@@ -198,10 +197,10 @@ def name_rollup_all(runs: DataFrame, as_of) -> DataFrame:
         "total": "count(1)",
         "active": "count_if(status = 'ACTIVE')",
         "failed": f"count_if(status = '{C.FAILED}')",
-        "overdue": f"count_if(status = 'ACTIVE' AND deadline IS NOT NULL AND deadline < {now})",
+        "overdue": f"count_if({C.overdue_sql(now)})",
         "completed": f"count_if({done})",
-        "completed_on_time": f"count_if({done} AND deadline IS NOT NULL AND completed_at <= deadline)",
-        "completed_late": f"count_if({done} AND deadline IS NOT NULL AND completed_at > deadline)",
+        "completed_on_time": f"count_if({C.ON_TIME_SQL})",
+        "completed_late": f"count_if({C.LATE_SQL})",
         "last_started_at": "unix_seconds(max(started_at))",
     }
     return runs.groupBy("name").agg(*[F.expr(e).alias(k) for k, e in exprs.items()])
@@ -245,7 +244,7 @@ def completion_metrics(runs: DataFrame) -> DataFrame:
     return done.groupBy("name").agg(
         F.count(F.lit(1)).alias("completed"),
         C.round1(F.avg(secs)).alias("avg_seconds"),
-        F.count_if(C.deadline.isNotNull() & (C.completed > C.deadline)).alias("late"))
+        F.expr(f"count_if({C.LATE_SQL})").alias("late"))
 
 
 def nearest_rank_stats(df: DataFrame, keys: list[str], value: str = "dur") -> DataFrame:

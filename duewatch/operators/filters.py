@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from duewatch.functions import columns as C
 from duewatch.functions.jsoncols import has_tag, tag_elements
-from duewatch.functions.time import instant, minus_hours
+from duewatch.functions.time import instant_sql, minus_hours
 from duewatch.operators.ordering import top_k
 
 
@@ -56,17 +56,13 @@ def deadline_after(epoch_s: int) -> Column:
 
 
 def by_deadline_status(v: str, as_of) -> Column:
-    now = instant(as_of)
-    has_dl = C.deadline.isNotNull()
-    done = C.status == C.COMPLETED
-    if v == C.MISSED:
-        return C.is_active() & has_dl & (C.deadline < now)
-    if v == C.ON_TRACK:
-        return C.is_active() & has_dl & (C.deadline >= now)
-    if v == C.COMPLETED_ON_TIME:
-        return done & has_dl & (C.completed <= C.deadline)
-    if v == C.COMPLETED_LATE:
-        return done & has_dl & (C.completed > C.deadline)
+    if v in (C.MISSED, C.ON_TRACK):
+        now = instant_sql(as_of)
+        if now is None:
+            raise TypeError("a filter by deadline status needs a literal as_of")
+        return F.expr(C.overdue_sql(now) if v == C.MISSED else C.on_track_sql(now))
+    if v in (C.COMPLETED_ON_TIME, C.COMPLETED_LATE):
+        return F.expr(C.ON_TIME_SQL if v == C.COMPLETED_ON_TIME else C.LATE_SQL)
     raise ValueError(f"unknown deadline status {v!r}")
 
 

@@ -24,14 +24,13 @@ def alert_hold_seconds(alert):
 
 def lifecycle_counters(runs: DataFrame) -> DataFrame:
     """created / completed / failed / completed on time / late per name."""
-    st, dl, ca = F.col("status"), F.col("deadline"), F.col("completed_at")
-    timed = (st == C.COMPLETED) & dl.isNotNull() & ca.isNotNull()
-    return runs.groupBy("name").agg(
-        F.count(F.lit(1)).alias("created"),
-        F.count_if(st == C.COMPLETED).alias("completed"),
-        F.count_if(st == C.FAILED).alias("failed"),
-        F.count_if(timed & (ca <= dl)).alias("on_time"),
-        F.count_if(timed & (ca > dl)).alias("late"))
+    return runs.groupBy("name").agg(F.expr("count(1)").alias("created"), *ended_counts())
+
+
+def ended_counts() -> list[Column]:
+    """Counts of ended runs by outcome: completed, failed, on time, late."""
+    conds = {"completed": f"status = '{C.COMPLETED}'", "failed": f"status = '{C.FAILED}'", "on_time": C.ON_TIME_SQL, "late": C.LATE_SQL}
+    return [F.expr(f"count_if({cond})").alias(name) for name, cond in conds.items()]
 
 
 def duration_timer(runs: DataFrame) -> DataFrame:
@@ -119,15 +118,11 @@ def name_aggregate(runs: DataFrame, as_of, threshold: float = 0.75) -> DataFrame
     """All per-name counters and gauges in one pass over the runs: lifecycle
     counters, due events, overdue and active runs."""
     from duewatch.operators.scans import missed_due, warning_due
-    st, dl, ca = F.col("status"), F.col("deadline"), F.col("completed_at")
-    timed = (st == C.COMPLETED) & dl.isNotNull() & ca.isNotNull()
     warn = warning_due(as_of, threshold) if 0 < threshold < 1 else F.lit(False)
     return runs.groupBy("name").agg(
-        F.count(F.lit(1)).alias("created"), F.count_if(st == C.COMPLETED).alias("completed"),
-        F.count_if(st == C.FAILED).alias("failed"), F.count_if(timed & (ca <= dl)).alias("on_time"),
-        F.count_if(timed & (ca > dl)).alias("late"), F.count_if(missed_due(as_of)).alias("missed_events"),
+        F.expr("count(1)").alias("created"), *ended_counts(), F.count_if(missed_due(as_of)).alias("missed_events"),
         F.count_if(warn).alias("warning_events"), F.count_if(C.is_overdue(as_of)).alias("overdue"),
-        F.count_if(st == C.ACTIVE).alias("active"))
+        F.count_if(C.is_active()).alias("active"))
 
 
 def _rows(df: DataFrame, labels: Column, values: dict[str, Column]) -> DataFrame:

@@ -79,9 +79,8 @@ def burn_rate(runs: DataFrame, as_of, hours: int, target: float) -> DataFrame:
     now = instant(as_of)
     since = F.timestamp_micros(F.lit(to_micros(as_of) - hours * 3_600_000_000))
     dl, ca = F.col("deadline"), F.col("completed_at")
-    done_in = (F.col("status") == C.COMPLETED) & dl.isNotNull() & (ca >= since) & (ca <= now)
-    good = done_in & (ca <= dl)
-    late = done_in & (ca > dl)
+    done_in = (ca >= since) & (ca <= now)
+    good, late = done_in & F.expr(C.ON_TIME_SQL), done_in & F.expr(C.LATE_SQL)
     missed = C.is_active() & dl.isNotNull() & (dl >= since) & (dl < now)
     agg = runs.groupBy("name").agg(F.count_if(good).alias("good"), F.count_if(late).alias("late"),
                                    F.count_if(missed).alias("missed"))

@@ -22,9 +22,8 @@ from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from duewatch.functions import columns as C
 from duewatch.operators.lifecycle import COMPLETE, CREATE, DELETE, operation_results
-from duewatch.operators.metrics import duration_timer, event_counters, lifecycle_counters, operation_counters
+from duewatch.operators.metrics import duration_timer, ended_counts, event_counters, operation_counters
 from duewatch.operators.scans import MISSED_EVENT, WARNING_EVENT, event_payload
 from duewatch.sources.epochs import read_epochs, write_epoch
 from duewatch.sources.runstore import CHANGES, upsert
@@ -230,13 +229,7 @@ def change_counters(runs: DataFrame) -> DataFrame:
     micro-batch, whose counts add up to the same."""
     done = F.col("completed_at").isNotNull()
     started = runs.where(~F.col("gone"))
-    counted = lifecycle_counters(started).columns[1:]
-    rows = started.groupBy("name").agg(
-        F.count_if(~done).alias("created"), F.count_if(done & (F.col("status") == C.COMPLETED)).alias("completed"),
-        F.count_if(done & (F.col("status") == C.FAILED)).alias("failed"),
-        F.count_if(done & (F.col("status") == C.COMPLETED) & (F.col("completed_at") <= F.col("deadline"))).alias("on_time"),
-        F.count_if(done & (F.col("status") == C.COMPLETED) & (F.col("completed_at") > F.col("deadline"))).alias("late"))
-    return rows.select("name", *counted)
+    return started.groupBy("name").agg(F.count_if(~done).alias("created"), *ended_counts())
 
 
 def change_timers(runs: DataFrame) -> DataFrame:
