@@ -102,14 +102,22 @@ def normalize(resp: DataFrame) -> DataFrame:
     return out
 
 
+def list_sort(flt: RunFilter) -> tuple[str, str]:
+    """Key and direction of a list request that sorts by one field."""
+    spec = flt.sort_by
+    key, direction = parse_sort(spec)
+    direction = direction if spec and ":" in spec else (flt.sort_dir or "desc")
+    key = key.lower() if key.lower() in SORT_KEYS else "started_at"
+    return key, "asc" if direction.lower() == "asc" else "desc"
+
+
 def list_order(flt: RunFilter, as_of) -> list[Column]:
     """Order of a list request. A spec of one field, with or without its
     direction, is :func:`parse_sort`'s; one of several is sorted by them all."""
     spec = flt.sort_by
     if spec and len([f for f in spec.split(",") if f.strip()]) > 1:
         return sort_multi(spec, as_of)
-    key, direction = parse_sort(spec)
-    return sort_columns(key, direction if spec and ":" in spec else (flt.sort_dir or ("desc" if not spec else None)), as_of)
+    return sort_columns(*list_sort(flt), as_of)
 
 
 def page(df: DataFrame, order: list[Column], limit: int | None, offset: int | None) -> DataFrame:
@@ -133,14 +141,24 @@ def list_runs(runs: DataFrame, flt: RunFilter | None, as_of, limit: int | None =
 
 def keyset_page(runs: DataFrame, flt: RunFilter | None, as_of, after: tuple | None = None,
                 limit: int | None = None) -> DataFrame:
-    """The page that follows ``after``, the (started_at, id) of the last row
-    seen, newest first. Deep pages cost what the first one costs, as the bound
-    is a filter that reaches the scan, and no offset is merged."""
-    matched = apply_filter(runs, flt or RunFilter(), as_of)
+    """The page that follows ``after``, the (sort value, id) of the last row
+    seen, in the order of the filter's sort field (newest first by default).
+
+    Deep pages cost what the first one costs: the bound is a filter, which for
+    a stored column reaches the scan, and no offset is merged. Nulls come last
+    both ways and ids descend, as in :func:`sort_columns`."""
+    flt = flt or RunFilter()
+    key, direction = list_sort(flt)
+    matched = apply_filter(runs, flt, as_of)
     if after is not None:
-        at, run_id = instant(after[0]), F.lit(after[1])
-        matched = matched.filter((F.col("started_at") < at) | ((F.col("started_at") == at) & (F.col("id") < run_id)))
-    return top_k(matched, [F.col("started_at").desc(), F.col("id").desc()], clamp_page(limit, 0)[0])
+        value, same = sort_expression(key, as_of), F.col("id") < F.lit(after[1])
+        if after[0] is None:
+            matched = matched.filter(value.isNull() & same)
+        else:
+            at = instant(after[0]) if key in ("started_at", "completed_at", "deadline") else F.lit(after[0])
+            beyond = value > at if direction == "asc" else value < at
+            matched = matched.filter(beyond | ((value == at) & same) | value.isNull())
+    return top_k(matched, sort_columns(key, direction, as_of), clamp_page(limit, 0)[0])
 
 
 def paging(total: DataFrame, limit: int | None = None, offset: int | None = None) -> DataFrame:

@@ -130,6 +130,15 @@ def page_by_number_q(t: Tables):
     return L.page(t.runs, L.sort_columns("started_at", "desc", t.as_of), limit, offset).select("id", "pos")
 
 
+@register("keyset_page_deadline", O.with_views(O.ordered(
+    f"runs WHERE name = 'building' AND (deadline_us > {AS_OF} - 30 * {O.DAY_US} OR (deadline_us = {AS_OF} - 30 * {O.DAY_US} AND id < 5000) OR deadline_us IS NULL)",
+    "deadline_us ASC NULLS LAST, id DESC", 50, cols="id")))
+def keyset_page_deadline_q(t: Tables):
+    from duewatch.functions.time import minus_hours
+    flt = RunFilter(name="building", sort_by="deadline", sort_dir="asc")
+    return L.keyset_page(t.runs, flt, t.as_of, (minus_hours(t.as_of, 30 * 24), 5000), 50).select("id", "pos")
+
+
 @register("keyset_page", O.with_views(O.ordered(
     f"runs WHERE started_us < {AS_OF} - 400 * {O.DAY_US}", "started_us DESC, id DESC", 20, cols="id")))
 def keyset_page_q(t: Tables):

@@ -176,3 +176,22 @@ def test_old_gauge_snapshots_go(spark, scratch):
     for epoch in range(5):
         refresh(spark.createDataFrame([((T0 + timedelta(minutes=epoch)).replace(tzinfo=None),)], "timestamp timestamp"), epoch)
     assert committed(spark, f"{scratch}/snap") == [3, 4] and read_gauges(spark, f"{scratch}/snap").first().epoch == 4
+
+
+def test_keyset_pages_cover_a_listing(spark):
+    """Pages by the last row's key, for every sort field both ways, make up the whole listing; ties and nulls included."""
+    from duewatch.operators.filters import RunFilter
+    from duewatch.operators.listing import SORT_KEYS, keyset_page, sort_columns, sort_expression
+    runs = make_runs(spark, [dict(process_id=f"p{i}", name="xyz"[i % 3], status=("ACTIVE", "COMPLETED")[i % 2], started=-100 * (i % 4), completed=-i if i % 2 else None,
+                                  deadline=None if i % 5 == 0 else 60 * (i % 3)) for i in range(23)])
+    for key in SORT_KEYS:
+        for direction in ("asc", "desc"):
+            want = [r.id for r in runs.orderBy(*sort_columns(key, direction, T0)).collect()]
+            got, after = [], None
+            while True:
+                rows = keyset_page(runs, RunFilter(sort_by=key, sort_dir=direction), T0, after, 7).withColumn("k", sort_expression(key, T0)).orderBy("pos").collect()
+                if not rows:
+                    break
+                got += [r.id for r in rows]
+                after = (rows[-1].k, rows[-1].id)
+            assert got == want, (key, direction)
