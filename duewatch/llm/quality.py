@@ -2,15 +2,19 @@
 
 The text view sees shares of odd words (shouted, repeated, strung with symbols,
 bare punctuation, digits), word variety and lengths. The metadata view sees
-language, source and the declared size, and nothing of the text. Both are
-logistic models. In each round each view labels the pool documents that it is
-surest of, by its calibrated probability, for the other view's next training
-set; a view that is sure of nothing teaches nothing. In the end the views'
-calibrated log-odds are combined by a third logistic fit on labelled documents
-that neither was trained on.
-
-Features are made in tasks; the driver gets those of a bounded sample. Scoring
-is one scan without a shuffle.
+language, source and the declared size in half-octaves, and nothing of the
+text. Both are logistic models. In each round each view scores every unlabelled
+document of the corpus in tasks, and those of each class whose calibrated
+belief it lifts farthest over the class's prior go to the other view's next
+training set, by a distributed top-k. They are taught as believed: the label is
+the belief itself, and its weight the share of the way from the prior to
+certainty, so a view that knows little about a document says little. In the end
+the views' calibrated log-odds are combined by a third logistic fit on labelled
+documents that neither was trained on; no view's belief can count against itself.
+
+Features are made in tasks, once, into a written table; the driver gets those
+of a bounded number of labelled and taught rows. Scoring is one scan without a
+shuffle.
 """
 
 from __future__ import annotations
@@ -20,20 +24,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duewatch.llm import hashing
 from duewatch.llm.toxicity import learnable
-from duewatch.llm.shared import map_batches
+from duewatch.llm.shared import cut, map_batches, uncut
 
 SAMPLE_A_CLASS = 2000
-POOL = 6000
 ROUNDS = 5
-SURE = 0.97
 TAUGHT_A_ROUND = 400
-META_SLOTS = 64
+META_SLOTS, SIZE_SLOTS = 64, 48
+META_FEATURES = META_SLOTS + SIZE_SLOTS + 3
 _KIND = np.zeros(256, np.uint8)  # 1 upper, 2 lower, 4 digit, 8 plain punctuation, 16 other symbol
 _KIND[65:91], _KIND[97:123], _KIND[48:58] = 1, 2, 4
 _KIND[[c for c in range(33, 127) if not chr(c).isalnum()]] = 16
@@ -86,14 +90,23 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
                             counts[:, 1] / np.maximum(n, 1) / 20, n == 0, np.ones(n.size)])
 
 
-def meta_features(langs: list, sources: list, sizes: np.ndarray) -> np.ndarray:
-    """The metadata view: hashed language and source (null is a value) and the declared size."""
-    out = np.zeros((len(langs), META_SLOTS + 3))
+def meta_slots(langs: list, sources: list, sizes: np.ndarray) -> np.ndarray:
+    """(language slot, source slot, size) of each row: hashes of the values (null is one), the size as its logarithm."""
+    out = np.zeros((len(langs), 3))
     for i, pair in enumerate(zip(langs, sources, strict=True)):
-        for name, value in zip("ls", pair, strict=True):
-            out[i, zlib.crc32(f"{name}{value!r}".encode()) % META_SLOTS] = 1
-    size = np.log1p(np.maximum(np.nan_to_num(sizes), 0)) / 10
-    out[:, META_SLOTS], out[:, META_SLOTS + 1], out[:, META_SLOTS + 2] = size, size ** 2, 1
+        out[i, :2] = [zlib.crc32(f"{name}{value!r}".encode()) % META_SLOTS for name, value in zip("ls", pair, strict=True)]
+    out[:, 2] = np.log1p(np.maximum(np.nan_to_num(sizes), 0))
+    return out
+
+
+def meta_features(slots: np.ndarray) -> np.ndarray:
+    """The metadata view: language, source and half-octave of the size as indicators, the size and its square."""
+    out = np.zeros((len(slots), META_FEATURES))
+    row, size = np.arange(len(slots)), slots[:, 2]
+    out[row, slots[:, 0].astype(int)] = 1
+    out[row, slots[:, 1].astype(int)] = 1
+    out[row, META_SLOTS + np.minimum(size * 2 / np.log(2), SIZE_SLOTS - 1).astype(int)] = 1
+    out[:, -3], out[:, -2], out[:, -1] = size / 10, size ** 2 / 100, 1
     return out
 
 
@@ -145,21 +158,97 @@ class Model:
     text: View
     meta: View
     mix: np.ndarray
-    taught: list[tuple[int, int]] = field(default_factory=list)
+    taught: list[tuple[int, int]] = field(default_factory=list)  # rows that text and metadata taught in each round
 
     def combine(self, t: np.ndarray, m: np.ndarray) -> np.ndarray:
         return _prob(np.column_stack((_odds(t), _odds(m), np.ones(t.size))), self.mix)
 
 
-def _fit_view(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> View:
-    w = logistic(x, y, np.ones(y.size))
+def _fit_view(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> View:
+    w = logistic(x, y, weight)
     z = np.clip(cx @ w, -15, 15)
     return View(w, logistic(np.column_stack((z, np.ones(z.size))), cy, np.ones(cy.size)))
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], *,
-             rounds: int = ROUNDS, sure: float = SURE, most: int = TAUGHT_A_ROUND) -> Model:
-    """Co-train on labelled rows ``views``, ``y`` and unlabelled ``pool``; every fourth labelled row calibrates."""
+def _fit_mix(t: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the views' log-odds; a view that would count against itself is left out."""
+    odds, one = [_odds(t), _odds(m)], np.ones(y.size)
+    mix = logistic(np.column_stack((*odds, one)), y, one)
+    for out, other in ((0, 1), (1, 0)):
+        if mix[out] < 0:
+            alone = logistic(np.column_stack((odds[other], one)), y, one)
+            mix = np.zeros(3)
+            mix[other], mix[2] = max(alone[0], 0.0), alone[1]
+    return mix
+
+
+@dataclass
+class Lesson:
+    """Rows that one view has been taught: the other view's beliefs, and how far they are from the prior."""
+
+    x: np.ndarray
+    belief: np.ndarray
+    weight: np.ndarray
+    ids: set
+
+    def add(self, x: np.ndarray, belief: np.ndarray, weight: np.ndarray, ids: list) -> None:
+        self.x, self.belief = np.vstack((self.x, x)), np.concatenate((self.belief, belief))
+        self.weight = np.concatenate((self.weight, weight))
+        self.ids |= set(ids)
+
+
+def lift(belief: np.ndarray, prior: float, label: int) -> np.ndarray:
+    """Share of the way from the class's prior to certainty; below zero if the belief is under the prior."""
+    return (belief - prior) / max(1 - prior, 1e-9) if label else (prior - belief) / max(prior, 1e-9)
+
+
+def _surest(free: DataFrame, views: tuple[View, View], prior: float, taught: tuple[set, set], most: tuple[int, int]) -> pd.DataFrame:
+    """Per teacher and label the free rows of greatest lift that it has not taught, ``most[label]`` at most.
+
+    Every row of ``free`` is scored. A task keeps its own best as batches come
+    in; what all tasks hold is ranked again, so the driver gets the best of all.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            h = batch.column(1).to_numpy()
+            text = np.array(batch.column(2).to_pylist(), float).reshape(len(ids), TEXT_FEATURES)
+            slots = np.array(batch.column(3).to_pylist(), float).reshape(len(ids), 3)
+            for teacher, x in ((0, text), (1, meta_features(slots))):
+                p = views[teacher](x)
+                new = np.array([i not in taught[teacher] for i in ids], bool)
+                for label in (0, 1):
+                    gain = lift(p, prior, label)
+                    at = np.flatnonzero(new & (gain > 0))
+                    at = at[np.lexsort((h[at], -gain[at]))][:most[label]]
+                    held = best.setdefault((teacher, label), [])
+                    held += [(float(gain[k]), int(h[k]), ids[k], float(p[k]), text[k], slots[k]) for k in at]
+                    held.sort(key=lambda r: (-r[0], r[1]))
+                    del held[most[label]:]
+        for (teacher, label), held in best.items():
+            if held:
+                gain, hs, names, p, text, slots = zip(*held, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([teacher] * len(held), pa.int32()), pa.array([label] * len(held), pa.int32()), pa.array(gain), pa.array(hs, pa.int64()),
+                     pa.array(names, id_type), pa.array(p), pa.array(list(text), pa.list_(pa.float64())), pa.array(list(slots), pa.list_(pa.float64()))],
+                    ["teacher", "label", "gain", "h", "id", "p", "text_view", "slots"])
+
+    id_type = free.limit(0).select("id").toArrow().schema.field(0).type
+    kind = free.schema["id"].dataType.simpleString()
+    found = map_batches(free.select("id", "h", "text_view", "slots"), run, f"teacher int, label int, gain double, h bigint, id {kind}, p double, "
+                        "text_view array<double>, slots array<double>")
+    order = Window.partitionBy("teacher", "label").orderBy(F.col("gain").desc(), "h")
+    limit = F.when(F.col("label") == 1, most[1]).otherwise(most[0])
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(most)).where(F.col("n") <= limit).orderBy(
+        "teacher", "label", "n").toPandas()
+
+
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, free: DataFrame | None, *, rounds: int = ROUNDS,
+             most: int = TAUGHT_A_ROUND) -> Model:
+    """Co-train on labelled rows ``views``, ``y`` and the unlabelled rows of the features table ``free``.
+
+    Every fourth labelled row calibrates."""
     if np.unique(y).size < 2:  # nothing to tell apart: the prior
         p = float(y.mean()) if y.size else 0.5
         flat = [View(np.zeros(v.shape[1]), np.array([0.0, float(_odds(np.array([p]))[0])])) for v in views]
@@ -168,32 +257,27 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
     if np.unique(y[held]).size < 2 or np.unique(y[~held]).size < 2:
         held[:] = True  # too few rows to set some aside
     own = ~held if not held.all() else held
-    extra = [(np.empty(0, np.int64), np.empty(0)) for _ in views]  # pool rows that the other view taught, and labels
+    prior = float(y.mean())
+    # In the proportion of the labelled classes.
+    share = (max(1, round(most * (1 - prior))), max(1, round(most * prior)))
+    lessons = [Lesson(np.empty((0, v.shape[1])), np.empty(0), np.empty(0), set()) for v in views]  # what each view was taught
     taught = []
     for step in range(rounds + 1):
-        fitted = [_fit_view(np.vstack((v[own], u[rows])), np.concatenate((y[own], labels)), v[held], y[held])
-                  for v, u, (rows, labels) in zip(views, pool, extra, strict=True)]
-        if step == rounds or not pool[0].shape[0]:
+        fitted = tuple(_fit_view(np.vstack((v[own], k.x)), np.concatenate((y[own], k.belief)), np.concatenate((np.ones(own.sum()), k.weight)),
+                                 v[held], y[held]) for v, k in zip(views, lessons, strict=True))
+        if step == rounds or free is None:
             break
-        fresh = []
+        got = _surest(free, fitted, prior, (lessons[1].ids, lessons[0].ids), share)
+        counts = []
         for teacher in (0, 1):
-            p = fitted[teacher](pool[teacher])
-            rows, labels = extra[1 - teacher]
-            open_ = np.ones(p.size, bool)
-            open_[rows] = False
-            new_rows, new_labels = [rows], [labels]
-            for label, belief in ((1.0, p), (0.0, 1 - p)):  # in the proportion of the labelled classes
-                k = max(1, round(most * float((y == label).mean())))
-                best = np.flatnonzero(open_ & (belief >= sure))
-                best = best[np.argsort(-belief[best], kind="stable")][:k]
-                new_rows.append(best)
-                new_labels.append(np.full(best.size, label))
-            fresh.append((np.concatenate(new_rows), np.concatenate(new_labels)))
-        taught.append((fresh[0][0].size, fresh[1][0].size))
-        extra = [fresh[1], fresh[0]]
+            rows = got[got["teacher"] == teacher]
+            counts.append(len(rows))
+            if len(rows):
+                x = np.vstack(rows["text_view"].to_list()) if teacher else meta_features(np.vstack(rows["slots"].to_list()))
+                lessons[1 - teacher].add(x, rows["p"].to_numpy(), rows["gain"].to_numpy(), rows["id"].to_list())
+        taught.append(tuple(counts))
     t, m = fitted[0](views[0][held]), fitted[1](views[1][held])
-    mix = logistic(np.column_stack((_odds(t), _odds(m), np.ones(t.size))), y[held], np.ones(t.size))
-    return Model(fitted[0], fitted[1], mix, taught)
+    return Model(fitted[0], fitted[1], _fit_mix(t, m, y[held]), taught)
 
 
 def _columns(docs: DataFrame, cols: tuple[str, str, str, str, str]) -> DataFrame:
@@ -203,32 +287,37 @@ def _columns(docs: DataFrame, cols: tuple[str, str, str, str, str]) -> DataFrame
                        F.col(size_col).cast("double").alias("n"))
 
 
-def _views(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
-    """Both views of a batch, from its text, language, source and size."""
+def _seen(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """Text view and metadata slots of a batch, from its text, language, source and size."""
     t, l, s, n = columns
     return (text_features(*hashing.string_buffers(t)),
-            meta_features(l.cast(pa.string()).to_pylist(), s.cast(pa.string()).to_pylist(),
-                          n.cast(pa.float64()).to_numpy(zero_copy_only=False)))
+            meta_slots(l.cast(pa.string()).to_pylist(), s.cast(pa.string()).to_pylist(),
+                       n.cast(pa.float64()).to_numpy(zero_copy_only=False)))
+
+
+def _views(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    text, slots = _seen(columns)
+    return text, meta_features(slots)
 
 
 def _features(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, m = _views(batch.columns[1:])
+            t, m = _seen(batch.columns[1:])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(t), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.float64()))],
-                ["id", "text_view", "meta_view"])
+                ["id", "text_view", "slots"])
 
     return map_batches(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, text_view array<double>, "
-                                "meta_view array<double>")
+                                "slots array<double>")
 
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, cols: tuple[str, str, str, str, str] = COLUMNS,
-          label_col: str = "quality", a_class: int = SAMPLE_A_CLASS, pool: int = POOL) -> Model:
-    """Co-train on at most ``a_class`` labelled rows of each class and ``pool`` unlabelled ones, by hash of the id."""
+          label_col: str = "quality", a_class: int = SAMPLE_A_CLASS) -> Model:
+    """Co-train on at most ``a_class`` labelled rows of each class, by hash of the id, and on all documents without a label row."""
     rows = _columns(docs, cols)
     known = (labels.where(learnable(cols[0]) & F.col(label_col).isin(0, 1))
              .groupBy(F.col(cols[0]).alias("id")).agg(F.min(label_col).alias("y")))
@@ -237,16 +326,15 @@ def train(docs: DataFrame, labels: DataFrame, *, cols: tuple[str, str, str, str,
     for y in (0, 1):
         some = known.where(F.col("y") == y).orderBy(order, "id").limit(a_class)
         ids = some if ids is None else ids.unionByName(some)
-    free = (rows.select("id").where("id is not null").join(labels.select(F.col(cols[0]).alias("id")), "id", "left_anti")
-            .orderBy(order, "id").limit(pool).select("id", F.lit(-1).alias("y")))
-    ids = ids.select("id", F.col("y").cast("int").alias("y")).unionByName(free)
-    got = (_features(rows.join(F.broadcast(ids.select("id")), "id", "left_semi")).join(F.broadcast(ids), "id")
-           .dropDuplicates(["id"]).orderBy(order, "id").toPandas())
-    stack = lambda part, name, width: np.vstack([np.zeros((0, width)), *part[name].to_list()])
-    sets = []
-    for part in (got[got["y"] >= 0], got[got["y"] < 0]):
-        sets.append((stack(part, "text_view", TEXT_FEATURES), stack(part, "meta_view", META_SLOTS + 3)))
-    return co_train(sets[0], got.loc[got["y"] >= 0, "y"].to_numpy(float), sets[1])
+    features = cut(_features(rows.where("id is not null")).withColumn("h", order), "quality-features")
+    ids = ids.select("id", F.col("y").cast("int").alias("y"))
+    got = features.join(F.broadcast(ids), "id").dropDuplicates(["id"]).orderBy("h", "id").toPandas()
+    free = cut(features.join(labels.select(F.col(cols[0]).alias("id")), "id", "left_anti"), "quality-free")
+    stack = lambda name, width: np.vstack([np.zeros((0, width)), *got[name].to_list()])
+    views = (stack("text_view", TEXT_FEATURES), meta_features(stack("slots", 3)))
+    model = co_train(views, got["y"].to_numpy(float), free)
+    uncut(features, free)
+    return model
 
 
 def quality_scores(docs: DataFrame, model: Model, *, cols: tuple[str, str, str, str, str] = COLUMNS,
