@@ -12,8 +12,8 @@ shingles as parities. What is left is verified once per pair by an exact count.
 
 Joining all classes under a frequent shingle with each other would grow with
 the square of a family of near copies, though its members hang together by few
-links. So in a fixed number of rounds every class is joined with a few pivots of
-each shingle it is under, and components are formed; then only pairs whose ends
+links. So in a fixed number of rounds every class is joined with a few pivots, out of those of
+the shingles it is under the ones it shares most with, and components are formed; then only pairs whose ends
 are still in different components are formed, all of them. Components come out as if every
 pair had been verified.
 """
@@ -37,7 +37,7 @@ COUNT_BITS = 21
 BLOCK = 1 << 20
 ID_BITS = 23
 PARITY_LONGS = 8
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS, PIVOTS_A_CLASS = 3, 2
 TOKEN_BITS = 26
 SHORT_LIST = 16
 PARITY = [f"q{k}" for k in range(PARITY_LONGS)]
@@ -248,11 +248,24 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     odd = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "_"))) for c in PARITY), F.lit(0))
     alike = odd <= F.col("n") + F.col("n_") - 2 * needed(F.col("n"), F.col("n_"))  # suffix filter
 
-    def pairs_of(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
+    def met(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
         right = right.select("token", *[F.col(c).alias(c + "_") for c in right.columns if c != "token"])
         reach = near(F.col("n"), F.col("i"), F.col("n_"), F.col("i_")) & alike
-        found = left.join(right, (left["token"] == right["token"]) & apart & reach)
-        return found.select(F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")).distinct()
+        return left.join(right, (left["token"] == right["token"]) & apart & reach)
+
+    ends = [F.least("id", "id_").alias("a"), F.greatest("id", "id_").alias("b")]
+
+    def pairs_of(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
+        return met(left, right, apart).select(*ends).distinct()
+
+    def best_pivots(rows: DataFrame, pivots: DataFrame, tried: DataFrame | None) -> DataFrame:
+        """Each class with the untried pivots that it shares most prefix shingles with, PIVOTS_A_CLASS of them."""
+        shared = met(rows, pivots, F.col("c") != F.col("c_")).groupBy("id", "id_").agg(F.count("*").alias("m"))
+        if tried is not None:
+            shared = shared.select("id", "id_", "m", *ends).join(tried, ["a", "b"], "left_anti")
+        first = F.slice(F.sort_array(F.collect_list(F.struct("m", F.xxhash64("id_").alias("h"), "id_")), asc=False), 1, PIVOTS_A_CLASS)
+        chosen = shared.groupBy("id").agg(first.alias("p")).select("id", F.explode("p").alias("p")).select("id", F.col("p.id_").alias("id_"))
+        return chosen.select(*ends).distinct()
 
     lo, hi = F.col("lo"), F.col("hi")
     twos = (lists.where("m = 2").where(near(lo["n"], lo["i"], hi["n"], hi["i"]))
@@ -271,11 +284,10 @@ def jaccard_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             least = F.min(F.struct("n", "id"))["id"] if step == 0 else F.min(F.struct("c", "id"))["id"]
             chosen = (open_.groupBy("token").agg(F.array_distinct(F.array(least, F.min(turn)["id"], F.max(turn)["id"])).alias("id"))
                       .select("token", F.explode("id").alias("id")))
-            pairs = pairs_of(open_, open_.join(chosen, ["token", "id"], "left_semi"), F.col("c") != F.col("c_"))
+            pairs = best_pivots(open_, open_.join(chosen, ["token", "id"], "left_semi"), tried)
             pairs = pairs.unionByName(twos).distinct() if step == 0 else pairs
         else:  # all that are still apart
             pairs = pairs_of(open_, open_, (F.col("id") < F.col("id_")) & (F.col("c") != F.col("c_")))
-        if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs, "jaccard-pairs")
         if step == 0:
