@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from duewatch.llm import hashing
 from duewatch.llm.components import components
-from duewatch.llm.shared import cut, flag_by_bits, map_batches, set_bits
+from duewatch.llm.shared import cut, map_batches, set_bits, uncut
 
 TAU = 2
 LEAST_BYTES = 20
@@ -278,11 +278,10 @@ def _index_rows(sums: np.ndarray, starts: np.ndarray, length: np.ndarray, tau: i
             np.concatenate([np.zeros(short.size * (tau + 1), np.int64), place]))
 
 
-def _key_bits(cells: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _key_bits(cells: DataFrame) -> DataFrame:
     """Bit sets of 2**KEY_BITS cells (64 MB), whatever the input: those in ``cells`` (part, cells), and those in it twice.
 
-    Tasks hold a bit set for each part and the driver gets one row for each.
-    """
+    A written table (part, once, twice) of one row for each part, made in tasks."""
     size = 1 << PART_BITS
 
     def packed(cells: np.ndarray) -> np.ndarray:
@@ -306,11 +305,16 @@ def _key_bits(cells: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                                               pa.array([twice.tobytes()], pa.binary())], ["part", "once", "twice"])
 
     parts = 1 << (KEY_BITS - PART_BITS)
-    got = map_batches(cells.repartition(parts, "part"), run, "part int, once binary, twice binary").toArrow()
-    out = np.zeros((2, parts, size // 8), np.uint8)
-    for part, once, twice in zip(got.column(0).to_pylist(), got.column(1), got.column(2), strict=True):
-        out[0, part], out[1, part] = np.frombuffer(once.as_buffer(), np.uint8), np.frombuffer(twice.as_buffer(), np.uint8)
-    return out[0].ravel(), out[1].ravel()
+    return cut(map_batches(cells.repartition(parts, "part"), run, "part int, once binary, twice binary"), "line-bits")
+
+
+def _shared_bits(*sets: tuple[DataFrame, str]):
+    """Broadcast of the OR of bit sets (table of :func:`_key_bits`, column); the driver holds one, a part at a time comes in."""
+    out = np.zeros((1 << (KEY_BITS - PART_BITS), 1 << (PART_BITS - 3)), np.uint8)
+    for table, column in sets:
+        for row in table.select("part", column).toLocalIterator():
+            out[row[0]] |= np.frombuffer(row[1], np.uint8)
+    return sets[0][0].sparkSession.sparkContext.broadcast(out.reshape(-1))
 
 
 def _cells(rows: DataFrame, found) -> DataFrame:
@@ -338,7 +342,7 @@ def _cells(rows: DataFrame, found) -> DataFrame:
     return map_batches(rows, run, "part int, cells binary")
 
 
-def _index_bits(rows: DataFrame, tau: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _index_bits(rows: DataFrame, tau: int, least: int) -> DataFrame:
     """Bit sets of the index's keys and grams, and of what is in it twice."""
     def found(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         data, offsets = hashing.string_buffers(batch.column(1))
@@ -350,9 +354,9 @@ def _index_bits(rows: DataFrame, tau: int, least: int) -> tuple[np.ndarray, np.n
     return _key_bits(_cells(rows, found))
 
 
-def _keys(rows: DataFrame, bits: np.ndarray, tau: int, least: int, probe: bool) -> DataFrame:
-    """(key, h, n, place, probe) of the probes, or of the index, that the bit set lets pass; a written table."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+def _keys(rows: DataFrame, sets: list[tuple[DataFrame, str]], tau: int, least: int, probe: bool) -> DataFrame:
+    """(key, h, n, place, probe) of the probes, or of the index, that the bit sets let pass; a written table."""
+    shared = _shared_bits(*sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
@@ -387,6 +391,13 @@ def _keys(rows: DataFrame, bits: np.ndarray, tau: int, least: int, probe: bool)
     return out
 
 
+def _met(keys: DataFrame) -> DataFrame:
+    """Keys of different lines, one of which at least is in the index."""
+    return (keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("probe").alias("p"),
+                                    F.min(F.when(~F.col("probe"), F.struct("h", "n", "place"))).alias("pivot"))
+            .where("lo < hi and not p").select("key", "pivot"))
+
+
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, n, t, parities of byte pairs) of the lines in ``wanted`` (h), one row each."""
     words = set_bits(wanted.select(F.pmod(F.col("h"), F.lit(1 << LINE_BITS)).alias("c")), "c").toArrow()
@@ -453,16 +464,14 @@ def _verify(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
 
 def line_links(rows: DataFrame, tau: int, least: int) -> DataFrame:
     """(h, component) of the distinct lines of ``rows`` (id, t) that stand in a class with another."""
-    indexed, twice = _index_bits(rows, tau, least)
-    probes = _keys(rows, indexed, tau, least, True)
-    probed, _ = _key_bits(_cells(probes.select("key"), lambda batch: [batch.column(0).to_numpy().view(np.uint64)]))
-    index = _keys(rows, probed | twice, tau, least, False)
+    indexed = _index_bits(rows, tau, least)
+    probes = _keys(rows, [(indexed, "once")], tau, least, True)
+    probed = _key_bits(_cells(probes.select("key"), lambda batch: [batch.column(0).to_numpy().view(np.uint64)]))
+    index = _keys(rows, [(indexed, "twice"), (probed, "once")], tau, least, False)
+    uncut(indexed, probed)
     keys = probes.unionByName(index)
-    # Keys of different lines, one of which at least is in the index.
-    met = (keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.min("probe").alias("p"),
-                                   F.min(F.when(~F.col("probe"), F.struct("h", "n", "place"))).alias("pivot"))
-           .where("lo < hi and not p").select("key", "pivot"))
-    under = cut(keys.join(met, "key").distinct(), "line-under")
+    under = cut(keys.join(_met(keys), "key").distinct(), "line-under")
+    uncut(probes, index)
     pivot = F.col("pivot")
     tried = cut(under.where(F.col("h") != pivot["h"])
                 .where(_reach(F.col("n"), F.col("place"), pivot["n"], pivot["place"], tau))
