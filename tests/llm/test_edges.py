@@ -166,3 +166,33 @@ def test_written_tables_go(spark):
     before = count()
     out = jaccard_join.jaccard_classes(docs)
     assert out.count() == docs.count() and count() - before <= 8 and not names() & {"duewatch-jaccard-prefixes", "duewatch-jaccard-longer", "duewatch-jaccard-pairs"}
+
+
+def test_long_chats(spark):
+    """A conversation of many turns and one of a very long text come back as they were."""
+    long = "é[/INST]\\ <s>" * 60_000
+    rows = [(1, i, "user" if i % 3 else "assistant", f"turn {i}") for i in range(4000)] + [(2, 0, "user", long), (2, 1, "assistant", long)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_format.chat_digest(chat_format.format_chats(turns))
+    got = {r.conv_id: r for r in out.collect()}
+    assert got[1].n_turns == 4000 and got[1].loss_chars == sum(len(t) for _, _, r, t in rows[:4000] if r == "assistant")
+    assert got[2].n_turns == 2 and got[2].loss_chars == len(long)
+
+
+def test_stage_rows(spark, tmp_path):
+    """Ties, repeated rows and nulls through each stage: which rows stay."""
+    import corpus_pipeline
+
+    from .conftest import make_docs
+
+    text = " ".join(f"word{i}" for i in range(40))
+    near = " ".join(f"word{i}" if i else "other" for i in range(40))
+    docs = make_docs(spark, [(1, text), (2, text.upper()), (2, text.upper()), (3, near), (4, None), (5, ""), (None, text + " tail"), (6, "leaked " + " ".join(f"item{i}" for i in range(12)))])
+    spark.createDataFrame([(0, " ".join(f"item{i}" for i in range(12)))], "item_id long, text string").write.parquet(os.path.join(tmp_path, "benchmark.parquet"))
+    stage = dict(corpus_pipeline.STAGES)
+    rows = stage["exact dedup"](spark, docs, str(tmp_path))
+    assert by_id(rows, "doc_id") == sorted([(2,), (3,), (5,), (None,), (6,)], key=repr)
+    rows = stage["n-gram Jaccard join"](spark, rows, str(tmp_path))
+    assert by_id(rows, "doc_id") == sorted([(2,), (5,), (None,), (6,)], key=repr)
+    rows = stage["benchmark decontamination"](spark, rows, str(tmp_path))
+    assert by_id(rows, "doc_id") == sorted([(2,), (5,), (None,)], key=repr)
