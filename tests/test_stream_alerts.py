@@ -20,6 +20,15 @@ BASE = datetime(2024, 1, 1)
 REQUESTS = "ts timestamp, method string, path string, status int, duration_ms double"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Small streams: two state partitions, so that a micro-batch starts few Python workers."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def requests(seed, minutes=240):
     rnd = random.Random(seed)
     rows, slow, bad = [], False, False

@@ -21,6 +21,15 @@ SCHEMA = ("seq long, ts timestamp, name string, process_id string, kind string,
 BASE = datetime(2024, 1, 1)
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Small streams: two state partitions, so that a micro-batch starts few Python workers."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def commands(n, keys, seed):
     rnd = random.Random(seed)
     out = []
