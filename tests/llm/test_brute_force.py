@@ -282,6 +282,43 @@ def test_long_lines(spark):
     assert {r.doc_id: r.first_id for r in line_dedup.line_classes(docs).collect()} == {i: first[union.find(b)] for i, b in at.items()}
 
 
+def test_lines_meet_seldom_by_chance(spark, monkeypatch):
+    """Long lines of few words, or of one word repeated, write few keys, each line once."""
+    rng = random.Random(11)
+    few = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 5))) for _ in range(20)})
+    lines = [" ".join(rng.choice(few) for _ in range(70)) for _ in range(500)] + [" ".join([w] * 500) for w in few]
+    near = lines[3].split()
+    near[40] = "zzzz"
+    texts = [*lines, " ".join(near), *lines[:40]]
+    written = {}
+
+    def counted(df, label, *folders, cut=line_dedup.cut):
+        out = cut(df, label, *folders)
+        if label in ("line-probes", "line-index"):
+            written[label] = written.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    got = {r.doc_id: r.first_id for r in line_dedup.line_classes(make_docs(spark, list(enumerate(texts)))).collect()}
+    n = len(lines)
+    assert got == {i: i for i in range(n)} | {n: 3} | {n + 1 + i: i for i in range(40)}
+    assert sum(written.values()) < 2000, written
+
+
+def test_lines_in_classes(spark, monkeypatch):
+    """Filters for few lines each find the same pairs, also between lines of two classes."""
+    monkeypatch.setattr(line_dedup, "CLASS_KEYS", 300)
+    rng = random.Random(12)
+    lines = []
+    for n in range(85, 600, 23):
+        a = "".join(rng.choice("abcdefghijklmnop ") for _ in range(n - 2)).join("xy")
+        at = rng.randrange(n // 2)
+        lines += [a, a[:at] + "q" * (n // 21) + a[at:], a[:at] + a[at + n // 20:]]
+    docs = make_docs(spark, list(enumerate(lines)))
+    got = {r.doc_id: r.first_id for r in line_dedup.line_classes(docs).collect()}
+    assert got == {i: i - i % 3 for i in range(len(lines))}
+
+
 def test_decontaminate(spark, docs, texts):
     bench = dict(duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall())
     words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
