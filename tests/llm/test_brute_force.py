@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,6 +306,44 @@ def test_lines_meet_seldom_by_chance(spark, monkeypatch):
     assert sum(written.values()) < 2000, written
 
 
+def test_lines_with_a_passage_elsewhere(spark, monkeypatch):
+    """Lines that have a passage in common, at places that no near lines' edits allow, write no keys for it; near ones meet."""
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = text(200)
+    lines = [(p := text(24 + 9 * k)) + passage + text(400 - len(p)) for k in range(30)]
+    texts = [*lines, *(x[:300] + text(20) + x[320:] for x in lines)]
+    written = {}
+
+    def counted(df, label, *folders, cut=line_dedup.cut):
+        out = cut(df, label, *folders)
+        if label in ("line-probes", "line-index"):
+            written[label] = written.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    got = {r.doc_id: r.first_id for r in line_dedup.line_classes(make_docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: i % 30 for i in range(60)}
+    assert sum(written.values()) < 3000, written
+
+
+def test_near_pairs():
+    """Pairs compared together are near as by their distances, also where those are many."""
+    rng = random.Random(14)
+    pairs = []
+    for n in [*range(20, 100, 3), *range(100, 1500, 60), 6000, 7000]:
+        a = "".join(rng.choice("abcdé ") for _ in range(n)).encode()
+        for share in (0, 0.02, 0.04, 0.05, 0.06, 0.1):
+            b = bytearray(a)
+            for _ in range(round(share * len(a))):
+                at = rng.randrange(len(b))
+                b[at:at + rng.randrange(2)] = bytes(rng.choice(b"abz") for _ in range(rng.randrange(2)))
+            pairs += [(a, bytes(b)), (bytes(b), a)]
+    got = line_dedup.near_pairs(*(pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)), 2)
+    want = [line_dedup.banded_distance(a, b, most) <= most for a, b in pairs for most in [line_dedup.edits(max(len(a), len(b)), 2)]]
+    assert list(got) == want and 100 < sum(want) < len(want) - 50
+
+
 def test_lines_in_classes(spark, monkeypatch):
     """Filters for few lines each find the same pairs, also between lines of two classes."""
     monkeypatch.setattr(line_dedup, "CLASS_KEYS", 300)
