@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy, on small fixtures."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from duewatch.llm import (chat_format, components, decontaminate, exact_dedup, hashing, jaccard_join, line_dedup, mixing,
                           pii, quality, token_counts, toxicity)
+from duewatch.llm.shared import shared_dir
 
 from .conftest import make_docs
 
@@ -358,6 +360,94 @@ def test_lines_in_classes(spark, monkeypatch):
     assert got == {i: i - i % 3 for i in range(len(lines))}
 
 
+def test_lines_of_two_classes_meet_at_one_place(spark, monkeypatch):
+    """A line's own key, too, meets the longer lines of the next class: all but the first segment differ."""
+    n = int(next(r for r in line_dedup._RANGES if r > 120 and line_dedup.GRAM <= line_dedup._SIZES[line_dedup.range_of(r)] == line_dedup._SIZES[line_dedup.range_of(r) - 1]))
+    k = n // 20
+    rng = random.Random(15)
+    a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    b = list(a)
+    for i in range(1, k + 1):
+        place, size = line_dedup._segment(np.array([n]), i, k)
+        b[int(place[0]) + int(size[0]) // 2] = "#" if i < k else ""
+    assert line_dedup.banded_distance(a.encode(), "".join(b).encode(), k) == k
+    monkeypatch.setattr(line_dedup, "CLASS_KEYS", 1)
+    got = {r.doc_id: r.first_id for r in line_dedup.line_classes(make_docs(spark, [(0, a), (1, "".join(b))])).collect()}
+    assert got == {0: 0, 1: 0}
+
+
+def test_lines_of_a_class_are_done_before_the_next(spark, monkeypatch):
+    """Keys, pairs and texts of one class of lengths stand on the disks at a time; shuffle files go with the tables they are for."""
+    monkeypatch.setattr(line_dedup, "CLASS_KEYS", 80)
+    rng = random.Random(16)
+    lines = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(n - 2)).join("xy") for n in range(90, 500, 40)]
+    texts = [*lines, *(x[:40] + "##" + x[42:] for x in lines)]
+    made, standing = [], []
+
+    def counted(df, label, *folders, cut=line_dedup.cut):
+        made.append(label)
+        assert df.sparkSession.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+        out = cut(df, label, *folders)
+        standing.append(sum(x in now for x in ("line-probes", "line-under", "line-open", "line-texts")
+                            for now in os.listdir(shared_dir(spark).removeprefix("file:")) if now not in before))
+        return out
+
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    got = {r.doc_id: r.first_id for r in line_dedup.line_classes(make_docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: i % len(lines) for i in range(len(texts))}
+    assert made.count("line-index") > 2 and max(standing) <= 3, standing
+
+
+def test_lines_met_in_small_batches(spark):
+    """Keys of two lines give one row, of more all theirs, also where batches end between or within them."""
+    rng = random.Random(17)
+    rows = [(key, 100 * h + key, 20 + h, 5, probe) for key in range(120) for probe in (False, True) for h in rng.sample(range(40), rng.choice([0, 0, 1, 1, 2, 5, 12]))]
+    rows = list({r[:2]: r for r in rows}.values())
+    want = set()
+    for key in range(120):
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[4], -r[2], r[1]))
+        if len(own) > 1 and not own[0][4]:
+            want |= {(r, own[0][1], len(own) > 2) for r in own[len(own) == 2:]}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for size, repeated in ((1, 0), (2, 0), (3, 0), (7, 0), (10_000, 0), (10_000, 1)):
+            spark.conf.set(name, str(size))
+            keys = spark.createDataFrame(rows + rows * repeated, "key long, h long, n int, place int, probe boolean")
+            got = [((r.key, r.h, r.n, r.place, r.probe), r.pivot_h, r.many) for r in line_dedup._met(keys).collect()]
+            assert len(got) == len(set(got)) and set(got) == want, size
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_line_sketches():
+    """Parities never tell near lines apart, and nearly always lines that have a passage in common."""
+    rng = random.Random(18)
+    few = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(1500)]
+    text = lambda n: " ".join(rng.choice(few) for _ in range(n))
+    near, other = [], []
+    for n in (5, 12, 20, 30, 60, 100, 250, 900, 3000):
+        for _ in range(12):
+            a = text(n).encode()
+            b = bytearray(a)
+            for _ in range(line_dedup.edits(int(len(a) * 0.95), 2)):
+                at = rng.randrange(len(b))
+                b[at:at + rng.randrange(2)] = bytes(rng.choice(b"abz") for _ in range(rng.randrange(2)))
+            near.append((a, bytes(b)))
+            c = a[:len(a) // 3] + text(n).encode()
+            other.append((a, c[:len(a)].ljust(len(a), b"x")))
+
+    def differ(pairs):
+        made = [line_dedup._sketch(*hashing.string_buffers(pa.array([p[i] for p in pairs], pa.binary()))) for i in (0, 1)]
+        most = np.array([line_dedup.edits(max(map(len, p)), 2) for p in pairs])
+        odd = np.bitwise_count((made[0][0] ^ made[1][0]).view(np.uint64)).sum(axis=1)
+        return (odd > 4 * most) | (line_dedup._differ(*(pa.array(m[1], pa.binary()) for m in made)) > 2 * line_dedup.SKETCH * most)
+
+    assert not differ(near).any()
+    assert differ([p[::-1] for p in other]).mean() > 0.95
+
+
 def test_decontaminate(spark, docs, texts):
     bench = dict(duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall())
     words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
